@@ -355,8 +355,9 @@ def shots(histograms: np.ndarray, window: int = 8, factor: float = 3.0, floor: f
 def payload_to_avi(payload: bytes) -> bytes:
     """Bytes as an AVI file; frames have at most ``ROWS`` x ``COLUMNS`` samples, the last is padded with 0."""
     n = len(payload)
-    rows = max(1, min(ROWS, -(-n // COLUMNS)))
-    count = max(1, -(-n // (rows * COLUMNS)))
+    total = max(1, -(-n // COLUMNS))
+    count = -(-total // ROWS)
+    rows = -(-total // count)
     samples = np.zeros(count * rows * COLUMNS, np.uint8)
     samples[:n] = np.frombuffer(payload, np.uint8)
     frames = [encode_frame(f) for f in samples.reshape(count, rows, COLUMNS)]
