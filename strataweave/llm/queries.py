@@ -47,10 +47,110 @@ def op7_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+#: action and host/path of the rules of op4
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by rules and redirect classes."""
+    from strataweave.llm.url_filters import judge_urls, link_edges, rules_table
+
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, rules_table(spark, URL_RULES), link_edges(pages))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives and read them back."""
+    from pyspark.sql import functions as F
+
+    from strataweave.llm.warc import plan_records, read_archives, write_archives
+
+    ship(spark)
+    read = read_archives(write_archives(plan_records(table(spark, sf_dir, "pages"))), with_payload=False).where("record_type is not null")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document, and when."""
+    from pyspark.sql import functions as F
+
+    from strataweave.llm.mixing import mix_sources
+
+    ship(spark)
+    mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    first = F.try_element_at("passes", F.lit(1))["position"]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last())
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shuffled shards."""
+    from pyspark.sql import functions as F
+
+    from strataweave.llm.sharding import external_shuffle
+
+    ship(spark)
+    out = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-id files with Elias-Fano boundaries, and back."""
+    import public_tokenizers
+
+    from strataweave.llm.token_store import read_tokens, token_folder, write_tokens
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_folder(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filters": op4_url_filters,
+    "op5_warc": op5_warc,
+    "op6_mixing": op6_mixing,
     "op7_avi_mjpeg": op7_avi_mjpeg,
+    "op8_sharding": op8_sharding,
+    "op9_token_store": op9_token_store,
 }
 
-SQL: dict[str, str] = {}
+_RULE_ROWS = ", ".join(f"('{action}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for action, rule in URL_RULES)
+
+SQL: dict[str, str] = {
+    "op4_url_filters": rf"""
+with recursive rules(action, rule_host, rule_path, rule) as (values {_RULE_ROWS}),
+named as (
+  select page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1), '') as query
+  from pages),
+targets as (
+  select host, host || path || query as a, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as t
+  from named),
+full_targets as (
+  select a, case when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t else t end as t from targets where t != ''),
+links as (
+  select a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(t, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1) as b
+  from full_targets),
+both_ways as (select a, b from links where a != '' and b != '' and a != b union select b, a from links where a != '' and b != '' and a != b),
+reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+classes as (select a as node, min(b) as component from reach group by a),
+places as (select distinct host, path from named union select distinct regexp_extract(node, '^([^/?#]*)', 1), regexp_extract(node, '^[^/?#]*([^?#]*)', 1) from classes),
+hits as (
+  select p.host, p.path, r.rule, r.action, row_number() over (partition by p.host, p.path order by length(r.rule) desc, r.action, r.rule desc) as k
+  from places p join rules r on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host)) and starts_with(p.path, r.rule_path)),
+best as (select host, path, rule, action from hits where k = 1),
+said as (
+  select c.component, max(case when b.action = 'allow' then 2 else 1 end) as said
+  from classes c join best b on b.host = regexp_extract(c.node, '^([^/?#]*)', 1) and b.path = regexp_extract(c.node, '^[^/?#]*([^?#]*)', 1) group by 1)
+select n.page_id, n.host, n.path, b.rule,
+  case when b.action is not null then b.action when s.said = 1 then 'block' else 'allow' end as verdict, c.component as url_class
+from named n left join best b on n.host = b.host and n.path = b.path
+left join classes c on c.node = n.host || n.path || n.query
+left join said s on s.component = c.component""".replace("\\\\", "\\"),
+}
