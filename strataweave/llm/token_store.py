@@ -175,7 +175,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     by = [F.col(key).asc_nulls_last(), F.col(text).asc_nulls_first()]
     rows = docs.select(key, text)
     ranged = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
-    manifest = materialize(ranged.sortWithinPartitions(*by).mapInArrow(write, "part int, path string, documents long, ids long"), "tokens")
+    manifest = materialize(ranged.sortWithinPartitions(*by).mapInArrow(write, "part long, path string, documents long, ids long"), "tokens")
     # one row for each file
     return manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
 
