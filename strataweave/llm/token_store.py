@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import Words, gather_ranges, pieces, raw, string_array, strings
+from strataweave.llm.textblocks import Words, gather_ranges, pieces, string_array, strings
 from strataweave.session import materialize, shared_dir
 
 MAGIC = b"EFTOK1\0\0"
@@ -213,4 +213,3 @@ def token_folder(docs: DataFrame) -> str:
     return fresh_folder(shared_dir(docs.sparkSession), "tokens")
 
 
-__all__ = ["EliasFano", "TokenFile", "encode_words", "raw", "read_tokens", "token_folder", "write_store", "write_tokens"]
