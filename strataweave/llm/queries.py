@@ -29,6 +29,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_tokens(table(spark, sf_dir, "documents"), ranks_path(), pretoken_pattern(), keep=["doc_id"], with_ids=False)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy components of all documents: 4-word shingles, Jaccard of at least 0.85."""
+    from strataweave.llm.jaccard_join import jaccard_components
+
+    ship(spark)
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rule and boosted-tree verdict of every document."""
     from strataweave.llm.quality import STATS, quality_rules, train_quality
@@ -104,8 +112,17 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_folder(docs)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without repeated 20-word windows."""
+    from strataweave.llm.substring import substring_dedup
+
+    ship(spark)
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
@@ -113,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_avi_mjpeg": op7_avi_mjpeg,
     "op8_sharding": op8_sharding,
     "op9_token_store": op9_token_store,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _RULE_ROWS = ", ".join(f"('{action}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for action, rule in URL_RULES)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -336,7 +337,7 @@ def _apply(rewrite: bool, keep: list[str]):
             bounds = off[np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=w.n))])]
             columns = [batch.column(c) for c in keep] + [pa.array(w.count), pa.array(removed)]
             if rewrite:
-                columns.append(string_array(data, bounds))
+                columns.append(pc.if_else(pa.array(removed == 0), texts, string_array(data, bounds)))
             else:
                 view = data.tobytes()
                 columns.append(pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
@@ -348,8 +349,9 @@ def _apply(rewrite: bool, keep: list[str]):
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, rewrite: bool = False, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Remove every word covered by a window of 20 words that also begins earlier (smaller key, or further left in the same text).
 
-    Returns key, the columns ``keep``, n_words, n_removed, and kept_sha256 or, with
-    ``rewrite``, kept_text: the kept words joined by one space. Null and empty texts have no
+    Returns key, the columns ``keep``, n_words, n_removed, and kept_sha256 of the kept words
+    joined by one space or, with ``rewrite``, kept_text: the same words, but the text as
+    it was where nothing is removed. Null and empty texts have no
     words. Keys need not be unique: see ``identified``; rows that repeat key and text
     are one document and get the same result, and ``keep`` then comes from one of
     them. An empty table gives no rows. Columns of docs named like an output are dropped.
