@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from strataweave.session import materialize, shared_dir
 MAGIC = b"EFTOK1\0\0"
 BLOCK = 512
 #: words kept with their ids in a worker process, in each of two generations
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 class EliasFano:
@@ -111,43 +112,63 @@ def _tokenizer(path: str):
     return t, [{}, {}]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+
+
+def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first unit of each text): words, parted between ASCII letters and ASCII signs other than the apostrophe."""
+    letter, sign = _LETTER[w.buf], _SIGN[w.buf]
+    border = np.flatnonzero(letter[:-1] & sign[1:] | sign[:-1] & letter[1:]) + 1
+    border = border[~np.isin(border, w.off)]
+    start, end = np.concatenate([w.start, border]), np.concatenate([w.end, border])
+    start.sort()
+    end.sort()
+    return start, end, np.searchsorted(start, w.off)
+
+
 def encode_words(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids per text) of a column without nulls, ``end_id`` after each text.
 
-    For tokenizers that drop white space before the merges: then no token spans two
-    words, and each distinct word of the block is encoded once. Words already seen
-    by this process are looked up.
+    For tokenizers that lower-case, drop white space and part letters from signs before
+    the merges: then no token spans two units, and each distinct unit of the block
+    is encoded once. Units that this process has seen lately are looked up.
     """
     tokenizer, ages = _tokenizer(tokenizer_path)
-    w = Words(column)
-    data, off = gather_ranges(w.buf, w.start, w.end - w.start)
+    w = Words(column, lower=True)
+    start, end, ptr = units(w)
+    data, off = gather_ranges(w.buf, start, end - start)
     coded = string_array(data, off).dictionary_encode()
     distinct = coded.dictionary.to_pylist()
+    found = list(map(ages[0].get, distinct))
+    if len(ages[0]) > CACHED_WORDS:
+        ages[:] = {}, ages[0]
     young, old = ages
-    known = {x: old[x] for x in distinct if x in old and x not in young}
-    missing = [x for x in distinct if x not in young and x not in known]
-    known.update(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-    if len(young) + len(known) > CACHED_WORDS and young:
-        known.update((x, young[x]) for x in distinct if x in young)
-        ages[:] = known, young
-        young = known
-    else:
-        young.update(known)
-    found = [young[x] for x in distinct] + [np.array([end_id], "<u4").tobytes()]
+    lost = [i for i, x in enumerate(found) if x is None]
+    missing = []
+    for i in lost:
+        if (x := old.get(distinct[i])) is None:
+            missing.append(i)
+        else:
+            found[i] = young[distinct[i]] = x
+    for i, e in zip(missing, tokenizer.encode_batch_fast([distinct[i] for i in missing], add_special_tokens=False), strict=True):
+        found[i] = young[distinct[i]] = array("I", e.ids).tobytes()
+    found.append(array("I", [end_id]).tobytes())
     size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    flat = np.frombuffer(b"".join(found), "<u4")
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    order = np.insert(np.asarray(coded.indices, np.int64), w.ptr[1:], len(distinct))
+    flat = np.frombuffer(b"".join(found), np.uint32)
+    first = np.cumsum(size) - size
+    order = np.insert(np.asarray(coded.indices, np.int64), ptr[1:], len(distinct))
     ids, ends = gather_ranges(flat, first[order], size[order])
-    words_to = w.ptr[1:] + np.arange(1, w.n + 1)
-    return ids, np.diff(ends[np.concatenate([[0], words_to])])
+    return ids, np.diff(ends[np.concatenate([[0], ptr[1:] + np.arange(1, w.n + 1)])])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, key: str = "doc_id", text: str = "text", tasks: int | None = None) -> DataFrame:
     """Write token files in ascending key order; returns the manifest (part, path, documents, ids, base).
 
     Documents are range-partitioned and sorted by key (nulls last; equal keys by
-    text), encoded, and each partition writes one file. base is the number of ids in all
+    the text's hash), encoded, and each partition writes one file. base is the number of ids in all
     files before. Null and empty texts have the end id alone; repeated rows are
     separate documents; an empty table gives no file.
     """
@@ -156,7 +177,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nulls, sizes, ids = [], [], [], []
         width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 65_536 and end_id < 65_536 else 4
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 8 << 20):
             got, n = encode_words(strings(batch.column(text)), tokenizer_path, end_id)
             k = batch.column(key)
             keys.append(np.asarray(pc.fill_null(k, 0), np.int64))
@@ -172,10 +193,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             write_store(f, np.concatenate(keys), np.concatenate(nulls), boundaries, ids, width)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [len(boundaries) - 1], "ids": [int(boundaries[-1])]})
 
-    by = [F.col(key).asc_nulls_last(), F.col(text).asc_nulls_first()]
-    rows = docs.select(key, text)
+    by = [F.col(key).asc_nulls_last(), F.col("_tie")]
+    rows = docs.select(key, text, F.xxhash64(text).alias("_tie"))
     ranged = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
-    manifest = materialize(ranged.sortWithinPartitions(*by).mapInArrow(write, "part long, path string, documents long, ids long"), "tokens")
+    manifest = materialize(ranged.sortWithinPartitions(*by).select(key, text).mapInArrow(write, "part long, path string, documents long, ids long"), "tokens")
     # one row for each file
     return manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
 
