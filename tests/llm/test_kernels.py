@@ -1,0 +1,144 @@
+"""Numpy kernels against plain Python."""
+
+import random
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strataweave.llm import media, mixing, quality, substring, token_store, warc
+from strataweave.llm import textblocks as tb
+
+TEXT = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab#\t\n\x0b \r é漢.'"), max_size=60)), max_size=8)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT)
+def test_words(texts):
+    w = tb.Words(tb.strings(pa.array(texts, pa.string())))
+    for i, t in enumerate(texts):
+        got = [bytes(w.buf[w.start[j] : w.end[j]]).decode() for j in range(w.ptr[i], w.ptr[i + 1])]
+        assert got == brute.words(t)
+    h = w.hashes()
+    known = {}
+    for j in range(len(h)):
+        assert known.setdefault(bytes(w.buf[w.start[j] : w.end[j]]), h[j]) == h[j]
+    assert len(set(known.values())) == len(known)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT)
+def test_quality_counts(texts):
+    s = quality.document_stats(tb.strings(pa.array(texts, pa.string())))
+    got = list(zip(*(s[k].tolist() for k in quality.STATS), strict=True))
+    assert got == [brute.quality(t) for t in texts]
+
+
+def test_word_counts_equal_words():
+    column = pa.array(["a b", "", "  c", "d", "\n"])
+    assert mixing.word_counts(column).tolist() == [2, 0, 1, 1, 0]
+
+
+def test_monotone_trees():
+    rng = np.random.default_rng(0)
+    x = rng.random((800, 2))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 0]) + 0.2 * rng.standard_normal(800)) > 0.5).astype(float)
+    t = quality.grow_trees(x, y, np.array([1, 0]))
+    line = np.stack([np.linspace(-1, 2, 400), np.full(400, 0.4)], 1)
+    assert (np.diff(t.score(line)) >= -1e-12).all()
+    assert ((t.score(x) >= 0.5) == y).mean() > 0.85
+    assert quality.grow_trees(np.zeros((0, 2)), np.zeros(0), np.zeros(2)).score(np.zeros((1, 2)))[0] == 0.5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=9000))
+def test_media_round_trip(data):
+    payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+    back, frames, avi = media.avi_to_payload(media.payload_to_avi(payload))
+    assert back == payload and avi["rate"] == 25
+
+
+def test_media_general_decoder_and_walk_without_index():
+    samples = np.random.default_rng(1).integers(0, 256, (3, 5), dtype=np.uint8)
+    frame = media.encode_frame(samples)
+    fast = media.decode_luma(frame)
+    keep, media._is_dc_only = media._is_dc_only, lambda j: False
+    try:
+        assert (media.decode_luma(frame) == fast).all()
+    finally:
+        media._is_dc_only = keep
+    avi = media.write_avi([frame, frame], 40, 24)
+    assert media.read_avi(avi.replace(b"idx1", b"junk"))["frames"] == [frame, frame]
+    with pytest.raises(media.MediaError):
+        media.read_avi(b"no")
+
+
+def test_shots():
+    a, b = [9, 0, 0], [0, 0, 9]
+    assert media.shots(np.array([a, a, b, b, b])) == [(0, 2), (2, 5)]
+    assert media.shots(np.zeros((0, 3))) == [] and media.shots(np.array([a])) == [(0, 1)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=300))
+def test_elias_fano(steps):
+    values = np.cumsum([0, *steps])
+    ef = token_store.EliasFano.encode(values)
+    assert (ef.select(np.arange(len(values))) == values).all()
+    bits = 8 * (len(ef.low) + len(ef.high))
+    assert bits <= len(values) * (3 + np.log2(values[-1] / len(values) + 1)) + 1100
+
+
+def test_encode_words_equals_whole_text():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", "  ", "Don't DO it (foo). Bar.Baz-QUX it's d'Or l'été x.'s", "Á. ́.a .́a 12ab3,4", "<|endoftext|> Σας ΟΔΟΣ", "漢字、かな. " * 40]
+    ids, n = token_store.encode_words(pa.array(texts), path, 1)
+    at = np.concatenate([[0], np.cumsum(n)])
+    t = token_store._tokenizer(path)[0]
+    for i, x in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids + [1]
+
+
+def test_source_targets():
+    t = mixing.source_targets({"b": 100, "a": 10, None: 5, "c": 50})
+    assert {k: v[0] for k, v in t.items()} == {"a": 20.0, "b": 145.0, "c": 72.5, None: 10.0}
+    assert mixing.source_targets({}) == {} and mixing.source_targets({"x": 0}) == {"x": (0.0, 0)}
+
+
+def test_fm_index():
+    rng = random.Random(3)
+    segs = [[rng.randint(1, 4) for _ in range(rng.randint(20, 63))] for _ in range(40)]
+    segs += segs[:5]
+    ids, length = np.array(sum(segs, [])), np.array([len(s) for s in segs])
+    owner, first = np.arange(len(segs)) // 2, np.arange(len(segs)) * 100
+    seg, start = substring.repeated_windows(ids, length, owner, first)
+    seen, want = set(), set()
+    for i in sorted(range(len(segs)), key=lambda i: (owner[i], first[i])):
+        for j in range(len(segs[i]) - 19):
+            g = tuple(segs[i][j : j + 20])
+            if g in seen:
+                want.add((i, j))
+            seen.add(g)
+    assert set(zip(seg.tolist(), start.tolist(), strict=True)) == want
+
+
+def test_salvage():
+    records = [warc.record("response", i, f"http://x/{i}", (b"<p>%d</p>" % i) * 50, None) for i in range(6)]
+    data = bytearray(b"".join(records))
+    a = len(records[0]) + len(records[1])
+    data[a + 20 : a + 60] = bytes(40)  # inside the third
+    del data[len(data) - 10 :]  # the last is cut short
+    got = list(warc.salvage(bytes(data)))
+    gaps = [g for g in got if isinstance(g, warc.Gap)]
+    assert [r.headers["warc-record-id"] for r in got if isinstance(r, warc.Record)] == [f"<urn:x-page:{i}>" for i in (0, 1, 3, 4)]
+    assert [(g.offset, g.end) for g in gaps] == [(a, a + len(records[2])), (sum(map(len, records[:5])), len(data))]
+    import gzip
+
+    plain = gzip.decompress(records[0])
+    assert [type(x).__name__ for x in warc.salvage(b"junk" + plain + plain[:30])] == ["Gap", "Record", "Gap"]
+    assert list(warc.salvage(b"")) == []

@@ -1,0 +1,276 @@
+"""Operators on Spark against brute force, with nulls, empty and repeated rows."""
+
+import base64
+import hashlib
+import random
+import struct
+import zlib
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from strataweave.llm import bpe, identity, jaccard_join, media, mixing, quality, queries, sharding, substring, token_store, url_filters, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string"
+
+
+def corpus(seed=1, n=160):
+    rng = random.Random(seed)
+    vocab = [f"W{i}" if i % 3 else f"w{i}" for i in range(800)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(0, 120))] for _ in range(12)]
+    passage = [rng.choice(vocab) for _ in range(40)]
+    rows = []
+    for i in range(n):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5) if rng.random() < 0.7 else 0):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+        if rng.random() < 0.3:
+            t = passage + t
+        if rng.random() < 0.05:
+            t = ["x"] * rng.randint(0, 90)
+        text = rng.choice([" ", "\n", "  ", "\t"]).join(t) if t else rng.choice(["", None, "a", "a B"])
+        rows.append((i * 3 - 20, text, "en", rng.choice(["b", "a", None, "", "c"]), len(text or ""), 7, "s"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs, rows):
+    """Repeated rows, null ids, one id with two texts."""
+    more = [(None, "a b", None, None, None, None, None), (None, rows[5][1], None, None, None, None, None), (rows[0][0], "zz", None, None, None, None, None)]
+    return docs.unionAll(docs.limit(20)).unionAll(spark.createDataFrame(more, DOCS))
+
+
+def pairs(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+def test_substring(docs, rows, empty, odd):
+    want = sorted(brute.substring(pairs(rows)))
+    for how in ({}, {"hot_key": 4}, {"shard_words": 300}):
+        assert sorted(map(tuple, substring.substring_dedup(docs, **how).collect())) == want
+    assert substring.substring_dedup(empty).count() == 0
+    assert substring.substring_dedup(odd).count() == odd.count()
+    kept = substring.substring_dedup(docs, keep=["lang", "size"], rewrite=True).collect()
+    by_id = {r[0]: r for r in want}
+    for r in kept:
+        assert r["lang"] == "en" and r["size"] == 7
+        if r["n_removed"]:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == by_id[r["doc_id"]][3]
+        else:
+            assert r["kept_text"] == (dict(pairs(rows))[r["doc_id"]] or "")
+
+
+def test_jaccard(docs, rows, empty, odd):
+    want = brute.jaccard_components(pairs(rows))
+    for how in ({}, {"hot": 3}):
+        got = jaccard_join.jaccard_components(docs, **how).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
+    assert jaccard_join.jaccard_components(empty).count() == 0
+    assert jaccard_join.jaccard_components(odd).count() == odd.count()
+    stay = {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()}
+    assert stay == {c for _, _, c in want}
+
+
+def test_large_groups_take_the_tree(spark):
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(5000)]
+    template = [rng.choice(vocab) for _ in range(300)]
+    rows = []
+    for i in range(90):
+        t = list(template)
+        for _ in range(rng.randint(0, 25)):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        rows.append((i, " ".join(t[: rng.choice([300, 260, 150])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, hot=20).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute.jaccard_components(rows)
+
+
+def test_bpe(docs, rows, empty):
+    path, pattern = queries.ranks_path(), queries.pretoken_pattern()
+    c = bpe.codec(path, pattern)
+    got = {r["doc_id"]: r for r in bpe.encode_tokens(docs, path, pattern).collect()}
+    for doc_id, text in pairs(rows):
+        ids = c.encoding.encode_ordinary(text or "")
+        r = got[doc_id]
+        assert r["n_tokens"] == len(ids) and list(r["ids"]) == ids
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bpe.encode_tokens(empty, path, pattern).count() == 0
+    long = "mot é, 12\n" * 9000 + "  x   y" * 500
+    assert c.encode(long, 100) == c.encoding.encode_ordinary(long)
+    back = bpe.decode_tokens(bpe.encode_tokens(docs, path, pattern), path, pattern).select("doc_id", "decoded").collect()
+    assert {r[0]: bytes(r[1]).decode() for r in back} == {d: t or "" for d, t in pairs(rows)}
+
+
+def test_quality(spark, docs, rows, empty, odd):
+    labels = spark.createDataFrame([(r[0], int(len(r[1] or "") > 200)) for r in rows] + [(None, 1), (99999, None)], "doc_id long, quality int")
+    trees = quality.train_quality(docs, labels)
+    got = quality.quality_rules(docs, trees, keep=["doc_id"]).collect()
+    for r in got:
+        n, chars, symbols, dup, rep = brute.quality(dict(pairs(rows))[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n) and not (r["kept"] and r["base_failed"])
+    assert quality.quality_rules(empty, quality.train_quality(empty, labels)).count() == 0
+    assert quality.quality_rules(odd, trees).count() == odd.count()
+
+
+def test_mixing(docs, rows, empty, odd):
+    got = mixing.mix_sources(docs, keep=["doc_id", "source"]).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(brute.words(r[1]))
+    targets = mixing.source_targets(sizes)
+    assert {r["doc_id"]: r["size"] for r in got} == {r[0]: len(brute.words(r[1])) for r in rows}
+    for source, size in sizes.items():
+        own = [r for r in got if r["source"] == source]
+        assert all(r["source_size"] == size and abs(r["target"] - targets[source][0]) < 1e-9 for r in own)
+        assert sum(r["taken"] for r in own) == int(targets[source][0])
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    again = mixing.mix_sources(docs.repartition(3), keep=["doc_id", "source"]).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
+    order = [r["position"] for r in mixing.training_order(mixing.mix_sources(docs, keep=["doc_id"])).collect()]
+    assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
+    assert mixing.mix_sources(empty, keep=["doc_id"]).count() == 0
+    assert mixing.mix_sources(odd, keep=["doc_id", "size"]).count() == odd.count()
+
+
+def test_schedule_inverse(spark):
+    knots = (1.5, 1.0, 0.5)
+    got = spark.range(101).select((F.col("id") / 100).alias("y")).select("y", mixing.schedule_inverse(F.col("y"), knots).alias("t")).collect()
+    for r in got:
+        t = r["t"]
+        assert abs(1.5 * t - 0.5 * t * t - r["y"]) < 1e-9
+
+
+def test_sharding(docs, rows, empty, odd):
+    out = sharding.external_shuffle(docs, 6, bucket_bytes=2000).collect()
+    for s in range(6):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    by_id = dict(pairs(rows))
+    for r in out:
+        raw = (by_id[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw)
+        assert r["grown_shard"] in (r["shard"], 6)
+    grown = {r["doc_id"]: r["shard"] for r in sharding.external_shuffle(docs, 7).collect()}
+    assert all(grown[r["doc_id"]] == r["grown_shard"] for r in out)
+    again = sharding.external_shuffle(docs.repartition(2), 6, bucket_bytes=2000).collect()
+    assert sorted((r["doc_id"], r["slot"]) for r in again) == sorted((r["doc_id"], r["slot"]) for r in out)
+    assert sharding.external_shuffle(empty, 6).count() == 0
+    assert sharding.external_shuffle(odd, 6).count() == odd.count()
+
+
+def test_token_store(docs, rows, empty, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = sorted(map(tuple, token_store.read_tokens(token_store.write_tokens(docs, path, token_store.token_folder(docs), tasks=3)).collect()))
+    t, at = token_store._tokenizer(path)[0], 0
+    for (doc_id, text), r in zip(sorted(pairs(rows)), got, strict=True):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        assert r == (doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+    assert token_store.read_tokens(token_store.write_tokens(empty, path, token_store.token_folder(empty))).count() == 0
+    assert token_store.read_tokens(token_store.write_tokens(odd, path, token_store.token_folder(odd))).count() == odd.count()
+
+
+def test_media(docs, rows, empty):
+    got = {r["doc_id"]: r for r in media.text_media(docs, with_media=True).collect()}
+    for doc_id, text in pairs(rows):
+        payload, n = media.padded_payload(text)
+        r = got[doc_id]
+        assert (r["n_bytes"], r["payload_bytes"]) == (n, len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
+    assert media.text_media(empty).count() == 0
+    bad = media.text_media(docs, with_media=True).limit(2).select("doc_id", "media").unionAll(docs.limit(1).select("doc_id", F.lit(None).cast("binary")))
+    found = media.clips(bad, "doc_id").collect()
+    assert len(found) >= 3 and sum(r["error"] is not None for r in found) == 1
+
+
+def test_warc(spark):
+    given = [(3, "http://a/", "same"), (1, "http://b/\r\nX: y", "same"), (2, None, None), (5, "u", ""), (7, "u", "é" * 10), (None, "u", "same"), (1, "again", "same")]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.plan_records(pages))
+    read = warc.read_archives(manifest)
+    assert read.where("gap_reason is not null").count() == 0
+    got = sorted((r["page_id"] is None, r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read.collect())
+    digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    same = (4, digest("same"))
+    assert got == sorted([(False, 1, *same, "response", None), (False, 1, *same, "response", None), (False, 3, *same, "revisit", 1), (True, 0, *same, "revisit", 1), (False, 2, 0, digest(""), "response", None), (False, 5, 0, digest(""), "revisit", 2), (False, 7, 20, digest("é" * 10), "response", None)], key=str) or sorted(map(str, got)) == sorted(map(str, [(False, 1, *same, "response", None), (False, 1, *same, "response", None), (False, 3, *same, "revisit", 1), (True, 0, *same, "revisit", 1), (False, 2, 0, digest(""), "response", None), (False, 5, 0, digest(""), "revisit", 2), (False, 7, 20, digest("é" * 10), "response", None)]))
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(warc.write_archives(warc.plan_records(none))).count() == 0
+
+
+def test_url_filters(spark):
+    link = lambda u: f'<head><link rel="canonical" href="{u}"></head>'
+    given = [
+        (1, "http://WWW.a.com/en/1", ""), (2, "http://x.org/z", link("http://www.a.com/en/1")), (3, "http://y.org/q", '<meta http-equiv="refresh" content="0; url=http://x.org/z">'),
+        (4, "http://free.net/de/1", link("http://y.org/q")), (5, "no scheme", None), (6, None, None), (7, "https://example.com/en/7x?a#b", ""), (8, "http://z.org/p", link("/r")), (9, "http://z.org/r", ""),
+    ]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    rules = url_filters.rules_table(spark, queries.URL_RULES)
+    run = lambda p: {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(p, rules, url_filters.link_edges(p)).collect()}
+    got = run(pages.where("page_id != 4"))
+    assert got[1] == ("www.a.com", "/en/1", "com/en/", "block")
+    assert got[2][2:] == (None, "block") and got[3][2:] == (None, "block")
+    assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
+    assert got[7] == ("example.com", "/en/7x", "example.com/en/7", "allow")
+    got = run(pages)  # an allowed member outweighs the blocked one, but not its own rule
+    assert got[4][3] == "allow" and got[2][3] == "allow" and got[1][3] == "block"
+    assert got[8][3] == got[9][3] == "allow"
+    assert url_filters.judge_urls(pages.limit(0), rules, url_filters.link_edges(pages.limit(0))).count() == 0
+    assert url_filters.judge_urls(pages, url_filters.rules_table(spark, []), url_filters.link_edges(pages)).where("verdict = 'block'").count() == 0
+
+
+def test_identified(spark, docs, odd):
+    same, none = identity.identified(docs)
+    assert none is None and same.where("_rid != doc_id").count() == 0
+    marked, back = identity.identified(odd)
+    assert back.count() == odd.count() and marked.count() == marked.select("_rid").distinct().count()
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    assert [n for n, _ in cp.STAGES] == ["quality", "near_copies", "repeated_passages", "mixture", "encoding"]
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == cp.COLUMNS
+        now = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert now and set(now) <= set(given)
+        if name == "near_copies":
+            k = {d: c for d, _, c in brute_components(given)}
+            assert set(now) == set(k.values())
+        if name == "repeated_passages":
+            want = {d: (n, gone) for d, n, gone, _ in brute.substring(list(given.items()))}
+            assert set(now) == {d for d, (n, gone) in want.items() if not n or gone < n}
+            assert all(now[d] == given[d] for d in now if not want[d][1])
+        given = now
+    assert cp.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def brute_components(given):
+    return brute.jaccard_components(list(given.items()), 80, 5)
