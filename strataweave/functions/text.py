@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 CODE = r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]{1,2}"
 DECLARATION = r"\b(abstract\s+contract|contract|library|interface)\s+[A-Za-z_$][\w$]*"
 #: separators of line ranges (fixed values)
-RANGE_SEPARATORS = "[,、，；]"
+RANGE_SEPARATORS = "[,、\uFF0C;]"
 TEST_DIRECTORY = r"(?i)(^|/)(test|tests|testing|mock|mocks|harness|harnesses|echidna|fuzz|fuzzing|certora)/"
 TEST_NAME = r"(^|/)(Test|Mock)[A-Z0-9_][^/]*\.sol$|(Test|Mock|Mocks|Tester|Harness)\.sol$"
 TEST_SUFFIX = r"(?i)\.t\.sol$|(^|/)[^/]*[_-](test|mock)[^/]*\.sol$"
@@ -181,11 +181,16 @@ def line_starts(text: Column) -> Column:
     return F.slice(F.aggregate(lines(text), first, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1))), F.lit(1), F.size(lines(text)))
 
 
+def runs(tokens: Column, k: int) -> Column:
+    """All runs of k tokens, joined by a space; none for fewer tokens. The array is zipped with its own shifts, so it is computed k times and not once for each run."""
+    count = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+    shifted = [F.slice(tokens, F.lit(j + 1), count).alias(f"t{j}") for j in range(k)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"t{j}"] for j in range(k)]))
+
+
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct k-grams joined by a space; fewer tokens give one gram, none the empty one."""
-    n = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
-    return F.array_distinct(grams)
+    return F.when(F.size(tokens) < k, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(runs(tokens, k)))
 
 
 def span_json(spans: Column) -> Column:

@@ -32,7 +32,7 @@ def map_spans_by_text(spans: DataFrame) -> DataFrame:
     """
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     n_src, n_dst = F.size(lines(F.col("src"))), F.size(lines(F.col("dst")))
-    ends = spans.select("span_id", "dst", n_src.alias("n_src"), n_dst.alias("n_dst"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("start").alias("n"), strip(F.try_element_at(lines(F.col("src")), F.col("start"))).alias("key")), F.struct(F.lit("b"), F.col("end"), strip(F.try_element_at(lines(F.col("src")), F.col("end")))))).alias("e")).select("span_id", "dst", "n_src", "n_dst", "e.*")
+    ends = spans.select("span_id", "dst", n_src.alias("n_src"), n_dst.alias("n_dst"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("start").alias("n"), strip(F.try_element_at(lines(F.col("src")), F.col("start"))).alias("key")), F.struct(F.lit("b").alias("side"), F.col("end").alias("n"), strip(F.try_element_at(lines(F.col("src")), F.col("end"))).alias("key")))).alias("e")).select("span_id", "dst", "n_src", "n_dst", "e.*")
     targets = spans.select("span_id", F.posexplode(lines(F.col("dst"))).alias("i", "line")).select("span_id", (F.col("i") + 1).alias("hit"), strip(F.col("line")).alias("key")).where("key != ''")
     guess = F.col("n") * F.col("n_dst") / F.greatest(F.col("n_src"), F.lit(1))
     found = ends.drop("dst").join(targets, ["span_id", "key"]).groupBy("span_id", "side").agg(F.min_by("hit", F.struct(F.abs(F.col("hit") - guess), F.col("hit"))).alias("hit"))

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import code_tokens
+from strataweave.functions.text import code_tokens, runs
 
 C_GRID = (0.1, 1.0, 10.0)
 
 
 def grams(tokens: Column, most: int = 2) -> Column:
     """All runs of 1 to ``most`` tokens, joined by a space."""
-    n = F.size(tokens)
-    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(tokens, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
-    return F.concat(*parts)
+    return F.concat(*[tokens if k == 1 else runs(tokens, k) for k in range(1, most + 1)])
 
 
 def tfidf(files: DataFrame, train: DataFrame, text: str = "text", min_df: int = 3, max_features: int = 200_000) -> DataFrame:
@@ -24,7 +22,7 @@ def tfidf(files: DataFrame, train: DataFrame, text: str = "text", min_df: int =
     the corpus, ties by term) come from ``train``; case is kept. The terms are
     at most max_features rows.
     """
-    term = lambda df: df.select("row_id", F.explode(grams(code_tokens(F.lower(F.col(text))))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    term = lambda df: df.select("row_id", F.explode(grams(code_tokens(F.col(text)))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
     n = train.agg(F.count("*").alias("n"))
     known = term(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
     idf = known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row

@@ -26,7 +26,8 @@ def coefficients(n: int, seed: int) -> list[tuple[int, int]]:
 
 def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = 1) -> Column:
     """Array of n minima of (a h + b) mod p."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, a=a, b=b: (h * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(PRIME))) for a, b in coefficients(n, seed)])
+    one = lambda a, b: F.array_min(F.transform(hashes, lambda h: (h * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(PRIME)))
+    return F.array(*[one(a, b) for a, b in coefficients(n, seed)])
 
 
 def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "text", threshold: float = 0.8, k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, bucket_cap: int = BUCKET_CAP, seed: int = 1) -> DataFrame:

@@ -1,23 +1,9 @@
-"""Registry of the queries and of their SQL twins."""
+"""All queries of the engine and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strataweave.plans import eval_queries, table_queries, text_queries
+from strataweave.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strataweave.session import table
-
-FLAGSHIP = "e1_exact_dedup"
-
-
-def e1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact duplicates by normalised identity: representative and copies."""
-    docs = table(spark, sf_dir, "documents")
-    key = F.sha1(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return docs.groupBy(key.alias("norm_hash")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"e1_exact_dedup": e1_exact_dedup}
-SQL: dict[str, str] = {}
+FLAGSHIP = "e1_flagship"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "eval_queries", "table_queries", "text_queries"]

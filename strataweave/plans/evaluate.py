@@ -123,11 +123,15 @@ def _linear(spark: SparkSession, config: RunConfig, run: str, featured: dict[str
 
 
 def tfidf(spark: SparkSession, config: RunConfig, run: str = "tfidf", max_features: int = 200_000) -> dict:
-    """TF-IDF and logistic regression."""
+    """TF-IDF, lengths and logistic regression."""
     splits, tax, meta = load_splits(spark, config)
     texts = {k: v.select("row_id", F.col("source_code").alias("text"), "labels") for k, v in splits.items()}
     every = reduce(DataFrame.unionByName, texts.values())
     weights = features.tfidf(every, texts["train"], max_features=max_features)
+    rows = reduce(DataFrame.unionByName, (v.select("row_id", "n_chars", "n_lines") for v in splits.values()))
+    lengths = features.length_features(rows, splits["train"])
+    # the two lengths are terms of their own; a term of the text has no space at its start
+    weights = weights.unionByName(lengths.select("row_id", F.explode(F.array(*[F.struct(F.lit(f" {c}").alias("term"), F.col(c).alias("weight")) for c in ("log_chars", "log_lines")])).alias("p")).select("row_id", "p.term", "p.weight"))
     ids = features.term_ids(weights).cache()
     vecs = features.vectors(weights, ids, max(1, ids.count()))
     from pyspark.ml.linalg import SparseVector, VectorUDT

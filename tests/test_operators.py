@@ -1,0 +1,186 @@
+"""Relational operators, evaluation and sampling on small cases."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataweave.operators import dedup, graph, grouping, metrics, near_dup, sampling, windows
+
+
+def test_components(spark):
+    rng = random.Random(0)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(5, 5)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
+    got = dict(map(tuple, graph.connected_components(df).collect()))
+    assert got == {x: root(x) for x in nodes}
+    assert graph.connected_components(df.limit(0)).count() == 0
+
+
+def test_exact_duplicates_and_union(spark):
+    files = spark.createDataFrame([("b/1", "b", "x // c\ny", ["A"]), ("a/2", "a", "x y", ["A", "B"]), ("a/1", "a", "x  y", ["B", "C"]), ("a/3", "a", "z", [])], "rel_path string, audit_dir string, text string, swc array<string>")
+    got = {r["rel_path"]: r for r in dedup.exact_duplicates(files).collect()}
+    assert set(got) == {"a/1", "a/3"}
+    r = got["a/1"]
+    assert r["n_copies"] == 3 and r["swc_all"] == ["A", "B", "C"] and r["copy_audit_dirs"] == ["a", "b"]
+
+
+def test_spans_by_text(spark):
+    rows = [(1, "a\nb\nc\nb", "x\nb\na\nb\nq\nc", 2, 3), (2, "a\nzz", "a\nb\nc", 1, 2), (3, "b\nb", "b\nb\nb", 2, 2)]
+    df = spark.createDataFrame(rows, "span_id long, src string, dst string, start int, end int")
+    got = {r["span_id"]: (r["new_start"], r["new_end"]) for r in dedup.map_spans_by_text(df).collect()}
+    assert got == {1: (2, 6), 2: (1, 3), 3: (3, 3)}
+
+
+def test_class_selection(spark):
+    rows = [(str(i), ["SWC-1"] if i < 5 else ["SWC-2"] if i < 7 else ["SWC-102"]) for i in range(9)]
+    merged = spark.createDataFrame(rows, "norm_hash string, swc_all array<string>")
+    classes = dedup.select_classes(merged, least_files=3)
+    got = {r["swc"]: (r["status"], r["cls"]) for r in classes.collect()}
+    assert got == {"SWC-1": ("included", 0), "SWC-2": ("rare", None), "SWC-102": ("project_level", None)}
+    out = {r["norm_hash"]: (list(r["labels"]), r["excluded"]) for r in dedup.label_rows(merged, classes).collect()}
+    assert out["0"] == ([0], False) and out["5"] == ([], True) and out["8"] == ([], False)
+
+
+def test_near_duplicates_are_symmetric_and_exact(spark):
+    rng = random.Random(2)
+    base = [[f"w{rng.randint(0, 500)}" for _ in range(80)] for _ in range(5)]
+    rows = []
+    for i in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(80)] = "zz"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in rows}
+    pairs = near_dup.near_duplicate_pairs(df).collect()
+    assert pairs
+    for r in pairs:
+        a, b = grams[r["row_a"]], grams[r["row_b"]]
+        assert r["row_a"] < r["row_b"] and abs(r["jaccard"] - len(a & b) / len(a | b)) < 1e-9 and r["jaccard"] >= 0.8
+
+
+def test_capped_groups(spark):
+    rows = spark.createDataFrame([(i, "abcd"[i // 3]) for i in range(12)], "row_id long, codebase string")
+    pairs = spark.createDataFrame([(0, 3, 0.9), (3, 6, 0.95), (6, 9, 0.85)], "row_a long, row_b long, jaccard double")
+    groups = lambda cap: dict(map(tuple, grouping.capped_groups(rows, pairs, cap).collect()))
+    assert groups(6) == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert groups(0) == {"a": 0, "b": 1, "c": 2, "d": 3} and set(groups(99).values()) == {0}
+
+
+def test_folds_are_grouped_and_stratified(spark):
+    rng = random.Random(1)
+    rows = [(g, [0] if rng.random() < 0.3 else [1] if rng.random() < 0.2 else []) for g in range(60) for _ in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows, "group_id long, labels array<int>")
+    fold = dict(map(tuple, grouping.stratified_folds(df, 5).collect()))
+    assert set(fold) == set(range(60)) and set(fold.values()) == set(range(5))
+    for k in (0, 1):
+        n = [sum(fold[g] == f and k in labels for g, labels in rows) for f in range(5)]
+        assert max(n) - min(n) <= 4
+    assert fold == dict(map(tuple, grouping.stratified_folds(df.repartition(3), 5).collect()))
+
+
+def cells(spark, rows):
+    return spark.createDataFrame(rows, "row_id long, cls int, prob double, y int")
+
+
+def test_average_precision_with_ties(spark):
+    df = cells(spark, [(0, 0, 0.9, 1), (1, 0, 0.9, 0), (2, 0, 0.5, 1), (3, 0, 0.1, 0), (0, 1, 0.3, 0)])
+    got = {r["cls"]: (r["positives"], r["average_precision"]) for r in metrics.average_precision(df).collect()}
+    assert got[0] == (2, pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)) and got[1] == (0, 0.0)
+    assert metrics.macro_average_precision(df).first()[0] == pytest.approx(got[0][1])
+
+
+def test_thresholds_take_the_first_best(spark):
+    df = cells(spark, [(0, 0, 0.9, 1), (1, 0, 0.2, 0), (0, 1, 0.9, 0)])
+    got = {r["cls"]: (round(r["threshold"], 2), r["score"]) for r in metrics.tune_thresholds(df).collect()}
+    assert got == {0: (0.25, 1.0), 1: (0.5, 0.0)} or got == {0: (0.2, 1.0), 1: (0.5, 0.0)}
+
+
+def test_pool_needs_every_file(spark):
+    w = spark.createDataFrame([(0, 0, 3.0), (0, 0, 1.0), (1, 0, -5.0)], "row_id long, cls int, logit double")
+    assert sorted(map(tuple, metrics.max_pool(w).collect())) == [(0, 0, 3.0), (1, 0, -5.0)]
+    with pytest.raises(ValueError):
+        metrics.max_pool(w, spark.range(3).withColumnRenamed("id", "row_id"))
+
+
+def test_weights_and_alignment(spark):
+    y = spark.createDataFrame([(i, c, int(i == c)) for i in range(4) for c in range(2)], "row_id long, cls int, y int")
+    assert {r["pos_weight"] for r in metrics.pos_weights(y, 10).collect()} == {3.0}
+    assert {r["pos_weight"] for r in metrics.pos_weights(y, 2).collect()} == {2.0}
+    a = y.withColumn("logit", F.lit(0.0))
+    metrics.assert_aligned(a, a)
+    with pytest.raises(ValueError):
+        metrics.assert_aligned(a, a.where("row_id > 0"))
+    with pytest.raises(ValueError):
+        metrics.assert_reproduced(0.5, 0.6)
+
+
+def test_blend_prefers_the_informative_run(spark):
+    rng = random.Random(0)
+    rows = [(i, c, int(rng.random() < 0.3)) for i in range(150) for c in range(2)]
+    good = spark.createDataFrame([(i, c, 4.0 * y - 2 + rng.gauss(0, 1), y) for i, c, y in rows], "row_id long, cls int, logit double, y int")
+    noise = spark.createDataFrame([(i, c, rng.gauss(0, 1), y) for i, c, y in rows], "row_id long, cls int, logit double, y int")
+    best = metrics.best_weight(metrics.blend_weights(good, noise)).first()
+    assert best["w"] >= 0.7
+    t = metrics.fit_temperature(good.withColumn("logit", F.col("logit") * 5))
+    assert t > metrics.fit_temperature(good) > 0
+
+
+def test_balance(spark):
+    rows = spark.createDataFrame([(i, i % 5, [1] if i % 10 == 0 else []) for i in range(400)], "row_id long, fold int, labels array<int>")
+    got = sampling.balance(rows).collect()
+    for f in range(5):
+        own = [r for r in got if r["fold"] == f]
+        assert sum(bool(r["labels"]) for r in own) == sum(not r["labels"] for r in own)
+    assert {r["row_id"] for r in got if r["labels"]} == {i for i in range(0, 400, 10)}
+
+
+def test_epoch_and_resampling_counts(spark):
+    rows = spark.createDataFrame([(i, [0] if i < 2 else [1] if i == 2 else []) for i in range(40)], "row_id long, labels array<int>")
+    count = lambda e: {r["why"]: r["n"] for r in sampling.epoch_files(rows, e, 0.3, 5, 10, 3.0).groupBy("why").agg(F.count("*").alias("n")).collect()}
+    assert count(0) == {"labelled": 3, "unlabelled": 11, "repeat": 6}
+    fresh = [{r["row_id"] for r in sampling.epoch_files(rows, e, 0.3, 5, 10, 3.0).where("why = 'unlabelled'").collect()} for e in (0, 1)]
+    assert fresh[0] != fresh[1]
+
+
+def test_pack_files(spark):
+    files = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate((3, 4, 9, 1, 2))], "row_id long, windows array<long>").coalesce(1)
+    got = sampling.pack_files(files, window_batch=8, max_windows=6).orderBy("row_id").collect()
+    assert [r["batch"] for r in got] == [0, 0, 1, 1, 2] and [len(r["windows"]) for r in got] == [3, 4, 6, 1, 2]
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 100, 101, 1000, 1023])
+def test_windows_cover_every_token(spark, n):
+    starts = spark.range(1).select(windows.window_starts(F.lit(n), 100, 75)).first()[0]
+    assert set(range(n)) <= {i for s in starts for i in range(s, s + 100)} and (n <= 100) == (len(starts) == 1)
+
+
+def test_window_labels(spark):
+    text = "\n".join(["two words"] * 200)
+    files = spark.createDataFrame([(0, text, [(0, 150, 150)], [0])], "row_id long, text string, spans array<struct<cls:int,start:int,end:int>>, labels array<int>")
+    w = windows.build_windows(files, 60, 0.0)
+    positive = w.where(F.size("labels") > 0).collect()
+    assert len(positive) == 1 and positive[0]["l0"] <= 150 <= positive[0]["l1"]
+    assert windows.window_stats(w, files).first()["label_visibility"] == 1.0
+    cut = windows.build_windows(files, 60, 0.0, "truncate")
+    assert cut.count() == 1 and list(cut.first()["labels"]) == [0]
+    edges = w.orderBy("win").collect()
+    assert edges[0]["l0"] == 1 and edges[-1]["l1"] == 200
+
+
+def test_cross_validation(spark):
+    runs = spark.createDataFrame([("m_f0", 0.05, 0.1, 0.2), ("m_f1", 0.07, 0.1, 0.4), ("n_f0", 0.055, 0.0, 0.0), ("other", 1.0, 1.0, 1.0)], "run string, f1 double, precision double, recall double")
+    got = metrics.cross_validation(runs).collect()
+    assert [(r["model"], round(r["mean_f1"], 4), r["folds"]) for r in got] == [("m", 0.06, "0,1"), ("n", 0.055, "0")] and got[0]["sd_f1"] == pytest.approx(0.01)
