@@ -82,10 +82,15 @@ class _WorkbookReader(DataSourceReader):
 def audit_index(rows: DataFrame) -> DataFrame:
     """(audit_dir, company, project, report, repo) of workbook rows (row_no, cells), by header name.
 
-    Cells are trimmed, rows without a file name dropped; of repeated names the last row counts.
+    Cells are trimmed, rows without a file name dropped; of repeated names the last row counts. A missing column is an error.
     """
     head = rows.where("row_no = 0").select(F.transform("cells", lambda c: F.trim(c)).alias("head"))  # one row
-    at = lambda name: F.trim(F.coalesce(F.try_element_at("cells", F.array_position("head", name).cast("int")), F.lit("")))
+
+    def at(name: str):
+        place = F.array_position("head", name).cast("int")
+        checked = F.when(place > 0, place).otherwise(F.raise_error(F.lit(f"no column {name!r}")).cast("int"))
+        return F.trim(F.coalesce(F.try_element_at("cells", checked), F.lit("")))
+
     named = rows.where("row_no > 0").crossJoin(F.broadcast(head)).select("row_no", *[at(n).alias(c) for n, c in AUDIT_COLUMNS.items()]).where("audit_dir != ''")
     fields = [c for c in AUDIT_COLUMNS.values() if c != "audit_dir"]
     return named.groupBy("audit_dir").agg(F.max_by(F.struct(*fields), "row_no").alias("r")).select("audit_dir", "r.*")
