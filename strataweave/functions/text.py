@@ -6,7 +6,7 @@ Everything here is a Column built from SQL functions. Python's ``\w`` is spelled
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKER = r"(?i)//\s*SWC-"
@@ -21,6 +21,11 @@ TEST_NAME = r"(^|/)(Test|Mock)[A-Z0-9_][^/]*\.sol$|(Test|Mock|Mocks|Tester|Harne
 TEST_SUFFIX = r"(?i)\.t\.sol$|(^|/)[^/]*[_-](test|mock)[^/]*\.sol$"
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row, however often lambdas refer to it: the optimizer does not inline it past a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def decode_bytes(content: Column) -> Column:
     """UTF-8 where valid, else Latin-1; one leading BOM dropped; CRLF becomes LF."""
     text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
@@ -43,23 +48,36 @@ def clean_line(line: Column) -> Column:
     return F.regexp_replace(expand_tabs(F.regexp_replace(line, MARKER + r"[\s\S]*$", "")), r"\s+$", "")
 
 
-def canonicalize(text: Column) -> Column:
-    """struct(text, kept, deleted, markers, n_annot_lines, n_lines).
+def line_info(text: Column) -> Column:
+    """array(struct(y, marker)) of a text's lines: the clean line, and its marker as struct(line, swc, own) or null."""
+    mark = lambda x, i: F.when(x.rlike(MARKER), F.struct((i + 1).alias("line"), F.concat(F.lit("SWC-"), F.nullif(F.regexp_extract(x, MARKER + r"(\d+)", 1), F.lit(""))).alias("swc"), (F.regexp_extract(x, r"(?i)^(\s*)//\s*SWC-", 0) != "").alias("own")))
+    return F.transform(lines(text), lambda x, i: F.struct(clean_line(x).alias("y"), mark(x, i).alias("marker")))
+
+
+def canonical(info: Column) -> Column:
+    """struct(text, kept, deleted, markers, n_annot_lines, n_lines) of ``line_info``.
 
-    kept and deleted are 1-based line numbers of the given text; a marker is
-    struct(line, swc, own): swc is null without a number, own says that only white
-    space stands before it.
+    kept and deleted are 1-based line numbers of the given text; a marker's swc is
+    null without a number, own says that only white space stands before it.
     """
-    raw = lines(text)
-    number = lambda keep: F.filter(F.transform(raw, lambda x, i: F.when((clean_line(x) != "") == F.lit(keep), i + 1)), lambda i: i.isNotNull())
-    mark = lambda x, i: F.when(x.rlike(MARKER), F.struct((i + 1).alias("line"), F.concat(F.lit("SWC-"), F.nullif(F.regexp_extract(x, MARKER + r"(\d+)", 1), F.lit(""))).alias("swc"), (F.regexp_extract(x, r"(?i)^(\s*)//\s*SWC-", 0) != "").alias("own")))
-    cleaned = F.filter(F.transform(raw, clean_line), lambda x: x != "")
+    number = lambda keep: F.filter(F.transform(info, lambda x, i: F.when((x["y"] != "") == F.lit(keep), i + 1)), lambda i: i.isNotNull())
+    cleaned = F.filter(F.transform(info, lambda x: x["y"]), lambda y: y != "")
     return F.struct(
         F.array_join(cleaned, "\n").alias("text"), number(True).alias("kept"), number(False).alias("deleted"),
-        F.filter(F.transform(raw, mark), lambda m: m.isNotNull()).alias("markers"), F.size(raw).alias("n_annot_lines"), F.size(cleaned).alias("n_lines"),
+        F.filter(F.transform(info, lambda x: x["marker"]), lambda m: m.isNotNull()).alias("markers"), F.size(info).alias("n_annot_lines"), F.size(cleaned).alias("n_lines"),
     )
 
 
+def canonicalize(text: Column) -> Column:
+    """``canonical`` of a text; ``canonicalized`` is faster for tables."""
+    return canonical(line_info(text))
+
+
+def canonicalized(df: DataFrame, text: Column, name: str = "c") -> DataFrame:
+    """Add the canonical form of a text, its lines cleaned once."""
+    return bound(bound(df, "_info", line_info(text)), name, canonical(F.col("_info"))).drop("_info")
+
+
 def map_line(n: Column, kept: Column, n_annot: Column, end: bool = False) -> Column:
     """Line of the canonical text: the next kept line (``end``: the one before), the other way at the border; 1 in an empty text."""
     at = F.greatest(F.lit(1), F.least(n, n_annot))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import code_tokens, runs
+from strataweave.functions.text import bound, code_tokens, runs
 
 C_GRID = (0.1, 1.0, 10.0)
 
@@ -22,7 +22,7 @@ def tfidf(files: DataFrame, train: DataFrame, text: str = "text", min_df: int =
     the corpus, ties by term) come from ``train``; case is kept. The terms are
     at most max_features rows.
     """
-    term = lambda df: df.select("row_id", F.explode(grams(code_tokens(F.col(text)))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    term = lambda df: bound(df, "_t", code_tokens(F.col(text))).select("row_id", F.explode(grams(F.col("_t"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
     n = train.agg(F.count("*").alias("n"))
     known = term(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
     idf = known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row

@@ -77,17 +77,17 @@ def tune_thresholds(scores: DataFrame, strategy: str = "f1", score: str = "prob"
     the number of grid values that they reach: 20 bins for each class, no cross join.
     """
     reached = sum((F.col(score) >= t).cast("int") for t in GRID)
-    bins = scores.groupBy("cls", reached.alias("bin")).agg(F.sum("y").cast("long").alias("pos"), (F.count("*") - F.sum("y")).cast("long").alias("neg"))
-    total = bins.groupBy("cls").agg(F.sum("pos").alias("support"), F.collect_list(F.struct("bin", "pos", "neg")).alias("bins"))
-    above = lambda name, i: F.aggregate(F.filter("bins", lambda b: b["bin"] > i), F.lit(0).cast("long"), lambda acc, b: acc + b[name])
-    rows = []
-    for i, t in enumerate(GRID):
-        tp, fp = above("pos", i), above("neg", i)
-        p, r, f = f1_of(tp, fp, F.col("support") - tp)
-        rows.append(F.struct({"f1": f, "recall": r, "precision": p}.get(strategy, f).alias("score"), F.lit(-i).alias("i"), F.lit(t).alias("threshold")))
-    best = F.array_max(F.array(*rows))
+    bins = scores.groupBy("cls", reached.alias("i")).agg(F.sum("y").cast("long").alias("pos"), (F.count("*") - F.sum("y")).cast("long").alias("neg"))
+    total = bins.groupBy("cls").agg(F.sum("pos").alias("support"))
+    every = total.select("cls", "support", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(GRID, 1)])).alias("g")).select("cls", "support", "g.i", "g.threshold")
+    down = Window.partitionBy("cls").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = lambda name: F.sum(F.coalesce(name, F.lit(0))).over(down)
+    run = every.join(bins, ["cls", "i"], "left").select("cls", "support", "i", "threshold", above("pos").alias("tp"), above("neg").alias("fp"))
+    p, r, f = f1_of(F.col("tp"), F.col("fp"), F.col("support") - F.col("tp"))
+    judged = run.withColumn("score", {"f1": f, "recall": r, "precision": p}.get(strategy, f))
+    best = judged.groupBy("cls", "support").agg(F.max_by(F.struct("threshold", "score"), F.struct("score", -F.col("i"))).alias("b"))
     some = F.col("support") > 0
-    return total.select("cls", F.when(some, best["threshold"]).otherwise(0.5).alias("threshold"), F.when(some, best["score"]).otherwise(0.0).alias("score"), "support")
+    return best.select("cls", F.when(some, F.col("b.threshold")).otherwise(0.5).alias("threshold"), F.when(some, F.col("b.score")).otherwise(0.0).alias("score"), "support")
 
 
 def max_pool(windows: DataFrame, files: DataFrame | None = None, value: str = "logit") -> DataFrame:

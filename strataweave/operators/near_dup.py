@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import normalize_code, shingles, words
+from strataweave.functions.text import bound, normalize_code, shingles, words
 from strataweave.session import materialize
 
 PERMUTATIONS, BANDS, BUCKET_CAP = 64, 16, 400
@@ -14,9 +14,11 @@ PERMUTATIONS, BANDS, BUCKET_CAP = 64, 16, 400
 PRIME = 4_294_967_311
 
 
-def shingle_hashes(text: Column, k: int = 5) -> Column:
-    """Sorted distinct CRC-32 of the k-token shingles of a normalised text."""
-    return F.array_sort(F.array_distinct(F.transform(shingles(words(normalize_code(text)), k), lambda g: F.crc32(g.cast("binary")))))
+def shingle_hashes(rows: DataFrame, text: str, name: str = "set", k: int = 5) -> DataFrame:
+    """Add the sorted distinct CRC-32 of the k-token shingles of the normalised text."""
+    tokens = bound(rows, "_t", words(normalize_code(F.col(text))))
+    grams = bound(tokens, "_g", shingles(F.col("_t"), k))
+    return bound(grams, name, F.array_sort(F.array_distinct(F.transform("_g", lambda g: F.crc32(g.cast("binary")))))).drop("_t", "_g")
 
 
 def coefficients(n: int, seed: int) -> list[tuple[int, int]]:
@@ -37,7 +39,7 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     theirs, so copies don't fill buckets. Buckets of more than ``bucket_cap`` different sets are passed
     over, as in the method reproduced (see ``skipped_buckets``); set 0 for none.
     """
-    sets = materialize(rows.select(F.col(row_id).alias("id"), shingle_hashes(F.col(text), k).alias("set")), "shingles")
+    sets = materialize(shingle_hashes(rows.select(F.col(row_id).alias("id"), F.col(text).alias("text")), "text", "set", k).select("id", "set"), "shingles")
     key = F.xxhash64("set")
     groups = sets.groupBy(key.alias("key"), F.size("set").alias("size")).agg(F.min("id").alias("rep"))
     keyed = sets.withColumn("key", key).withColumn("size", F.size("set")).join(groups, ["key", "size"])

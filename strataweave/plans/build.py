@@ -27,7 +27,7 @@ def clean_files(raw: DataFrame, annotations: DataFrame, keep_tests: bool = False
     """
     if lost := annotations.join(raw.select("rel_path"), "rel_path", "left_anti").select("rel_path").distinct().limit(3).collect():
         raise ValueError(f"annotations without file, e.g. {[r[0] for r in lost]}")
-    base = raw.select("rel_path", tx.audit_dir(F.col("rel_path")).alias("audit_dir"), tx.canonicalize(F.col("text")).alias("c"))
+    base = tx.canonicalized(raw, F.col("text")).select("rel_path", tx.audit_dir(F.col("rel_path")).alias("audit_dir"), "c")
     noted = base.join(annotations.withColumn("swc", tx.category(F.col("category"))), "rel_path", "left")
     got = tx.annotation_spans(F.col("line_field"), F.col("c"), F.col("swc"))
     each = noted.withColumn("got", F.when(F.col("swc").isNotNull(), got))

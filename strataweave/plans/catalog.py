@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strataweave.plans import eval_queries, table_queries, text_queries
+from strataweave.plans import eval_queries, io_queries, table_queries, text_queries
 from strataweave.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "e1_flagship"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "eval_queries", "table_queries", "text_queries"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "eval_queries", "io_queries", "table_queries", "text_queries"]

@@ -328,7 +328,7 @@ known as (select term, df from df order by total desc, term limit 2000)"""
 
 @query("h2_top_terms", f"with {_TERMS} select term, df from known")
 def h2_top_terms(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").where("doc_id % 5 > 1").select("doc_id", F.explode(features.grams(tx.code_tokens(F.col("text")))).alias("term"))
+    terms = tx.bound(table(spark, sf_dir, "documents").where("doc_id % 5 > 1").select("doc_id", "text"), "t", tx.code_tokens(F.col("text"))).select("doc_id", F.explode(features.grams(F.col("t"))).alias("term"))
     per = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     return per.where("df >= 3").orderBy(F.desc("total"), "term").limit(2000).select("term", "df")
 

@@ -87,7 +87,7 @@ def dm6_file_table(spark, sf_dir):
 with {MARKED_LINES.strip()}
 select count(distinct doc_id) as files, count(*) filter (regexp_matches(x, '(?i)//\s*SWC-')) as markers, count(*) filter (y = '') as deleted_lines, count(*) as lines from lines""")
 def e4_counters(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select(tx.canonicalize(marked_text()).alias("c"))
+    c = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text()).select("c")
     return c.agg(F.count("*").alias("files"), F.sum(F.size("c.markers")).alias("markers"), F.sum(F.size("c.deleted")).alias("deleted_lines"), F.sum("c.n_annot_lines").alias("lines"))
 
 
@@ -181,8 +181,8 @@ with w as (select doc_id, regexp_extract_all({NORMAL}, '[\p{{L}}\p{{N}}_]+|[^\p{
 g as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4])) else [array_to_string(w, ' ')] end as g from w)
 select doc_id, len(g)::int as n_shingles, md5(array_to_string(list_sort(g), '|')) as digest from g""")
 def g6_shingles(spark, sf_dir):
-    g = tx.shingles(tx.words(tx.normalize_code(F.col("text"))), 5)
-    return table(spark, sf_dir, "documents").select("doc_id", g.alias("g")).select("doc_id", F.size("g").alias("n_shingles"), F.md5(F.array_join(F.array_sort("g"), "|")).alias("digest"))
+    tokens = tx.bound(table(spark, sf_dir, "documents").select("doc_id", "text"), "t", tx.words(tx.normalize_code(F.col("text"))))
+    return tx.bound(tokens, "g", tx.shingles(F.col("t"), 5)).select("doc_id", F.size("g").alias("n_shingles"), F.md5(F.array_join(F.array_sort("g"), "|")).alias("digest"))
 
 
 @query("h1_sorted_pairs", "select s.doc_id as a, t.doc_id as b, s.n_chars from documents s join documents t on s.text = t.text and s.doc_id < t.doc_id order by n_chars desc, a, b")

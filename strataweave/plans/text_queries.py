@@ -21,8 +21,7 @@ select doc_id, count(*)::int as n_annot_lines, count(*) filter (y <> '')::int as
   md5(string_agg(y, chr(10) order by i) filter (y <> '')) as text_md5
 from lines group by doc_id""")
 def c1_canonicalize(spark, sf_dir):
-    c = tx.canonicalize(marked_text())
-    docs = table(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
+    docs = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text())
     return docs.select("doc_id", "c.n_annot_lines", "c.n_lines", F.size("c.deleted").alias("n_deleted"), F.size("c.markers").alias("n_markers"), F.md5("c.text").alias("text_md5"))
 
 
@@ -31,7 +30,7 @@ with {MARKED_LINES.strip()}
 select doc_id, i::int as line, 'SWC-' || nullif(regexp_extract(x, '(?i)//\s*SWC-(\d+)', 1), '') as swc, regexp_matches(x, '(?i)^\s*//\s*SWC-') as own
 from lines where regexp_matches(x, '(?i)//\s*SWC-')""")
 def c2_markers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.canonicalize(marked_text())["markers"]).alias("m"))
+    docs = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text()).select("doc_id", F.explode("c.markers").alias("m"))
     return docs.select("doc_id", "m.line", "m.swc", "m.own")
 
 
@@ -45,7 +44,7 @@ select n.doc_id,
     greatest(1, least((select count(*) from k where k.doc_id = n.doc_id and k.i <= greatest(1, least(a + 3, n_annot))), n_kept)))::int as "end"
 from n""")
 def c3_map_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.canonicalize(marked_text()).alias("c"), (F.col("doc_id") % 7).cast("int").alias("a"))
+    docs = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text()).select("doc_id", "c", (F.col("doc_id") % 7).cast("int").alias("a"))
     return docs.select("doc_id", tx.map_range(F.col("a"), F.col("a") + 3, F.col("c.kept"), F.col("c.n_annot_lines")).alias("r")).select("doc_id", "r.start", "r.end")
 
 
@@ -78,7 +77,7 @@ from s""")
 def c6_annotation_spans(spark, sf_dir):
     field = F.element_at(F.array(F.lit("L2-3"), F.lit("all"), F.lit("see marker"), F.lit("unclear")), (F.col("doc_id") % 4 + 1).cast("int"))
     swc = F.when(F.col("doc_id") % 4 == 3, "SWC-999").otherwise(F.concat(F.lit("SWC-"), (F.col("doc_id") % 37 + 100).cast("string")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.annotation_spans(field, tx.canonicalize(marked_text()), swc).alias("s"))
+    docs = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text()).select("doc_id", tx.annotation_spans(field, F.col("c"), swc).alias("s"))
     return docs.select("doc_id", "s.source", _JOINED("s.spans").alias("spans"))
 
 
@@ -198,7 +197,7 @@ def c21_finite(spark, sf_dir):
 with w as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') as w from documents)
 select doc_id, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5 from w""")
 def c23_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    docs = tx.bound(table(spark, sf_dir, "documents").select("doc_id", "text"), "w", tx.words(F.col("text")))
     return docs.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
@@ -247,6 +246,6 @@ def d1_scope_filter(spark, sf_dir):
 with {MARKED_LINES.strip()}, t as (select doc_id, string_agg(y, chr(10) order by i) filter (y <> '') as t from lines group by doc_id)
 select count(*) as texts, count(*) filter (regexp_matches(t, '(?i)//\s*swc-')) as survivors, count(*) filter (regexp_matches({MARKED.replace('doc_id', 'd.doc_id')}, '(?i)//\s*swc-')) as before from t join documents d on d.doc_id = t.doc_id""")
 def d2_marker_guard(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(marked_text().alias("m"), tx.canonicalize(marked_text())["text"].alias("t"))
+    docs = tx.canonicalized(table(spark, sf_dir, "documents"), marked_text()).select(marked_text().alias("m"), F.col("c.text").alias("t"))
     leak = r"(?i)//\s*swc-"
     return docs.agg(F.count("*").alias("texts"), F.count_if(F.col("t").rlike(leak)).alias("survivors"), F.count_if(F.col("m").rlike(leak)).alias("before"))

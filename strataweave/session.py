@@ -38,9 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes in an Arrow batch at most: with long texts the usual 10,000 rows are far more
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Ready a session for Python operators: small Arrow batches unless set otherwise, and this package on the executors, once per application."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH[0], "") == "":
+        spark.conf.set(*_BATCH)
     if getattr(sc, "_strataweave_shipped", False):
         return
     root = Path(__file__).resolve().parent
