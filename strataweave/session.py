@@ -45,7 +45,7 @@ _BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 def ship(spark: SparkSession) -> None:
     """Ready a session for Python operators: small Arrow batches unless set otherwise, and this package on the executors, once per application."""
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH[0], "") == "":
+    if spark.conf.get(_BATCH[0], None) is None:
         spark.conf.set(*_BATCH)
     if getattr(sc, "_strataweave_shipped", False):
         return
