@@ -5,6 +5,9 @@ runs in it, so equal windows share a shard wherever they stand, and no document
 has to be streamed through the other shards. Runs of windows with one key form a
 segment (at most ``SEGMENT`` windows; the windows' words overlap into it). Keys
 that one segment alone has can't repeat and leave after a shuffle of hashes only.
+Segments with the words of an earlier one in their block of documents are settled
+there and don't meet in the shard, so copies reach it once from each block; the
+windows of keys that many segments share are dealt out by all their words.
 
 Each shard keeps its segments' words in an FM-index: suffixes sorted to the
 length of a segment, the Burrows-Wheeler transform in a wavelet matrix with
@@ -36,7 +39,7 @@ GRAM = 4
 SEGMENT = 44
 DEPTH = 64
 #: rows of one key from which its windows go by their own hash
-HOT_KEY = 20_000
+HOT_KEY = 4_000
 #: words in one FM-index, but for a key with more
 SHARD_WORDS = 1 << 20
 
@@ -69,63 +72,96 @@ def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return key[start], text[start], at[start] - w.ptr[text[start]], np.diff(np.append(start, len(at)))
 
 
+def _cut_words(w: Words, text: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The words of segments, white space as spaces."""
+    a = w.ptr[text] + first
+    start, end = w.start[a], w.end[a + n + WINDOW - 2]
+    data, off = gather_ranges(w.buf, start, end - start)
+    return string_array(np.where((data >= 9) & (data <= 13), np.uint8(32), data), off)
+
+
+def _repeats(words: pa.Array, key: np.ndarray, rid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Segments with key and words of an earlier one (smaller id, or further left)."""
+    code = np.asarray(words.dictionary_encode().indices, np.int64)
+    order = np.lexsort((first, rid, key, code))
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+    return out
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, _rid, place, done): a segment that repeats one of the same block is done, as all its windows begin earlier."""
     for batch in pieces(batches):
-        key, text, first, n = segments(Words(strings(batch.column("text"))))
+        w = Words(strings(batch.column("text")))
+        key, text, first, n = segments(w)
+        key = key.view(np.int64)
         rid = np.asarray(batch.column(RID), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid[text]), pa.array(first << 6 | n)], names=["key", RID, "place"])
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(len(key), bool)
+        same[order[1:]] = key[order[1:]] == key[order[:-1]]
+        same[order[:-1]] |= same[order[1:]]
+        some = np.flatnonzero(same)
+        done = np.zeros(len(key), bool)
+        done[some] = _repeats(_cut_words(w, text[some], first[some], n[some]), key[some], rid[text[some]], first[some])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[text]), pa.array(first << 6 | n), pa.array(done)], names=["key", RID, "place", "done"])
 
 
 def _repeated(hot: int):
-    """Rows whose key has another row in the partition; ``hot`` marks keys with so many rows."""
+    """Rows whose key has another row in the partition, and done ones; ``hot`` marks keys with so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(i), np.int64) for i in range(3)] for b in batches]
-        if not got:
+        rest = []
+        for b in batches:
+            done = b.column("done")
+            if done.true_count:
+                part = b.filter(done)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.zeros(part.num_rows, bool)), part.column("done")], names=_WANTED)
+                b = b.filter(pc.invert(done))
+            rest.append([np.asarray(b.column(i), np.int64) for i in range(3)])
+        if not rest:
             return
-        key, rid, place = (np.concatenate([g[i] for g in got]) for i in range(3))
-        del got
+        key, rid, place = (np.concatenate([g[i] for g in rest]) for i in range(3))
+        del rest
         order = np.argsort(key, kind="stable")
         k = key[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
-        count = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
+        size = np.diff(np.append(start, len(k)))
+        count = np.repeat(size, size)
         order, count = order[count > 1], count[count > 1]
         for i in range(0, len(order), 200_000):
             o = order[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(rid[o]), pa.array(place[o]), pa.array(count[i : i + 200_000] >= hot)], names=["key", RID, "place", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(rid[o]), pa.array(place[o]), pa.array(count[i : i + 200_000] >= hot), pa.array(np.zeros(len(o), bool))], names=_WANTED)
 
     return run
 
 
+_WANTED = ["key", RID, "place", "hot", "done"]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of wanted segments. Of equal ones in a batch the earliest has its words; the others come without: they repeat."""
+    """The words of wanted segments. Done ones, and of equal ones in a block all but the earliest, come without words: they repeat."""
     for batch in pieces(batches):
         w = Words(strings(batch.column("text")))
         wanted = batch.column("wanted")
         flat = wanted.flatten()
         text = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(wanted.offsets)))
-        key, place, hot = (np.asarray(flat.field(i)) for i in range(3))
+        key, place, hot, done = (np.asarray(flat.field(i)) for i in range(4))
         first, n = place >> 6, place & 63
         if hot.any():  # windows of their own, keyed by all their words
             many = np.where(hot, n, 1)
             at = np.repeat(np.arange(len(key)), many)
             step = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            key, text, first, n, hot = key[at], text[at], first[at] + np.where(hot[at], step, 0), np.where(hot[at], 1, n[at]), hot[at]
+            key, text, first, n, hot, done = key[at], text[at], first[at] + np.where(hot[at], step, 0), np.where(hot[at], 1, n[at]), hot[at], done[at]
             key = np.where(hot, gram_hashes(w.hashes(), WINDOW)[np.minimum(w.ptr[text] + first, max(0, len(w.start) - WINDOW))].view(np.int64), key)
-        a = w.ptr[text] + first
-        start, end = w.start[a], w.end[a + n + WINDOW - 2]
-        data, off = gather_ranges(w.buf, start, end - start)
-        data = np.where((data >= 9) & (data <= 13), np.uint8(32), data)
         rid = np.asarray(batch.column(RID), np.int64)[text]
-        words = string_array(data, off)
-        code = np.asarray(words.dictionary_encode().indices, np.int64)
-        order = np.lexsort((first, rid, key, code))
-        repeat = np.zeros(len(order), bool)
-        repeat[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
-        kept = pa.array(np.where(repeat, None, 0)) if not len(order) else words.filter(pa.array(~repeat))
-        back = np.cumsum(~repeat) - 1
-        shown = kept.take(pa.array(back, mask=repeat)) if len(order) else pa.array([], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), shown], names=["key", RID, "first", "n", "words"])
+        open_ = np.flatnonzero(~done)
+        words = _cut_words(w, text[open_], first[open_], n[open_])
+        fresh = ~_repeats(words, key[open_], rid[open_], first[open_])
+        shown = np.zeros(len(key), bool)
+        shown[open_] = fresh
+        back = np.cumsum(shown) - 1
+        column = words.filter(pa.array(fresh)).take(pa.array(back, mask=~shown)) if shown.any() else pa.nulls(len(key), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), column], names=["key", RID, "first", "n", "words"])
 
 
 # -- FM-index ------------------------------------------------------------------------
@@ -301,9 +337,10 @@ def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray,
 def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text."""
     docs = docs.select(RID, "text")
-    rows = docs.mapInArrow(_segment_rows, f"key long, {RID} long, place long")
-    wanted = rows.repartition("key").mapInArrow(_repeated(hot_key), f"key long, {RID} long, place long, hot boolean")
-    lists = wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot")).alias("wanted"))
+    rows = docs.mapInArrow(_segment_rows, f"key long, {RID} long, place long, done boolean")
+    by_key = rows.repartition(F.when(F.col("done"), F.xxhash64(RID, "place")).otherwise(F.col("key")))
+    wanted = by_key.mapInArrow(_repeated(hot_key), f"key long, {RID} long, place long, hot boolean, done boolean")
+    lists = wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted"))
     cut = docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(_cut, f"key long, {RID} long, first long, n int, words string")
     spread = F.when(F.col("words").isNull(), F.xxhash64(RID, "first")).otherwise(F.col("key"))
     return cut.repartition(spread).mapInArrow(_shard(shard_words), f"{RID} long, a long, b long")
