@@ -4,7 +4,8 @@ Long texts are split before the merges at safe boundaries: just before white
 space that follows an ASCII letter, digit or sign. No match of the pattern
 reaches from there into the white space, and the pattern looks only ahead, so
 the pieces give the ids of the whole text. A text without such a place in
-``PIECE`` characters stays in one piece up to the next one.
+``PIECE`` characters stays in one piece up to the next one. Long runs of white
+space are taken out as the single match that the pattern makes of them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from pyspark.sql import types as T
 
 #: characters after which a piece ends at the next safe boundary
 PIECE = 1 << 16
+#: a run of so much white space is merged as the one match that it is: the regex engine would overflow its stack on long ones
+RUN = 1 << 12
+#: White_Space of Unicode, as in a character class (fixed values)
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SAFE = re.compile(r"(?<=[!-~])[ \n]")
 
 
@@ -38,7 +43,18 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, text: str, piece: int = PIECE) -> list[int]:
+    def encode(self, text: str, piece: int = PIECE, run: int = RUN) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        if len(text) > run:
+            for space in re.finditer(rf"[{SPACE}]{{{run},}}", text):
+                ids += self._pieces(text[at : space.start()], piece)
+                # the pattern leaves the last sign of a run to what follows it
+                at = space.end() - (space.end() < len(text))
+                ids += self.encoding._encode_single_piece(text[space.start() : at])
+        return ids + self._pieces(text[at:], piece)
+
+    def _pieces(self, text: str, piece: int) -> list[int]:
         if len(text) <= piece:
             return self.encoding.encode_ordinary(text)
         ids: list[int] = []

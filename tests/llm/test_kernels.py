@@ -104,6 +104,23 @@ def test_encode_words_equals_whole_text():
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids + [1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abé1.' \n\t\u3000\xa0\x1c\u200b"), max_size=60))
+def test_bpe_pieces_equal_whole_text(text):
+    from strataweave.llm import bpe, queries
+
+    c = bpe.codec(queries.ranks_path(), queries.pretoken_pattern())
+    assert c.encode(text, 5, 3) == c.encode(text, 7, 2) == c.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 900_000 + "y", "\n" * 800_000, "a" * 300_000, "漢" * 100_000])
+def test_bpe_very_long_runs(text):
+    from strataweave.llm import bpe, queries
+
+    c = bpe.codec(queries.ranks_path(), queries.pretoken_pattern())
+    assert c.decode(c.encode(text)) == text.encode()
+
+
 def test_source_targets():
     t = mixing.source_targets({"b": 100, "a": 10, None: 5, "c": 50})
     assert {k: v[0] for k, v in t.items()} == {"a": 20.0, "b": 145.0, "c": 72.5, None: 10.0}
