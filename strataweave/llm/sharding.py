@@ -39,7 +39,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, key: str = "doc_id", text:
     are replaced. Buckets spread by key and text, so equal texts or one hot source
     don't meet in one bucket.
     """
-    own = {"size", "text_crc32", "shard", "grown_shard", "slot", "_bucket", "_pos"}
+    own = {"size", "text_crc32", "shard", "grown_shard", "slot", "_bucket", "_pos", "_before"}
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select([c for c in docs.columns if c not in own])
     sized = docs.withColumn("size", F.octet_length(body).cast("long") + 8).withColumn("text_crc32", F.crc32(body.cast("binary")))
