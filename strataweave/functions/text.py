@@ -9,16 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Patterns of the annotation format and of scope (fixed values)
 MARKER = r"(?i)//\s*SWC-"
 COMMENT = r"(?s)/\*.*?\*/|//[^\n]*"
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 CODE = r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]{1,2}"
 DECLARATION = r"\b(abstract\s+contract|contract|library|interface)\s+[A-Za-z_$][\w$]*"
-#: separators of line ranges (fixed values)
-RANGE_SEPARATORS = "[,、\uFF0C;]"
+RANGE_SEPARATORS = "[,、，;]"
 TEST_DIRECTORY = r"(?i)(^|/)(test|tests|testing|mock|mocks|harness|harnesses|echidna|fuzz|fuzzing|certora)/"
 TEST_NAME = r"(^|/)(Test|Mock)[A-Z0-9_][^/]*\.sol$|(Test|Mock|Mocks|Tester|Harness)\.sol$"
 TEST_SUFFIX = r"(?i)\.t\.sol$|(^|/)[^/]*[_-](test|mock)[^/]*\.sol$"
+HOSTED = r"(?i)\b(github|gitlab)\.com/([^/\s]+)/([^/\s#?;,]+)"
+TITLED = r"(?i)GitHub\s*-\s*([\w.-]+)/([\w.-]+)"
+ADDRESS = "0x[0-9a-fA-F]{40}"
+TRON = r"tronscan\.org/#/contract/(\w+)"
 
 
 def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -158,13 +162,12 @@ def path_in_audit(path: Column) -> Column:
 def codebase_key(link: Column, directory: Column) -> Column:
     """Key of a code repository: hosted repository, page title, address, or the directory."""
     s = F.coalesce(link, F.lit(""))
-    hosted, titled = r"(?i)\b(github|gitlab)\.com/([^/\s]+)/([^/\s#?;,]+)", r"(?i)GitHub\s*-\s*([\w.-]+)/([\w.-]+)"
     part = lambda pattern, i: F.lower(F.regexp_extract(s, pattern, i))
-    address = F.regexp_extract(s, "0x[0-9a-fA-F]{40}", 0)
-    tron = F.regexp_extract(s, r"tronscan\.org/#/contract/(\w+)", 1)
+    address = F.regexp_extract(s, ADDRESS, 0)
+    tron = F.regexp_extract(s, TRON, 1)
     return (
-        F.when(s.rlike(hosted), F.concat(part(hosted, 1), F.lit(":"), part(hosted, 2), F.lit("/"), F.regexp_replace(part(hosted, 3), r"\.git$", "")))
-        .when(s.rlike(titled), F.concat(F.lit("github:"), part(titled, 1), F.lit("/"), part(titled, 2)))
+        F.when(s.rlike(HOSTED), F.concat(part(HOSTED, 1), F.lit(":"), part(HOSTED, 2), F.lit("/"), F.regexp_replace(part(HOSTED, 3), r"\.git$", "")))
+        .when(s.rlike(TITLED), F.concat(F.lit("github:"), part(TITLED, 1), F.lit("/"), part(TITLED, 2)))
         .when(address != "", F.concat(F.lit("addr:"), F.lower(address)))
         .when(tron != "", F.concat(F.lit("tron:"), tron))
         .otherwise(F.concat(F.lit("dir:"), directory))
