@@ -66,7 +66,7 @@ def oversample_copies(labelled: DataFrame, item: str, threshold: int, target: in
     need = F.least(F.lit(target) - F.col("c"), F.lit(factor - 1.0) * F.col("c")).cast("int")
     wanted = counts.select("cls", "c", need.alias("need")).where("need > 0")
     draws = wanted.select("cls", "c", F.explode(F.sequence(F.lit(1), "need")).alias("copy"))
-    place = F.pmod(F.xxhash64(F.lit(seed), "cls", "copy"), F.col("c")) + 1
+    place = F.conv(F.substring(draw(seed, "cls", "copy"), 1, 8), 16, 10).cast("long") % F.col("c") + 1
     # only classes below the threshold are ranked, so a partition has less than threshold rows
     order = Window.partitionBy("cls").orderBy(draw(seed, "cls", item))
     pool = labelled.join(wanted.select("cls"), "cls", "left_semi").withColumn("_k", F.row_number().over(order))

@@ -207,7 +207,27 @@ def h5_cap_rows(spark, sf_dir):
     return sampling.cap_rows(labelled(spark, sf_dir).select("row_id", F.col("swc").alias("labels")), 100).select("row_id")
 
 
-@query("h6_resample_windows")
+def _repeats_sql(cells: str, item: str, threshold: int, target: int, factor: float, seed: int) -> str:
+    """Repeats of items of rare classes: cells has the item and cls."""
+    return f"""
+counts as (select cls, count(*) as c from {cells} group by cls having count(*) < {threshold}),
+wanted as (select cls, c, trunc(least({target} - c, ({factor} - 1.0) * c))::int as need from counts),
+draws as (select cls, c, unnest(range(1, need + 1)) as copy from wanted where need > 0),
+places as (select cls, copy, ('0x' || substr(sha1('{seed}|' || cls::varchar || '|' || copy::varchar), 1, 8))::bigint % c + 1 as k from draws),
+pool as (select cls, {item}, row_number() over (partition by cls order by sha1('{seed}|' || cls::varchar || '|' || {item}::varchar)) as k from {cells} where cls in (select cls from wanted where need > 0)),
+repeats as (select pool.{item}, places.copy::int as copy from places join pool on pool.cls = places.cls and pool.k = places.k)"""
+
+
+_NUMBERS = "list_transform(swc, lambda s: s[5:7]::int)"
+
+
+@query("h6_resample_windows", f"""
+with {LABELLED.strip()}, w as (select row_id as win_id, case when row_id % 2 = 0 then {_NUMBERS} else [] end as labels, len(swc) > 0 as annotated from files),
+cells as (select win_id, unnest(labels) as cls from w), {_repeats_sql("cells", "win_id", 60, 120, 5.0, 42).strip()},
+easy as (select win_id, row_number() over (order by sha1('42|' || win_id::varchar)) as k, round_even(count(*) over () * 0.3, 0) as want from w where len(labels) = 0 and not annotated),
+al as (select win_id, 'positive' as why, 0 as copy from w where len(labels) > 0 union all select win_id, 'hard_negative', 0 from w where len(labels) = 0 and annotated
+  union all select win_id, 'easy_negative', 0 from easy where k <= want union all select win_id, 'repeat', copy from repeats)
+select *, sha1('42|' || why || '|' || win_id::varchar || '|' || copy::varchar) as position from al""")
 def h6_resample_windows(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     numbers = F.transform("swc", lambda s: F.substring(s, 5, 3).cast("int"))
@@ -215,7 +235,12 @@ def h6_resample_windows(spark, sf_dir):
     return sampling.resample_windows(w, threshold=60, target=120)
 
 
-@query("h7_epoch_files")
+@query("h7_epoch_files", f"""
+with {LABELLED.strip()}, f as (select row_id, {_NUMBERS} as labels from files),
+cells as (select row_id, unnest(labels) as cls from f), {_repeats_sql("cells", "row_id", 50, 150, 5.0, 43).strip()},
+others as (select row_id, row_number() over (order by sha1('42|1|' || row_id::varchar)) as k, round_even(count(*) over () * 0.5, 0) as want from f where len(labels) = 0),
+al as (select row_id, 'labelled' as why, 0 as copy from f where len(labels) > 0 union all select row_id, 'unlabelled', 0 from others where k <= want union all select row_id, 'repeat', copy from repeats)
+select *, sha1('42|1|' || why || '|' || row_id::varchar || '|' || copy::varchar) as position from al""")
 def h7_epoch_files(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("row_id", F.transform("swc", lambda s: F.substring(s, 5, 3).cast("int")).alias("labels"))
     return sampling.epoch_files(rows, epoch=1, neg_ratio=0.5)
