@@ -42,7 +42,7 @@ def with_size(docs: DataFrame, keep: list[str], text: str = "text", name: str =
     need = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text, 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(word_counts(strings(batch.column(text))))], names=[*keep, name])
 
     return docs.select(*need).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = W
     named like an output are replaced. One row for each source is collected.
     """
     own = ["size", "source_size", "target", "taken", "passes"]
-    keep = [c for c in keep if c not in own]
+    keep = [c for c in keep if c not in {*own, "_source", "_hash", "_range", "_in", "_before", "_place", "_at"}]
     label = F.when(F.col(source).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(source)))
     named = docs.withColumn("_source", label).withColumn("_hash", F.xxhash64(F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.lit(seed)))
     sized = with_size(named.select(list(dict.fromkeys([*keep, "_source", "_hash", text]))), [*keep, "_source", "_hash"], text)

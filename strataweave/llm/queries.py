@@ -87,7 +87,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     first = F.try_element_at("passes", F.lit(1))["position"]
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
