@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strataweave.llm.textblocks import trimmed
+
 #: characters after which a piece ends at the next safe boundary
 PIECE = 1 << 16
 #: a run of so much white space is merged as the one match that it is: the regex engine would overflow its stack on long ones
@@ -97,7 +99,7 @@ def encode_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
         from strataweave.llm.textblocks import pieces
 
         c = codec(ranks_path, pattern)
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text, 2 << 20):
             ids, n, sha, back = [], [], [], []
             for value in batch.column(text):
                 got = c.encode(value.as_py() or "")
@@ -112,7 +114,7 @@ def encode_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                 names=keep + [f.name for f in out],
             )
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(trimmed(run), schema)
 
 
 def decode_tokens(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -126,4 +128,4 @@ def decode_tokens(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids"
             got = [None if v.as_py() is None else c.decode(v.as_py()) for v in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got, pa.binary())], names=keep + [out])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(trimmed(run), schema)

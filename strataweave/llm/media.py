@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strataweave.llm.textblocks import trimmed
+
 #: blocks in a row of the frames written, and rows at most
 COLUMNS, ROWS = 64, 64
 #: JPEG's zigzag order (fixed values: ITU-T T.81)
@@ -395,7 +397,7 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_me
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strataweave.llm.textblocks import pieces
 
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text, 2 << 20):
             rows = []
             for value in batch.column(text):
                 payload, n = padded_payload(value.as_py())
@@ -408,7 +410,7 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_me
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature) + ((media,) if with_media else ()))
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c) for c in zip(*rows, strict=True))], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(trimmed(run), schema)
 
 
 def clips(media: DataFrame, key: str, column: str = "media") -> DataFrame:
@@ -431,4 +433,4 @@ def clips(media: DataFrame, key: str, column: str = "media") -> DataFrame:
             kinds = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=schema.names)
 
-    return media.select(key, column).mapInArrow(run, schema)
+    return media.select(key, column).mapInArrow(trimmed(run), schema)

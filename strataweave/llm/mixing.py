@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import _NONSPACE, pieces, raw, strings
+from strataweave.llm.textblocks import _NONSPACE, pieces, raw, strings, trimmed
 
 WEIGHTS = (5, 2, 1)
 #: weight over time by the source's place in WEIGHTS, at equally spaced knots
@@ -42,10 +42,10 @@ def with_size(docs: DataFrame, keep: list[str], text: str = "text", name: str =
     need = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(word_counts(strings(batch.column(text))))], names=[*keep, name])
 
-    return docs.select(*need).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))
+    return docs.select(*need).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, tuple[float, int]]:

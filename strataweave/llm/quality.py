@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import _NONSPACE, U, Words, gram_hashes, inside, mix, pieces, strings
+from strataweave.llm.textblocks import U, _NONSPACE, Words, gram_hashes, inside, mix, pieces, strings, trimmed
 
 #: characters counted by n_symbols (fixed values)
 SYMBOLS = b"#*$%&|<>"
@@ -226,7 +226,7 @@ def _with_stats(docs: DataFrame, keep: list[str], trees: Trees | None = None, th
                 s["kept"] = ~s["base_failed"] & (s["score"] >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(s[f.name], T_ARROW[f.dataType.typeName()]) for f in out], names=keep + names)
 
-    return docs.select(*need).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + out))
+    return docs.select(*need).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in keep] + out))
 
 
 T_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}

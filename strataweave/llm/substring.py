@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataweave.llm.identity import RID, given_rows, identified
-from strataweave.llm.textblocks import U, Words, gather_ranges, gram_hashes, inside, pieces, string_array, strings
+from strataweave.llm.textblocks import U, Words, gather_ranges, gram_hashes, inside, pieces, string_array, strings, trimmed
 from strataweave.session import materialize
 
 WINDOW = 20
@@ -40,6 +40,8 @@ SEGMENT = 44
 DEPTH = 64
 #: rows of one key from which its windows go by their own hash
 HOT_KEY = 4_000
+#: bytes of text in which equal segments are settled before a shuffle
+BLOCK = 2 << 20
 #: words in one FM-index, but for a key with more
 SHARD_WORDS = 1 << 20
 
@@ -91,7 +93,7 @@ def _repeats(words: pa.Array, key: np.ndarray, rid: np.ndarray, first: np.ndarra
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, _rid, place, done): a segment that repeats one of the same block is done, as all its windows begin earlier."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, "text", BLOCK):
         w = Words(strings(batch.column("text")))
         key, text, first, n = segments(w)
         key = key.view(np.int64)
@@ -140,7 +142,7 @@ _WANTED = ["key", RID, "place", "hot", "done"]
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of wanted segments. Done ones, and of equal ones in a block all but the earliest, come without words: they repeat."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, "text", BLOCK):
         w = Words(strings(batch.column("text")))
         wanted = batch.column("wanted")
         flat = wanted.flatten()
@@ -337,13 +339,13 @@ def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray,
 def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text."""
     docs = docs.select(RID, "text")
-    rows = docs.mapInArrow(_segment_rows, f"key long, {RID} long, place long, done boolean")
+    rows = docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean")
     by_key = rows.repartition(F.when(F.col("done"), F.xxhash64(RID, "place")).otherwise(F.col("key")))
-    wanted = by_key.mapInArrow(_repeated(hot_key), f"key long, {RID} long, place long, hot boolean, done boolean")
+    wanted = by_key.mapInArrow(trimmed(_repeated(hot_key)), f"key long, {RID} long, place long, hot boolean, done boolean")
     lists = wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted"))
-    cut = docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(_cut, f"key long, {RID} long, first long, n int, words string")
+    cut = docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(trimmed(_cut), f"key long, {RID} long, first long, n int, words string")
     spread = F.when(F.col("words").isNull(), F.xxhash64(RID, "first")).otherwise(F.col("key"))
-    return cut.repartition(spread).mapInArrow(_shard(shard_words), f"{RID} long, a long, b long")
+    return cut.repartition(spread).mapInArrow(trimmed(_shard(shard_words)), f"{RID} long, a long, b long")
 
 
 def _apply(rewrite: bool, keep: list[str]):
@@ -400,7 +402,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     ranges = materialize(repeated_ranges(marked, hot_key, shard_words), "ranges")
     lists = ranges.groupBy(RID).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     schema = T.StructType([marked.schema[c] for c in [RID, *keep]] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text" if rewrite else "kept_sha256", T.StringType())])
-    done = marked.join(lists.hint("shuffle_hash"), RID, "left").select(RID, *keep, "text", "ranges").mapInArrow(_apply(rewrite, [RID, *keep]), schema)
+    done = marked.join(lists.hint("shuffle_hash"), RID, "left").select(RID, *keep, "text", "ranges").mapInArrow(trimmed(_apply(rewrite, [RID, *keep])), schema)
     return given_rows(done, back, key)
 
 

@@ -8,6 +8,8 @@ hashes on every machine, as the seed is fixed.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,23 @@ _BYTE = np.random.Generator(np.random.PCG64(20_240_601)).integers(0, 2**64, 256,
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
+def trimmed(run):
+    """A function over batches that gives memory back when its partition ends: Spark keeps idle workers, and these keep what the allocators hold."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return ended
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every output bit depends on every input bit (the splitmix64 finaliser)."""
     x = x ^ (x >> U(30))
@@ -65,7 +84,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of whole rows with at most ``max_bytes`` of text each (one row may be larger)."""
     for batch in batches:
         if batch.num_rows == 0:

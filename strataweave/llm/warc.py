@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.textblocks import trimmed
 from strataweave.session import materialize, shared_dir
 
 #: fixed, so that equal input gives equal archives
@@ -208,7 +209,7 @@ def write_archives(records: DataFrame, folder: str | None = None, file_bytes: in
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "records", "bytes"])
 
-    return materialize(records.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(records.mapInArrow(trimmed(write), "path string, records long, bytes long"), "warc-manifest")
 
 
 _READ = "path string, offset long, end long, gap_reason string, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
@@ -246,4 +247,4 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield flush(rows)
 
     width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(width, F.xxhash64("path")).mapInArrow(read, _READ)
+    return manifest.select("path").repartition(width, F.xxhash64("path")).mapInArrow(trimmed(read), _READ)
