@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: bytes in an Arrow batch at most: with long texts the usual 10,000 rows are far more
-_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ship(spark: SparkSession) -> None:
