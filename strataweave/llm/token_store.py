@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import Words, gather_ranges, pieces, string_array, strings
+from strataweave.llm.textblocks import Words, gather_ranges, pieces, string_array, strings, trimmed
 from strataweave.session import materialize, shared_dir
 
 MAGIC = b"EFTOK1\0\0"
@@ -164,6 +164,20 @@ def encode_words(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np
     return ids, np.diff(ends[np.concatenate([[0], ptr[1:] + np.arange(1, w.n + 1)])])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least so many bytes of text: the more in one, the fewer times a word is looked up."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(text).nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, key: str = "doc_id", text: str = "text", tasks: int | None = None) -> DataFrame:
     """Write token files in ascending key order; returns the manifest (part, path, documents, ids, base).
 
@@ -177,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nulls, sizes, ids = [], [], [], []
         width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 65_536 and end_id < 65_536 else 4
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in _blocks(pieces(batches, text, 8 << 20), text, 6 << 20):
             got, n = encode_words(strings(batch.column(text)), tokenizer_path, end_id)
             k = batch.column(key)
             keys.append(np.asarray(pc.fill_null(k, 0), np.int64))
@@ -196,7 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     by = [F.col(key).asc_nulls_last(), F.col("_tie")]
     rows = docs.select(key, text, F.xxhash64(text).alias("_tie"))
     ranged = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
-    manifest = materialize(ranged.sortWithinPartitions(*by).select(key, text).mapInArrow(write, "part long, path string, documents long, ids long"), "tokens")
+    manifest = materialize(ranged.sortWithinPartitions(*by).select(key, text).mapInArrow(trimmed(write), "part long, path string, documents long, ids long"), "tokens")
     # one row for each file
     return manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
 
@@ -225,7 +239,7 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id", with_ids: bool = False
 
     files = manifest.select("path", "base", "part")
     width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(width, "part").mapInArrow(read, out)
+    return files.repartition(width, "part").mapInArrow(trimmed(read), out)
 
 
 def token_folder(docs: DataFrame) -> str:
