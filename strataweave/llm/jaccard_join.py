@@ -19,6 +19,9 @@ components; then all other pairs of different components are sought, in trees of
 bitmaps (4 bits for each token), so nothing hangs on the first choice. So a clique of near copies costs about as many
 verifications as it has members, and copies that differ too much are told apart
 without their texts. Wide bitmaps of twice the width fold onto narrower ones.
+
+These rounds settle the components only. Links lie within components, so each set's number
+of links is counted afterwards among all sets of its component, in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ BITS = 512
 NEAR, NEAREST = 128, 4
 #: of the wide bitmap's width, the power of two at most
 WIDEST = 17
+#: sets in a block of a component whose links are counted, and tokens of all of them (about); columns of a product
+BLOCK, BLOCK_TOKENS, COLUMNS = 512, 500_000, 4096
 _LANES = BITS // 64
 
 
@@ -402,8 +407,103 @@ def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percen
     return links
 
 
-def _components(marked: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
-    """(_rid, n_shingles, component, n_links) of documents (_rid, text); component is a _rid."""
+# -- numbers of links ----------------------------------------------------------------
+
+
+def overlaps(a: np.ndarray, off_a: np.ndarray, b: np.ndarray, off_b: np.ndarray) -> np.ndarray:
+    """Tokens in common of each set of a and each set of b: products of 0/1 matrices, some tokens at a time."""
+    shared = np.intersect1d(a, b)
+    both = np.zeros((len(off_a) - 1, len(off_b) - 1), np.int64)
+    sides = []
+    for tokens, off in ((a, off_a), (b, off_b)):
+        column = np.searchsorted(shared, tokens)
+        known = column < len(shared)
+        known[known] = shared[column[known]] == tokens[known]
+        column, row = column[known], np.repeat(np.arange(len(off) - 1), np.diff(off))[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], column[order], len(off) - 1))
+    for i in range(0, len(shared), COLUMNS):
+        x, y = (np.zeros((n, min(COLUMNS, len(shared) - i)), np.float32) for _, _, n in sides)
+        for m, (row, column, _) in zip((x, y), sides, strict=True):
+            at = slice(*np.searchsorted(column, [i, i + COLUMNS]))
+            m[row[at], column[at] - i] = 1
+        both += (x @ y.T).astype(np.int64)
+    return both
+
+
+def _count_links(k: int, percent: int):
+    """(_rid, n_links) of sets within pairs of blocks. Rows, sorted by component and pair: component, lower, upper, own (its block), _rid, text."""
+
+    def count(sets: list[tuple[int, bool, np.ndarray]], one: bool) -> tuple[np.ndarray, np.ndarray]:
+        sides = [[s for s in sets if s[1]], [s for s in sets if not s[1]]]
+        rid, n, flat, off = [], [], [], []
+        for side in sides:
+            rid.append(np.array([s[0] for s in side], np.int64))
+            n.append(np.array([len(s[2]) for s in side], np.int64))
+            flat.append(np.concatenate([s[2] for s in side]) if side else np.zeros(0, U))
+            off.append(np.concatenate([[0], np.cumsum(n[-1])]))
+        if one:  # a block with itself: all are on the first side
+            both = overlaps(flat[0], off[0], flat[0], off[0])
+            linked = 100 * both >= percent * (n[0][:, None] + n[0] - both)
+            np.fill_diagonal(linked, False)
+            return rid[0], linked.sum(1)
+        both = overlaps(flat[0], off[0], flat[1], off[1])
+        linked = 100 * both >= percent * (n[0][:, None] + n[1] - both)
+        return np.concatenate(rid), np.concatenate([linked.sum(1), linked.sum(0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rid, n: pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n.astype(np.int64))], names=[RID, "n_links"])
+        held, last = [], None
+        done, waiting = [], 0
+        for batch in pieces(batches):
+            tokens, off = shingle_sets(Words(strings(batch.column("text")), lower=True), k)
+            names = ("component", "lower", "upper", "own", RID)
+            for i, (component, lower, upper, own, rid) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if last != (component, lower, upper):
+                    if held:
+                        done.append(count(held, last[1] == last[2]))
+                        waiting += len(done[-1][0])
+                    held, last = [], (component, lower, upper)
+                held.append((rid, own == lower, tokens[off[i] : off[i + 1]].copy()))
+            if waiting >= 20_000:
+                yield out(*(np.concatenate(c) for c in zip(*done, strict=True)))
+                done, waiting = [], 0
+        if held:
+            done.append(count(held, last[1] == last[2]))
+        if done:
+            yield out(*(np.concatenate(c) for c in zip(*done, strict=True)))
+
+    return run
+
+
+def link_counts(classes: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(_rep, n_links): for each set of a component (node, component) its links among all sets of it.
+
+    Large components are dealt into blocks by size band, and the bands' sets by hash; each
+    block meets those of its own band and of the next ones, as sizes of a link are at most one band apart.
+    """
+    band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
+    nodes = classes.withColumnRenamed("node", RID).join(profile.select(RID, "n"), RID).select(RID, "component", "n", band.alias("band"))
+    bands = nodes.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("tokens") / BLOCK_TOKENS))
+    whole = bands.groupBy("component").agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("blocks"))
+    placed = materialize(nodes.join(whole, "component"), "placed")
+    two = placed.where("sets = 2").select(F.col(RID).alias("_rep"), F.lit(1).cast("long").alias("n_links"))
+
+    number = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0).cast("long"))
+    at = lambda b: F.when(number(b) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(number(b) - 1, F.lit(0))), lambda h: b * (1 << 32) + h)).otherwise(F.array().cast("array<long>"))
+    here, small = F.col("band"), (F.col("sets") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
+    own = F.when(small, F.lit(0).cast("long")).otherwise(here * (1 << 32) + F.pmod(F.xxhash64(RID), number(here)))
+    others = F.when(small, F.array(F.lit(0).cast("long"))).otherwise(F.concat(at(here - 1), at(here), at(here + 1)))
+    met = placed.where("sets > 2").select("component", RID, own.alias("own"), F.explode(others).alias("other"))
+    met = met.select("component", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", RID).join(docs.select(RID, "text"), RID)
+    key = ["component", "lower", "upper"]
+    counted = met.select(*key, "own", RID, "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(_count_links(k, percent)), f"{RID} long, n_links long")
+    return counted.groupBy(F.col(RID).alias("_rep")).agg(F.sum("n_links").alias("n_links")).unionByName(two)
+
+
+def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool = True) -> DataFrame:
+    """(_rid, n_shingles, component, and n_links if ``counted``) of documents (_rid, text); component is a _rid."""
     columns = f"{RID} long, n long, k1 long, k2 long, prefix array<long>, bitmap binary, wide binary"
     profile = materialize(marked.mapInArrow(trimmed(_profiles(k, percent)), columns), "profiles")
     # the plain prefix, without the extension that lets sets drop hot tokens
@@ -432,13 +532,14 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
     more = _links(second, profile, marked, k, percent)
     forget(members)
 
-    known = links.unionByName(more).dropDuplicates(["a", "b"])
     top = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    degree = known.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("n_links"))
     sets = profile.where("n > 0").groupBy("k1", "k2").agg(F.min(RID).alias("_rep"))
     placed = profile.select(RID, "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(sets, ["k1", "k2"], "left").select(RID, F.col("n").alias("n_shingles"), F.coalesce("_rep", RID).alias("_rep"))
-    found = placed.join(top.withColumnRenamed("node", "_rep"), "_rep", "left").join(degree, "_rep", "left")
-    return found.select(RID, "n_shingles", F.coalesce("component", "_rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = placed.join(top.withColumnRenamed("node", "_rep"), "_rep", "left").select(RID, "n_shingles", "_rep", F.coalesce("component", "_rep").alias("component"))
+    if not counted:
+        return found.drop("_rep")
+    degree = materialize(link_counts(top, profile, marked, k, percent), "degrees")
+    return found.join(degree, "_rep", "left").select(RID, "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -446,9 +547,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Sets: distinct k-word shingles of the whole text, A-Z lower-cased; null and empty
     texts have none and link with nothing. component_id is the smallest key reachable
-    by links. n_links counts the verified links of the document's set in the link graph
-    that was built, with one document for each distinct set; links inside a component
-    that were not needed to connect it are not counted. Keys need not be unique (see
+    by links. n_links is the number of other distinct sets that the document's set links
+    with. Keys need not be unique (see
     ``identified``): rows that repeat key and text are one document. An empty table
     gives no rows; other columns are not read.
     """
@@ -463,5 +563,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """docs without near copies: of each component the row with the smallest key stays, and of rows that repeat key and text one."""
     marked, _ = identified(docs, key, text)
-    first = _components(marked.select(RID, F.col(text).alias("text")), k, percent, hot).where(F.col(RID) == F.col("component")).select(RID)
+    first = _components(marked.select(RID, F.col(text).alias("text")), k, percent, hot, counted=False).where(F.col(RID) == F.col("component")).select(RID)
     return marked.join(first, RID).select(docs.columns)

@@ -56,6 +56,14 @@ def jaccard_components(docs, percent=85, k=4):
     return sorted((d, len(sets[d]), find(d)) for d in sets)
 
 
+def jaccard_links(docs, percent=85, k=4):
+    """Other distinct sets that reach the threshold, by document."""
+    sets = {d: shingles(t, k) for d, t in docs}
+    distinct = set(sets.values()) - {frozenset()}
+    near = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+    return {d: sum(x != y and near(x, y) for y in distinct) if x else 0 for d, x in sets.items()}
+
+
 def quality(text):
     w = words(text)
     dup, seen = 0, set()

@@ -103,6 +103,27 @@ def test_large_groups_take_the_tree(spark):
     assert sorted(map(tuple, got)) == brute.jaccard_components(rows)
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for cluster, size in enumerate((90, 40, 2, 1)):
+        template = [rng.choice(vocab) for _ in range(300)]
+        for _ in range(size):
+            t = list(template)
+            for _ in range(rng.randint(0, 6)):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(t[: rng.choice([300, 285, 270])] if cluster else t)))
+    rows.append((len(rows), rows[0][1]))  # an equal set is no link
+    want = brute.jaccard_links(rows)
+    assert max(want.values()) > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (jaccard_join.BLOCK, 16):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = jaccard_join.jaccard_components(df, hot=20).select("doc_id", "n_links").collect()
+        assert dict(map(tuple, got)) == want
+
+
 def test_bpe(docs, rows, empty):
     path, pattern = queries.ranks_path(), queries.pretoken_pattern()
     c = bpe.codec(path, pattern)
