@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import bound, normalize_code, shingles, words
-from strataweave.session import materialize
+from strataweave.session import materialize, ship
 
+#: BUCKET_CAP is the cap of the method reproduced, for callers that ask for it
 PERMUTATIONS, BANDS, BUCKET_CAP = 64, 16, 400
+#: different sets in a bucket from which it is compared in blocks; sets in a block, and hashes of all of them (about)
+LARGE, BLOCK, BLOCK_HASHES = 400, 512, 500_000
 #: a prime above 2**32: products with coefficients below 2**30 stay in a long
 PRIME = 4_294_967_311
 
@@ -32,12 +38,13 @@ def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = 1) -> Column:
     return F.array(*[one(a, b) for a, b in coefficients(n, seed)])
 
 
-def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "text", threshold: float = 0.8, k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, bucket_cap: int = BUCKET_CAP, seed: int = 1) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "text", threshold: float = 0.8, k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, bucket_cap: int = 0, seed: int = 1) -> DataFrame:
     """(row_a, row_b, jaccard) with row_a < row_b: LSH candidates, verified on the exact shingle sets.
 
     Rows with equal shingle sets are one in LSH and are linked to the smallest id of
-    theirs, so copies don't fill buckets. Buckets of more than ``bucket_cap`` different sets are passed
-    over, as in the method reproduced (see ``skipped_buckets``); set 0 for none.
+    theirs, so copies don't fill buckets. Buckets of more than ``LARGE`` different sets are
+    compared in pairs of blocks. With a ``bucket_cap`` those of more sets are passed over, as the
+    method reproduced does at ``BUCKET_CAP`` (``skipped_buckets`` counts them).
     """
     sets = materialize(shingle_hashes(rows.select(F.col(row_id).alias("id"), F.col(text).alias("text")), "text", "set", k).select("id", "set"), "shingles")
     key = F.xxhash64("set")
@@ -45,23 +52,89 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     keyed = sets.withColumn("key", key).withColumn("size", F.size("set")).join(groups, ["key", "size"])
     copies = keyed.where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
     reps = keyed.where("id = rep").select("id", "set")
-    members = lsh_members(reps, n, bands, seed)
-    sized = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}").drop("c")
-    kept = members.join(sized, ["band", "sig"])
+    signed = materialize(lsh_signatures(reps, n, bands, seed), "signatures")
+    members = _exploded(signed)
+    sized = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}")
+    kept = members.join(sized.where(F.col("c") <= LARGE).drop("c"), ["band", "sig"])
     a, b = kept.select("band", "sig", F.col("id").alias("row_a")), kept.select("band", "sig", F.col("id").alias("row_b"))
     candidates = a.join(b, ["band", "sig"]).where("row_a < row_b").select("row_a", "row_b").distinct()
     with_sets = candidates.join(reps.select(F.col("id").alias("row_a"), F.col("set").alias("x")), "row_a").join(reps.select(F.col("id").alias("row_b"), F.col("set").alias("y")), "row_b")
     both = F.size(F.array_intersect("x", "y"))
     jaccard = both / (F.size("x") + F.size("y") - both)
-    return with_sets.select("row_a", "row_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold).unionByName(copies)
+    found = with_sets.select("row_a", "row_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    large = _large_buckets(members.join(sized.where(F.col("c") > LARGE).drop("c"), ["band", "sig"]), reps.join(signed, "id"), threshold)
+    # a pair can meet in a small bucket of one band and in a large one of another
+    return found.unionByName(large).dropDuplicates(["row_a", "row_b"]).unionByName(copies)
+
+
+def _block_pairs(threshold: float):
+    """(row_a, row_b, jaccard) within pairs of blocks. Rows, sorted by bucket and pair: band, sig, lower, upper, own (its block), id, set, sigs."""
+    from strataweave.llm.jaccard_join import overlaps
+
+    def side(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
+        return np.array([r[0] for r in rows], np.int64), flat, np.concatenate([[0], np.cumsum(size)]), np.array([r[3] for r in rows], np.int64)
+
+    def pairs(held: list, band: int, one: bool) -> Iterator[pa.RecordBatch]:
+        a, b = side([r for r in held if r[1]]), side(held if one else [r for r in held if not r[1]])
+        if not len(a[0]) or not len(b[0]):
+            return
+        both = overlaps(a[1], a[2], b[1], b[2])
+        jaccard = both / np.maximum(np.diff(a[2])[:, None] + np.diff(b[2]) - both, 1)
+        x, y = np.nonzero((jaccard >= threshold) & ((a[0][:, None] < b[0]) if one else True))
+        for i in range(0, len(x), 65_536):
+            p, q = x[i : i + 65_536], y[i : i + 65_536]
+            # pairs are put out in the first band that they share
+            first = ~(a[3][p, :band] == b[3][q, :band]).any(1)
+            p, q = p[first], q[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[0][p], b[0][q])), pa.array(np.maximum(a[0][p], b[0][q])), pa.array(jaccard[p, q])], names=["row_a", "row_b", "jaccard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "sig", "lower", "upper", "own", "id")), strict=True)
+            sets, sigs = batch.column("set"), batch.column("sigs")
+            for i, (band, sig, lower, upper, own, row) in enumerate(keys):
+                if last != (band, sig, lower, upper):
+                    if held:
+                        yield from pairs(held, last[0], last[2] == last[3])
+                    held, last = [], (band, sig, lower, upper)
+                held.append((row, own == lower, np.array(sets[i].values, np.int64), np.array(sigs[i].values, np.int64)))
+        if held:
+            yield from pairs(held, last[0], last[2] == last[3])
+
+    return run
+
+
+def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(row_a, row_b, jaccard) of large buckets (band, sig, id) over sets (id, set, sigs): members are dealt into blocks by hash, and each block meets each."""
+    ship(members.sparkSession)
+    sized = members.join(sets.select("id", F.size("set").alias("n")), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES))
+    dealt = sized.join(sized.groupBy("band", "sig").agg(blocks.alias("blocks")), ["band", "sig"])
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    met = dealt.select("band", "sig", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    key = ["band", "sig", "lower", "upper"]
+    met = met.select("band", "sig", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", "id").join(sets, "id")
+    rows = met.select(*key, "own", "id", "set", "sigs").repartition(*key).sortWithinPartitions(*key)
+    return rows.mapInArrow(_block_pairs(threshold), "row_a long, row_b long, jaccard double")
+
+
+def lsh_signatures(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
+    """(id, sigs) of sets (id, set): one signature for each band."""
+    per = n // bands
+    signed = sets.select("id", minhash(F.col("set"), n, seed).alias("h"))
+    return signed.select("id", F.array(*[F.xxhash64(F.slice("h", i * per + 1, per)) for i in range(bands)]).alias("sigs"))
+
+
+def _exploded(signed: DataFrame) -> DataFrame:
+    return signed.select("id", F.posexplode("sigs").alias("band", "sig")).select("band", "sig", "id")
 
 
 def lsh_members(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
     """(band, sig, id) of sets (id, set)."""
-    per = n // bands
-    signed = sets.select("id", minhash(F.col("set"), n, seed).alias("h"))
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("h", i * per + 1, per)).alias("sig")) for i in range(bands)])
-    return signed.select("id", F.explode(parts).alias("p")).select("p.band", "p.sig", "id")
+    return _exploded(lsh_signatures(sets, n, bands, seed))
 
 
 def skipped_buckets(members: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:

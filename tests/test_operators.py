@@ -53,6 +53,21 @@ def test_class_selection(spark):
     assert out["0"] == ([0], False) and out["5"] == ([], True) and out["8"] == ([], False)
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    template = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join([*template[: i % 290], f"w{i}", *template[i % 290 + 1 :]])) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    sets = near_dup.shingle_hashes(df.select(F.col("row_id").alias("id"), "text"), "text")
+    assert near_dup.skipped_buckets(near_dup.lsh_members(sets.select("id", "set"))).first()["buckets"] > 0
+    by_id = {r["id"]: set(r["set"]) for r in sets.collect()}
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    got = {(r["row_a"], r["row_b"]): r["jaccard"] for r in near_dup.near_duplicate_pairs(df).collect()}
+    assert got.keys() == {(a, b) for a in range(500) for b in range(a + 1, 500)}
+    for (a, b), jaccard in list(got.items())[::97]:
+        assert jaccard == len(by_id[a] & by_id[b]) / len(by_id[a] | by_id[b])
+    assert near_dup.near_duplicate_pairs(df, bucket_cap=near_dup.BUCKET_CAP).count() < len(got)
+
+
 def test_near_duplicates_are_symmetric_and_exact(spark):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 500)}" for _ in range(80)] for _ in range(5)]
