@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import Words, gather_ranges, pieces, string_array, strings, trimmed
+from strataweave.llm.textblocks import Words, gather_ranges, pieces, raw, string_array, strings, trimmed
 from strataweave.session import materialize, shared_dir
 
 MAGIC = b"EFTOK1\0\0"
@@ -108,10 +108,16 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t, [{}, {}]
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[bytes, ...]:
+    """The contents of the added tokens, A-Z lower-cased."""
+    tokens = _tokenizer(path)[0].get_added_tokens_decoder().values()
+    return tuple(t.content.encode().lower() for t in tokens if t.content)
+
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
@@ -129,8 +135,43 @@ def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, w.off)
 
 
+def whole_texts(column: pa.Array, added: tuple[bytes, ...]) -> np.ndarray:
+    """Positions of the texts that units can't make up: with the content of an added token (in any case), or a combining mark after a capital, which NFC may compose with the small letter only."""
+    buf, off = raw(column)
+    lower = (buf + np.where((buf >= 65) & (buf <= 90), np.uint8(32), np.uint8(0))).tobytes()
+    found = []
+    for content in added:
+        at = lower.find(content)
+        while at >= 0:
+            found.append(at)
+            at = lower.find(content, at + 1)
+    # marks begin at U+0300, whose first byte is 0xCC
+    after = np.flatnonzero((buf[:-1] - np.uint8(65) < 26) & (buf[1:] >= 0xCC))
+    rows = np.unique(np.searchsorted(off, after, "right") - 1)
+    marked = np.asarray(pc.match_substring_regex(column.take(pa.array(rows)), r"[A-Z]\p{M}"), bool)
+    return np.union1d(rows[marked], np.searchsorted(off, np.array(found, np.int64), "right") - 1).astype(np.int64)
+
+
 def encode_words(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids per text) of a column without nulls, ``end_id`` after each text.
+    """(ids, ids per text) of a column without nulls, ``end_id`` after each text: what the tokenizer gives for each whole text.
+
+    Texts are encoded by units, but for those of ``whole_texts``.
+    """
+    whole = whole_texts(column, _added(tokenizer_path))
+    if not len(whole):
+        return _encode_units(column, tokenizer_path, end_id)
+    mask = np.zeros(len(column), bool)
+    mask[whole] = True
+    ids, n = _encode_units(pc.if_else(pa.array(mask), "", column), tokenizer_path, end_id)
+    got = _tokenizer(tokenizer_path)[0].encode_batch_fast(column.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+    size = np.array([len(e.ids) for e in got], np.int64)
+    ids = np.insert(ids, np.repeat(np.cumsum(n)[whole] - 1, size), np.concatenate([np.array(e.ids, ids.dtype) for e in got]))
+    n[whole] += size
+    return ids, n
+
+
+def _encode_units(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_words``, by units alone.
 
     For tokenizers that lower-case, drop white space and part letters from signs before
     the merges: then no token spans two units, and each distinct unit of the block

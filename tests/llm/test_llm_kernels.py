@@ -104,6 +104,20 @@ def test_encode_words_equals_whole_text():
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids + [1]
 
 
+def test_encode_words_equals_an_untouched_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["plain Text.", "a <|endoftext|> b", "", "a <|ENDOFTEXT|> b", "x<|startoftext|><|endoftext|>", "H\u0331 T\u0308 J\u030c", "É\u0331 A漢 KÉ", "A\u030a<|endoftext", "|> b", "Z\u200d\u0301 W=\u0338"]
+    for some in (texts, texts[::-1], texts[:1], texts[1:2]):
+        ids, n = token_store.encode_words(pa.array(some), path, 1)
+        at = np.concatenate([[0], np.cumsum(n)])
+        for i, x in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids + [1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abé1.' \n\t\u3000\xa0\x1c\u200b"), max_size=60))
 def test_bpe_pieces_equal_whole_text(text):
