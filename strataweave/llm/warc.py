@@ -4,7 +4,8 @@ Every record is a gzip member of its own (WARC/1.1). Equal payloads are stored
 once; the others are revisit records, which keep the HTTP header and so the
 payload's length. The reader checks each member; after a failure it looks for the
 next gzip member or version line that parses, goes on there, and logs the bytes
-in between as a quarantined gap.
+in between as a quarantined gap. Within a member, also of one that is damaged or cut
+short, it goes on at the next version line of what inflates; such gaps have the member's place.
 """
 
 from __future__ import annotations
@@ -114,51 +115,120 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return r, stop + 4
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
+CHUNK = 65_536
+
+
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What inflates of the member at ``at``, where it ends, and why it ends too soon (empty: it does not)."""
     z = zlib.decompressobj(31)
     out, i = [], at
     try:
         while not z.eof:
             if i >= len(data):
-                raise _Bad("the member is cut short")
-            out.append(z.decompress(data[i : i + 65536]))
-            i = min(i + 65536, len(data))
+                return b"".join(out), i, "the member is cut short"
+            out.append(z.decompress(data[i : i + CHUNK]))
+            i = min(i + CHUNK, len(data))
     except zlib.error as e:
-        raise _Bad(f"gzip: {e}") from None
-    return b"".join(out), i - len(z.unused_data)
+        return b"".join(out) + _until_error(data, at, i), i, f"gzip: {e}"
+    return b"".join(out), i - len(z.unused_data), ""
+
+
+def _until_error(data: memoryview, at: int, chunk: int) -> bytes:
+    """What the chunk of the member at ``at`` gives, byte by byte, before it fails."""
+    z = zlib.decompressobj(31)
+    for i in range(at, chunk, CHUNK):
+        z.decompress(data[i : i + CHUNK])
+    out = []
+    try:
+        for i in range(chunk, min(chunk + CHUNK, len(data))):
+            out.append(z.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _inflated_to(data: memoryview, at: int, size: int) -> int:
+    """Where the bytes end from which the member at ``at`` gives its first ``size``."""
+    z, done, i = zlib.decompressobj(31), 0, at
+    while i < len(data):
+        before = z.copy()
+        try:
+            n = len(z.decompress(data[i : i + CHUNK]))
+        except zlib.error:
+            n = size
+        if done + n >= size:
+            while done < size:
+                done += len(before.decompress(data[i : i + 1]))
+                i += 1
+            return i
+        done, i = done + n, min(i + CHUNK, len(data))
+    return i
+
+
+def _inside(plain: bytes, at: int, end: int) -> tuple[list[Record | Gap], int]:
+    """Records and gaps of the inflated member [at, end) of a file, and where the last record ends in ``plain``."""
+    found: list[Record | Gap] = []
+    i, lost, why, last = 0, -1, "", 0
+    gap = lambda stop: Gap(at, end, f"{why} (bytes {lost} to {stop} inflated)")
+    while i < len(plain):
+        try:
+            r, stop = _parse(plain, i)
+        except _Bad as e:
+            if lost < 0:
+                lost, why = i, str(e)
+            version = _VERSION.search(plain, i + 1)
+            i = version.start() if version else len(plain)
+            continue
+        if lost >= 0:
+            found.append(gap(i))
+            lost = -1
+        r.offset = at
+        found.append(r)
+        i = last = stop
+    if lost >= 0:
+        found.append(gap(len(plain)))
+    return found, last
 
 
-def _member(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int]:
+def _member(data: bytes, view: memoryview, at: int) -> tuple[list[Record | Gap], int, str]:
+    """Records and gaps of the member or record at ``at``, where to go on, and why the rest of the member can't be read (empty: all is read)."""
     if data.startswith(_GZIP, at):
-        plain, end = _inflate(view, at)
-        found, i = [], 0
-        while i < len(plain):
-            r, i = _parse(plain, i)
-            r.offset = at
-            found.append(r)
-        if not found:
-            raise _Bad("an empty member")
-        return found, end
+        plain, end, error = _inflate(view, at)
+        found, last = _inside(plain, at, end)
+        if not last:
+            raise _Bad(error or (found[0].reason if found else "an empty member"))
+        if error:
+            if isinstance(found[-1], Gap):  # part of the gap that follows
+                found.pop()
+            return found, _inflated_to(view, at, last), error
+        return found, end, ""
     r, end = _parse(data, at)
-    return [r], end
+    return [r], end, ""
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records that can be read, and the gaps between them, in file order."""
     view, at, lost, why = memoryview(data), 0, -1, ""
+
+    def following(first: int) -> int:
+        gz, version = data.find(_GZIP, first), _VERSION.search(data, first)
+        return min((x for x in (gz, version.start() if version else -1) if x >= first), default=len(data))
+
     while at < len(data):
         try:
-            found, end = _member(data, view, at)
+            found, end, error = _member(data, view, at)
         except _Bad as e:
             if lost < 0:
                 lost, why = at, str(e)
-            gz, version = data.find(_GZIP, at + 1), _VERSION.search(data, at + 1)
-            at = min((x for x in (gz, version.start() if version else -1) if x > at), default=len(data))
+            at = following(at + 1)
             continue
         if lost >= 0:
             yield Gap(lost, at, why)
             lost = -1
         yield from found
+        if error:  # what is left of the member is a gap
+            lost, why = at, error
+            end = following(end)
         at = end
     if lost >= 0:
         yield Gap(lost, len(data), why)

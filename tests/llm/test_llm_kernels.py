@@ -173,3 +173,31 @@ def test_salvage():
     plain = gzip.decompress(records[0])
     assert [type(x).__name__ for x in warc.salvage(b"junk" + plain + plain[:30])] == ["Gap", "Record", "Gap"]
     assert list(warc.salvage(b"")) == []
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_a_member(level):
+    import gzip
+
+    noise = random.Random(4)
+    plains = [gzip.decompress(warc.record("response", i, f"http://x/{i}", bytes(noise.choices(range(256), k=9000)), None)) for i in range(30)]
+    at = np.cumsum([0, *map(len, plains)])
+    kept = lambda data: [int(r.headers["warc-record-id"][12:-1]) for r in warc.salvage(data) if isinstance(r, warc.Record)]
+    gaps = lambda data: [(g.offset, g.end) for g in warc.salvage(data) if isinstance(g, warc.Gap)]
+    whole = bytearray(b"".join(plains))
+    assert kept(gzip.compress(bytes(whole), level)) == list(range(30))
+    whole[at[7] + 600] ^= 1
+    one = gzip.compress(bytes(whole), level)
+    after = warc.record("response", 99, "http://x/99", b"after", None)
+    # one bad record in a member
+    assert kept(one + after) == [*range(7), *range(8, 30), 99]
+    assert gaps(one + after) == [(0, len(one))]
+    # a wrong checksum besides
+    bad = one[:-8] + bytes(4) + one[-4:]
+    assert kept(bad + after) == [*range(7), *range(8, 30), 99] and (0, len(bad)) in gaps(bad + after)
+    # the end cut off
+    assert kept(one[: len(one) * 2 // 3])[:18] == [*range(7), *range(8, 19)]
+    # a stream that fails midway keeps what is before
+    torn = one[: len(one) // 2] + b"\xff" * 200_000
+    got = kept(torn + after)
+    assert got[:12] == [*range(7), *range(8, 13)] and got[-1] == 99 and len(set(got)) == len(got)
