@@ -44,16 +44,27 @@ def a5_audit_index(spark, sf_dir):
     return named.select(order)
 
 
-@query("a6_annotation_scan", """
-select source || '/' || doc_id::varchar || '.sol' as rel_path, 'SWC-' || (100 + doc_id % 37)::varchar as category, 'L' || (doc_id % 9)::varchar as line_field from documents where doc_id % 25 = 0""")
-def a6_annotation_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 25 = 0")
+def _number(path: str):
+    return F.regexp_extract(path, r"/(\d+)(\.sol)?$", 1).cast("long")
+
+
+def annotations(spark, sf_dir):
+    """The annotations of all documents, written as one JSON file each, in bucket folders, and scanned."""
+    docs = table(spark, sf_dir, "documents")
     note = F.struct(F.concat(F.lit("SWC-"), (F.col("doc_id") % 37 + 100).cast("string")).alias("category"), F.concat(F.lit("L"), (F.col("doc_id") % 9).cast("string")).alias("lineNumber"))
     at = _fresh(spark, "annotations")
-    docs.select("doc_id", F.concat(F.lit("root/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("filePath"), F.array(note).alias("SWCs")).write.partitionBy("doc_id").json(at)
+    files = docs.select(F.pmod("doc_id", F.lit(256)).alias("bucket"), F.concat(F.lit("root/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("filePath"), F.array(note).alias("SWCs"))
+    files.repartition("bucket").write.option("maxRecordsPerFile", 1).partitionBy("bucket").json(at)
     return src.read_annotations(spark, at, "root/")
 
 
+@query("a6_annotation_scan", """
+select source || '/' || doc_id::varchar || '.sol' as rel_path, 'SWC-' || (100 + doc_id % 37)::varchar as category, 'L' || (doc_id % 9)::varchar as line_field from documents where doc_id % 25 = 0""")
+def a6_annotation_scan(spark, sf_dir):
+    # all are written and scanned; the twin lists these
+    return annotations(spark, sf_dir).where(_number("rel_path") % 25 == 0)
+
+
 @query("a7_b1_table_round_trip", "select lang, count(*) as files, sum(n_chars)::bigint as n_chars from documents where source = 'src1' group by lang")
 def a7_b1_table_round_trip(spark, sf_dir):
     at = _fresh(spark, "table")
@@ -90,13 +101,18 @@ def a11_results_scan(spark, sf_dir):
     return raw.where("dataset.max_samples is null").select("run", "f1", "macro_ap")
 
 
-@query("b3_excluded_csv", "select source || '/' || doc_id::varchar as rel_path, 'only_rare_classes' as reason, lang as swc from documents where doc_id % 97 = 0")
-def b3_excluded_csv(spark, sf_dir):
+def excluded_rows(spark, sf_dir):
     at = _fresh(spark, "excluded")
-    sinks.write_csv(labelled(spark, sf_dir).where("row_id % 97 = 0").select("rel_path", F.lit("only_rare_classes").alias("reason"), F.col("lang").alias("swc")), at)
+    sinks.write_csv(labelled(spark, sf_dir).select("rel_path", F.lit("only_rare_classes").alias("reason"), F.col("lang").alias("swc")), at)
     return spark.read.schema("rel_path string, reason string, swc string").option("header", "true").csv(at)
 
 
+@query("b3_excluded_csv", "select source || '/' || doc_id::varchar as rel_path, 'only_rare_classes' as reason, lang as swc from documents where doc_id % 97 = 0")
+def b3_excluded_csv(spark, sf_dir):
+    # all rows go out and come back; the twin lists these
+    return excluded_rows(spark, sf_dir).where(_number("rel_path") % 97 == 0)
+
+
 _COEFFICIENTS = near_dup.coefficients(8, 1)
 _HASHES = "list_transform(range(20), lambda i: (doc_id * 7919 + i * 104729) % 4294967296)"
 

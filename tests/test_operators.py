@@ -86,6 +86,22 @@ def test_near_duplicates_are_symmetric_and_exact(spark):
         assert r["row_a"] < r["row_b"] and abs(r["jaccard"] - len(a & b) / len(a | b)) < 1e-9 and r["jaccard"] >= 0.8
 
 
+def test_all_documents_are_written_and_scanned(spark):
+    from strataweave.plans import io_queries
+    from strataweave.session import table
+
+    at = "/root/testdata/sf0.001"
+    paths = sorted(f"{r['source']}/{r['doc_id']}" for r in table(spark, at, "documents").select("doc_id", "source").collect())
+    scanned = io_queries.annotations(spark, at).collect()
+    assert sorted(r["rel_path"] for r in scanned) == sorted(f"{p}.sol" for p in paths)
+    for r in scanned:
+        n = int(r["rel_path"].split("/")[-1][:-4])
+        assert (r["category"], r["line_field"]) == (f"SWC-{100 + n % 37}", f"L{n % 9}")
+    assert sorted(r["rel_path"] for r in io_queries.excluded_rows(spark, at).collect()) == paths
+    want = [p for p in paths if int(p.split("/")[-1]) % 25 == 0]
+    assert sorted(r["rel_path"] for r in io_queries.a6_annotation_scan(spark, at).collect()) == sorted(f"{p}.sol" for p in want)
+
+
 def test_capped_groups(spark):
     rows = spark.createDataFrame([(i, "abcd"[i // 3]) for i in range(12)], "row_id long, codebase string")
     pairs = spark.createDataFrame([(0, 3, 0.9), (3, 6, 0.95), (6, 9, 0.85)], "row_a long, row_b long, jaccard double")
