@@ -74,8 +74,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.warc import plan_records, read_archives, write_archives
 
     ship(spark)
-    read = read_archives(write_archives(plan_records(table(spark, sf_dir, "pages"))), with_payload=False).where("record_type is not null")
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
+    read = read_archives(write_archives(plan_records(table(spark, sf_dir, "pages"))), with_payload=False)
+    # these archives are its own: a gap in them is an error
+    lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "gap_reason")).cast("boolean")
+    return read.where(F.when(F.col("gap_reason").isNotNull(), lost).otherwise(F.lit(True))).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

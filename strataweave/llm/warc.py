@@ -28,7 +28,6 @@ from strataweave.session import materialize, shared_dir
 #: fixed, so that equal input gives equal archives
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 32 << 20
-MAX_HEADER = 1 << 20
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _GZIP = b"\x1f\x8b\x08"
 
@@ -92,7 +91,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     """The record whose version line begins at ``at``, and where it ends."""
     if not _VERSION.match(data, at):
         raise _Bad("no version line")
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise _Bad("the header does not end")
     headers = _fields(data[at:end])

@@ -240,6 +240,15 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(warc.plan_records(none))).count() == 0
 
 
+def test_warc_keeps_long_urls(spark, tmp_path):
+    given = [(1, "http://a/" + "x" * (3 << 19), "same"), (2, "http://b/", "same"), (3, "http://c/", "other")]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["refers_to"], r["gap_reason"]) for r in warc.read_archives(warc.write_archives(warc.plan_records(pages))).collect()}
+    assert got == {1: (given[0][1], None, None), 2: ("http://b/", 1, None), 3: ("http://c/", None, None)}
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"] for r in queries.op5_warc(spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
 def test_url_filters(spark):
     link = lambda u: f'<head><link rel="canonical" href="{u}"></head>'
     given = [
