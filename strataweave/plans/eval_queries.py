@@ -357,9 +357,9 @@ def j10_length_regression(spark, sf_dir):
 def j9_tfidf_regression(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("labels"))
     train = docs.where("row_id % 5 > 1")
-    weights = features.tfidf(docs, train, max_features=500)
-    vecs = docs.select("row_id", "labels").join(features.vectors(weights, features.term_ids(weights), 500), "row_id").cache()
-    fit = features.run_linear(vecs.where("row_id % 5 > 1"), vecs.where("row_id % 5 = 1"), vecs.where("row_id % 5 = 0"), [0], grid=(1.0,))
+    weights = features.tfidf(docs, train, max_features=200_000)
+    vecs = docs.select("row_id", "labels").join(features.vectors(weights, features.term_ids(weights), 200_000), "row_id").cache()
+    fit = features.run_linear(vecs.where("row_id % 5 > 1"), vecs.where("row_id % 5 = 1"), vecs.where("row_id % 5 = 0"), [0])
     return metrics.macro_average_precision(fit["test"], score="logit").select(F.round("macro_ap", 4).alias("macro_ap"))
 
 

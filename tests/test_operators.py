@@ -102,6 +102,18 @@ def test_all_documents_are_written_and_scanned(spark):
     assert sorted(r["rel_path"] for r in io_queries.a6_annotation_scan(spark, at).collect()) == sorted(f"{p}.sol" for p in want)
 
 
+def test_regression_takes_all_terms_and_the_grid(spark, monkeypatch):
+    from strataweave.operators import features
+    from strataweave.plans import eval_queries
+
+    seen = {}
+    make, fit = features.vectors, features.run_linear
+    monkeypatch.setattr(features, "vectors", lambda w, ids, size: seen.update(size=size) or make(w, ids, size))
+    monkeypatch.setattr(features, "run_linear", lambda *a, grid=features.C_GRID, **k: seen.update(grid=grid) or fit(*a, grid=grid, **k))
+    assert 0 <= eval_queries.j9_tfidf_regression(spark, "/root/testdata/sf0.001").first()["macro_ap"] <= 1
+    assert seen == {"size": 200_000, "grid": (0.1, 1.0, 10.0)}
+
+
 def test_capped_groups(spark):
     rows = spark.createDataFrame([(i, "abcd"[i // 3]) for i in range(12)], "row_id long, codebase string")
     pairs = spark.createDataFrame([(0, 3, 0.9), (3, 6, 0.95), (6, 9, 0.85)], "row_a long, row_b long, jaccard double")
