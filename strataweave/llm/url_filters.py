@@ -50,13 +50,27 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.action")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, without its ``.`` and ``..`` segments."""
+    segments = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    left = F.aggregate(segments, F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(left) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(left, "/"), end)).otherwise(path)
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the target of its canonical link or meta refresh; targets without a host are taken on the page's own."""
+    """(a, b): a page's url and the targets of all its canonical links and meta refreshes; targets without a host are resolved against the page's url."""
     host, path, query = url_parts(F.col(url))
-    here = pages.select(F.col(html).alias("_html"), host.alias("_host"), node(host, path, query).alias("a")).where(F.col("_html").rlike(CANONICAL[0]) | F.col("_html").rlike(REFRESH[0]))
-    target = lambda tag, attr: F.regexp_extract(F.regexp_extract("_html", tag, 0), attr, 1)
-    found = here.select("_host", "a", F.explode(F.array(target(*CANONICAL), target(*REFRESH))).alias("t")).where("t != ''")
-    full = F.when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), F.col("_host"), F.col("t"))).otherwise(F.col("t"))
+    here = pages.select(F.col(html).alias("_html"), host.alias("_host"), path.alias("_path"), query.alias("_query"), node(host, path, query).alias("a")).where(F.col("_html").rlike(CANONICAL[0]) | F.col("_html").rlike(REFRESH[0]))
+    targets = lambda tag, attr: F.transform(F.regexp_extract_all("_html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, attr, 1))
+    found = here.select("_host", "_path", "_query", "a", F.explode(F.concat(targets(*CANONICAL), targets(*REFRESH))).alias("t")).where("t != ''")
+    t, p, rest = F.col("t"), F.regexp_extract("t", r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract("t", r"(?s)^([^?#]*)(.*)$", 2)
+    folder = F.when(F.col("_path") == "", "/").otherwise(F.regexp_extract("_path", r"(?s)^(.*/)", 1))
+    merged = F.when(p.startswith("/"), p).otherwise(F.concat(folder, p))
+    own = F.concat(F.lit("http://"), F.col("_host"))
+    resolved = F.when(t.startswith("#"), F.concat(own, "_path", "_query")).when(t.startswith("?"), F.concat(own, "_path", t)).otherwise(F.concat(own, _without_dots(merged), rest))
+    full = F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).otherwise(resolved)
     h, p, q = url_parts(full)
     return found.select("a", node(h, p, q).alias("b")).where("a != '' and b != ''")
 

@@ -270,6 +270,19 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(pages, url_filters.rules_table(spark, []), url_filters.link_edges(pages)).where("verdict = 'block'").count() == 0
 
 
+def test_relative_and_repeated_targets(spark):
+    from urllib.parse import urljoin
+
+    page = "http://A.org/d/e/p.html?q=1"
+    targets = ["page2.html", "?id=3", "../x", "./y/", "../../../z?a=/../b", "..", "#f", "/r/../s", "//b.org/t", "https://c.org/u", "?u=http://d.org/", "mailto:me"]
+    html = "".join(f'<link rel="canonical" href="{t}"><meta http-equiv="refresh" content="0; url={t}2">' for t in targets)
+    bare = '<link href="v" rel="canonical">'
+    pages = spark.createDataFrame([(1, page, html), (2, "http://e.org", bare)], "page_id long, url string, html string")
+    full = [urljoin("http://a.org/d/e/p.html?q=1", t + end) for t in targets for end in ("", "2") if not t.startswith("mailto")]
+    want = {("a.org/d/e/p.html?q=1", u.partition("://")[2].partition("#")[0]) for u in full} | {("e.org", "e.org/v")}
+    assert set(map(tuple, url_filters.link_edges(pages).collect())) == want
+
+
 def test_identified(spark, docs, odd):
     same, none = identity.identified(docs)
     assert none is None and same.where("_rid != doc_id").count() == 0
