@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import bound, normalize_code, shingles, words
+from strataweave.functions.text import bound, normalize_code, shingles, strip_comments, words
+from strataweave.operators.overlaps import overlaps
 from strataweave.session import materialize, ship
 
 #: BUCKET_CAP is the cap of the method reproduced, for callers that ask for it
@@ -38,42 +41,102 @@ def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = 1) -> Column:
     return F.array(*[one(a, b) for a, b in coefficients(n, seed)])
 
 
+def gram_sets(tokens: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the sorted distinct CRC-32 of the k-token shingles of texts given as tokens joined by a space; with fewer tokens the whole text is one."""
+    out, size = [], np.zeros(len(tokens), np.int64)
+    for i, value in enumerate(tokens):
+        data = value.as_buffer()
+        flat = np.frombuffer(data, np.uint8)
+        cut = np.flatnonzero(flat == 32)
+        start, end = np.append(0, cut + 1), np.append(cut, len(flat))
+        n = max(len(start) - k + 1, 1)
+        view = memoryview(data)
+        crc = [zlib.crc32(view[a:b]) for a, b in zip(start[:n].tolist(), end[min(k, len(end)) - 1 :].tolist(), strict=True)]
+        out.append(np.unique(np.array(crc, np.uint32)))
+        size[i] = len(out[-1])
+    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)])
+
+
+def minima(hashes: np.ndarray, off: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(sets, n): as ``minhash``, for sets that are not empty."""
+    h = hashes.astype(np.uint64)
+    out = np.empty((len(off) - 1, n), np.int64)
+    for j, (a, b) in enumerate(coefficients(n, seed)):
+        out[:, j] = np.minimum.reduceat((h * np.uint64(a) + np.uint64(b)) % np.uint64(PRIME), off[:-1])
+    return out
+
+
+def _sign(k: int, n: int, bands: int, seed: int):
+    """(id, n, k1, k2, set, sigs) of (id, tokens): the set as bytes of uint32, two hashes of it, and a signature for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                hashes, off = gram_sets(batch.column("tokens"), k)
+                raw = [hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+                both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
+                rows = np.ascontiguousarray(minima(hashes, off, n, seed)).reshape(len(raw), bands, -1)
+                sigs = [[xxhash.xxh3_64_intdigest(band.tobytes()) - (1 << 63) for band in row] for row in rows]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(raw, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "set", "sigs"])
+
+    return run
+
+
+def signed_sets(rows: DataFrame, row_id: str = "row_id", text: str = "text", k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
+    """(id, n, k1, k2, set, sigs): every text's shingle set with its band signatures; numpy over the tokens that SQL finds."""
+    ship(rows.sparkSession)
+    # white space parts tokens whether collapsed or not
+    joined = F.array_join(words(strip_comments(F.coalesce(F.col(text), F.lit("")))), " ")
+    return rows.select(F.col(row_id).cast("long").alias("id"), joined.alias("tokens")).mapInArrow(_sign(k, n, bands, seed), "id long, n long, k1 long, k2 long, set binary, sigs array<long>")
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = np.empty(batch.num_rows)
+        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            out[i] = both / (len(x) + len(y) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("row_a"), batch.column("row_b"), pa.array(out)], names=["row_a", "row_b", "jaccard"])
+
+
 def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "text", threshold: float = 0.8, k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, bucket_cap: int = 0, seed: int = 1) -> DataFrame:
     """(row_a, row_b, jaccard) with row_a < row_b: LSH candidates, verified on the exact shingle sets.
 
     Rows with equal shingle sets are one in LSH and are linked to the smallest id of
-    theirs, so copies don't fill buckets. Buckets of more than ``LARGE`` different sets are
-    compared in pairs of blocks. With a ``bucket_cap`` those of more sets are passed over, as the
-    method reproduced does at ``BUCKET_CAP`` (``skipped_buckets`` counts them).
+    theirs, so copies don't fill buckets. Pairs whose sizes rule out the threshold are no candidates. Buckets of
+    more than ``LARGE`` different sets are compared in pairs of blocks. With a ``bucket_cap`` those of
+    more sets are passed over, as the method reproduced does at ``BUCKET_CAP`` (``skipped_buckets`` counts them).
+    Null texts count as empty; ids must be unique.
     """
-    sets = materialize(shingle_hashes(rows.select(F.col(row_id).alias("id"), F.col(text).alias("text")), "text", "set", k).select("id", "set"), "shingles")
-    key = F.xxhash64("set")
-    groups = sets.groupBy(key.alias("key"), F.size("set").alias("size")).agg(F.min("id").alias("rep"))
-    keyed = sets.withColumn("key", key).withColumn("size", F.size("set")).join(groups, ["key", "size"])
-    copies = keyed.where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
-    reps = keyed.where("id = rep").select("id", "set")
-    signed = materialize(lsh_signatures(reps, n, bands, seed), "signatures")
-    members = _exploded(signed)
-    sized = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}")
-    kept = members.join(sized.where(F.col("c") <= LARGE).drop("c"), ["band", "sig"])
-    a, b = kept.select("band", "sig", F.col("id").alias("row_a")), kept.select("band", "sig", F.col("id").alias("row_b"))
-    candidates = a.join(b, ["band", "sig"]).where("row_a < row_b").select("row_a", "row_b").distinct()
-    with_sets = candidates.join(reps.select(F.col("id").alias("row_a"), F.col("set").alias("x")), "row_a").join(reps.select(F.col("id").alias("row_b"), F.col("set").alias("y")), "row_b")
-    both = F.size(F.array_intersect("x", "y"))
-    jaccard = both / (F.size("x") + F.size("y") - both)
-    found = with_sets.select("row_a", "row_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    large = _large_buckets(members.join(sized.where(F.col("c") > LARGE).drop("c"), ["band", "sig"]), reps.join(signed, "id"), threshold)
+    signed = materialize(signed_sets(rows, row_id, text, k, n, bands, seed), "signatures")
+    groups = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    copies = signed.select("id", "k1", "k2").join(groups.where("c > 1").drop("c"), ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
+    reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    members = reps.select("id", "n", F.posexplode("sigs").alias("band", "sig"))
+    counted = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}")
+    shared = materialize(members.join(counted, ["band", "sig"]), "buckets")
+    small = shared.where(F.col("c") <= LARGE)
+    side = lambda end: small.select("band", "sig", F.col("id").alias(f"row_{end}"), F.col("n").alias(f"n_{end}"))
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
+    candidates = side("a").join(side("b"), ["band", "sig"]).where((F.col("row_a") < F.col("row_b")) & near).select("row_a", "row_b").distinct()
+    with_sets = candidates.join(signed.select(F.col("id").alias("row_a"), F.col("set").alias("x")), "row_a").join(signed.select(F.col("id").alias("row_b"), F.col("set").alias("y")), "row_b")
+    found = with_sets.select("row_a", "row_b", "x", "y").mapInArrow(_jaccard, "row_a long, row_b long, jaccard double").where(F.col("jaccard") >= threshold)
+    large = _large_buckets(shared.where(F.col("c") > LARGE).select("band", "sig", "id", "n"), signed.select("id", "set", "sigs"), threshold)
     # a pair can meet in a small bucket of one band and in a large one of another
     return found.unionByName(large).dropDuplicates(["row_a", "row_b"]).unionByName(copies)
 
 
 def _block_pairs(threshold: float):
     """(row_a, row_b, jaccard) within pairs of blocks. Rows, sorted by bucket and pair: band, sig, lower, upper, own (its block), id, set, sigs."""
-    from strataweave.llm.jaccard_join import overlaps
 
     def side(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = np.array([len(r[2]) for r in rows], np.int64)
-        flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
+        flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.uint32)
         return np.array([r[0] for r in rows], np.int64), flat, np.concatenate([[0], np.cumsum(size)]), np.array([r[3] for r in rows], np.int64)
 
     def pairs(held: list, band: int, one: bool) -> Iterator[pa.RecordBatch]:
@@ -100,7 +163,7 @@ def _block_pairs(threshold: float):
                     if held:
                         yield from pairs(held, last[0], last[2] == last[3])
                     held, last = [], (band, sig, lower, upper)
-                held.append((row, own == lower, np.array(sets[i].values, np.int64), np.array(sigs[i].values, np.int64)))
+                held.append((row, own == lower, np.frombuffer(sets[i].as_buffer(), np.uint32), np.array(sigs[i].values, np.int64)))
         if held:
             yield from pairs(held, last[0], last[2] == last[3])
 
@@ -108,11 +171,9 @@ def _block_pairs(threshold: float):
 
 
 def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(row_a, row_b, jaccard) of large buckets (band, sig, id) over sets (id, set, sigs): members are dealt into blocks by hash, and each block meets each."""
-    ship(members.sparkSession)
-    sized = members.join(sets.select("id", F.size("set").alias("n")), "id")
+    """(row_a, row_b, jaccard) of large buckets (band, sig, id, n) over sets (id, set, sigs): members are dealt into blocks by hash, and each block meets each."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES))
-    dealt = sized.join(sized.groupBy("band", "sig").agg(blocks.alias("blocks")), ["band", "sig"])
+    dealt = members.join(members.groupBy("band", "sig").agg(blocks.alias("blocks")), ["band", "sig"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     met = dealt.select("band", "sig", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     key = ["band", "sig", "lower", "upper"]
@@ -121,20 +182,11 @@ def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> Dat
     return rows.mapInArrow(_block_pairs(threshold), "row_a long, row_b long, jaccard double")
 
 
-def lsh_signatures(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """(id, sigs) of sets (id, set): one signature for each band."""
+def lsh_members(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
+    """(band, sig, id) of sets (id, set) of hashes as arrays, by SQL functions."""
     per = n // bands
     signed = sets.select("id", minhash(F.col("set"), n, seed).alias("h"))
-    return signed.select("id", F.array(*[F.xxhash64(F.slice("h", i * per + 1, per)) for i in range(bands)]).alias("sigs"))
-
-
-def _exploded(signed: DataFrame) -> DataFrame:
-    return signed.select("id", F.posexplode("sigs").alias("band", "sig")).select("band", "sig", "id")
-
-
-def lsh_members(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """(band, sig, id) of sets (id, set)."""
-    return _exploded(lsh_signatures(sets, n, bands, seed))
+    return signed.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("h", i * per + 1, per)) for i in range(bands)])).alias("band", "sig")).select("band", "sig", "id")
 
 
 def skipped_buckets(members: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:

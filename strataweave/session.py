@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,35 +62,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a local one is set up."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a local one is set up, but only for a local master: executors elsewhere would not see it."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="strataweave-shared")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return f"{at.rstrip('/')}/strataweave-{sc.applicationId}"
 
 
+_WIDTH = "spark.sql.shuffle.partitions"
+#: bytes of text for each shuffle partition, about
+TASK_BYTES = 64 << 20
+
+
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Within it, shuffle files are dropped at the end of each query instead of at a later GC."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, **values: str | None):
+    """Within it these settings hold (dots as ``__``; None: as before)."""
+    values = {k.replace("__", "."): v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
+def materialize(df: DataFrame, name: str, width: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
+    Shuffles before it have ``width`` partitions, or the session's number if that is more; their files go when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    with freed_shuffles(spark):
+    wider = str(width) if width > int(spark.conf.get(_WIDTH)) else None
+    with _settings(spark, **{_CLEANUP: "true", _WIDTH: wider}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,7 +122,14 @@ def forget(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def shuffle_width(df: DataFrame, bytes_per_task: int, total_bytes: int) -> int:
-    """Tasks for so many bytes: at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-total_bytes // bytes_per_task))
+def shuffle_width(docs: DataFrame, text: str = "text", bytes_per_task: int = TASK_BYTES) -> int:
+    """Shuffle partitions for a text column, by its bytes: as many as keep a task at ``bytes_per_task``."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return -(-total // bytes_per_task)
+
+
+def dealt(df: DataFrame, width: int, *columns) -> DataFrame:
+    """``df`` repartitioned by columns, over ``width`` partitions if the session has fewer; else AQE may join small ones."""
+    if width > int(df.sparkSession.conf.get(_WIDTH)):
+        return df.repartition(width, *columns)
+    return df.repartition(*columns)
