@@ -106,7 +106,9 @@ def materialize(df: DataFrame, name: str, width: int = 0) -> DataFrame:
     wider = str(width) if width > int(spark.conf.get(_WIDTH)) else None
     with _settings(spark, **{_CLEANUP: "true", _WIDTH: wider}):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -118,8 +120,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def forget(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that ``materialize`` gave."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
+    drop_path(df.sparkSession, df._stored_at)
 
 
 def shuffle_width(docs: DataFrame, text: str = "text", bytes_per_task: int = TASK_BYTES) -> int:
