@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.identity import RID, given_rows, identified
 from strataweave.llm.textblocks import U, Words, gram_hashes, inside, mix, pieces, raw, string_array, strings, trimmed
 from strataweave.operators.graph import connected_components
+from strataweave.operators.overlaps import overlaps
 from strataweave.session import forget, materialize
 
 GRAM, PERCENT = 4, 85
@@ -49,8 +50,8 @@ BITS = 512
 NEAR, NEAREST = 128, 4
 #: of the wide bitmap's width, the power of two at most
 WIDEST = 17
-#: sets in a block of a component whose links are counted, and tokens of all of them (about); columns of a product
-BLOCK, BLOCK_TOKENS, COLUMNS = 512, 500_000, 4096
+#: sets in a block of a component whose links are counted, and tokens of all of them (about)
+BLOCK, BLOCK_TOKENS = 512, 500_000
 _LANES = BITS // 64
 
 
@@ -410,27 +411,6 @@ def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percen
 # -- numbers of links ----------------------------------------------------------------
 
 
-def overlaps(a: np.ndarray, off_a: np.ndarray, b: np.ndarray, off_b: np.ndarray) -> np.ndarray:
-    """Tokens in common of each set of a and each set of b: products of 0/1 matrices, some tokens at a time."""
-    shared = np.intersect1d(a, b)
-    both = np.zeros((len(off_a) - 1, len(off_b) - 1), np.int64)
-    sides = []
-    for tokens, off in ((a, off_a), (b, off_b)):
-        column = np.searchsorted(shared, tokens)
-        known = column < len(shared)
-        known[known] = shared[column[known]] == tokens[known]
-        column, row = column[known], np.repeat(np.arange(len(off) - 1), np.diff(off))[known]
-        order = np.argsort(column, kind="stable")
-        sides.append((row[order], column[order], len(off) - 1))
-    for i in range(0, len(shared), COLUMNS):
-        x, y = (np.zeros((n, min(COLUMNS, len(shared) - i)), np.float32) for _, _, n in sides)
-        for m, (row, column, _) in zip((x, y), sides, strict=True):
-            at = slice(*np.searchsorted(column, [i, i + COLUMNS]))
-            m[row[at], column[at] - i] = 1
-        both += (x @ y.T).astype(np.int64)
-    return both
-
-
 def _count_links(k: int, percent: int):
     """(_rid, n_links) of sets within pairs of blocks. Rows, sorted by component and pair: component, lower, upper, own (its block), _rid, text."""
 

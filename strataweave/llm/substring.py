@@ -9,12 +9,13 @@ Segments with the words of an earlier one in their block of documents are settle
 there and don't meet in the shard, so copies reach it once from each block; the
 windows of keys that many segments share are dealt out by all their words.
 
-Each shard keeps its segments' words in an FM-index: suffixes sorted to the
-length of a segment, the Burrows-Wheeler transform in a wavelet matrix with
-popcount blocks, and for each row the class of suffixes that agree in 20 words.
-The segments are streamed through backward search, all of them one word to
-the left at a time; where the match has reached 20 words, the row's class names every
-occurrence of that window, and the earliest one stays.
+In a shard, the first segment of each key goes into an FM-index: the Burrows-Wheeler
+transform in a wavelet matrix, common prefixes as bytes, and sampled positions; no text and no suffix
+array. The other segments are streamed through it by backward search, all of them one word to the left
+at a time, which gives their matching statistics: a match that can't be extended is
+shortened to its parent interval. Windows whose match reaches 20 words repeat. What is
+still open is indexed in turn (the next two of each key, then four and so on) for those after
+it; repeats within one index show in classes of several rows, by the earliest position of each.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from strataweave.llm.identity import RID, given_rows, identified
 from strataweave.llm.textblocks import U, Words, gather_ranges, gram_hashes, inside, pieces, string_array, strings, trimmed
-from strataweave.session import materialize
+from strataweave.session import dealt, forget, materialize, shuffle_width
 
 WINDOW = 20
 GRAM = 4
@@ -39,7 +40,7 @@ GRAM = 4
 SEGMENT = 44
 DEPTH = 64
 #: rows of one key from which its windows go by their own hash
-HOT_KEY = 4_000
+HOT_KEY = 2_000
 #: bytes of text in which equal segments are settled before a shuffle
 BLOCK = 2 << 20
 #: words in one FM-index, but for a key with more
@@ -108,38 +109,6 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[text]), pa.array(first << 6 | n), pa.array(done)], names=["key", RID, "place", "done"])
 
 
-def _repeated(hot: int):
-    """Rows whose key has another row in the partition, and done ones; ``hot`` marks keys with so many rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = []
-        for b in batches:
-            done = b.column("done")
-            if done.true_count:
-                part = b.filter(done)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.zeros(part.num_rows, bool)), part.column("done")], names=_WANTED)
-                b = b.filter(pc.invert(done))
-            rest.append([np.asarray(b.column(i), np.int64) for i in range(3)])
-        if not rest:
-            return
-        key, rid, place = (np.concatenate([g[i] for g in rest]) for i in range(3))
-        del rest
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
-        size = np.diff(np.append(start, len(k)))
-        count = np.repeat(size, size)
-        order, count = order[count > 1], count[count > 1]
-        for i in range(0, len(order), 200_000):
-            o = order[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(rid[o]), pa.array(place[o]), pa.array(count[i : i + 200_000] >= hot), pa.array(np.zeros(len(o), bool))], names=_WANTED)
-
-    return run
-
-
-_WANTED = ["key", RID, "place", "hot", "done"]
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of wanted segments. Done ones, and of equal ones in a block all but the earliest, come without words: they repeat."""
     for batch in pieces(batches, "text", BLOCK):
@@ -163,117 +132,262 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown[open_] = fresh
         back = np.cumsum(shown) - 1
         column = words.filter(pa.array(fresh)).take(pa.array(back, mask=~shown)) if shown.any() else pa.nulls(len(key), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), column], names=["key", RID, "first", "n", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(hot), column], names=["key", RID, "first", "n", "hot", "words"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot keys that repeat one of the same partition lose their words; the others go on."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    del got
+    key, rid, first = (t[c].to_numpy().astype(np.int64) for c in ("key", RID, "first"))
+    words = strings(t["words"])
+    again = _repeats(words, key, rid, first)
+    t = t.set_column(t.schema.get_field_index("words"), "words", pc.if_else(pa.array(again), None, words))
+    yield from t.combine_chunks().to_batches(max_chunksize=50_000)
 
 
 # -- FM-index ------------------------------------------------------------------------
 
+class BitVector:
+    """Bits with ranks by 64-bit popcount blocks."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.zeros((len(bits) // 64 + 1) * 8, np.uint8)
+        p = np.packbits(bits, bitorder="little")
+        packed[: len(p)] = p
+        self.words = packed.view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        block = at >> 6
+        return self.before[block] + np.bitwise_count(self.words[block] & ((U(1) << (at & 63).astype(U)) - U(1)))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool)
+
+
 class WaveletMatrix:
-    """Rank over a sequence of symbols below 2**bits: one bit vector with 64-bit popcount blocks for each bit."""
+    """Rank over a sequence of symbols below 2**bits: one bit vector for each bit."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.n, self.bits = len(symbols), bits
-        self.words, self.before, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         now = symbols
         for level in range(bits - 1, -1, -1):
             bit = (now >> level & 1).astype(bool)
-            packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
-            p = np.packbits(bit, bitorder="little")
-            packed[: len(p)] = p
-            words = packed.view("<u8")
-            self.words.append(words)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.int32))
+            self.levels.append(BitVector(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
         #: where each symbol's own run begins on the lowest level
         order = np.arange(1 << bits)
         place = np.zeros(1 << bits, np.int64)
         for level in range(bits):
-            one = order >> (bits - 1 - level) & 1
-            place = self._step(level, place, one.astype(bool))
+            place = self._step(level, place, (order >> (bits - 1 - level) & 1).astype(bool))
         self.first = place
 
     def _step(self, level: int, at: np.ndarray, one: np.ndarray) -> np.ndarray:
-        block = at >> 6
-        below = (U(1) << (at & 63).astype(U)) - U(1)
-        ones = self.before[level][block] + np.bitwise_count(self.words[level][block] & below)
+        ones = self.levels[level].rank(at)
         return np.where(one, self.zeros[level] + ones, at - ones)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before its position."""
+        """How often each symbol stands before its place."""
         for level in range(self.bits):
             at = self._step(level, at, (symbol >> (self.bits - 1 - level) & 1).astype(bool))
         return at - self.first[symbol]
 
 
+class Minima:
+    """Nearest smaller values of a byte array by a tree of minima of ``WIDTH`` values each."""
+
+    WIDTH = 64
+
+    def __init__(self, values: np.ndarray):
+        self.levels = []
+        while True:
+            full = np.full(-(-len(values) // self.WIDTH) * self.WIDTH, 255, np.uint8)
+            full[: len(values)] = values
+            self.levels.append(full.reshape(-1, self.WIDTH))
+            if len(self.levels[-1]) == 1:
+                break
+            values = self.levels[-1].min(1)
+
+    def _seek(self, at: np.ndarray, bound: np.ndarray, right: bool) -> np.ndarray:
+        """The nearest place from ``at`` on, to the right or left, with a value below ``bound``; there must be one."""
+        out = at.copy()
+        todo, place, level = np.arange(len(at)), at, 0
+        lane = np.arange(self.WIDTH)
+        while len(todo):
+            block, within = place // self.WIDTH, place % self.WIDTH
+            rows = self.levels[level][block] < bound[todo, None]
+            rows &= lane >= within[:, None] if right else lane <= within[:, None]
+            hit = rows.any(1)
+            found = rows.argmax(1) if right else self.WIDTH - 1 - rows[:, ::-1].argmax(1)
+            here = block * self.WIDTH + found
+            done, where = todo[hit], here[hit]
+            for below in range(level - 1, -1, -1):  # down to the value itself
+                rows = self.levels[below][where] < bound[done, None]
+                where = where * self.WIDTH + (rows.argmax(1) if right else self.WIDTH - 1 - rows[:, ::-1].argmax(1))
+            out[done] = where
+            todo, place, level = todo[~hit], block[~hit] + (1 if right else -1), level + 1
+        return out
+
+    def left(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return self._seek(at, bound, False)
+
+    def right(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return self._seek(at, bound, True)
+
+
 class FMIndex:
-    """Index over segments of word ids (from 1), each at most ``DEPTH`` - 1 long."""
+    """Compressed index over texts of word ids (from 1), each at most ``DEPTH`` - 1 long.
 
-    def __init__(self, ids: np.ndarray, length: np.ndarray):
-        self.length = length
-        #: each segment is followed by the sign 0
-        self.at = np.cumsum(length + 1) - (length + 1)
+    It keeps the Burrows-Wheeler transform in a wavelet matrix, the common prefixes of neighbouring
+    rows as bytes, a bit for each row that begins a class of suffixes with equal first ``threshold`` words,
+    and of positions one sample for each class of several rows: its earliest. The texts and the
+    suffix array are dropped when it is built. Rows are sorted to ``DEPTH`` words, as far as any match goes.
+    """
+
+    def __init__(self, ids: np.ndarray, length: np.ndarray, threshold: int = WINDOW):
+        self.threshold = threshold
+        #: each text is followed by the sign 0
         text = np.zeros(int((length + 1).sum()), np.int64)
         text[np.arange(len(ids)) + np.repeat(np.arange(len(length)), length)] = ids
-        self.text = text
+        self.n = n = len(text)
         rank, depth, saved = text, 1, {}
-        order = None
+        rows = np.arange(n)
         while depth < DEPTH:
-            saved[depth] = rank
-            joint = rank * (int(rank.max()) + 1)
+            saved[depth] = rank.astype(np.int32)
+            joint = rank * (int(rank.max(initial=0)) + 1)
             joint[:-depth] += rank[depth:]
-            order = np.argsort(joint, kind="stable")
-            s = joint[order]
-            rank = np.empty(len(text), np.int64)
-            rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1]))
+            rows = np.argsort(joint, kind="stable")
+            s = joint[rows]
+            rank = np.empty(n, np.int64)
+            rank[rows] = np.cumsum(np.append(False, s[1:] != s[:-1])[:n])
             depth *= 2
-        self.rows = order  # the suffix array
-        # classes of rows that agree in WINDOW words: 16 and then 4
-        joint = saved[16] * (int(saved[4].max()) + 1)
-        joint[:-16] += saved[4][16:]
-        s = joint[order]
-        self.head = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        self.of_row = np.cumsum(np.append(True, s[1:] != s[:-1])) - 1
-        top = int(text.max()) if len(text) else 0
+        # words that each row has in common with the one before
+        common = np.zeros(n + 1, np.uint8)
+        a, b = rows[:-1].copy(), rows[1:].copy()
+        for d in sorted(saved, reverse=True):
+            equal = np.flatnonzero((a < n) & (b < n))
+            equal = equal[saved[d][a[equal]] == saved[d][b[equal]]]
+            a[equal] += d
+            b[equal] += d
+            common[1 + equal] += d
+        del saved, joint, rank
+        self.common = Minima(common)
+        head = common[:n] < threshold
+        self.head = BitVector(head)
+        start = np.flatnonzero(head)
+        several = np.diff(np.append(start, n)) > 1
+        self.several = BitVector(several)
+        #: the earliest position in each class of several rows
+        self.sample = np.minimum.reduceat(rows, start)[several] if n else rows
+        top = int(text.max(initial=0))
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
-        self.bwt = WaveletMatrix(text[order - 1], max(1, top.bit_length()))
+        self.bwt = WaveletMatrix(text[rows - 1], max(1, top.bit_length()))
 
     def back(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: the rows of the match with a word before it."""
-        c = self.less[symbol]
-        return c + self.bwt.rank(symbol, low), c + self.bwt.rank(symbol, high)
-
-    def stream(self, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Stream all segments: (segment, start, row, occurrences of the whole match) where the match reaches ``threshold`` words."""
-        order = np.argsort(-self.length, kind="stable")
-        longest = self.length[order]
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), len(self.text))
+        """One step of backward search: the rows of the matches with a word before them; none for words that the index doesn't have."""
+        known = symbol < len(self.less) - 1
+        at = np.where(known, symbol, 0)
+        both = self.bwt.rank(np.concatenate([at, at]), np.concatenate([low, high]))
+        low, high = self.less[at] + both[: len(at)], self.less[at] + both[len(at) :]
+        return low, np.where(known, high, low)
+
+    def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, length) of the longest shorter prefix of each match that has more rows."""
+        at = self.common.levels[0].ravel()
+        length = np.maximum(at[low], at[high])
+        out = np.zeros(len(low), np.int64), np.full(len(low), self.n)
+        some = np.flatnonzero(length)
+        out[0][some], out[1][some] = self.common.left(low[some], length[some]), self.common.right(high[some], length[some])
+        return *out, length.astype(np.int64)
+
+    def statistics(self, ids: np.ndarray, length: np.ndarray, least: int | None = None) -> tuple[np.ndarray, ...]:
+        """Matching statistics of streamed texts: (text, start, words, low, high) wherever the longest match from ``start`` on has ``least`` words or more.
+
+        All texts go one word to the left at a time. A match that the index doesn't have with the next word is
+        shortened to its parent interval until it has, or is empty; texts that can't reach ``least`` words any more leave.
+        """
+        least = self.threshold if least is None else least
+        at = np.cumsum(length) - length
+        seg = np.argsort(-length, kind="stable")
+        left = length[seg]  # words before the match
+        low, high, size = np.zeros(len(seg), np.int64), np.full(len(seg), self.n), np.zeros(len(seg), np.int64)
         out = []
-        for step in range(int(longest[0]) if len(order) else 0):
-            live = int(np.searchsorted(-longest, -step, "left"))  # segments longer than step
-            seg = order[:live]
-            start = self.length[seg] - 1 - step
-            low[:live], high[:live] = self.back(self.text[self.at[seg] + start], low[:live], high[:live])
-            if step + 1 >= threshold:
-                out.append((seg, start, low[:live].copy(), high[:live] - low[:live]))
-        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4))
-
-
-def repeated_windows(ids: np.ndarray, length: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, start) of all windows whose words also begin at an earlier (owner, position)."""
-    fm = FMIndex(ids, length)
-    seg, start, row, _ = fm.stream(WINDOW)
-    if not len(seg):
-        return seg, start
-    rank = np.unique(owner, return_inverse=True)[1]
-    # every row that begins a window has its (owner, position); other rows are never hit
-    at = fm.rows
-    of = np.searchsorted(fm.at, at, "right") - 1
-    when = rank[of] << 36 | (first[of] + at - fm.at[of])
-    when[at - fm.at[of] + WINDOW > length[of]] = np.iinfo(np.int64).max
-    earliest = np.minimum.reduceat(when, fm.head)
-    later = earliest[fm.of_row[row]] < (rank[seg] << 36 | (first[seg] + start))
-    return seg[later], start[later]
+        while True:
+            live = np.flatnonzero((left > 0) & (left + size >= least))
+            if len(live) < len(seg):
+                seg, left, low, high, size = seg[live], left[live], low[live], high[live], size[live]
+            if not len(seg):
+                break
+            symbol = ids[at[seg] + left - 1]
+            todo = np.arange(len(seg))
+            while len(todo):
+                a, b = self.back(symbol[todo], low[todo], high[todo])
+                ok = a < b
+                hit, miss = todo[ok], todo[~ok]
+                low[hit], high[hit] = a[ok], b[ok]
+                size[hit] += 1
+                todo = miss[size[miss] > 0]
+                if len(todo):
+                    low[todo], high[todo], size[todo] = self.parent(low[todo], high[todo])
+                    gone = left[todo] + size[todo] < least  # no window of these can match any more
+                    todo = todo[~gone]
+            left -= 1
+            full = np.flatnonzero(size >= max(least, 1))
+            if len(full):
+                out.append((seg[full], left[full], size[full], low[full], high[full]))
+        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(5))
+
+    def earlier(self, low: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether matches of ``threshold`` words or more begin before a position; a class of one row is that row itself."""
+        of = self.head.rank(low + 1) - 1
+        some = np.flatnonzero(self.several.get(of))
+        out = np.zeros(len(low), bool)
+        out[some] = self.sample[self.several.rank(of[some])] < position[some]
+        return out
+
+
+def repeated_windows(ids: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of all windows whose words also begin earlier: in an earlier segment of their key, or further left.
+
+    Segments stand in the order of key, then of time. An index holds the first open segment of each
+    key, the next one the next two, then four and so on. Each is streamed with its own segments and all later ones;
+    segments of which every window is found are closed, and no later index holds them.
+    """
+    n = np.maximum(length - WINDOW + 1, 0)
+    base = np.cumsum(n) - n
+    found = np.zeros(int(n.sum()), bool)
+    at = np.cumsum(length) - length
+    head = np.append(True, key[1:] != key[:-1])[: len(key)]
+    rank = np.arange(len(key)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+    turn = np.floor(np.log2(rank + 1)).astype(np.int64)
+    open_ = n > 0
+    for now in range(int(turn.max(initial=-1)) + 1):
+        own = np.flatnonzero(open_ & (turn == now))
+        later = np.flatnonzero(open_ & (turn > now))
+        if not len(own):
+            continue
+        taken = lambda which: ids[np.repeat(at[which] - (np.cumsum(length[which]) - length[which]), length[which]) + np.arange(length[which].sum())]
+        fm = FMIndex(taken(own), length[own])
+        place = np.cumsum(length[own] + 1) - (length[own] + 1)
+        if len(fm.sample):
+            seg, start, _, low, _ = fm.statistics(taken(own), length[own])
+            again = fm.earlier(low, place[seg] + start)
+            found[base[own[seg[again]]] + start[again]] = True
+        if len(later):
+            seg, start, _, _, _ = fm.statistics(taken(later), length[later])
+            found[base[later[seg]] + start] = True
+            whole = np.add.reduceat(np.append(found, False).astype(np.int64), base) == n
+            open_ = (n > 0) & ~whole
+    hit = np.flatnonzero(found)
+    seg = np.searchsorted(base, hit, "right") - 1
+    return seg, hit - base[seg]
 
 
 def _shard(shard_words: int):
@@ -325,9 +439,7 @@ def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray,
     w = Words(texts.filter(pa.array(~repeat)))
     data, off = gather_ranges(w.buf, w.start, w.end - w.start)
     ids = np.asarray(string_array(data, off).dictionary_encode().indices, np.int64) + 1
-    seg, start = repeated_windows(ids, w.count, rid[own], first[own])
-    order = np.lexsort((start, seg))
-    seg, start = seg[order], start[order]
+    seg, start = repeated_windows(ids, w.count, key[own])
     head = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (start[1:] != start[:-1] + 1))[: len(seg)])
     run = np.diff(np.append(head, len(seg)))
     own = own[seg[head]]
@@ -336,16 +448,34 @@ def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray,
 
 # -- operator ------------------------------------------------------------------------
 
-def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text."""
+_CUT = f"key long, {RID} long, first long, n int, hot boolean, words string"
+
+
+def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text. And the shuffle partitions that the texts' bytes call for.
+
+    Keys are counted with a map-side combine and joined back, which AQE splits where a key is hot. Windows of hot keys are
+    settled in two steps, by window and salt and then by window, so a passage of a third of all documents meets in no single task.
+    """
     docs = docs.select(RID, "text")
-    rows = docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean")
-    by_key = rows.repartition(F.when(F.col("done"), F.xxhash64(RID, "place")).otherwise(F.col("key")))
-    wanted = by_key.mapInArrow(trimmed(_repeated(hot_key)), f"key long, {RID} long, place long, hot boolean, done boolean")
-    lists = wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted"))
-    cut = docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(trimmed(_cut), f"key long, {RID} long, first long, n int, words string")
+    width = shuffle_width(docs)
+    rows = materialize(docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean"), "segments")
+    open_ = rows.where("not done")
+    counts = open_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = open_.join(counts, "key").select("key", RID, "place", (F.col("n") >= hot_key).alias("hot"), "done")
+    wanted = shared.unionByName(rows.where("done").select("key", RID, "place", F.lit(False).alias("hot"), "done"))
+    lists = materialize(wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted")), "wanted", width)
+    forget(rows)
+    cut = materialize(docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(trimmed(_cut), _CUT), "cut", width)
+    forget(lists)
+    salt = F.pmod(F.xxhash64(RID), F.lit(max(16, width)))
+    hot = materialize(dealt(cut.where("hot and words is not null"), width, F.xxhash64("key", salt)).mapInArrow(trimmed(_settle), _CUT), "hot", width)
+    rest = cut.where("not hot or words is null").unionByName(hot)
     spread = F.when(F.col("words").isNull(), F.xxhash64(RID, "first")).otherwise(F.col("key"))
-    return cut.repartition(spread).mapInArrow(trimmed(_shard(shard_words)), f"{RID} long, a long, b long")
+    ranges = materialize(dealt(rest, width, spread).mapInArrow(trimmed(_shard(shard_words)), f"{RID} long, a long, b long"), "ranges", width)
+    forget(cut)
+    forget(hot)
+    return ranges, width
 
 
 def _apply(rewrite: bool, keep: list[str]):
@@ -399,10 +529,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     keep = [c for c in keep or [] if c not in own]
     marked, back = identified(docs.select(*[key, *keep], F.col(text).alias("text")), key, "text")
     marked = marked.select(RID, *keep, "text")
-    ranges = materialize(repeated_ranges(marked, hot_key, shard_words), "ranges")
-    lists = ranges.groupBy(RID).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges, width = repeated_ranges(marked, hot_key, shard_words)
+    lists = dealt(ranges, width, RID).groupBy(RID).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     schema = T.StructType([marked.schema[c] for c in [RID, *keep]] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text" if rewrite else "kept_sha256", T.StringType())])
-    done = marked.join(lists.hint("shuffle_hash"), RID, "left").select(RID, *keep, "text", "ranges").mapInArrow(trimmed(_apply(rewrite, [RID, *keep])), schema)
+    done = dealt(marked, width, RID).join(lists.hint("shuffle_hash"), RID, "left").select(RID, *keep, "text", "ranges").mapInArrow(trimmed(_apply(rewrite, [RID, *keep])), schema)
     return given_rows(done, back, key)
 
 

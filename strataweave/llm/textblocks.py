@@ -1,9 +1,9 @@
 r"""Words of many texts at once: numpy over the raw UTF-8 of an Arrow column.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 is the
-same as ``[^\x20\x09-\x0D]+`` over code points. Hashes are 64 bits of a
-polynomial over random values per byte, then mixed; equal words have equal
-hashes on every machine, as the seed is fixed.
+same as ``[^\x20\x09-\x0D]+`` over code points. Hashes are 64 bits: ranges of up to
+``LONG`` bytes are taken eight bytes at a time through a mixing bijection, all ranges
+at once; longer ones go through XXH3. Equal words have equal hashes on every machine.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
 _NONSPACE = np.ones(256, bool)
 _NONSPACE[[9, 10, 11, 12, 13, 32]] = False
-_BYTE = np.random.Generator(np.random.PCG64(20_240_601)).integers(0, 2**64, 256, dtype=U)
-_powers = [np.ones(1, U), np.ones(1, U)]
+#: bytes of a range from which it is hashed by itself
+LONG = 256
+#: the low 0 to 8 bytes of eight
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def trimmed(run):
@@ -51,17 +54,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the multiplier and of its inverse, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((_MULT, U(pow(int(_MULT), -1, 2**64)))):
-            p = np.full(n + n // 4 + 1, base, U)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[i] = p
-    return _powers[0], _powers[1]
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column without nulls (null: empty), in one chunk."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,19 +111,29 @@ class Words:
         #: words before each text; text i has words ptr[i] to ptr[i + 1]
         self.ptr = np.searchsorted(self.start, off)
         self.count = np.diff(self.ptr)
-        self._sums: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(self.n), self.count)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        p, inverse = powers(len(self.buf))
-        if self._sums is None:
-            self._sums = np.zeros(len(self.buf) + 1, U)
-            np.cumsum(_BYTE[self.buf] * p[: len(self.buf)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(U))
+        """Hashes of byte ranges. Ranges of at most eight bytes never share one."""
+        if self._eights is None:  # the eight bytes from each place on
+            padded = np.zeros(len(self.buf) + 8, np.uint8)
+            padded[: len(self.buf)] = self.buf
+            self._eights = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        length = end - start
+        h = mix(length.astype(U) * _MULT)
+        live, step = np.flatnonzero((length > 0) & (length <= LONG)), 0
+        while len(live):
+            left = length[live] - step
+            h[live] = mix(h[live] ^ (self._eights[start[live] + step] & _LOW[np.minimum(left, 8)]))
+            live, step = live[left > 8], step + 8
+        view = memoryview(np.ascontiguousarray(self.buf))
+        for i in np.flatnonzero(length > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(view[start[i] : end[i]])
+        return h
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)

@@ -141,21 +141,82 @@ def test_source_targets():
     assert mixing.source_targets({}) == {} and mixing.source_targets({"x": 0}) == {"x": (0.0, 0)}
 
 
-def test_fm_index():
-    rng = random.Random(3)
-    segs = [[rng.randint(1, 4) for _ in range(rng.randint(20, 63))] for _ in range(40)]
-    segs += segs[:5]
-    ids, length = np.array(sum(segs, [])), np.array([len(s) for s in segs])
-    owner, first = np.arange(len(segs)) // 2, np.arange(len(segs)) * 100
-    seg, start = substring.repeated_windows(ids, length, owner, first)
+def fm_segments(seed, sizes=(20, 63)):
+    rng = random.Random(seed)
+    sign = rng.choice([1, 2, 3, 50])
+    base = [[rng.randint(1, sign) for _ in range(63)] for _ in range(4)]
+    out = []
+    for _ in range(rng.randint(1, 40)):
+        t = list(rng.choice(base)) if rng.random() < 0.6 else [rng.randint(1, sign) for _ in range(63)]
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(63)] = rng.randint(1, sign)
+        n = rng.randint(*sizes)
+        a = rng.randint(0, 63 - n)
+        out.append(t[a : a + n])
+    return out, sign, rng
+
+
+def fm_repeats(segs, key):
+    lengths = np.array([len(s) for s in segs])
+    found = substring.repeated_windows(np.array(sum(segs, [])), lengths, np.array(key))
+    return set(zip(*(f.tolist() for f in found), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_fm_index(seed):
+    segs, _, rng = fm_segments(seed)
     seen, want = set(), set()
-    for i in sorted(range(len(segs)), key=lambda i: (owner[i], first[i])):
-        for j in range(len(segs[i]) - 19):
-            g = tuple(segs[i][j : j + 20])
+    for i, s in enumerate(segs):
+        for j in range(len(s) - 19):
+            g = tuple(s[j : j + 20])
             if g in seen:
                 want.add((i, j))
             seen.add(g)
-    assert set(zip(seg.tolist(), start.tolist(), strict=True)) == want
+    # one key: an index after the other; a key each: all in one index
+    assert fm_repeats(segs, [0] * len(segs)) == fm_repeats(segs, range(len(segs))) == want
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_matching_statistics(seed):
+    segs, sign, rng = fm_segments(seed)
+    fm = substring.FMIndex(np.array(sum(segs, [])), np.array([len(s) for s in segs]))
+    texts = [[rng.randint(1, sign + 1) for _ in range(rng.randint(1, 40))] for _ in range(4)] + [segs[0][:30] + [sign + 1] + segs[-1][:20]]
+    streamed = fm.statistics(np.array(sum(texts, [])), np.array([len(t) for t in texts]), least=1)
+    got = {(t, i): (n, high - low) for t, i, n, low, high in zip(*(x.tolist() for x in streamed), strict=True)}
+    occurs = lambda g: sum(s[k : k + len(g)] == g for s in segs for k in range(len(s) - len(g) + 1))
+    want = {}
+    for t, text in enumerate(texts):
+        for i in range(len(text)):
+            for n in range(1, len(text) - i + 1):
+                if not (count := occurs(text[i : i + n])):
+                    break
+                want[t, i] = (n, count)
+    assert got == want
+
+
+def test_the_index_finds_by_backward_search_alone(monkeypatch):
+    segs, _, _ = fm_segments(3, (40, 63))
+    segs += [s[3:30] for s in segs]
+    ids, length = np.array(sum(segs, [])), np.array([len(s) for s in segs])
+    fm = substring.FMIndex(ids, length)
+    n = fm.n
+    kept = [v for v in vars(fm).values() if isinstance(v, np.ndarray)]
+    assert all(len(v) < n // 2 for v in kept)  # neither the text nor its suffix array
+    monkeypatch.setattr(substring.FMIndex, "back", lambda self, symbol, low, high: (low, low))
+    assert not fm_repeats(segs, [0] * len(segs))
+
+
+def test_hashes_of_texts_that_polynomials_confuse():
+    line = "a"
+    for _ in range(12):
+        line += line.translate(str.maketrans("ab", "ba"))
+    for n in (64, 128, 256, 257, 512, 1024, 4096):
+        x, y = line[:n], line[:n].translate(str.maketrans("ab", "ba"))
+        texts = [f"{x}\n{y}", " ".join([x, "p", "q", y, "p", "q"]), f"{x}\n{y}\n{x}"]
+        s = quality.document_stats(pa.array(texts))
+        assert [tuple(s[k][i] for k in quality.STATS) for i in range(3)] == [brute.quality(t) for t in texts]
+        w = tb.Words(pa.array([f"{x} {y}"]))
+        assert len(set(w.hashes().tolist())) == 2
 
 
 def test_salvage():
