@@ -60,11 +60,11 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every page's url by rules and redirect classes."""
-    from strataweave.llm.url_filters import judge_urls, link_edges, rules_table
+    """Verdict of every page's url by rules and alias classes: canonical links, meta refreshes and canonical forms."""
+    from strataweave.llm.url_filters import canonical_edges, judge_urls, link_edges, rules_table
 
     pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, rules_table(spark, URL_RULES), link_edges(pages))
+    return judge_urls(pages, rules_table(spark, URL_RULES), link_edges(pages).unionByName(canonical_edges(pages)))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,17 +146,25 @@ named as (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1), '') as query
   from pages),
-targets as (
-  select host, host || path || query as a, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as t
+tags as (
+  select host, path, query, host || path || query as a, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) as t
   from named),
 full_targets as (
-  select a, case when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t else t end as t from targets where t != ''),
+  select a, case when t like '//%' then 'http:' || t when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then t when t like '/%' then 'http://' || host || t
+    when t like '#%' then 'http://' || host || path || query when t like '?%' then 'http://' || host || path || t
+    else 'http://' || host || case when path = '' then '/' else regexp_extract(path, '(?s)^(.*/)', 1) end || t end as t
+  from (select * replace (replace(t, '&amp;', '&') as t) from tags) where t != ''),
+forms as (
+  select host || path || query as a, regexp_replace(host, '^(www|m|mobile|amp)\.([^.]+\.)', '\2') || regexp_replace(path, '/+$', '') as front,
+    array_to_string(list_filter(string_split(substr(query, 2), '&'), lambda p: p != '' and not regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)')), '&') as rest
+  from named),
 links as (
   select a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(t, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1) as b
-  from full_targets),
+  from full_targets
+  union select a, front || case when rest = '' then '' else '?' || rest end from forms),
 both_ways as (select a, b from links where a != '' and b != '' and a != b union select b, a from links where a != '' and b != '' and a != b),
 reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
 classes as (select a as node, min(b) as component from reach group by a),

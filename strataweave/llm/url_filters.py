@@ -1,8 +1,8 @@
 """URL filters: host and path rules, and redirect equivalence. SQL functions only.
 
 Rules are matched by an equi-join on every suffix of the host; of those whose
-path begins the url's path the longest wins. Urls joined by redirects or
-canonical links form classes (distributed connected components); a blocked member
+path begins the url's path the longest wins. Urls joined by redirects, canonical
+links or a common canonical form make up classes (distributed connected components); a blocked member
 blocks the members without a rule of their own, unless a member is allowed by a rule.
 """
 
@@ -18,6 +18,10 @@ _SPLIT = r"^(?s)(?:.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 CANONICAL = (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
 REFRESH = (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
 
+#: host prefixes and query parameters that don't make another page
+ALIAS_HOST = r"^(?:www|m|mobile|amp)\.(?=[^.]+\.)"
+TRACKING = r"^(?:utm_[^=]*|ref|gclid|fbclid)(?:=|$)"
+
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
     """(host, path, query): all empty for null or without ``://``; only A-Z of the host are lower-cased."""
@@ -30,6 +34,18 @@ def node(host: Column, path: Column, query: Column) -> Column:
     return F.concat(host, path, query)
 
 
+def canonical_node(host: Column, path: Column, query: Column) -> Column:
+    """The node of a url's canonical form: host without ``www.`` and the like, path without slashes at its end, query without tracking parameters."""
+    kept = F.array_join(F.filter(F.split(F.substring(query, F.lit(2), F.length(query)), "&", -1), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
+    return node(F.regexp_replace(host, ALIAS_HOST, ""), F.regexp_replace(path, "/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+
+
+def canonical_edges(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(a, b): each url and its canonical form, where they differ. Null and unparsed urls have no edge; repeated urls repeat it."""
+    host, path, query = url_parts(F.col(url))
+    return pages.select(node(host, path, query).alias("a"), canonical_node(host, path, query).alias("b")).where("a != '' and a != b and b != ''")
+
+
 def rules_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """(action, rule_host, rule_path, rule) from pairs like ("block", "com/en/")."""
     some = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(r).alias("rule")) for a, r in rules or [("", "")]])
@@ -60,10 +76,13 @@ def _without_dots(path: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the targets of all its canonical links and meta refreshes; targets without a host are resolved against the page's url."""
+    """(a, b): a page's url and the targets of all its canonical links and meta refreshes; targets without a host are resolved against the page's url.
+
+    ``&amp;`` in a target is ``&``. Null html or url, empty targets and targets of other schemes without ``://`` give no edge; repeated rows and tags repeat it.
+    """
     host, path, query = url_parts(F.col(url))
     here = pages.select(F.col(html).alias("_html"), host.alias("_host"), path.alias("_path"), query.alias("_query"), node(host, path, query).alias("a")).where(F.col("_html").rlike(CANONICAL[0]) | F.col("_html").rlike(REFRESH[0]))
-    targets = lambda tag, attr: F.transform(F.regexp_extract_all("_html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, attr, 1))
+    targets = lambda tag, attr: F.transform(F.regexp_extract_all("_html", F.lit(tag), F.lit(0)), lambda t: F.replace(F.regexp_extract(t, attr, 1), F.lit("&amp;"), F.lit("&")))
     found = here.select("_host", "_path", "_query", "a", F.explode(F.concat(targets(*CANONICAL), targets(*REFRESH))).alias("t")).where("t != ''")
     t, p, rest = F.col("t"), F.regexp_extract("t", r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract("t", r"(?s)^([^?#]*)(.*)$", 2)
     folder = F.when(F.col("_path") == "", "/").otherwise(F.regexp_extract("_path", r"(?s)^(.*/)", 1))
@@ -80,7 +99,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, key: str =
 
     Null and unparsed urls have empty parts, no rule, and verdict allow. Repeated rows
     are judged alike; empty pages, rules or edges are fine; further columns of the
-    inputs are not read, so they can't clash. edges (a, b) may also come from crawl logs.
+    inputs are not read, so they can't clash. edges (a, b) may also come from crawl logs; they may repeat, and chains,
+    hubs and cycles of any size are fine.
     """
     host, path, query = url_parts(F.col(url))
     named = pages.select(F.col(key), host.alias("host"), path.alias("path"), node(host, path, query).alias("node"))

@@ -283,6 +283,48 @@ def test_relative_and_repeated_targets(spark):
     assert set(map(tuple, url_filters.link_edges(pages).collect())) == want
 
 
+def test_canonical_forms(spark):
+    given = [
+        ("http://WWW.a.com/x/?utm_source=f&q=1&ref=z", "a.com/x?q=1"), ("https://m.a.com/x?utm_medium=e#t", "a.com/x"), ("http://a.com/x", None), ("http://www.com/", "www.com"),
+        ("http://a.com/p?q=1&&r", "a.com/p?q=1&r"), ("http://a.com/?ref", "a.com"), ("nothing", None), (None, None), ("http://amp.m.a.com/" + "y" * 300_000, "m.a.com/" + "y" * 300_000),
+    ]
+    pages = spark.createDataFrame([(u,) for u, _ in given] * 2, "url string")
+    got = {}
+    for r in url_filters.canonical_edges(pages).collect():
+        got[r["a"]] = r["b"]
+    assert sorted(got.values()) == sorted(b for _, b in given if b)
+
+
+def test_alias_classes_against_union_find(spark):
+    rng = random.Random(6)
+    chain = [(f"c{i}.net/a", f"c{i + 1}.net/a") for i in range(120)]
+    hub = [("hub.net/h", f"s{i}.net/h") for i in range(400)]
+    cycle = [(f"r{i}.net/", f"r{(i + 1) % 30}.net/") for i in range(30)]
+    mixed = [(f"n{rng.randrange(150)}.org/x", f"n{rng.randrange(150)}.org/x") for _ in range(110)]
+    edges = chain + hub + cycle + mixed + hub[:50] + [("c0.net/a", "blocked.com/en/1"), ("s7.net/h", "blocked.com/en/2"), ("s8.net/h", "x.example.com/en/7"), ("n3.org/x", "blocked.com/en/3"), (None, "r0.net/")]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a and b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    nodes = sorted(up)
+    pages = spark.createDataFrame([(i, f"http://{x}", i) for i, x in enumerate([*nodes, "alone.org/y"])], "page_id long, url string, verdict long")
+    rules = url_filters.rules_table(spark, queries.URL_RULES)
+    got = {r["page_id"]: r for r in url_filters.judge_urls(pages, rules, spark.createDataFrame(edges, "a string, b string")).collect()}
+    blocked = {root("c0.net/a"), root("n3.org/x")}  # the hub's class has an allowed member
+    for i, x in enumerate(nodes):
+        own = "block" if x.startswith("blocked.com") else "allow" if x.startswith("x.example.com") else None
+        assert got[i]["url_class"] == root(x)
+        assert got[i]["verdict"] == (own or ("block" if root(x) in blocked else "allow")), x
+    assert got[len(nodes)]["url_class"] is None and got[len(nodes)]["verdict"] == "allow"
+
+
 def test_identified(spark, docs, odd):
     same, none = identity.identified(docs)
     assert none is None and same.where("_rid != doc_id").count() == 0
