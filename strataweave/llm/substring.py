@@ -11,10 +11,9 @@ windows of keys that many segments share are dealt out by all their words.
 
 In a shard, the first segment of each key goes into an FM-index: the Burrows-Wheeler
 transform in a wavelet matrix, common prefixes as bytes, and sampled positions; no text and no suffix
-array. The other segments are streamed through it by backward search, all of them one word to the left
-at a time, which gives their matching statistics: a match that can't be extended is
+array. The other segments are streamed through it by backward search, all of them at once, which gives their matching statistics: a match that can't be extended is
 shortened to its parent interval. Windows whose match reaches 20 words repeat. What is
-still open is indexed in turn (the next two of each key, then four and so on) for those after
+still open is indexed in turn (the next four of each key, then sixteen and so on) for those after
 it; repeats within one index show in classes of several rows, by the earliest position of each.
 """
 
@@ -151,6 +150,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- FM-index ------------------------------------------------------------------------
 
+#: the bits below each of 64
+_BELOW = (U(1) << np.arange(64, dtype=U)) - U(1)
+
+
 class BitVector:
     """Bits with ranks by 64-bit popcount blocks."""
 
@@ -164,7 +167,7 @@ class BitVector:
     def rank(self, at: np.ndarray) -> np.ndarray:
         """How many bits are set before each place."""
         block = at >> 6
-        return self.before[block] + np.bitwise_count(self.words[block] & ((U(1) << (at & 63).astype(U)) - U(1)))
+        return self.before[block] + np.bitwise_count(self.words[block] & _BELOW[at & 63])
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self.words[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool)
@@ -310,13 +313,13 @@ class FMIndex:
     def statistics(self, ids: np.ndarray, length: np.ndarray, least: int | None = None) -> tuple[np.ndarray, ...]:
         """Matching statistics of streamed texts: (text, start, words, low, high) wherever the longest match from ``start`` on has ``least`` words or more.
 
-        All texts go one word to the left at a time. A match that the index doesn't have with the next word is
-        shortened to its parent interval until it has, or is empty; texts that can't reach ``least`` words any more leave.
+        All texts are searched at once. A match that the index has with the word before it grows by that; else it is
+        shortened to its parent interval, until it grows or is empty. Texts that can't reach ``least`` words any more leave.
         """
         least = self.threshold if least is None else least
         at = np.cumsum(length) - length
-        seg = np.argsort(-length, kind="stable")
-        left = length[seg]  # words before the match
+        seg = np.arange(len(length))
+        left = length.copy()  # words before the match
         low, high, size = np.zeros(len(seg), np.int64), np.full(len(seg), self.n), np.zeros(len(seg), np.int64)
         out = []
         while True:
@@ -325,23 +328,22 @@ class FMIndex:
                 seg, left, low, high, size = seg[live], left[live], low[live], high[live], size[live]
             if not len(seg):
                 break
-            symbol = ids[at[seg] + left - 1]
-            todo = np.arange(len(seg))
-            while len(todo):
-                a, b = self.back(symbol[todo], low[todo], high[todo])
-                ok = a < b
-                hit, miss = todo[ok], todo[~ok]
-                low[hit], high[hit] = a[ok], b[ok]
-                size[hit] += 1
-                todo = miss[size[miss] > 0]
-                if len(todo):
-                    low[todo], high[todo], size[todo] = self.parent(low[todo], high[todo])
-                    gone = left[todo] + size[todo] < least  # no window of these can match any more
-                    todo = todo[~gone]
-            left -= 1
-            full = np.flatnonzero(size >= max(least, 1))
-            if len(full):
-                out.append((seg[full], left[full], size[full], low[full], high[full]))
+            a, b = self.back(ids[at[seg] + left - 1], low, high)
+            ok = a < b
+            low, high = np.where(ok, a, low), np.where(ok, b, high)
+            miss = np.flatnonzero(~ok)
+            if not len(miss):
+                size += 1
+                left -= 1
+                hit = np.flatnonzero(size >= least)
+            else:
+                size += ok
+                left -= ok | (size == 0)  # an empty match passes over the word
+                some = miss[size[miss] > 0]
+                low[some], high[some], size[some] = self.parent(low[some], high[some])
+                hit = np.flatnonzero(ok & (size >= least))
+            if len(hit):
+                out.append((seg[hit], left[hit], size[hit], low[hit], high[hit]))
         return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(5))
 
     def earlier(self, low: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -356,8 +358,8 @@ class FMIndex:
 def repeated_windows(ids: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segment, start) of all windows whose words also begin earlier: in an earlier segment of their key, or further left.
 
-    Segments stand in the order of key, then of time. An index holds the first open segment of each
-    key, the next one the next two, then four and so on. Each is streamed with its own segments and all later ones;
+    Segments stand in the order of key, then of time. An index holds the first segment of each
+    key, the next one the next four, then sixteen and so on. Its own segments and all later ones are streamed through it;
     segments of which every window is found are closed, and no later index holds them.
     """
     n = np.maximum(length - WINDOW + 1, 0)
@@ -366,7 +368,7 @@ def repeated_windows(ids: np.ndarray, length: np.ndarray, key: np.ndarray) -> tu
     at = np.cumsum(length) - length
     head = np.append(True, key[1:] != key[:-1])[: len(key)]
     rank = np.arange(len(key)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-    turn = np.floor(np.log2(rank + 1)).astype(np.int64)
+    turn = np.searchsorted(np.cumsum(4 ** np.arange(20)), rank, "right")
     open_ = n > 0
     for now in range(int(turn.max(initial=-1)) + 1):
         own = np.flatnonzero(open_ & (turn == now))
