@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataweave.llm import twins
 from strataweave.session import ship, table
 
 
@@ -122,6 +123,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and base rule of op3, which SQL can express."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_join": op2_jaccard_join,
@@ -133,11 +139,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_store": op9_token_store,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_base_counts": quality_base_counts,
 }
 
 _RULE_ROWS = ", ".join(f"('{action}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for action, rule in URL_RULES)
 
 SQL: dict[str, str] = {
+    "op2_jaccard_join": twins.jaccard_components(),
+    "op5_warc": twins.WARC,
+    "op10_substring_dedup": twins.repeated_passages(),
+    "quality_base_counts": twins.QUALITY_BASE,
     "op4_url_filters": rf"""
 with recursive rules(action, rule_host, rule_path, rule) as (values {_RULE_ROWS}),
 named as (

@@ -4,7 +4,7 @@ A window's shard is chosen by content: its key is the smallest hash of the 4-wor
 runs in it, so equal windows share a shard wherever they stand, and no document
 has to be streamed through the other shards. Runs of windows with one key form a
 segment (at most ``SEGMENT`` windows; the windows' words overlap into it). Keys
-that one segment alone has can't repeat and leave after a shuffle of hashes only.
+that one segment alone has, without a repeat within, leave after a shuffle of hashes only.
 Segments with the words of an earlier one in their block of documents are settled
 there and don't meet in the shard, so copies reach it once from each block; the
 windows of keys that many segments share are dealt out by all their words.
@@ -59,19 +59,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - span : width - span + n])
 
 
-def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, first window within the text, windows) of all segments."""
+def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, first window within the text, windows, whether a window may repeat within) of all segments."""
     at = inside(w.count, w.ptr, WINDOW)
     if not len(at):
-        return np.zeros(0, U), at, at, at
-    key = sliding_min(gram_hashes(w.hashes(), GRAM), WINDOW - GRAM + 1)[at]
+        return np.zeros(0, U), at, at, at, np.zeros(0, bool)
+    grams = gram_hashes(w.hashes(), GRAM)
+    key = sliding_min(grams, WINDOW - GRAM + 1)[at]
     text = w.owner()[at]
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
     new[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % SEGMENT == 0] = True
     start = np.flatnonzero(new)
-    return key[start], text[start], at[start] - w.ptr[text[start]], np.diff(np.append(start, len(at)))
+    n = np.diff(np.append(start, len(at)))
+    # a window that begins twice in a segment brings the run that is its key twice
+    reach = n + WINDOW - GRAM
+    place = np.repeat(at[start] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+    twice = np.add.reduceat((grams[place] == np.repeat(key[start], reach)).astype(np.int8), np.cumsum(reach) - reach) > 1
+    return key[start], text[start], at[start] - w.ptr[text[start]], n, twice & (n > 1)
 
 
 def _cut_words(w: Words, text: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -92,10 +98,10 @@ def _repeats(words: pa.Array, key: np.ndarray, rid: np.ndarray, first: np.ndarra
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, _rid, place, done): a segment that repeats one of the same block is done, as all its windows begin earlier."""
+    """(key, _rid, place, done, own): a segment that repeats one of the same block is done, as all its windows begin earlier; own marks those with repeats within."""
     for batch in pieces(batches, "text", BLOCK):
         w = Words(strings(batch.column("text")))
-        key, text, first, n = segments(w)
+        key, text, first, n, own = segments(w)
         key = key.view(np.int64)
         rid = np.asarray(batch.column(RID), np.int64)
         order = np.argsort(key, kind="stable")
@@ -105,7 +111,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         some = np.flatnonzero(same)
         done = np.zeros(len(key), bool)
         done[some] = _repeats(_cut_words(w, text[some], first[some], n[some]), key[some], rid[text[some]], first[some])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[text]), pa.array(first << 6 | n), pa.array(done)], names=["key", RID, "place", "done"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[text]), pa.array(first << 6 | n), pa.array(done), pa.array(own)], names=["key", RID, "place", "done", "own"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,9 +467,9 @@ def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int =
     """
     docs = docs.select(RID, "text")
     width = shuffle_width(docs)
-    rows = materialize(docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean"), "segments")
+    rows = materialize(docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean, own boolean"), "segments")
     open_ = rows.where("not done")
-    counts = open_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = open_.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).where("n > 1 or own").drop("own")
     shared = open_.join(counts, "key").select("key", RID, "place", (F.col("n") >= hot_key).alias("hot"), "done")
     wanted = shared.unionByName(rows.where("done").select("key", RID, "place", F.lit(False).alias("hot"), "done"))
     lists = materialize(wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted")), "wanted", width)

@@ -77,6 +77,15 @@ def test_substring(docs, rows, empty, odd):
             assert r["kept_text"] == (dict(pairs(rows))[r["doc_id"]] or "")
 
 
+def test_substring_within_one_text(spark):
+    turn = lambda n, tag: [f"{tag}{i}" for i in range(n)]
+    rows = [(i, " ".join((turn(i, f"p{i}") * 40)[: 25 + 13 * i])) for i in range(1, 45)]
+    rows += [(100, " ".join(turn(300, "u"))), (101, " ".join(turn(30, "v") + turn(50, "z") + turn(30, "v"))), (102, "word " * 5000), (103, "a b " * 21), (104, " ".join(turn(19, "q") * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for how in ({}, {"hot_key": 2}):
+        assert sorted(map(tuple, substring.substring_dedup(df, **how).collect())) == brute.substring(rows)
+
+
 def test_jaccard(docs, rows, empty, odd):
     want = brute.jaccard_components(pairs(rows))
     for how in ({}, {"hot": 3}):
