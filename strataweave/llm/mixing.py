@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataweave.llm.textblocks import _NONSPACE, pieces, raw, strings, trimmed
+from strataweave.session import materialize
 
 WEIGHTS = (5, 2, 1)
 #: weight over time by the source's place in WEIGHTS, at equally spaced knots
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
+#: bits of the hash that a source's documents stand in order of
+HASH_BITS = 60
+
 
 def word_counts(column: pa.Array) -> np.ndarray:
     buf, off = raw(column)
@@ -48,29 +52,29 @@ def with_size(docs: DataFrame, keep: list[str], text: str = "text", name: str =
     return docs.select(*need).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))
 
 
-def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, tuple[float, int]]:
-    """(target words, place in weights) of each source.
+def source_plan(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(_source, source_size, target, _place in weights) of sources (_source, source_size), null for the null source.
 
     Sources in code point order, null last, take the weights in turn. All share
-    ``share`` times the total by weight; a target stops at ``most`` times its
-    source's size and the excess is shared again until no target is above.
+    ``share`` times the total by weight; a target stops at ``most`` times its source's size and
+    the excess is shared again until no target is above: in the order of size over weight,
+    sources stop as long as their part of what those before leave is too large. Windows over one row for each source.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target: dict[str | None, float] = {}
-    left = share * sum(sizes.values())
-    free = list(order)
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > most * sizes[s]]
-        if not full:
-            target |= {s: unit * weight[s] for s in free}
-            break
-        for s in full:
-            target[s] = most * sizes[s]
-            left -= target[s]
-            free.remove(s)
-    return {s: (float(target[s]), i % len(weights)) for i, s in enumerate(order)}
+    order = Window.orderBy(F.col("_source").asc_nulls_last())
+    placed = totals.withColumn("_place", (F.row_number().over(order) - 1) % len(weights))
+    weight = F.lit(float(weights[-1]))
+    for i in range(len(weights) - 2, -1, -1):
+        weight = F.when(F.col("_place") == i, float(weights[i])).otherwise(weight)
+    capped = placed.withColumn("_w", weight).withColumn("_cap", F.lit(float(most)) * F.col("source_size"))
+    fill = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_source").asc_nulls_last())
+    before, rest = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
+    every = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    unit = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
+    due = capped.withColumn("_unit", unit).withColumn("_r", F.row_number().over(fill))
+    free = F.when(F.col("_unit") * F.col("_w") <= F.col("_cap"), F.struct("_r", "_unit"))
+    first = due.withColumn("_free", F.first(free, ignorenulls=True).over(every))
+    target = F.when(F.col("_free").isNull() | (F.col("_r") < F.col("_free")["_r"]), F.col("_cap")).otherwise(F.col("_free")["_unit"] * F.col("_w"))
+    return first.select("_source", "source_size", target.alias("target"), "_place")
 
 
 def schedule_inverse(y: Column, knots: tuple[float, ...]) -> Column:
@@ -97,27 +101,28 @@ def mix_sources(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = W
     takes words from the front of that order, passing over it again when it ends, so
     exactly floor(target) words are taken and no document is taken more often than
     ``most`` rounded up. Offsets are two-level prefix sums (hash range, then row), so
-    no source is gathered in one task. Null texts have size 0, a null source is a
+    no source is gathered in one task. Words are counted once into a table; texts that are kept join it again by a second count. Null texts have size 0, a null source is a
     source; repeated rows are separate documents; an empty table gives none; columns
-    named like an output are replaced. One row for each source is collected.
+    named like an output, here or of ``training_order``, are replaced.
     """
-    own = ["size", "source_size", "target", "taken", "passes"]
+    own = ["size", "source_size", "target", "taken", "passes", "pass", "words", "position"]
     keep = [c for c in keep if c not in {*own, "_source", "_hash", "_range", "_in", "_before", "_place", "_at"}]
-    label = F.when(F.col(source).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(source)))
-    named = docs.withColumn("_source", label).withColumn("_hash", F.xxhash64(F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.lit(seed)))
-    sized = with_size(named.select(list(dict.fromkeys([*keep, "_source", "_hash", text]))), [*keep, "_source", "_hash"], text)
-    small = with_size(named.select("_source", "_hash", text), ["_source", "_hash"], text)
-    totals = {None if r["_source"] == "null" else r["_source"][1:]: (r["size"], r["n"]) for r in small.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    bits = max(1, int(np.ceil(np.log2(max(2, sum(n for _, n in totals.values()))) / 2)))
-    targets = source_targets({s: v[0] for s, v in totals.items()}, weights, share, most)
-    plan = docs.sparkSession.createDataFrame([("null" if s is None else f"={s}", totals[s][0], t, place) for s, (t, place) in targets.items()], "_source string, source_size long, target double, _place int")
-    ranged = F.shiftright("_hash", 64 - bits)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
+    named = docs.withColumn("_source", F.col(source)).withColumn("_hash", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
+    light = [c for c in keep if c != text]
+    small = materialize(with_size(named.select(*dict.fromkeys([*light, "_source", "_hash", text])), [*light, "_source", "_hash"], text), "sizes")
+    sized = small if light == keep else with_size(named.select(*dict.fromkeys([*keep, "_source", "_hash", text])), [*keep, "_source", "_hash"], text)
+    totals = small.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    plan = source_plan(totals, weights, share, most)
+    bits = max(1, int(np.ceil(np.log2(max(2, small.count())) / 2)))
+    ranged = F.shiftright("_hash", HASH_BITS - bits)
     sums = small.groupBy("_source", ranged.alias("_range")).agg(F.sum("size").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_sum")).drop("_sum")
+    starts = materialize(before.join(plan, before["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"]), "starts")
     run = Window.partitionBy("_source", "_range").orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = sized.withColumn("_range", ranged).withColumn("_in", F.sum("size").over(run) - F.col("size"))
-    # plan has one row for each source, as collected above
-    placed = inner.join(before, ["_source", "_range"]).join(F.broadcast(plan), "_source").withColumn("_at", F.col("_before") + F.col("_in"))
+    same = (inner["_range"] == starts["_range"]) & inner["_source"].eqNullSafe(starts["_source"])
+    placed = inner.join(starts, same).drop(starts["_source"], starts["_range"]).withColumn("_at", F.col("_before") + F.col("_in"))
     words = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("source_size") * e - F.col("_at")))
     y = lambda e: (F.col("source_size") * e + F.col("_at")) / F.greatest(F.col("target"), F.lit(1.0))
 
@@ -133,7 +138,7 @@ def mix_sources(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = W
     return placed.select(*keep, "size", "source_size", "target", taken.alias("taken"), "passes")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each document and pass, range-sorted by training position."""
+def training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each document and pass, range-sorted by training position, pass and, if it is there, key."""
     flat = mixed.withColumn("_p", F.explode("passes")).select(*[c for c in mixed.columns if c != "passes"], F.col("_p.pass").alias("pass"), F.col("_p.words").alias("words"), F.col("_p.position").alias("position"))
-    return flat.orderBy("position", "pass")
+    return flat.orderBy("position", "pass", *([key] if key in flat.columns else []))

@@ -82,15 +82,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix of all sources takes of every document, and when."""
+    """Words that a mix of all sources takes of every document, and when, by pass."""
     from pyspark.sql import functions as F
 
     from strataweave.llm.mixing import mix_sources
 
     ship(spark)
     mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    first = F.try_element_at("passes", F.lit(1))["position"]
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    at = lambda i: F.try_element_at("passes", F.lit(i + 1))
+    each = [c for i in range(2) for c in (F.coalesce(at(i)["words"], F.lit(0)).alias(f"words_{i + 1}"), F.round(at(i)["position"], 9).alias(f"position_{i + 1}"))]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *each).orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +148,7 @@ _RULE_ROWS = ", ".join(f"('{action}', '{rule.partition('/')[0]}', '/{rule.partit
 SQL: dict[str, str] = {
     "op2_jaccard_join": twins.jaccard_components(),
     "op5_warc": twins.WARC,
+    "op6_mixing": twins.mixture(),
     "op10_substring_dedup": twins.repeated_passages(),
     "quality_base_counts": twins.QUALITY_BASE,
     "op4_url_filters": rf"""

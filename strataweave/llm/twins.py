@@ -60,3 +60,39 @@ starts as (select doc_id, i, i <= len(w) - {window - 1} and row_number() over (p
 marked as (select doc_id, i, word, bool_or(again) over (partition by doc_id order by i rows between {window - 1} preceding and current row) as gone from starts),
 kept as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from marked group by doc_id)
 select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from word_lists w left join kept k on w.doc_id = k.doc_id"""
+
+
+def schedule_time(y: str, knots: tuple[float, ...]) -> str:
+    """Time by which the fraction ``y`` of a schedule is due; the schedule is linear between equally spaced knots."""
+    step = 1 / (len(knots) - 1)
+    areas = [(a + b) / 2 * step for a, b in zip(knots, knots[1:], strict=False)]
+    total, cases = sum(areas), []
+    for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
+        start, slope = sum(areas[:i]) / total, (b - a) / step
+        due = f"greatest({y} - {start}::double, 0) * {total}::double"
+        x = f"{due} / {a}::double" if not slope else f"(sqrt(greatest({a * a}::double + {due} * {2 * slope}::double, 0)) - {a}::double) / {slope}::double"
+        last = i == len(areas) - 1
+        cases.append(f"{'else' if last else f'when {y} < {start + areas[i] / total}::double then'} {i * step}::double + least(greatest({x}, 0), {step}::double)")
+    return f"case {' '.join(cases)} end"
+
+
+def mixture(weights: tuple[int, ...] = (5, 2, 1), schedules: tuple[tuple[float, ...], ...] = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5)), seed: int = 23) -> str:
+    """Targets, words taken and training positions of two passes."""
+    pick = lambda of: "case " + " ".join(f"when place = {i} then {of(i)}" for i in range(len(weights))) + " end"
+    y = lambda e: f"((source_size * {e} + place_at) / greatest(target, 1.0::double))"
+    words = lambda e: f"greatest(0, least(size, floor(target)::bigint - source_size * {e} - place_at))"
+    shown = ", ".join(f"({words(e)})::bigint as words_{e + 1}, case when {words(e)} > 0 then round({pick(lambda i, e=e: schedule_time(y(e), schedules[i]))}, 9) end as position_{e + 1}" for e in range(2))
+    return rf"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, ('0x' || md5('{seed}|' || coalesce(doc_id::varchar, 'null') || '|' || coalesce(text, ''))[1:15])::bigint as h
+  from documents),
+totals as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % {len(weights)} as place from sized group by source),
+caps as (select *, {pick(lambda i: f"{weights[i]}::double")} as w, 2.0::double * source_size as cap from totals),
+filled as (
+  select *, row_number() over f as r,
+    (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as unit
+  from caps window f as (order by cap / w, source nulls last)),
+free as (select min(r) as r, arg_min(unit, r) as unit from filled where unit * w <= cap),
+plan as (select source, source_size, place, case when free.r is null or filled.r < free.r then cap else free.unit * w end as target from filled cross join free),
+placed as (select s.doc_id, s.size, p.source_size, p.target, p.place, (sum(s.size) over (partition by s.source order by h, s.size rows unbounded preceding) - s.size)::bigint as place_at from sized s join plan p on s.source is not distinct from p.source)
+select doc_id, size, source_size, target, ({words(0)} + {words(1)})::bigint as taken, {shown} from placed"""

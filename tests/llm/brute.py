@@ -75,3 +75,28 @@ def quality(text):
     count = Counter(grams)
     covered = {i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(3)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
+
+
+def source_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """(target words, place in weights) of each source.
+
+    Sources in code point order, null last, take the weights in turn. All share
+    ``share`` times the total by weight; a target stops at ``most`` times its
+    source's size and the excess is shared again until no target is above.
+    """
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target = {}
+    left = share * sum(sizes.values())
+    free = list(order)
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = [s for s in free if unit * weight[s] > most * sizes[s]]
+        if not full:
+            target |= {s: unit * weight[s] for s in free}
+            break
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+            free.remove(s)
+    return {s: (float(target[s]), i % len(weights)) for i, s in enumerate(order)}

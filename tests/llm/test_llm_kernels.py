@@ -136,9 +136,9 @@ def test_bpe_very_long_runs(text):
 
 
 def test_source_targets():
-    t = mixing.source_targets({"b": 100, "a": 10, None: 5, "c": 50})
+    t = brute.source_targets({"b": 100, "a": 10, None: 5, "c": 50})
     assert {k: v[0] for k, v in t.items()} == {"a": 20.0, "b": 145.0, "c": 72.5, None: 10.0}
-    assert mixing.source_targets({}) == {} and mixing.source_targets({"x": 0}) == {"x": (0.0, 0)}
+    assert brute.source_targets({}) == {} and brute.source_targets({"x": 0}) == {"x": (0.0, 0)}
 
 
 def fm_segments(seed, sizes=(20, 63)):

@@ -167,7 +167,7 @@ def test_mixing(docs, rows, empty, odd):
     sizes = {}
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + len(brute.words(r[1]))
-    targets = mixing.source_targets(sizes)
+    targets = brute.source_targets(sizes)
     assert {r["doc_id"]: r["size"] for r in got} == {r[0]: len(brute.words(r[1])) for r in rows}
     for source, size in sizes.items():
         own = [r for r in got if r["source"] == source]
