@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from strataweave.llm.textblocks import trimmed
 
-#: blocks in a row of the frames written, and rows at most
-COLUMNS, ROWS = 64, 64
+#: blocks in a row of the frames written, and rows at most: 1,024 samples, so that all but short texts have several frames
+COLUMNS, ROWS = 64, 16
 #: JPEG's zigzag order (fixed values: ITU-T T.81)
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
@@ -382,17 +382,31 @@ def padded_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\x00" * (max(64, -(-len(raw) // 64) * 64) - len(raw)), len(raw)
 
 
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double>>"
+
+
+def payload_histograms(frames: list[np.ndarray], n: int) -> np.ndarray:
+    """64-bin histograms of the frames' samples up to the n-th: what pads the last frame doesn't count."""
+    flat = np.concatenate([f.ravel() for f in frames])[:n] >> 2
+    frame = np.arange(n) // frames[0].size
+    return np.bincount(frame * 64 + flat, minlength=64 * len(frames)).reshape(-1, 64)
+
+
+def timed_clips(histograms: np.ndarray, rate: float) -> list[dict]:
+    """The shots as clips with times in seconds."""
+    return [{"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / rate, "end_s": b / rate} for i, (a, b) in enumerate(shots(histograms))]
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
-    """Store every whole text as AVI motion-JPEG, read it back and compute features.
+    """Store every whole text as AVI motion-JPEG, read it back and compute features and clips.
 
-    Null and empty texts store 64 zero bytes. Equal texts have equal rows; an empty
+    Null and empty texts store 64 zero bytes. Equal texts have equal rows, and repeated rows stay; an empty
     table gives none; other columns are not read. ``with_media`` adds the files.
-    feature: frames, shots, and mean sample and mean histogram difference of the frames.
+    feature: frames, shots, and mean sample and mean histogram difference of the frames. clips: the shots with their times.
     """
     schema = T.StructType([docs.schema[key]] + list(T._parse_datatype_string(_DIGEST).fields) + ([T.StructField("media", T.BinaryType())] if with_media else []))
+    clip = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strataweave.llm.textblocks import pieces
@@ -403,12 +417,13 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_me
                 payload, n = padded_payload(value.as_py())
                 media = payload_to_avi(payload)
                 back, frames, avi = avi_to_payload(media)
-                hist = np.stack([np.bincount(f.ravel() >> 2, minlength=64) for f in frames])
-                cuts = shots(hist)
-                step = float(np.abs(np.diff(hist, axis=0)).sum() / (2 * hist[0].sum() * max(1, len(hist) - 1)))
-                feature = f"frames={len(frames)};shots={len(cuts)};seconds={len(frames) / avi['rate']:.3f};mean={np.frombuffer(back, np.uint8).mean():.4f};step={step:.4f}"
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature) + ((media,) if with_media else ()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c) for c in zip(*rows, strict=True))], names=schema.names)
+                hist = payload_histograms(frames, len(back))
+                found = timed_clips(hist, avi["rate"])
+                share = hist / hist.sum(1, keepdims=True)
+                step = float(np.abs(np.diff(share, axis=0)).sum() / (2 * max(1, len(hist) - 1)))
+                feature = f"frames={len(frames)};shots={len(found)};seconds={len(frames) / avi['rate']:.3f};mean={np.frombuffer(back, np.uint8).mean():.4f};step={step:.4f}"
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, found) + ((media,) if with_media else ()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=schema.names)
 
     return docs.select(key, text).mapInArrow(trimmed(run), schema)
 
@@ -416,7 +431,8 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_me
 def clips(media: DataFrame, key: str, column: str = "media") -> DataFrame:
     """Timed clip rows of AVI files: key, clip, first_frame, n_frames, start_s, end_s, error.
 
-    Frames are decoded to luma. Unreadable files and null give one row with ``error`` and no clip.
+    Frames are decoded to luma. Unreadable files and null give one row with ``error`` and no clip; repeated rows give their clips
+    again; an empty table gives none; other columns are not read.
     """
     schema = T.StructType([media.schema[key]] + list(T._parse_datatype_string("clip int, first_frame int, n_frames int, start_s double, end_s double, error string").fields))
 

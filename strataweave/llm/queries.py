@@ -49,11 +49,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as AVI motion-JPEG and back."""
+    """Every text as AVI motion-JPEG and back, with its timed clips."""
+    from pyspark.sql import functions as F
+
     from strataweave.llm.media import text_media
 
     ship(spark)
-    return text_media(table(spark, sf_dir, "documents"))
+    return text_media(table(spark, sf_dir, "documents")).withColumn("clips", F.to_json("clips"))
 
 
 #: action and host/path of the rules of op4

@@ -229,12 +229,23 @@ def test_media(docs, rows, empty):
         assert (r["n_bytes"], r["payload_bytes"]) == (n, len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
+        frames = media.read_avi(bytes(r["media"]))["frames"]
+        assert len(frames) == -(-len(payload) // 1024) and f"shots={len(r['clips'])};" in r["feature"]
+        assert [c["clip"] for c in r["clips"]] == list(range(len(r["clips"]))) and sum(c["n_frames"] for c in r["clips"]) == len(frames)
+        assert all(c["start_s"] == c["first_frame"] / 25 and c["end_s"] == (c["first_frame"] + c["n_frames"]) / 25 for c in r["clips"])
     assert media.text_media(empty).count() == 0
     bad = media.text_media(docs, with_media=True).limit(2).select("doc_id", "media").unionAll(docs.limit(1).select("doc_id", F.lit(None).cast("binary")))
     found = media.clips(bad, "doc_id").collect()
     assert len(found) >= 3 and sum(r["error"] is not None for r in found) == 1
 
 
+def test_media_clips_where_texts_change(spark):
+    text = "a" * 4096 + "z9 " * 2048 + "a" * 3000
+    df = spark.createDataFrame([(1, text, "x"), (2, "a" * 9000, "y"), (2, "a" * 9000, "y")], "doc_id long, text string, clips string")
+    got = [(r["doc_id"], [(c["first_frame"], c["n_frames"]) for c in r["clips"]]) for r in media.text_media(df).orderBy("doc_id").collect()]
+    assert got == [(1, [(0, 4), (4, 6), (10, 3)]), (2, [(0, 9)]), (2, [(0, 9)])]
+
+
 def test_warc(spark):
     given = [(3, "http://a/", "same"), (1, "http://b/\r\nX: y", "same"), (2, None, None), (5, "u", ""), (7, "u", "é" * 10), (None, "u", "same"), (1, "again", "same")]
     pages = spark.createDataFrame(given, "page_id long, url string, html string")
