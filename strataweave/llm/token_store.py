@@ -1,11 +1,12 @@
 """Token-id files: one concatenated id array with Elias-Fano document boundaries.
 
-File, little-endian: magic ``EFTOK1\\0\\0``; five uint64 (documents, ids, bytes per
-id, low bits, bytes of the high part); the documents' keys (int64) and null flags
-(one byte each); packed low bits; high bits (bit i + (boundary >> low) is set for
-boundary i); ones before each 512-bit block of the high part (uint32); the ids.
-Boundary i is found by select in the high part and a read of the low part: about
-2 + log2(ids / documents) bits each, and no table of 64-bit offsets.
+File, little-endian: magic ``EFTOK2\\0\\0``; eight uint64 (documents, documents with a null key, which are
+the last, ids, bytes per id; low bits and bytes of the high part of the boundaries, and of the keys) and the
+first key (int64); the boundaries, then the keys less the first one, each as packed low bits,
+high bits (bit i + (value >> low) is set for value i) and the ones before each 512-bit block of
+the high part (uint32); the ids. Value i is found by select in the high part and a read of the low part: about
+2 + log2(range / documents) bits each, and no table of 64-bit offsets or keys. Keys that span
+2**62 or more are written as int64 (their low bits say 64).
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataweave.llm.textblocks import Words, gather_ranges, pieces, raw, string_array, strings, trimmed
-from strataweave.session import materialize, shared_dir
+from strataweave.session import materialize, shared_dir, shuffle_width
 
-MAGIC = b"EFTOK1\0\0"
+MAGIC = b"EFTOK2\0\0"
 BLOCK = 512
 #: words kept with their ids in a worker process, in each of two generations
 CACHED_WORDS = 200_000
+#: ids read at a time, about
+READ_IDS = 1 << 20
 
 
 class EliasFano:
@@ -46,10 +49,20 @@ class EliasFano:
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         high = np.zeros(-(-(n + (top >> low_bits) + 1) // BLOCK) * BLOCK, np.uint8)
         high[(values >> low_bits) + np.arange(n)] = 1
-        low = np.packbits(((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
+        # eight values fill whole bytes
+        low = np.concatenate([np.packbits(((values[i : i + 65_536, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little") for i in range(0, max(n, 1), 65_536)])
         ones = np.concatenate([[0], np.cumsum(high.reshape(-1, BLOCK).sum(1, dtype=np.int64))[:-1]]).astype("<u4")
         return cls(n, low_bits, low, np.packbits(high, bitorder="little"), ones)
 
+    def tobytes(self) -> bytes:
+        return self.low.tobytes() + self.high.tobytes() + self.ones.tobytes()
+
+    @classmethod
+    def read(cls, file, n: int, low_bits: int, high: int) -> EliasFano:
+        low = np.frombuffer(file.read(-(-n * low_bits // 8)), np.uint8)
+        words = np.frombuffer(file.read(high), np.uint8)
+        return cls(n, low_bits, low, words, np.frombuffer(file.read(4 * (high * 8 // BLOCK)), "<u4"))
+
     def select(self, at: np.ndarray) -> np.ndarray:
         """The values at positions ``at``: find the block of the one, then the one within it."""
         at = np.asarray(at, np.int64)
@@ -69,10 +82,13 @@ class EliasFano:
         return (upper << self.low_bits) + lower.sum(1)
 
 
-def write_store(stream, keys: np.ndarray, nulls: np.ndarray, boundaries: np.ndarray, ids: list[np.ndarray], width: int) -> int:
-    """Write a file; returns its bytes."""
-    ef = EliasFano.encode(boundaries)
-    head = MAGIC + struct.pack("<5Q", len(keys), int(boundaries[-1]), width, ef.low_bits, len(ef.high)) + keys.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes() + ef.low.tobytes() + ef.high.tobytes() + ef.ones.tobytes()
+def write_store(stream, keys: np.ndarray, nulls: int, boundaries: np.ndarray, ids: list[np.ndarray], width: int) -> int:
+    """Write a file; returns its bytes. keys: those that are not null, ascending; ``nulls`` documents follow them."""
+    base = int(keys[0]) if len(keys) else 0
+    wide = len(keys) > 0 and int(keys[-1]) - base >= 1 << 62
+    ef, coded = EliasFano.encode(boundaries), EliasFano.encode(np.zeros(0, np.int64) if wide else keys - base)
+    head = MAGIC + struct.pack("<8Qq", len(keys) + nulls, nulls, int(boundaries[-1]), width, ef.low_bits, len(ef.high), 64 if wide else coded.low_bits, len(coded.high), base)
+    head += ef.tobytes() + (keys.astype("<i8").tobytes() if wide else coded.tobytes())
     stream.write(head)
     for part in ids:
         stream.write(part.astype(f"<u{width}").tobytes())
@@ -80,25 +96,39 @@ def write_store(stream, keys: np.ndarray, nulls: np.ndarray, boundaries: np.ndar
 
 
 class TokenFile:
-    """Reader of a file; ids are read by range, the boundaries by select."""
+    """Reader of a file; ids are read by range, boundaries and keys by select."""
 
     def __init__(self, file):
         self.file = file
         if file.read(8) != MAGIC:
             raise ValueError("not a token file")
-        self.n, self.total, self.width, low_bits, high = struct.unpack("<5Q", file.read(40))
-        self.keys = np.frombuffer(file.read(8 * self.n), "<i8")
-        self.nulls = np.frombuffer(file.read(self.n), np.uint8).astype(bool)
-        low = np.frombuffer(file.read(-(-(self.n + 1) * low_bits // 8)), np.uint8)
-        words = np.frombuffer(file.read(high), np.uint8)
-        ones = np.frombuffer(file.read(4 * (len(words) * 8 // BLOCK)), "<u4")
-        self.boundaries = EliasFano(self.n + 1, low_bits, low, words, ones)
+        self.n, nulls, self.total, self.width, low_bits, high, key_bits, key_high, self.base = struct.unpack("<8Qq", file.read(72))
+        self.known = self.n - nulls
+        self.boundaries = EliasFano.read(file, self.n + 1, low_bits, high)
+        self.raw = np.frombuffer(file.read(8 * self.known), "<i8") if key_bits == 64 else None
+        self.coded = EliasFano.read(file, self.known, key_bits, key_high) if key_bits < 64 else None
         self.at = file.tell()
 
+    def keys(self, first: int, last: int) -> pa.Array:
+        """Keys of documents [first, last)."""
+        end = min(last, self.known)
+        known = self.raw[first:end] if self.raw is not None else self.base + self.coded.select(np.arange(first, max(first, end)))
+        return pa.concat_arrays([pa.array(known, pa.int64()), pa.nulls(last - max(first, end), pa.int64())])
+
     def ids(self, first: int, last: int) -> np.ndarray:
         self.file.seek(self.at + first * self.width)
         return np.frombuffer(self.file.read((last - first) * self.width), f"<u{self.width}")
 
+    def blocks(self, documents: int = 4096, ids: int = READ_IDS) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, boundaries) of blocks of documents with at most about so many ids; one document may have more."""
+        for i in range(0, self.n, documents):
+            b = self.boundaries.select(np.arange(i, min(self.n, i + documents) + 1))
+            at = 0
+            while at < len(b) - 1:
+                to = max(at + 1, int(np.searchsorted(b, b[at] + ids, "right")) - 1)
+                yield i + at, b[at : to + 1]
+                at = to
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -230,27 +260,30 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     from strataweave.llm.storage import attempt_name, open_output
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nulls, sizes, ids = [], [], [], []
+        keys, nulls, sizes, ids = [], 0, [], []
         width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 65_536 and end_id < 65_536 else 4
         for batch in _blocks(pieces(batches, text, 8 << 20), text, 6 << 20):
             got, n = encode_words(strings(batch.column(text)), tokenizer_path, end_id)
             k = batch.column(key)
-            keys.append(np.asarray(pc.fill_null(k, 0), np.int64))
-            nulls.append(np.asarray(pc.is_null(k)))
+            keys.append(np.asarray(pc.drop_null(k), np.int64))
+            nulls += k.null_count
             sizes.append(n)
             ids.append(got.astype(f"<u{width}"))
-        if not keys:
+        if not sizes:
             return
         part = TaskContext.get().partitionId()
         path = attempt_name(folder, part, ".eftok")
         boundaries = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         with open_output(path) as f:
-            write_store(f, np.concatenate(keys), np.concatenate(nulls), boundaries, ids, width)
+            write_store(f, np.concatenate(keys), nulls, boundaries, ids, width)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [len(boundaries) - 1], "ids": [int(boundaries[-1])]})
 
     by = [F.col(key).asc_nulls_last(), F.col("_tie")]
-    rows = docs.select(key, text, F.xxhash64(text).alias("_tie"))
-    ranged = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
+    rows = docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("_tie"))
+    # a task holds its ids, two bytes each, until the boundaries are known
+    tasks = tasks or shuffle_width(docs, text)
+    wider = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(tasks, *by) if wider else rows.repartitionByRange(*by)
     manifest = materialize(ranged.sortWithinPartitions(*by).select(key, text).mapInArrow(trimmed(write), "part long, path string, documents long, ids long"), "tokens")
     # one row for each file
     return manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
@@ -267,13 +300,11 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id", with_ids: bool = False
             for row in batch.to_pylist():
                 with open_input(row["path"]) as f:
                     t = TokenFile(f)
-                    for i in range(0, t.n, 4096):
-                        j = min(t.n, i + 4096)
-                        b = t.boundaries.select(np.arange(i, j + 1))
+                    for i, b in t.blocks():
                         ids = t.ids(int(b[0]), int(b[-1])).astype("<u4")
                         local = b - b[0]
                         crc = [zlib.crc32(ids[x:y].data) for x, y in zip(local[:-1], local[1:], strict=True)]
-                        cols = [pa.array(t.keys[i:j], pa.int64(), mask=t.nulls[i:j]), pa.array(b[:-1] + row["base"]), pa.array(np.diff(b)), pa.array(crc, pa.int64())]
+                        cols = [t.keys(i, i + len(b) - 1), pa.array(b[:-1] + row["base"]), pa.array(np.diff(b)), pa.array(crc, pa.int64())]
                         if with_ids:
                             cols.append(pa.ListArray.from_arrays(pa.array(local, pa.int32()), pa.array(ids.astype(np.int64))))
                         yield pa.RecordBatch.from_arrays(cols, names=out.names)

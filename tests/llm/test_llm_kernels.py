@@ -88,10 +88,39 @@ def test_elias_fano(steps):
     values = np.cumsum([0, *steps])
     ef = token_store.EliasFano.encode(values)
     assert (ef.select(np.arange(len(values))) == values).all()
+    import io
+
+    again = token_store.EliasFano.read(io.BytesIO(ef.tobytes()), len(values), ef.low_bits, len(ef.high))
+    assert (again.select(np.arange(len(values))) == values).all()
     bits = 8 * (len(ef.low) + len(ef.high))
     assert bits <= len(values) * (3 + np.log2(values[-1] / len(values) + 1)) + 1100
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=30), st.integers(0, 3), st.booleans())
+def test_token_files(keys, nulls, narrow):
+    import io
+
+    keys = np.sort(np.array([k >> 40 for k in keys] if narrow else keys, np.int64))
+    n = len(keys) + nulls
+    if not n:
+        return
+    rng = np.random.default_rng(n)
+    sizes = rng.integers(1, 2000, n)
+    ids = rng.integers(0, 60_000, sizes.sum())
+    out = io.BytesIO()
+    token_store.write_store(out, keys, nulls, np.concatenate([[0], np.cumsum(sizes)]), [ids], 2)
+    out.seek(0)
+    t = token_store.TokenFile(out)
+    got_keys, got = [], []
+    for first, b in t.blocks(7, 1500):
+        assert len(b) == 2 or b[-1] - b[0] <= 1500
+        got_keys += t.keys(first, first + len(b) - 1).to_pylist()
+        got += [t.ids(int(x), int(y)).tolist() for x, y in zip(b[:-1], b[1:], strict=True)]
+    assert got_keys == keys.tolist() + [None] * nulls
+    assert got == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_encode_words_equals_whole_text():
     import public_tokenizers
 

@@ -209,10 +209,11 @@ def test_sharding(docs, rows, empty, odd):
 
 def test_token_store(docs, rows, empty, odd):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     got = sorted(map(tuple, token_store.read_tokens(token_store.write_tokens(docs, path, token_store.token_folder(docs), tasks=3)).collect()))
-    t, at = token_store._tokenizer(path)[0], 0
+    t, at = Tokenizer.from_file(path), 0
     for (doc_id, text), r in zip(sorted(pairs(rows)), got, strict=True):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
         assert r == (doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
