@@ -281,9 +281,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     by = [F.col(key).asc_nulls_last(), F.col("_tie")]
     rows = docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("_tie"))
     # a task holds its ids, two bytes each, until the boundaries are known
-    tasks = tasks or shuffle_width(docs, text)
-    wider = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(tasks, *by) if wider else rows.repartitionByRange(*by)
+    width = tasks or shuffle_width(docs, text)
+    wider = tasks is not None or width > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(width, *by) if wider else rows.repartitionByRange(*by)
     manifest = materialize(ranged.sortWithinPartitions(*by).select(key, text).mapInArrow(trimmed(write), "part long, path string, documents long, ids long"), "tokens")
     # one row for each file
     return manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))

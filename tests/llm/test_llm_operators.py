@@ -207,6 +207,30 @@ def test_sharding(docs, rows, empty, odd):
     assert sharding.external_shuffle(odd, 6).count() == odd.count()
 
 
+def test_copies_beyond_a_bucket(spark):
+    rows = [(1, "copy " * 40)] * 60 + [(None, None)] * 300 + [(i, f"t{i} " * 30) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.external_shuffle(df, 3, bucket_bytes=1000).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out) == sorted((str(d), t or "") for d, t in rows)
+    for s in range(3):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    at = lambda rows: sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in rows)
+    assert at(sharding.external_shuffle(df.repartition(2), 3, bucket_bytes=1000).collect()) == at(out)
+
+
+def test_write_shards(spark, docs, rows, tmp_path):
+    shuffled = sharding.external_shuffle(docs.select("doc_id", "text"), 5, bucket_bytes=2000)
+    sharding.write_shards(shuffled, f"{tmp_path}/shards")
+    want = {}
+    for r in shuffled.collect():
+        want.setdefault(r["shard"], []).append((r["slot"], r["doc_id"]))
+    for shard, slots in want.items():
+        got = [(r["slot"], r["doc_id"]) for f in sorted((tmp_path / "shards" / f"shard={shard}").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert got == sorted(slots)
+    sharding.write_shards(shuffled.limit(0), f"{tmp_path}/none")
+    assert not list((tmp_path / "none").glob("shard=*"))
+
+
 def test_token_store(docs, rows, empty, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
