@@ -30,6 +30,24 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 32 << 20
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _GZIP = b"\x1f\x8b\x08"
+_SEARCHED = {"gzip": re.compile(re.escape(_GZIP)), "version": _VERSION, "line": re.compile(rb"(?<=\n)WARC/\d\.\d\r?\n"), "head end": re.compile(rb"\r\n\r\n")}
+
+
+class _Places:
+    """Next places of what a reader looks for. A search is repeated only where its last result is passed, so reading on from failure to failure stays linear."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.found: dict[str, tuple[int, int]] = {}
+
+    def next(self, what: str, at: int) -> int:
+        """The first place from ``at`` on, or the end of the data."""
+        since, place = self.found.get(what, (0, -1))
+        if not since <= at <= place:
+            m = _SEARCHED[what].search(self.data, at)
+            place = m.start() if m else len(self.data)
+            self.found[what] = (at, place)
+        return place
 
 
 def digest32(payload: bytes) -> str:
@@ -87,12 +105,14 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int]:
+def _parse(data: bytes, at: int, places: _Places) -> tuple[Record, int]:
     """The record whose version line begins at ``at``, and where it ends."""
     if not _VERSION.match(data, at):
         raise _Bad("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    end = places.next("head end", at)
+    if places.next("line", at + 1) < end:
+        raise _Bad("another version line within the header")
+    if end == len(data):
         raise _Bad("the header does not end")
     headers = _fields(data[at:end])
     size = headers.get("content-length", "")
@@ -168,15 +188,15 @@ def _inside(plain: bytes, at: int, end: int) -> tuple[list[Record | Gap], int]:
     """Records and gaps of the inflated member [at, end) of a file, and where the last record ends in ``plain``."""
     found: list[Record | Gap] = []
     i, lost, why, last = 0, -1, "", 0
+    places = _Places(plain)
     gap = lambda stop: Gap(at, end, f"{why} (bytes {lost} to {stop} inflated)")
     while i < len(plain):
         try:
-            r, stop = _parse(plain, i)
+            r, stop = _parse(plain, i, places)
         except _Bad as e:
             if lost < 0:
                 lost, why = i, str(e)
-            version = _VERSION.search(plain, i + 1)
-            i = version.start() if version else len(plain)
+            i = places.next("version", i + 1)
             continue
         if lost >= 0:
             found.append(gap(i))
@@ -189,7 +209,7 @@ def _inside(plain: bytes, at: int, end: int) -> tuple[list[Record | Gap], int]:
     return found, last
 
 
-def _member(data: bytes, view: memoryview, at: int) -> tuple[list[Record | Gap], int, str]:
+def _member(data: bytes, view: memoryview, at: int, places: _Places) -> tuple[list[Record | Gap], int, str]:
     """Records and gaps of the member or record at ``at``, where to go on, and why the rest of the member can't be read (empty: all is read)."""
     if data.startswith(_GZIP, at):
         plain, end, error = _inflate(view, at)
@@ -201,21 +221,19 @@ def _member(data: bytes, view: memoryview, at: int) -> tuple[list[Record | Gap],
                 found.pop()
             return found, _inflated_to(view, at, last), error
         return found, end, ""
-    r, end = _parse(data, at)
+    r, end = _parse(data, at, places)
     return [r], end, ""
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records that can be read, and the gaps between them, in file order."""
     view, at, lost, why = memoryview(data), 0, -1, ""
-
-    def following(first: int) -> int:
-        gz, version = data.find(_GZIP, first), _VERSION.search(data, first)
-        return min((x for x in (gz, version.start() if version else -1) if x >= first), default=len(data))
+    places = _Places(data)
+    following = lambda first: min(places.next("gzip", first), places.next("version", first))
 
     while at < len(data):
         try:
-            found, end, error = _member(data, view, at)
+            found, end, error = _member(data, view, at, places)
         except _Bad as e:
             if lost < 0:
                 lost, why = at, str(e)
@@ -250,7 +268,12 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def write_archives(records: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write gzip WARC files of about ``file_bytes`` to a shared folder; returns the manifest (path, records, bytes)."""
+    """Write gzip WARC files of about ``file_bytes`` to a shared folder; returns the manifest (path, records, bytes).
+
+    records: as of ``plan_records``. A null page has ``null`` in its id, a null url no target; payloads are never null. Repeated
+    rows are written again, and rows that repeat a page share its record id; an empty table gives no file.
+    Urls and payloads may have any length; further columns are not read.
+    """
     from strataweave.llm.storage import attempt_name, fresh_folder, open_output
 
     where = folder or fresh_folder(shared_dir(records.sparkSession), "warc")
@@ -285,7 +308,11 @@ _READ = "path string, offset long, end long, gap_reason string, record_type stri
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of the files in ``path``; gap rows have gap_reason, offset and end, and no record_type."""
+    """Records and gaps of the files in ``path``; gap rows have gap_reason, offset and end, and no record_type.
+
+    A file is read whole, and a member inflated whole. Files named twice are read twice; an empty file or manifest gives no rows;
+    further columns of the manifest are not read.
+    """
     from strataweave.llm.storage import open_input
 
     def page(uri: str) -> int | None:

@@ -265,6 +265,24 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_in_linear_time():
+    import gzip
+    import time
+
+    good = gzip.decompress(warc.record("response", 1, "http://x/1", b"good", None))
+    bad = b"WARC/1.1\r\nContent-Length: x\r\n" + b"y" * 64 + b"\r\n"
+    for junk in (bad * 60_000, bad.replace(b"\r\n", b"\n") * 60_000, b"WARC/1.0\r\n" * 500_000):
+        began = time.time()
+        for data in (junk + b"\r\n\r\n" + good, gzip.compress(junk + b"\r\n\r\n" + good), junk):
+            got = list(warc.salvage(data))
+            assert sum(isinstance(r, warc.Record) for r in got) == (data is not junk)
+            assert sum(isinstance(r, warc.Gap) for r in got) == 1
+        assert time.time() - began < 60
+    # a header line may name a version
+    named = good.replace(b"Content-Type: application/http", b"Software: reads WARC/1.0\r\nContent-Type: application/http")
+    assert [type(r).__name__ for r in warc.salvage(named)] == ["Record"]
+
+
 @pytest.mark.parametrize("level", [0, 6])
 def test_salvage_inside_a_member(level):
     import gzip
