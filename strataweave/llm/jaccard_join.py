@@ -15,8 +15,10 @@ itself, level by level; node pairs go when their sizes or the largest overlap th
 bitmaps and sizes allow rule out a link. What is left is verified on the texts.
 
 Large groups take two rounds: first each set's likeliest pairs, verified, give
-components; then all other pairs of different components are sought, in trees of wide
-bitmaps (4 bits for each token), so nothing hangs on the first choice. So a clique of near copies costs about as many
+components (groups of more than ``GROUP`` sets are parted by minhashes for that); then,
+in groups of several components, all other pairs of different components are sought, in trees of
+wide bitmaps (4 bits for each token; groups of more than ``GROUP`` sets in pairs of blocks),
+so nothing hangs on the first choice. So a clique of near copies costs about as many
 verifications as it has members, and copies that differ too much are told apart
 without their texts. Wide bitmaps of twice the width fold onto narrower ones.
 
@@ -38,11 +40,13 @@ from strataweave.llm.identity import RID, given_rows, identified
 from strataweave.llm.textblocks import U, Words, gram_hashes, inside, mix, pieces, raw, string_array, strings, trimmed
 from strataweave.operators.graph import connected_components
 from strataweave.operators.overlaps import overlaps
-from strataweave.session import forget, materialize
+from strataweave.session import dealt, forget, materialize, shuffle_width
 
 GRAM, PERCENT = 4, 85
 #: sets with a token in their prefix from which it is hot
 HOT = 64
+#: sets in a hot group from which it is parted in the first round and dealt into blocks in the second
+GROUP = 2048
 #: sets in a group that is one leaf; children of a node of larger ones
 LEAF = 16
 BITS = 512
@@ -115,6 +119,15 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return (total[off[1:]] - total[off[:-1]]).view(np.int64)
 
 
+def _least(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The least value of each text, 0 without any."""
+    out = np.zeros(len(off) - 1, U)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.minimum.reduceat(x, off[some])
+    return out.view(np.int64)
+
+
 def _profiles(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -130,38 +143,8 @@ def _profiles(k: int, percent: int):
             at = np.repeat(off[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(tokens[at].view(np.int64)))
             maps = [string_array(*bitmaps(tokens, off, width), binary=True) for width in (np.full(len(n), BITS), widths(n))]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n), pa.array(k1), pa.array(k2), prefix, *maps], names=[RID, "n", "k1", "k2", "prefix", "bitmap", "wide"])
-
-    return run
-
-
-def _shared():
-    """Of (token, _rid, k1, core): tokens that several different sets have, one row for each set (of equal ones the smallest id), and how many these are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(i)) for i in range(4)] for b in batches]
-        if not got:
-            return
-        token, rid, k1, core = (np.concatenate([g[i] for g in got]) for i in range(4))
-        del got
-        order = np.argsort(token, kind="stable")
-        t = token[order]
-        twice = np.zeros(len(t), bool)
-        twice[1:] = t[1:] == t[:-1]
-        twice[:-1] |= twice[1:]
-        order = order[twice]  # few are left for the full sort
-        order = order[np.lexsort((rid[order], k1[order], token[order]))]
-        t, k = token[order], k1[order]
-        own = np.ones(len(t), bool)
-        own[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        order, t = order[own], t[own]
-        start = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
-        size = np.diff(np.append(start, len(t)))
-        count = np.repeat(size, size)
-        order, count = order[count > 1], count[count > 1]
-        for i in range(0, len(order), 200_000):
-            o = order[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[o]), pa.array(rid[o]), pa.array(core[o]), pa.array(count[i : i + 200_000])], names=["token", RID, "core", "sets"])
+            least = [_least(mix(tokens ^ U(seed)), off) for seed in (3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n), pa.array(k1), pa.array(k2), prefix, *maps, *map(pa.array, least)], names=[RID, "n", "k1", "k2", "prefix", "bitmap", "wide", "m1", "m2"])
 
     return run
 
@@ -175,24 +158,30 @@ def _possible(n_a, pop_a, n_b, pop_b, both, percent: int, least_a, least_b):
 
 
 class SignatureTree:
-    """Nodes over sets sorted by size; level 0 has the sets, each higher level ``LEAF`` nodes in one."""
+    """Nodes over sets sorted by size; level 0 has the sets, each higher level ``LEAF`` nodes in one.
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, label: np.ndarray | None = None):
+    Pairs of equal labels aren't sought, nor, with ``side``, pairs of one side.
+    """
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, label: np.ndarray | None = None, side: np.ndarray | None = None):
         label = label if label is not None else np.arange(len(n))
-        self.levels = [(n, n, np.bitwise_count(bits).sum(1, dtype=np.int64), bits, label, label)]
+        side = side if side is not None else np.arange(len(n))
+        self.levels = [(n, n, np.bitwise_count(bits).sum(1, dtype=np.int64), bits, label, label, side, side)]
         while len(self.levels[-1][0]) > 1:
-            low, high, pop, b, first, last = self.levels[-1]
+            low, high, pop, b, first, last, left, right = self.levels[-1]
             cut = np.arange(0, len(low), LEAF)
-            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(pop, cut), np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)))
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(pop, cut), np.bitwise_or.reduceat(b, cut), *(f.reduceat(x, cut) for f, x in ((np.minimum, first), (np.maximum, last), (np.minimum, left), (np.maximum, right)))))
 
     def keep(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Which node pairs of a level may hold a link between different labels."""
-        low, high, pop, bits, first, last = self.levels[level]
+        """Which node pairs of a level may hold a link that is sought."""
+        low, high, pop, bits, *ends = self.levels[level]
         out = np.zeros(len(a), bool)
         for i in range(0, len(a), 65_536):
             x, y = a[i : i + 65_536], b[i : i + 65_536]
             both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
-            one = (first[x] == last[x]) & (first[y] == last[y]) & (first[x] == first[y])
+            one = np.zeros(len(x), bool)
+            for first, last in (ends[:2], ends[2:]):
+                one |= (first[x] == last[y]) & (first[y] == last[x])  # then all four are equal
             out[i : i + 65_536] = _possible(high[x], pop[x], high[y], pop[y], both, percent, low[x], low[y]) & ~one
         return out
 
@@ -244,16 +233,20 @@ def likely_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndar
     order = np.lexsort((n, *hashes[::-1]))
     n, bits = n[order], bits[order]
     pop = np.bitwise_count(bits).sum(1, dtype=np.int64)
-    alike = np.full((c, min(NEAR, c - 1)), -1.0)
-    for d in range(1, alike.shape[1] + 1):
-        both = np.bitwise_count(bits[:-d] & bits[d:]).sum(1, dtype=np.int64)
-        x, y = slice(0, c - d), slice(d, c)
-        ok = _possible(n[x], pop[x], n[y], pop[y], both, percent, n[x], n[y])
-        alike[: c - d, d - 1] = np.where(ok, both / (pop[x] + pop[y] - both), -1.0)
-    best = np.argsort(-alike, axis=1, kind="stable")[:, :NEAREST]
-    i, j = np.repeat(np.arange(c), best.shape[1]), best.ravel()
-    found = alike[i, j] >= 0
-    return order[i[found]], order[i[found] + j[found] + 1]
+    found = []
+    for low in range(0, c, 8192):
+        rows = np.arange(low, min(c, low + 8192))
+        alike = np.full((len(rows), min(NEAR, c - 1)), -1.0)
+        for d in range(1, alike.shape[1] + 1):
+            x = rows[: max(0, c - d - low)]
+            both = np.bitwise_count(bits[x] & bits[x + d]).sum(1, dtype=np.int64)
+            ok = _possible(n[x], pop[x], n[x + d], pop[x + d], both, percent, n[x], n[x + d])
+            alike[: len(x), d - 1] = np.where(ok, both / np.maximum(pop[x] + pop[x + d] - both, 1), -1.0)
+        best = np.argsort(-alike, axis=1, kind="stable")[:, :NEAREST]
+        i, j = np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
+        some = alike[i, j] >= 0
+        found.append((rows[i[some]], rows[i[some]] + j[some] + 1))
+    return tuple(order[np.concatenate([f[k] for f in found])] for k in range(2))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray] | None:
@@ -318,14 +311,15 @@ def _first_round(percent: int):
 
 
 def _second_round(percent: int):
-    """Candidates of different components in groups of more than one leaf. Rows: token, own, _rid, n, wide bitmap, component.
+    """Candidates of different components. Rows: token, own, _rid, n, wide bitmap, component, side.
 
-    own is false for sets of the band below: pairs of two of these are found in their own band.
+    own is false for sets of the band below: pairs of two of these are found in their own band. side is null but in pairs of blocks
+    of a large group, where only pairs of both sides are sought.
     """
 
-    def find(rid, n, label, home, buf, off, start, size):
+    def find(rid, n, label, home, side, buf, off, start, size):
         lanes = np.diff(off) // 8
-        for s, c in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        for s, c in zip(start.tolist(), size.tolist(), strict=True):
             if (label[s : s + c] == label[s]).all() or not home[s : s + c].any():
                 continue
             # a tree for each width: its own sets, and those of twice the width that are not too large, folded
@@ -335,17 +329,18 @@ def _second_round(percent: int):
                 row = lambda at, w: buf[off[at][:, None] + np.arange(w * 8)].view("<u8")
                 bits = np.concatenate([row(own, width), fold(row(twice, 2 * width), width)]) if len(twice) else row(own, width)
                 at = np.concatenate([own, twice])
-                order = np.lexsort((rid[at], n[at]))
+                order = np.lexsort((rid[at], n[at], side[at]))
                 at, bits, mine = at[order], bits[order], (order < len(own))
-                for a, b in SignatureTree(n[at], bits, label[at]).pairs(percent):
+                across = side[s] >= 0
+                for a, b in SignatureTree(n[at], bits, label[at], side[at] if across else None).pairs(percent):
                     some = (mine[a] | mine[b]) & ((home[at[a]] | home[at[b]]) > 0)
                     yield rid[at[a[some]]], rid[at[b[some]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := _groups(batches, [RID, "n", "component", "own"]):
-            (rid, n, label, home), maps, start, size = got
+        if got := _groups(batches, [RID, "n", "component", "own", "side"]):
+            (rid, n, label, home, side), maps, start, size = got
             buf, off = raw(maps)
-            yield from _batched(find(rid, n, label, home, np.ascontiguousarray(buf), off, start, size))
+            yield from _batched(find(rid, n, label, home, side, np.ascontiguousarray(buf), off, start, size))
 
     return run
 
@@ -398,12 +393,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = GRAM, percent: int = PE
     return left.join(pairs, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_verify(k, percent)), "a long, b long, both long, either long")
 
 
-def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int, width: int = 0) -> DataFrame:
     """Verified links among candidate pairs, by stages that are written, so that shuffle files go after each."""
-    distinct = materialize(pairs.distinct(), "pairs")
-    left = materialize(screened(distinct, profile, percent), "pairs")
+    distinct = materialize(pairs.distinct(), "pairs", width)
+    left = materialize(screened(distinct, profile, percent), "pairs", width)
     forget(distinct)
-    links = materialize(verified(left, docs, k, percent), "links")
+    links = materialize(verified(left, docs, k, percent), "links", width)
     forget(left)
     return links
 
@@ -482,47 +477,65 @@ def link_counts(classes: DataFrame, profile: DataFrame, docs: DataFrame, k: int,
     return counted.groupBy(F.col(RID).alias("_rep")).agg(F.sum("n_links").alias("n_links")).unionByName(two)
 
 
-def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool = True) -> DataFrame:
+def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool = True, group: int = GROUP) -> DataFrame:
     """(_rid, n_shingles, component, and n_links if ``counted``) of documents (_rid, text); component is a _rid."""
-    columns = f"{RID} long, n long, k1 long, k2 long, prefix array<long>, bitmap binary, wide binary"
+    columns = f"{RID} long, n long, k1 long, k2 long, prefix array<long>, bitmap binary, wide binary, m1 long, m2 long"
+    width = shuffle_width(marked)
     profile = materialize(marked.mapInArrow(trimmed(_profiles(k, percent)), columns), "profiles")
+    # of equal sets the smallest id stands for all
+    sets = materialize(profile.where("n > 0").groupBy("k1", "k2").agg(F.min(RID).alias("_rep")), "sets", width)
     # the plain prefix, without the extension that lets sets drop hot tokens
     core = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    tokens = profile.where("size(prefix) > 0").select(F.posexplode("prefix").alias("i", "token"), RID, "k1", core.alias("p")).select("token", RID, "k1", (F.col("i") < F.col("p")).alias("core"))
-    shared = tokens.repartition("token").mapInArrow(trimmed(_shared()), f"token long, {RID} long, core boolean, sets long")
+    firsts = profile.where("size(prefix) > 0").select(RID, "n", "prefix").join(sets.select(F.col("_rep").alias(RID)), RID, "left_semi")
+    tokens = firsts.select(F.posexplode("prefix").alias("i", "token"), RID, core.alias("p")).select("token", RID, (F.col("i") < F.col("p")).alias("core"))
+    # counted with a map-side combine; AQE splits a hot token's rows in the join
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").hint("shuffle_hash"), "token")
     pick = lambda where: F.collect_list(F.when(where, F.col("token")))
-    sets = F.col("sets")
-    lists = shared.groupBy(RID).agg(pick(sets <= LEAF).alias("few"), pick((sets > LEAF) & (sets < hot)).alias("many"), pick((sets >= hot) & F.col("core")).alias("hot"), F.count_if(sets >= hot).alias("n_hot"))
+    sets_of = F.col("sets")
+    lists = shared.groupBy(RID).agg(pick(sets_of <= LEAF).alias("few"), pick((sets_of > LEAF) & (sets_of < hot)).alias("many"), pick((sets_of >= hot) & F.col("core")).alias("hot"), F.count_if(sets_of >= hot).alias("n_hot"))
     # two sets that both keep hot tokens share one of their plain prefixes
     enough = F.col("n_hot") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
     # a set takes part in its own size band and in the next: sizes of a link are at most one band apart
     band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
-    plain = lambda tokens: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(1).alias("own")))
-    banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(F.struct(F.xxhash64(t, band).alias("token"), F.lit(1).alias("own")), F.struct(F.xxhash64(t, band + 1).alias("token"), F.lit(0).alias("own")))))
+    entry = lambda token, own, hot: F.struct(token.alias("token"), F.lit(own).alias("own"), F.lit(hot).alias("hot"))
+    plain = lambda tokens: F.transform(tokens, lambda t: entry(t, 1, False))
+    banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(entry(F.xxhash64(t, band), 1, True), entry(F.xxhash64(t, band + 1), 0, True))))
     many = F.when(enough, F.concat(plain("many"), banded("hot"))).otherwise(plain("many"))
-    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), many.alias("many")).where("size(few) + size(many) > 0"), "members")
+    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), many.alias("many")).where("size(few) + size(many) > 0"), "members", width)
 
     pairs = "a long, b long"
-    signed = members.join(profile.select(RID, "n", "bitmap"), RID)
-    first = signed.select(F.explode(F.concat("few", "many")).alias("t"), RID, "n", "bitmap").select("t.token", "t.own", RID, "n", "bitmap").repartition("token").mapInArrow(trimmed(_first_round(percent)), pairs)
-    links = _links(first, profile, marked, k, percent)
-    classes = materialize(connected_components(links), "classes")
-    labelled = members.where("size(many) > 0").join(profile.select(RID, "n", F.col("wide").alias("bitmap")), RID).join(classes.withColumnRenamed("node", RID), RID, "left")
-    second = labelled.select(F.explode("many").alias("t"), RID, "n", "bitmap", F.coalesce("component", RID).alias("component")).select("t.token", "t.own", RID, "n", "bitmap", "component").repartition("token").mapInArrow(trimmed(_second_round(percent)), pairs)
-    more = _links(second, profile, marked, k, percent)
-    forget(members)
-
-    top = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    sets = profile.where("n > 0").groupBy("k1", "k2").agg(F.min(RID).alias("_rep"))
+    # large groups are parted by minhashes, which put alike sets together, twice
+    large = materialize(members.select(F.explode("many").alias("t")).where("t.hot").groupBy("t.token").agg(F.count("*").alias("size")).where(F.col("size") > group), "large", width)
+    signed = members.join(profile.select(RID, "n", "bitmap", "m1", "m2"), RID).select(F.explode(F.concat("few", "many")).alias("t"), RID, "n", "bitmap", "m1", "m2").select("t.token", "t.own", RID, "n", "bitmap", "m1", "m2")
+    parted = signed.join(large, "token", "left").withColumn("token", F.explode(F.when(F.col("size").isNull(), F.array("token")).otherwise(F.array(F.xxhash64("token", "m1"), F.xxhash64("token", F.lit(2), "m2")))))
+    first = dealt(parted.select("token", "own", RID, "n", "bitmap"), width, "token").mapInArrow(trimmed(_first_round(percent)), pairs)
+    links = _links(first, profile, marked, k, percent, width)
+    classes = materialize(connected_components(links), "classes", width)
+
+    labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, F.coalesce("component", RID).alias("component")).select("t.token", "t.own", RID, "component")
+    # groups of one component are done; large ones are dealt into blocks, and each block meets each
+    ends = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / group).alias("blocks"))
+    open_ = materialize(labelled.join(ends, "token"), "open", width)
+    block = F.pmod(F.xxhash64(RID, F.lit(5)), F.col("blocks"))
+    met = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    pair = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")))
+    sought = met.select(pair.alias("token"), "own", RID, "component", side.alias("side")).join(profile.select(RID, "n", F.col("wide").alias("bitmap")), RID).select("token", "own", RID, "n", "bitmap", "component", "side")
+    second = dealt(sought, width, "token").mapInArrow(trimmed(_second_round(percent)), pairs)
+    more = _links(second, profile, marked, k, percent, width)
+    for done in (members, large, open_):
+        forget(done)
+
+    top = materialize(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))), "top", width)
     placed = profile.select(RID, "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(sets, ["k1", "k2"], "left").select(RID, F.col("n").alias("n_shingles"), F.coalesce("_rep", RID).alias("_rep"))
     found = placed.join(top.withColumnRenamed("node", "_rep"), "_rep", "left").select(RID, "n_shingles", "_rep", F.coalesce("component", "_rep").alias("component"))
     if not counted:
         return found.drop("_rep")
-    degree = materialize(link_counts(top, profile, marked, k, percent), "degrees")
+    degree = materialize(link_counts(top, profile, marked, k, percent), "degrees", width)
     return found.join(degree, "_rep", "left").select(RID, "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """(key, n_shingles, component_id, n_links) for every document.
 
     Sets: distinct k-word shingles of the whole text, A-Z lower-cased; null and empty
@@ -533,15 +546,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     gives no rows; other columns are not read.
     """
     marked, back = identified(docs.select(key, F.col(text).alias("text")), key, "text")
-    result = _components(marked.select(RID, "text"), k, percent, hot).withColumnRenamed("component", "component_id")
+    result = _components(marked.select(RID, "text"), k, percent, hot, group=group).withColumnRenamed("component", "component_id")
     if back is not None:  # ids of components are those of documents
         names = marked.select(F.col(RID).alias("component_id"), F.col(key).alias("_key"))
         result = result.join(names, "component_id").select(RID, "n_shingles", F.col("_key").alias("component_id"), "n_links")
     return given_rows(result.select(RID, "n_shingles", "component_id", "n_links"), back, key)
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """docs without near copies: of each component the row with the smallest key stays, and of rows that repeat key and text one."""
     marked, _ = identified(docs, key, text)
-    first = _components(marked.select(RID, F.col(text).alias("text")), k, percent, hot, counted=False).where(F.col(RID) == F.col("component")).select(RID)
+    first = _components(marked.select(RID, F.col(text).alias("text")), k, percent, hot, counted=False, group=group).where(F.col(RID) == F.col("component")).select(RID)
     return marked.join(first, RID).select(docs.columns)

@@ -88,7 +88,7 @@ def test_substring_within_one_text(spark):
 
 def test_jaccard(docs, rows, empty, odd):
     want = brute.jaccard_components(pairs(rows))
-    for how in ({}, {"hot": 3}):
+    for how in ({}, {"hot": 3}, {"hot": 2, "group": 2}):
         got = jaccard_join.jaccard_components(docs, **how).select("doc_id", "n_shingles", "component_id").collect()
         assert sorted(map(tuple, got)) == want
     assert jaccard_join.jaccard_components(empty).count() == 0
@@ -108,8 +108,10 @@ def test_large_groups_take_the_tree(spark):
             t[rng.randrange(len(t))] = rng.choice(vocab)
         rows.append((i, " ".join(t[: rng.choice([300, 260, 150])])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_join.jaccard_components(df, hot=20).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == brute.jaccard_components(rows)
+    want = brute.jaccard_components(rows)
+    for how in ({"hot": 20}, {"hot": 20, "group": 25}, {"hot": 4, "group": 3}):
+        got = jaccard_join.jaccard_components(df, **how).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
 
 
 def test_every_link_is_counted(spark, monkeypatch):
