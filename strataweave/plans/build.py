@@ -7,10 +7,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataweave.functions import text as tx
 from strataweave.operators import dedup, grouping, near_dup, sampling
+from strataweave.operators.numbering import numbered
 from strataweave.plans.titles import title
 from strataweave.session import materialize
 from strataweave.sources import files as src
@@ -56,10 +56,8 @@ def merge_copies(files: DataFrame) -> DataFrame:
 
 
 def with_row_ids(rows: DataFrame, order: str = "norm_hash") -> DataFrame:
-    """row_id: 0-based position in the order of a column, numbered across sorted partitions."""
-    ordered = rows.orderBy(order)
-    schema = T.StructType([T.StructField("row_id", T.LongType()), *rows.schema.fields])
-    return rows.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), schema)
+    """row_id: 0-based position in the order of a column."""
+    return numbered(rows, "row_id", F.col(order)).select("row_id", *rows.columns)
 
 
 def build_table(files: DataFrame, audits: DataFrame, min_class_files: int = 20, n_folds: int = 5, seed: int = 42, keep_project_level: bool = False, near_dup_threshold: float = 0.8, near_dup_group_cap: int = 300, test_fold: int = 0, val_fold: int = 1, eval_min_files: int = 0) -> dict:

@@ -227,3 +227,14 @@ def test_cross_validation(spark):
     runs = spark.createDataFrame([("m_f0", 0.05, 0.1, 0.2), ("m_f1", 0.07, 0.1, 0.4), ("n_f0", 0.055, 0.0, 0.0), ("other", 1.0, 1.0, 1.0)], "run string, f1 double, precision double, recall double")
     got = metrics.cross_validation(runs).collect()
     assert [(r["model"], round(r["mean_f1"], 4), r["folds"]) for r in got] == [("m", 0.06, "0,1"), ("n", 0.055, "0")] and got[0]["sd_f1"] == pytest.approx(0.01)
+
+
+def test_numbered(spark):
+    from strataweave.operators.numbering import numbered
+
+    rows = [(None if i % 9 == 0 else (i * 37) % 101 - 50, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, i long").repartition(7)
+    got = sorted(numbered(df, "pos", F.col("k").asc_nulls_last(), F.col("i")).collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in got] == list(range(400))
+    assert [(r["k"], r["i"]) for r in got] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert numbered(df.limit(0), "pos", F.col("k")).count() == 0
