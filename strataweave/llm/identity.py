@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strataweave.session import materialize
+from strataweave.operators.numbering import numbered
 
 RID = "_rid"
 
@@ -23,13 +22,11 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     seen = docs.agg(F.count("*").alias("n"), F.count(key).alias("known"), F.count_distinct(key).alias("distinct")).first()
     if seen["n"] == seen["distinct"]:
         return docs.withColumn(RID, F.col(key)), None
-    spark = docs.sparkSession
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    pairs = docs.select(F.col(key).alias("_key"), sha.alias("_sha")).distinct().orderBy(F.col("_key").asc_nulls_last(), "_sha")
-    schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_sha", T.StringType()), T.StructField(RID, T.LongType())])
-    numbered = materialize(spark.createDataFrame(pairs.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])), schema), "ids")
+    pairs = docs.select(F.col(key).alias("_key"), sha.alias("_sha")).distinct()
+    pairs = numbered(pairs, RID, F.col("_key").asc_nulls_last(), F.col("_sha"))
     marked = docs.withColumn("_sha", sha)
-    joined = marked.join(numbered, marked[key].eqNullSafe(numbered["_key"]) & (marked["_sha"] == numbered["_sha"])).drop("_key", "_sha")
+    joined = marked.join(pairs, marked[key].eqNullSafe(pairs["_key"]) & (marked["_sha"] == pairs["_sha"])).drop("_key", "_sha")
     return joined.dropDuplicates([RID]), joined.select(RID, key)
 
 

@@ -554,7 +554,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest key stays, and of rows that repeat key and text one."""
-    marked, _ = identified(docs, key, text)
-    first = _components(marked.select(RID, F.col(text).alias("text")), k, percent, hot, counted=False, group=group).where(F.col(RID) == F.col("component")).select(RID)
-    return marked.join(first, RID).select(docs.columns)
+    """docs without near copies: of each component the row with the smallest key stays, and of rows that repeat key and text one.
+
+    Null and empty texts are near copies of nothing and stay; a null key counts as largest; an empty table stays one. All columns
+    are kept, whatever their names.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
+    marked, _ = identified(rows, "_key", "_text")
+    first = _components(marked.select(RID, F.col("_text").alias("text")), k, percent, hot, counted=False, group=group).where(F.col(RID) == F.col("component")).select(RID)
+    return marked.join(first, RID).select("_row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.operators.graph import connected_components
+from strataweave.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"^(?s)(?:.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -107,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, key: str =
     ruled = named.join(match_rules(named, rules), ["host", "path"], "left")
     classes = connected_components(edges)
     ends = classes.select(F.regexp_extract("node", r"^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1).alias("path"), "component")
-    said = ends.join(match_rules(ends, rules), ["host", "path"]).groupBy("component").agg(F.max(F.when(F.col("action") == "allow", 2).otherwise(1)).alias("_said"))
+    # written, so that it is broadcast where it is small enough and a large class's members need not meet
+    said = materialize(ends.join(match_rules(ends, rules), ["host", "path"]).groupBy("component").agg(F.max(F.when(F.col("action") == "allow", 2).otherwise(1)).alias("_said")), "said")
     members = classes.join(said, "component", "left").select(F.col("node"), F.col("component").alias("url_class"), "_said")
     verdict = F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("_said") == 1, "block").otherwise("allow")
     return ruled.join(members, "node", "left").select(key, "host", "path", "rule", verdict.alias("verdict"), "url_class")
