@@ -23,20 +23,20 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the trees, which are grown on labelled ones."""
+    """Documents that pass the base rule and the trees, which are grown on labelled ones. Null and empty texts fail; repeated rows fare alike; an empty table stays one."""
     ship(spark)
     trees = train_quality(docs, table(spark, sf_dir, "labels"))
     return quality_rules(docs, trees, keep=COLUMNS).where("kept").select(COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id."""
+    """One document of each component of near copies: the one with the smallest doc_id (null: largest). Texts without a word are near copies of nothing and stay; of rows that repeat doc_id and text one stays; an empty table stays one."""
     ship(spark)
     return one_of_each(docs.select(COLUMNS), k=SHINGLE, percent=SIMILAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without windows of 20 words that begin earlier in the corpus; documents left without a word go. Others keep their text as it is."""
+    """Texts without windows of 20 words that begin earlier in the corpus; documents left without a word go. Others, with null and empty ones, keep their text as it is; repeated rows fare alike; an empty table stays one."""
     ship(spark)
     done = substring_dedup(docs, keep=["lang", "source", "n_chars"], rewrite=True)
     kept = done.where("n_removed = 0 or n_removed < n_words")
@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, in training order; where it takes a part, that part's words."""
+    """A row for each time the mix takes a document, in training order; where it takes a part, that part's words. Texts without a word have size 0 and are not taken; repeated rows are documents of their own; a null source is a source; an empty table stays one."""
     ship(spark)
     rows = training_order(mix_sources(docs, keep=COLUMNS))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x09-\x0D ]+)"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
@@ -53,7 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row: none for null and empty texts. An empty table stays one."""
     ship(spark)
     return encode_tokens(docs, ranks_path(), pretoken_pattern(), keep=["doc_id", "lang", "source", "n_chars"])
 

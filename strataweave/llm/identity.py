@@ -23,10 +23,10 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     if seen["n"] == seen["distinct"]:
         return docs.withColumn(RID, F.col(key)), None
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    pairs = docs.select(F.col(key).alias("_key"), sha.alias("_sha")).distinct()
-    pairs = numbered(pairs, RID, F.col("_key").asc_nulls_last(), F.col("_sha"))
-    marked = docs.withColumn("_sha", sha)
-    joined = marked.join(pairs, marked[key].eqNullSafe(pairs["_key"]) & (marked["_sha"] == pairs["_sha"])).drop("_key", "_sha")
+    pairs = docs.select(F.col(key).alias("_pair_key"), sha.alias("_pair_sha")).distinct()
+    pairs = numbered(pairs, RID, F.col("_pair_key").asc_nulls_last(), F.col("_pair_sha"))
+    marked = docs.withColumn("_own_sha", sha)
+    joined = marked.join(pairs, marked[key].eqNullSafe(pairs["_pair_key"]) & (marked["_own_sha"] == pairs["_pair_sha"])).drop("_pair_key", "_pair_sha", "_own_sha")
     return joined.dropDuplicates([RID]), joined.select(RID, key)
 
 
