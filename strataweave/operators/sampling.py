@@ -106,27 +106,31 @@ def epoch_files(files: DataFrame, epoch: int, neg_ratio: float = 1.0, threshold:
     return base.unionByName(repeats).withColumn("position", draw(seed, F.lit(epoch), "why", "row_id", "copy"))
 
 
-def pack_files(files: DataFrame, window_batch: int, max_windows: int, seed: int = 42) -> DataFrame:
-    """Whole files into forward passes of at most ``window_batch`` windows, in row order of each partition; a longer file goes alone.
+def pack_files(files: DataFrame, window_batch: int, max_windows: int, seed: int = 42, by: str | None = None) -> DataFrame:
+    """Whole files into forward passes of at most ``window_batch`` windows, in row order; a longer file goes alone.
 
-    files: row_id, windows (array of ids); files with more than ``max_windows`` keep a seeded choice.
-    Sequential within a partition: (partition, batch, row_id, windows).
+    files: row_id, windows (array of ids); files with more than ``max_windows`` keep a seeded choice. Packing is
+    sequential: within each value of the whole-number column ``by``, whatever the partitions, or without it within
+    each partition as it stands. Returns (partition: that value or the partition's number, batch, row_id, windows).
     """
     chosen = F.when(F.size("windows") > max_windows, F.array_sort(F.transform(F.slice(F.array_sort(F.transform("windows", lambda w: F.struct(draw(seed, F.col("row_id"), w).alias("d"), w.alias("w")))), 1, max_windows), lambda s: s["w"]))).otherwise(F.col("windows"))
-    kept = files.select("row_id", chosen.alias("windows")).sortWithinPartitions("row_id")
+    group = F.spark_partition_id() if by is None else F.col(by)
+    dealt = files if by is None else files.repartition(by)
+    kept = dealt.select(group.cast("int").alias("partition"), "row_id", chosen.alias("windows")).sortWithinPartitions("partition", "row_id")
 
     def pack(batches):
         import pandas as pd
-        from pyspark import TaskContext
 
-        part, batch, filled = TaskContext.get().partitionId(), 0, 0
+        last, batch, filled = None, 0, 0
         for pdf in batches:
             numbers = []
-            for w in pdf["windows"]:
-                if filled and filled + len(w) > window_batch:
+            for part, w in zip(pdf["partition"], pdf["windows"], strict=True):
+                if part != last:
+                    last, batch, filled = part, 0, 0
+                elif filled and filled + len(w) > window_batch:
                     batch, filled = batch + 1, 0
                 filled += len(w)
                 numbers.append(batch)
-            yield pd.DataFrame({"partition": part, "batch": numbers, "row_id": pdf["row_id"], "windows": pdf["windows"]})
+            yield pdf.assign(batch=numbers)[["partition", "batch", "row_id", "windows"]]
 
     return kept.mapInPandas(pack, "partition int, batch long, row_id long, windows array<long>")

@@ -269,7 +269,21 @@ def i1_i4_set_operations(spark, sf_dir):
     return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("except", a.subtract(b))).union(count("union_all", a.union(b)))
 
 
-@query("j3_near_duplicates")
+#: distinct 5-token shingles of each document
+_GRAMS = rf"""
+w as (select doc_id, regexp_extract_all({NORMAL}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') as w from documents),
+g as (select doc_id, case when len(w) >= 5 then list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]))) else [array_to_string(w, ' ')] end as g from w)"""
+
+#: all pairs at the threshold by exact counts: LSH misses one of 0.8 in 5,000
+_NEAR = f"""{_GRAMS.strip()},
+reps as (select g, min(doc_id) as rep, len(g) as n from g group by g),
+copies as (select r.rep as row_a, g.doc_id as row_b, 1.0::double as jaccard from g join reps r on g.g = r.g where g.doc_id <> r.rep),
+tokens as (select rep, n, unnest(g) as token from reps),
+met as (select a.rep as row_a, b.rep as row_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double as jaccard from tokens a join tokens b on a.token = b.token and a.rep < b.rep group by 1, 2),
+near as (select * from met where jaccard >= 0.8 union all select * from copies)"""
+
+
+@query("j3_near_duplicates", f"with {_NEAR} select row_a, row_b, jaccard from near")
 def j3_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicate_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
 
@@ -308,7 +322,22 @@ def e8_leakage(spark, sf_dir):
     return near_dup.leakage_report(rows, _pairs(spark, sf_dir))
 
 
-@query("j5_capped_groups")
+@query("j5_capped_groups", f"""
+with recursive {LABELLED.strip()}, {_PAIRS},
+codes as (select codebase, count(*)::bigint as n, row_number() over (order by codebase) as k from files group by codebase),
+sizes as (select list(n order by k) as n, sum(n)::bigint // 4 as cap from codes),
+linked as (select x.k as p, y.k as q, pairs.* from pairs join files a on a.row_id = row_a join files b on b.row_id = row_b join codes x on x.codebase = least(a.codebase, b.codebase) join codes y on y.codebase = greatest(a.codebase, b.codebase) where a.codebase <> b.codebase),
+strongest as (select p, q, min(struct_pack(j := -jaccard, a := row_a, b := row_b)) as o from linked group by 1, 2),
+steps as (select p, q, row_number() over (order by o) as i from strongest),
+state(i, g) as (
+  select 0::bigint, list(k order by k) from codes
+  union all
+  select s.i, case when g[p] <> g[q] and list_sum(list_transform(range(1, len(g) + 1), lambda x: case when g[x] = g[p] or g[x] = g[q] then n[x] else 0 end)) <= cap
+    then list_transform(g, lambda x: case when x = greatest(g[p], g[q]) then least(g[p], g[q]) else x end) else g end
+  from state join steps s on s.i = state.i + 1, sizes),
+last as (select g from state order by i desc limit 1),
+roots as (select codebase, g[k] as root from codes, last)
+select codebase, (dense_rank() over (order by root) - 1)::bigint as group_id from roots""")
 def j5_capped_groups(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("row_id", "codebase")
     cap = rows.count() // 4
@@ -323,7 +352,27 @@ def j6_components(spark, sf_dir):
     return graph.connected_components(_pairs(spark, sf_dir), "row_a", "row_b")
 
 
-@query("j7_folds")
+#: the greedy assignment, one group a step; the state is rows by fold, and positives by fold and class
+@query("j7_folds", f"""
+with recursive {LABELLED.strip()},
+r as (select row_id // 9 as g, list_transform(swc, lambda s: s[5:7]::int) as labels from files),
+sizes as (select g, count(*)::bigint as n from r group by g),
+cells as (select g, c, count(*)::bigint as n from (select g, unnest(labels) as c from r) group by 1, 2),
+total as (select c, sum(n)::bigint as t, row_number() over (order by c) as k from cells group by c),
+per as (select s.g, s.n, list(coalesce(x.n, 0) order by t.k) as own, min(case when x.n > 0 then t.t end) as rarest, coalesce(sum(x.n), 0) as positives from sizes s cross join total t left join cells x on x.g = s.g and x.c = t.c group by 1, 2),
+ordered as (select *, row_number() over (order by rarest nulls last, positives desc, n desc, sha1('42|group|' || g::varchar)) as i from per),
+fixed as (select list(t order by k) as t, (select sum(n) from sizes) / 5.0::double as want from total),
+state(i, g, fold, have_rows, have) as (
+  select 0::bigint, null::bigint, null::bigint, [0, 0, 0, 0, 0]::bigint[], (select list_transform(range(5), lambda f: list_transform(t, lambda x: 0::bigint)) from fixed)
+  union all
+  select i, g, best, list_transform(range(1, 6), lambda f: have_rows[f] + case when f = best + 1 then n else 0 end), list_transform(range(1, 6), lambda f: list_transform(range(1, len(own) + 1), lambda c: have[f][c] + case when f = best + 1 then own[c] else 0 end))
+  from (
+    select *, list_min(list_transform(list_filter(range(5), lambda f: abs(need[f + 1] - list_max(need)) <= greatest(1e-5 * greatest(abs(need[f + 1]), abs(list_max(need))), 1e-8)), lambda f: sha1('42|fold|' || g::varchar || '|' || f::varchar) || f::varchar))[41:]::bigint as best
+    from (
+      select o.i, o.g, o.n, o.own, s.have_rows, s.have, list_transform(range(1, 6), lambda f: case when positives > 0
+        then coalesce(list_sum(list_transform(list_filter(range(1, len(own) + 1), lambda c: own[c] > 0), lambda c: 1 - have[f][c] * 5 / t[c]::double)), 0) + 0.5::double * ((want - have_rows[f]) / want) else (want - have_rows[f]) / want end) as need
+      from state s join ordered o on o.i = s.i + 1, fixed)))
+select g as group_id, fold from state where i > 0""")
 def j7_folds(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     numbers = F.transform("swc", lambda s: F.substring(s, 5, 3).cast("int"))
@@ -339,8 +388,17 @@ def b9_fingerprint(spark, sf_dir):
     return sinks.fingerprint(rows, "x=1")
 
 
-@query("g8_pack_files")
+@query("g8_pack_files", """
+with recursive w as (select conv_id as row_id, list(turn::bigint order by turn) as all_windows from conversations group by 1),
+c as (select row_id, case when len(all_windows) > 6 then list_sort(list_transform(list_sort(list_transform(all_windows, lambda x: sha1('42|' || row_id::varchar || '|' || x::varchar) || x::varchar))[:6], lambda s: s[41:]::bigint)) else all_windows end as windows from w),
+o as (select row_id % 4 as part, row_id, windows, len(windows)::bigint as k, row_number() over (partition by row_id % 4 order by row_id) as i from c),
+p(part, i, row_id, windows, batch, filled) as (
+  select part, i, row_id, windows, 0::bigint, k from o where i = 1
+  union all
+  select o.part, o.i, o.row_id, o.windows, case when p.filled > 0 and p.filled + o.k > 16 then p.batch + 1 else p.batch end, case when p.filled > 0 and p.filled + o.k > 16 then o.k else p.filled + o.k end from p join o on o.part = p.part and o.i = p.i + 1)
+select part::int as partition, batch, row_id, array_to_string(windows, ',') as windows from p""")
 def g8_pack_files(spark, sf_dir):
     ship(spark)
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("row_id")).agg(F.array_sort(F.collect_list(F.col("turn").cast("long"))).alias("windows"))
-    return sampling.pack_files(turns.repartition("row_id"), window_batch=16, max_windows=6)
+    packed = sampling.pack_files(turns.withColumn("part", F.col("row_id") % 4), window_batch=16, max_windows=6, by="part")
+    return packed.withColumn("windows", F.array_join(F.transform("windows", lambda w: w.cast("string")), ","))
