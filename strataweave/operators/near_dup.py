@@ -118,7 +118,7 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     copies = signed.select("id", "k1", "k2").join(groups.where("c > 1").drop("c"), ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
     reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     members = reps.select("id", "n", F.posexplode("sigs").alias("band", "sig"))
-    counted = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}")
+    counted = materialize(members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}"), "counted")
     shared = materialize(members.join(counted, ["band", "sig"]), "buckets")
     small = shared.where(F.col("c") <= LARGE)
     side = lambda end: small.select("band", "sig", F.col("id").alias(f"row_{end}"), F.col("n").alias(f"n_{end}"))

@@ -12,7 +12,7 @@ from strataweave.functions import text as tx
 from strataweave.operators import dedup, grouping, near_dup, sampling
 from strataweave.operators.numbering import numbered
 from strataweave.plans.titles import title
-from strataweave.session import materialize
+from strataweave.session import materialize, write_text
 from strataweave.sources import files as src
 from strataweave.sources import sinks
 
@@ -112,21 +112,44 @@ def build(spark: SparkSession, raw: str, out: str, prefix: str = "", **params) -
     sinks.write_table(rows, out, meta)
     sinks.write_csv(made["excluded"], f"{stem}.excluded.csv")
     sinks.write_pairs(made["pairs"], f"{stem}.neardup.csv")
-    with open(f"{stem}.card.md", "w") as f:
-        f.write(data_card(meta))
+    write_text(spark, f"{stem}.card.md", data_card(meta))
     return meta
 
 
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    return [f"| {' | '.join(head)} |", "|" + "---|" * len(head), *(f"| {' | '.join(map(str, r))} |" for r in rows), ""]
+
+
+def _class_rows(meta: dict) -> list[list]:
+    scored = set(meta.get("eval_classes", [c["index"] for c in meta["classes"]]))
+    return [[c["index"], c["swc"], c["title"], c["n_files"], "yes" if c["index"] in scored else "no", *c["per_fold"]] for c in meta["classes"]]
+
+
 def data_card(meta: dict) -> str:
-    """Markdown description of a table from its metadata."""
-    folds = range(len(meta["folds"]["rows"]))
-    out = [f"# Table {meta['version']}", "", f"Fingerprint `{meta['fingerprint'][:16]}`, source `{str(meta['source_commit'])[:12]}`.", "", "| count | n |", "|---|---:|"]
-    out += [f"| {k} | {v} |" for k, v in sorted(meta["counts"].items())]
-    out += ["", "| class | title | files | " + " | ".join(f"fold {f}" for f in folds) + " |", "|---|---|---:|" + "---:|" * len(folds)]
-    out += [f"| {c['swc']} | {c['title']} | {c['n_files']} | " + " | ".join(map(str, c["per_fold"])) + " |" for c in meta["classes"]]
-    out += ["| | rows | | " + " | ".join(map(str, meta["folds"]["rows"])) + " |", "", "| leakage | value |", "|---|---:|"]
-    out += [f"| {k} | {v} |" for k, v in meta["leakage"].items()]
-    return "\n".join(out) + "\n"
+    """Markdown description of a table from its metadata: counts, classes and rows by fold, what is left out, leakage, kinds of annotated lines."""
+    counts, folds = meta["counts"], [f"fold {i}" for i in range(len(meta["folds"]["rows"]))]
+    out = [f"# Table {meta['version']}", "", f"Fingerprint `{meta['fingerprint'][:16]}`, source `{str(meta['source_commit'])[:12]}`, built {meta.get('built_at', '')}.", "", "## Counts", ""]
+    out += _table(["count", "n"], [[k, v] for k, v in sorted(counts.items()) if not k.startswith("line_")])
+    out += ["## Classes", ""]
+    sums = [["", "", "rows", "", "", *meta["folds"]["rows"]], ["", "", "rows with a class", "", "", *meta["folds"]["positive_rows"]]]
+    out += _table(["class", "id", "title", "files", "scored", *folds], _class_rows(meta) + sums)
+    for kind, why in (("project_level", "reported once for a project"), ("rare", "in too few files")):
+        if left := meta.get("excluded_classes", {}).get(kind):
+            out += [f"Left out, {why}: " + ", ".join(f"{e['swc']} {e['title']} ({e['n_files']})" for e in left) + ".", ""]
+    out += ["## Leakage", "", *_table(["measure", "value"], [[k, v] for k, v in meta["leakage"].items()])]
+    out += ["## Annotated lines", "", *_table(["read as", "annotations"], [[k.removeprefix("line_"), v] for k, v in sorted(counts.items()) if k.startswith("line_")])]
+    return "\n".join(out)
+
+
+def balanced_card(meta: dict) -> str:
+    """Markdown description of a balanced table: what each fold kept, and its classes."""
+    b, folds = meta["balance"], [f"fold {i}" for i in range(len(meta["folds"]["rows"]))]
+    out = [f"# Balanced table {meta['version']}", "", f"Fingerprint `{meta['fingerprint'][:16]}`, from `{b['from']}` (`{str(b['from_fingerprint'])[:16]}`).", ""]
+    out += [f"All labelled rows, and in each fold {b['safe_ratio']:g} unlabelled ones for each of them (seed {b['seed']}).", ""]
+    per = [[p["fold"], p["labelled"], p["unlabelled_before"], p["unlabelled_kept"], p["labelled"] + p["unlabelled_kept"]] for p in b["per_fold"]]
+    out += _table(["fold", "labelled", "unlabelled before", "unlabelled kept", "rows"], [*per, ["all", *(sum(p[i] for p in per) for i in range(1, 5))]])
+    out += ["## Classes", "", *_table(["class", "id", "title", "files", "scored", *folds], _class_rows(meta))]
+    return "\n".join(out)
 
 
 def balance(spark: SparkSession, table: str, out: str, safe_ratio: float = 1.0, seed: int = 42) -> dict:
@@ -135,9 +158,19 @@ def balance(spark: SparkSession, table: str, out: str, safe_ratio: float = 1.0,
     kept = materialize(sampling.balance(rows, safe_ratio, seed), "balanced")
     stem_in, stem = re.sub(r"\.parquet$", "", table), re.sub(r"\.parquet$", "", out)
     pairs = near_dup.pairs_within(src.read_pairs(spark, f"{stem_in}.neardup.csv"), kept)
-    folds = kept.groupBy("fold").agg(F.count("*").alias("rows"), F.count_if(F.size("labels") > 0).alias("positive_rows")).orderBy("fold").collect()
+    by_fold = lambda df: {r["fold"]: r for r in df.groupBy("fold").agg(F.count("*").alias("rows"), F.count_if(F.size("labels") > 0).alias("positive_rows")).collect()}
+    before, now = by_fold(rows), by_fold(kept)
+    n_folds = max(before, default=-1) + 1
+    of = lambda found, f, name: found[f][name] if f in found else 0
+    per_fold = [{"fold": f, "labelled": of(now, f, "positive_rows"), "unlabelled_before": of(before, f, "rows") - of(before, f, "positive_rows"), "unlabelled_kept": of(now, f, "rows") - of(now, f, "positive_rows")} for f in range(n_folds)]
     counts = kept.agg(F.count("*").alias("rows"), F.count_if(F.size("labels") > 0).alias("positive_rows"), F.count_if(F.size("labels") == 0).alias("negative_rows"), F.count_distinct("group_id").alias("groups")).first().asDict()
-    meta = meta | {"version": stem.rsplit("/", 1)[-1], "balance": {"safe_ratio": safe_ratio, "seed": seed}, "counts": meta["counts"] | counts, "folds": {"rows": [r["rows"] for r in folds], "positive_rows": [r["positive_rows"] for r in folds]}, "fingerprint": sinks.fingerprint(kept, f"safe_ratio={safe_ratio}|seed={seed}").first()[0]}
+    counts["rows_before_balancing"] = sum(r["rows"] for r in before.values())
+    positives: dict[int, dict[int, int]] = {}
+    for r in kept.select("fold", F.explode("labels").alias("cls")).groupBy("cls", "fold").agg(F.count("*").alias("n")).collect():
+        positives.setdefault(r["cls"], {})[r["fold"]] = r["n"]
+    classes = [c | {"n_files": sum(positives.get(c["index"], {}).values()), "per_fold": [positives.get(c["index"], {}).get(f, 0) for f in range(n_folds)]} for c in meta["classes"]]
+    meta = meta | {"version": stem.rsplit("/", 1)[-1], "classes": classes, "balance": {"safe_ratio": safe_ratio, "seed": seed, "from": meta.get("version"), "from_fingerprint": meta.get("fingerprint"), "per_fold": per_fold}, "counts": meta["counts"] | counts, "folds": {"rows": [of(now, f, "rows") for f in range(n_folds)], "positive_rows": [of(now, f, "positive_rows") for f in range(n_folds)]}, "fingerprint": sinks.fingerprint(kept, f"safe_ratio={safe_ratio}|seed={seed}").first()[0]}
     sinks.write_table(kept, out, meta)
     sinks.write_pairs(pairs, f"{stem}.neardup.csv")
+    write_text(spark, f"{stem}.card.md", balanced_card(meta))
     return meta

@@ -111,11 +111,41 @@ def materialize(df: DataFrame, name: str, width: int = 0) -> DataFrame:
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, through Hadoop's API: wherever Spark can read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system API, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder, wherever it lies."""
+    p, system = _located(spark, path)
+    system.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, system = _located(spark, path)
+    return system.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, whole."""
+    p, system = _located(spark, path)
+    stream = system.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file; folders on the way are made."""
+    p, system = _located(spark, path)
+    stream = system.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def forget(df: DataFrame) -> None:

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strataweave.functions.text import decode_bytes
+from strataweave.session import path_exists, read_text
+from strataweave.sources.sinks import META
 
+# Header names of the workbook (fixed values)
 AUDIT_COLUMNS = {"File Name": "audit_dir", "Audit Company": "company", "Project Name": "project", "Audit Report Link": "report", "Code Repository": "repo"}
 PAIRS = "row_a long, row_b long, jaccard double"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -71,10 +74,13 @@ class WorkbookSource(DataSource):
 
 class _WorkbookReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        with system.open_input_file(at) as f:
             data = f.read()
         yield from enumerate(workbook_rows(data))
 
@@ -108,22 +114,47 @@ def read_annotations(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     return last.select("rel_path", F.explode_outer("SWCs").alias("a")).select("rel_path", F.col("a.category").alias("category"), F.col("a.lineNumber").alias("line_field"))
 
 
-def read_meta(path: str) -> dict:
-    """Metadata of a table: the JSON beside it, else the Parquet footer of its first file."""
-    side = Path(re.sub(r"\.parquet$", "", path) + ".meta.json")
-    if side.exists():
-        return json.loads(side.read_text())
-    import pyarrow.parquet as pq
+def footer_values(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key-value metadata of a Parquet file, or of a folder's first one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(conf)
+    if system.getFileStatus(at).isDirectory():
+        at = min((f.getPath() for f in system.listStatus(at) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName(), default=None)
+        if at is None:
+            return {}
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+    try:
+        return dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
+    finally:
+        reader.close()
+
 
-    for part in sorted(Path(path).glob("*.parquet")) if Path(path).is_dir() else [Path(path)]:
-        if found := (pq.read_schema(part).metadata or {}).get(b"strataweave_meta"):
-            return json.loads(found)
+def read_meta(path: str, spark: SparkSession | None = None) -> dict:
+    """Metadata of a table: the JSON beside it, else from its first column or its footer.
+
+    A footer of another writer counts if a key that ends in ``_meta`` holds a JSON document with classes.
+    """
+    spark = spark or SparkSession.active()
+    side = re.sub(r"\.parquet$", "", path) + ".meta.json"
+    if path_exists(spark, side):
+        return json.loads(read_text(spark, side))
+    if path_exists(spark, path):
+        for field in spark.read.parquet(path).schema.fields:
+            if META in field.metadata:
+                return json.loads(field.metadata[META])
+        for key, value in sorted(footer_values(spark, path).items()):
+            if key.endswith("_meta"):
+                found = json.loads(value)
+                if isinstance(found, dict) and "classes" in found:
+                    return found
     raise FileNotFoundError(f"no metadata beside or in {path}")
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(rows, metadata)."""
-    return spark.read.parquet(path), read_meta(path)
+    return spark.read.parquet(path), read_meta(path, spark)
 
 
 def taxonomy(spark: SparkSession, meta: dict) -> DataFrame:
@@ -139,7 +170,7 @@ def taxonomy(spark: SparkSession, meta: dict) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Near-duplicate pairs; a missing file gives none."""
-    if not Path(path.removeprefix("file://")).exists():
+    if not path_exists(spark, path):
         return spark.createDataFrame([], PAIRS)
     return spark.read.schema(PAIRS).option("header", "true").csv(path)
 

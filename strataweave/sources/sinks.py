@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.session import write_text
+
+
+#: name of the metadata among a column's own, which Parquet footers carry
+META = "table_meta"
+
 
 def write_table(rows: DataFrame, path: str, meta: dict) -> None:
-    """Zstandard Parquet and the metadata as JSON beside it."""
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Zstandard Parquet with the metadata in its footers (as metadata of the first column), and as JSON beside it."""
+    first, *rest = rows.columns
+    marked = rows.select(F.col(first).alias(first, metadata={META: json.dumps(meta)}), *rest)
+    marked.write.mode("overwrite").option("compression", "zstd").parquet(path)
     write_json(re.sub(r"\.parquet$", "", path) + ".meta.json", meta)
 
 
 def write_json(path: str, document: dict) -> None:
-    at = Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(json.dumps(document, indent=2))
+    write_text(SparkSession.active(), path, json.dumps(document, indent=2))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
