@@ -488,8 +488,9 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     core = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     firsts = profile.where("size(prefix) > 0").select(RID, "n", "prefix").join(sets.select(F.col("_rep").alias(RID)), RID, "left_semi")
     tokens = firsts.select(F.posexplode("prefix").alias("i", "token"), RID, core.alias("p")).select("token", RID, (F.col("i") < F.col("p")).alias("core"))
-    # counted with a map-side combine; AQE splits a hot token's rows in the join
-    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").hint("shuffle_hash"), "token")
+    # counted with a map-side combine, and written: AQE splits a hot token's rows only in a join of plain shuffles
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "counts", width)
+    shared = tokens.join(counts.hint("shuffle_hash"), "token")
     pick = lambda where: F.collect_list(F.when(where, F.col("token")))
     sets_of = F.col("sets")
     lists = shared.groupBy(RID).agg(pick(sets_of <= LEAF).alias("few"), pick((sets_of > LEAF) & (sets_of < hot)).alias("many"), pick((sets_of >= hot) & F.col("core")).alias("hot"), F.count_if(sets_of >= hot).alias("n_hot"))
@@ -502,6 +503,7 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(entry(F.xxhash64(t, band), 1, True), entry(F.xxhash64(t, band + 1), 0, True))))
     many = F.when(enough, F.concat(plain("many"), banded("hot"))).otherwise(plain("many"))
     members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), many.alias("many")).where("size(few) + size(many) > 0"), "members", width)
+    forget(counts)
 
     pairs = "a long, b long"
     # large groups are parted by minhashes, which put alike sets together, twice
@@ -514,7 +516,7 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
 
     labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, F.coalesce("component", RID).alias("component")).select("t.token", "t.own", RID, "component")
     # groups of one component are done; large ones are dealt into blocks, and each block meets each
-    ends = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / group).alias("blocks"))
+    ends = materialize(labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / group).alias("blocks")), "ends", width)
     open_ = materialize(labelled.join(ends, "token"), "open", width)
     block = F.pmod(F.xxhash64(RID, F.lit(5)), F.col("blocks"))
     met = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -523,7 +525,7 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     sought = met.select(pair.alias("token"), "own", RID, "component", side.alias("side")).join(profile.select(RID, "n", F.col("wide").alias("bitmap")), RID).select("token", "own", RID, "n", "bitmap", "component", "side")
     second = dealt(sought, width, "token").mapInArrow(trimmed(_second_round(percent)), pairs)
     more = _links(second, profile, marked, k, percent, width)
-    for done in (members, large, open_):
+    for done in (members, large, ends, open_):
         forget(done)
 
     top = materialize(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))), "top", width)

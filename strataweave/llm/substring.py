@@ -462,18 +462,19 @@ _CUT = f"key long, {RID} long, first long, n int, hot boolean, words string"
 def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
     """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text. And the shuffle partitions that the texts' bytes call for.
 
-    Keys are counted with a map-side combine and joined back, which AQE splits where a key is hot. Windows of hot keys are
+    Keys are counted with a map-side combine, written, and joined back, which AQE splits where a key is hot. Windows of hot keys are
     settled in two steps, by window and salt and then by window, so a passage of a third of all documents meets in no single task.
     """
     docs = docs.select(RID, "text")
     width = shuffle_width(docs)
     rows = materialize(docs.mapInArrow(trimmed(_segment_rows), f"key long, {RID} long, place long, done boolean, own boolean"), "segments")
     open_ = rows.where("not done")
-    counts = open_.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).where("n > 1 or own").drop("own")
+    counts = materialize(open_.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).where("n > 1 or own").drop("own"), "counts", width)
     shared = open_.join(counts, "key").select("key", RID, "place", (F.col("n") >= hot_key).alias("hot"), "done")
     wanted = shared.unionByName(rows.where("done").select("key", RID, "place", F.lit(False).alias("hot"), "done"))
     lists = materialize(wanted.groupBy(RID).agg(F.collect_list(F.struct("key", "place", "hot", "done")).alias("wanted")), "wanted", width)
     forget(rows)
+    forget(counts)
     cut = materialize(docs.join(lists.hint("shuffle_hash"), RID).select(RID, "text", "wanted").mapInArrow(trimmed(_cut), _CUT), "cut", width)
     forget(lists)
     salt = F.pmod(F.xxhash64(RID), F.lit(max(16, width)))
