@@ -1,4 +1,4 @@
-"""Command line: build, balance, train --dry-run, baseline, tfidf, blend, collect, cvsummary."""
+"""Command line: build, balance, train --dry-run, baseline, tfidf, blend, moe, collect, cvsummary."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--out", required=True)
     s.add_argument("--safe-ratio", type=float, default=1.0)
     s.add_argument("--seed", type=int, default=42)
-    for name in ("train", "baseline", "tfidf", "blend"):
+    for name in ("train", "baseline", "tfidf", "blend", "moe"):
         t = sub.add_parser(name)
         t.add_argument("--config")
         t.add_argument("--table")
@@ -38,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
         if name == "blend":
             t.add_argument("--run-a", required=True)
             t.add_argument("--run-b", required=True)
+        if name == "moe":
+            t.add_argument("--experts", nargs="+", required=True, help="folders of finished runs")
+            for option, kind, default in (("hidden", int, 512), ("epochs", int, 50), ("rate", float, 3e-4), ("batch", int, 64), ("top-k", int, 4), ("even", float, 0.5), ("patience", int, 8)):
+                t.add_argument(f"--{option}", type=kind, default=default)
     for name in ("collect", "cvsummary"):
         sub.add_parser(name).add_argument("--outputs", required=True)
     return p
@@ -59,10 +63,11 @@ def main(argv: list[str] | None = None) -> None:
     elif command in ("collect", "cvsummary"):
         print((e.collect if command == "collect" else e.cv_summary)(spark, a["outputs"]))
     else:
-        runs = [a.pop(k) for k in ("run_a", "run_b") if k in a]
+        runs = [a.pop(k) for k in ("run_a", "run_b", "experts") if k in a]
+        options = {k: a.pop(k) for k in ("hidden", "epochs", "rate", "batch", "top_k", "even", "patience") if k in a}
         config = e.RunConfig.load(a.pop("config"), **a)
-        do = {"train": e.dry_run, "baseline": e.baseline, "tfidf": e.tfidf, "blend": e.blend}[command]
-        print(json.dumps(do(spark, config, *runs), indent=2, default=str))
+        do = {"train": e.dry_run, "baseline": e.baseline, "tfidf": e.tfidf, "blend": e.blend, "moe": e.moe}[command]
+        print(json.dumps(do(spark, config, *runs, **options), indent=2, default=str))
 
 
 if __name__ == "__main__":

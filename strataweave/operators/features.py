@@ -96,4 +96,5 @@ def run_linear(train: DataFrame, val: DataFrame, test: DataFrame, classes: list[
         if best is None or ap > best[0]:
             best = (ap, c, models, logits)
     ap, c, models, logits = best
-    return {"c": c, "val_macro_ap": ap, "models": models, "val": logits, "test": reduce(DataFrame.unionByName, (class_logits(models[k], test, k) for k in classes))}
+    every = lambda rows: reduce(DataFrame.unionByName, (class_logits(models[k], rows, k) for k in classes))
+    return {"c": c, "val_macro_ap": ap, "models": models, "train": every(train), "val": logits, "test": every(test)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import asdict, dataclass, fields
 from functools import reduce
@@ -9,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.operators import features, metrics, near_dup, sampling, windows
+from strataweave.operators import features, gating, metrics, near_dup, sampling, windows
+from strataweave.session import materialize, read_text
 from strataweave.sources import files as src
 from strataweave.sources import sinks
 
@@ -47,7 +49,7 @@ class RunConfig:
     def load(cls, path: str | None = None, **overrides) -> RunConfig:
         values: dict = {}
         if path:
-            for line in open(path):
+            for line in read_text(SparkSession.active(), path).splitlines() if "://" in path else open(path):
                 name, colon, value = re.sub(r"(^|\s)#.*$", "", line).partition(":")
                 if colon and name.strip():
                     values[name.strip()] = _scalar(value.strip())
@@ -101,8 +103,8 @@ def grid(rows: DataFrame, tax: DataFrame) -> DataFrame:
     return rows.select("row_id", "labels").crossJoin(F.broadcast(tax.select("cls"))).select("row_id", "cls", F.array_contains("labels", F.col("cls")).cast("int").alias("y"))
 
 
-def report_run(spark: SparkSession, config: RunConfig, out: str, run: str, val: DataFrame, test: DataFrame, tax: DataFrame, meta: dict, splits: dict[str, DataFrame], extra: dict | None = None) -> dict:
-    """Evaluate logits and write results, thresholds and logits."""
+def report_run(spark: SparkSession, config: RunConfig, out: str, run: str, val: DataFrame, test: DataFrame, tax: DataFrame, meta: dict, splits: dict[str, DataFrame], extra: dict | None = None, train: DataFrame | None = None) -> dict:
+    """Evaluate logits and write results, thresholds and logits; those of train are for a gate."""
     temperature = metrics.fit_temperature(val) if config.temperature_scaling else 1.0
     pairs = src.read_pairs(spark, re.sub(r"\.parquet$", "", config.table) + ".neardup.csv")
     exposed = near_dup.exposed_rows(pairs, splits["test"].select("row_id"), splits["train"])
@@ -112,14 +114,16 @@ def report_run(spark: SparkSession, config: RunConfig, out: str, run: str, val:
     results = {"f1": overall["f1"], "macro_ap": overall["macro_ap"], "diagnostics": overall, "temperature": temperature, "per_class": per_class, "dataset": {"fingerprint": meta.get("fingerprint"), "test_fold": config.test_fold, "val_fold": config.val_fold, "max_samples": config.max_samples}} | (extra or {})
     sinks.write_json(f"{out}/{run}/test_results.json", results)
     sinks.write_json(f"{out}/{run}/thresholds.json", {"strategy": config.threshold_strategy, "temperature": temperature, "thresholds": [r.asDict() for r in s["thresholds"].orderBy("cls").collect()]})
-    sinks.write_logits(val.withColumn("split", F.lit("val")).unionByName(test.withColumn("split", F.lit("test"))).withColumn("run", F.lit(run)), f"{out}/{run}/logits")
+    named = {"train": train, "val": val, "test": test}
+    logits = reduce(DataFrame.unionByName, (df.select("row_id", "cls", "logit", "y").withColumn("split", F.lit(k)) for k, df in named.items() if df is not None))
+    sinks.write_logits(logits.withColumn("run", F.lit(run)), f"{out}/{run}/logits")
     return results
 
 
 def _linear(spark: SparkSession, config: RunConfig, run: str, featured: dict[str, DataFrame], tax: DataFrame, meta: dict, splits: dict[str, DataFrame]) -> dict:
     classes = [r["cls"] for r in tax.orderBy("cls").collect()]
     fit = features.run_linear(featured["train"], featured["val"], featured["test"], classes, tax.where("scored"))
-    return report_run(spark, config, config.out, run, fit["val"], fit["test"], tax, meta, splits, {"c": fit["c"], "val_macro_ap": fit["val_macro_ap"]})
+    return report_run(spark, config, config.out, run, fit["val"], fit["test"], tax, meta, splits, {"c": fit["c"], "val_macro_ap": fit["val_macro_ap"]}, fit["train"])
 
 
 def tfidf(spark: SparkSession, config: RunConfig, run: str = "tfidf", max_features: int = 200_000) -> dict:
@@ -151,34 +155,49 @@ def baseline(spark: SparkSession, config: RunConfig, run: str = "length") -> dic
     return _linear(spark, config, run, featured, tax, meta, splits)
 
 
-def _run_logits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _run_logits(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     got = src.read_logits(spark, f"{path}/logits").select("split", "row_id", "cls", "logit", "y")
-    return got.where("split = 'val'").drop("split"), got.where("split = 'test'").drop("split")
+    return {k: got.where(F.col("split") == k).drop("split") for k in ("train", "val", "test")}
 
 
 def blend(spark: SparkSession, config: RunConfig, run_a: str, run_b: str, run: str = "blend") -> dict:
     """Linear blend of two runs; its weight is the best on val."""
     splits, tax, meta = load_splits(spark, config)
-    (val_a, test_a), (val_b, test_b) = _run_logits(spark, run_a), _run_logits(spark, run_b)
-    metrics.assert_aligned(val_a, val_b)
-    metrics.assert_aligned(test_a, test_b)
-    w = metrics.best_weight(metrics.blend_weights(val_a, val_b)).first()
-    return report_run(spark, config, config.out, run, metrics.blend(val_a, val_b, w["w"]), metrics.blend(test_a, test_b, w["w"]), tax, meta, splits, {"weight": w["w"], "val_macro_ap": w["macro_ap"]})
+    a, b = _run_logits(spark, run_a), _run_logits(spark, run_b)
+    metrics.assert_aligned(a["val"], b["val"])
+    metrics.assert_aligned(a["test"], b["test"])
+    w = metrics.best_weight(metrics.blend_weights(a["val"], b["val"])).first()
+    return report_run(spark, config, config.out, run, metrics.blend(a["val"], b["val"], w["w"]), metrics.blend(a["test"], b["test"], w["w"]), tax, meta, splits, {"weight": w["w"], "val_macro_ap": w["macro_ap"]})
 
 
-def mixture(spark: SparkSession, config: RunConfig, experts: dict[str, str], gate: DataFrame, class_scores: DataFrame, top_k: int = 4, run: str = "moe") -> dict:
-    """Gate over several runs for given gate scores (split, row_id, expert, score) and class scores (split, row_id, expert, cls, score)."""
+def moe(spark: SparkSession, config: RunConfig, experts: list[str], run: str = "moe", hidden: int = 512, epochs: int = 50, rate: float = 3e-4, batch: int = 64, top_k: int = 4, even: float = 0.5, patience: int = 8) -> dict:
+    """A gate over finished runs: fitted on their train logits, chosen on val by macro average precision, reported on test.
+
+    Smoke runs, runs of different tables and runs that aren't aligned are refused. The fit takes ``gating.MAX_ROWS``
+    rows of train and of val at most; all rows are scored.
+    """
+    if len(experts) < 2:
+        raise ValueError("a gate needs two runs or more")
     splits, tax, meta = load_splits(spark, config)
-    runs = {name: _run_logits(spark, path) for name, path in experts.items()}
-    first, out = next(iter(runs.values())), []
-    for i, split in enumerate(("val", "test")):
-        for other in runs.values():
-            metrics.assert_aligned(first[i], other[i])
-        stacked = reduce(DataFrame.unionByName, (r[i].withColumn("expert", F.lit(name)) for name, r in runs.items()))
-        weights = metrics.expert_gate(gate.where(F.col("split") == split).select("row_id", "expert", "score"), min(top_k, len(experts)))
-        mixed = metrics.gated_logits(stacked, weights, class_scores.where(F.col("split") == split).drop("split"))
-        out.append(mixed.join(first[i].select("row_id", "cls", "y"), ["row_id", "cls"]))
-    return report_run(spark, config, config.out, run, out[0], out[1], tax, meta, splits)
+    results = {path: json.loads(read_text(spark, f"{path}/test_results.json")) for path in experts}
+    if smoke := [path for path, r in results.items() if r["dataset"].get("max_samples")]:
+        raise ValueError(f"smoke runs: {smoke}")
+    if len({r["dataset"].get("fingerprint") for r in results.values()}) > 1:
+        raise ValueError("the runs use different tables")
+    runs = {path.rstrip("/").rsplit("/", 1)[-1]: _run_logits(spark, path) for path in experts}
+    first, n_classes = next(iter(runs.values())), tax.count()
+    for other in list(runs.values())[1:]:
+        for split in ("train", "val", "test"):
+            metrics.assert_aligned(first[split], other[split])
+    rows = {split: materialize(gating.stacked({n: r[split] for n, r in runs.items()}, n_classes), f"stacked-{split}") for split in ("train", "val", "test")}
+    gate, best = gating.fit_gate(gating.bounded_sample(rows["train"], config.seed), gating.bounded_sample(rows["val"], config.seed), len(runs), hidden, epochs, rate, batch, top_k, even, patience, config.seed)
+    mixed = {split: gating.apply_gate(rows[split], gate, list(runs)) for split in ("val", "test")}
+    logits = {split: gating.long_logits(mixed[split]).join(first[split].select("row_id", "cls", "y"), ["row_id", "cls"]) for split in mixed}
+    used = gating.usage(mixed["test"].select("row_id", F.explode("usage").alias("expert", "weight")))
+    extra = {"moe": {"experts": list(runs), "top_k": min(top_k, len(runs)), "best_val_macro_ap": best, "mean_gate_weight_test": {r["expert"]: round(r["usage"], 4) for r in used.collect()}}}
+    report = report_run(spark, config, config.out, run, logits["val"], logits["test"], tax, meta, splits, extra)
+    sinks.write_json(f"{config.out}/{run}/gate.json", {"row": [w.tolist() for w in gate.row], "cls": [w.tolist() for w in gate.cls], "n_experts": gate.n_experts, "n_classes": gate.n_classes, "top_k": gate.top_k})
+    return report
 
 
 def collect(spark: SparkSession, root: str) -> str:

@@ -1,6 +1,7 @@
 """Commands end to end on a small generated checkout; sources and sinks."""
 
 import json
+import os
 import random
 import zipfile
 
@@ -74,7 +75,13 @@ def test_build(spark, built):
         assert folds.setdefault(r["group_id"], r["fold"]) == r["fold"]
         assert r["codebase"].startswith("github:own/repo")
     assert src.read_meta(out)["fingerprint"] == meta["fingerprint"]
-    assert "SWC-107" in build.data_card(meta)
+    card = build.data_card(meta)
+    assert "| 0 | SWC-107 | Reentrancy |" in card and "| ranges |" in card and "## Annotated lines" in card
+    side = out.replace(".parquet", ".meta.json")
+    kept = open(side).read()
+    os.remove(side)  # the metadata is in the footers too
+    assert src.read_meta(out)["fingerprint"] == meta["fingerprint"]
+    open(side, "w").write(kept)
     tax = src.taxonomy(spark, meta).collect()
     assert len(tax) == 1 and tax[0]["title"] == "Reentrancy" and tax[0]["scored"]
 
@@ -91,6 +98,8 @@ def test_balance_and_runs(spark, built, tmp_path):
     bal = str(tmp_path / "b.parquet")
     meta = build.balance(spark, out, bal)
     assert meta["counts"]["positive_rows"] >= meta["counts"]["negative_rows"] > 0
+    assert sum(p["labelled"] for p in meta["balance"]["per_fold"]) == meta["counts"]["positive_rows"] == sum(meta["classes"][0]["per_fold"])
+    assert "| all |" in (tmp_path / "b.card.md").read_text()
     runs = str(tmp_path / "runs")
     config = evaluate.RunConfig.load(table=out, out=runs, test_fold=0, val_fold=1, max_length=50)
     report = evaluate.dry_run(spark, config)
@@ -100,9 +109,11 @@ def test_balance_and_runs(spark, built, tmp_path):
     assert 0 <= a["f1"] <= 1 and b["macro_ap"] > 0.9
     mixed = evaluate.blend(spark, config, f"{runs}/m_f0", f"{runs}/n_f0")
     assert mixed["weight"] <= 0.5
-    gate = spark.createDataFrame([(s, i, e, 1.0) for s in ("val", "test") for i in range(200) for e in ("m", "n")], "split string, row_id long, expert string, score double")
-    moe = evaluate.mixture(spark, config, {"m": f"{runs}/m_f0", "n": f"{runs}/n_f0"}, gate, gate.withColumn("cls", F.lit(0)))
-    assert moe["macro_ap"] >= a["macro_ap"]
+    gated = evaluate.moe(spark, config, [f"{runs}/m_f0", f"{runs}/n_f0"], epochs=60, hidden=32, rate=0.01, batch=16, patience=60)
+    assert gated["moe"]["best_val_macro_ap"] > 0.8 and abs(sum(gated["moe"]["mean_gate_weight_test"].values()) - 1) < 1e-3
+    assert json.loads((tmp_path / "runs" / "moe" / "gate.json").read_text())["n_experts"] == 2
+    with pytest.raises(ValueError, match="two runs"):
+        evaluate.moe(spark, config, [f"{runs}/m_f0"])
     text = evaluate.collect(spark, runs)
     assert "n_f0" in text and "different datasets" not in text
     assert "| m | 0 |" in evaluate.cv_summary(spark, runs)
@@ -129,6 +140,12 @@ def test_sources(spark, tmp_path):
             src.taxonomy(spark, bad)
     with pytest.raises(FileNotFoundError):
         src.read_meta(str(tmp_path / "x.parquet"))
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    other = pa.table({"row_id": [1]}).replace_schema_metadata({"other_meta": json.dumps({"classes": [], "version": "v"}), "flat_meta": "[1]"})
+    pq.write_table(other, tmp_path / "other.parquet")
+    assert src.read_meta(str(tmp_path / "other.parquet")) == {"classes": [], "version": "v"}
     head = [f" {c}" for c in src.AUDIT_COLUMNS]
     rows = [(0, head), (1, ["n", "old"]), (2, [" n ", "c"]), (3, ["", "x"])]
     table = spark.createDataFrame(rows, "row_no long, cells array<string>")
