@@ -192,6 +192,13 @@ def words(text: Column, lower: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(WORD), F.lit(0))
 
 
+def column_index(reference: Column) -> Column:
+    """0-based column of a cell reference such as AB12; null without letters."""
+    letters = F.regexp_extract(reference, "^([A-Z]+)", 1)
+    digits = F.transform(F.split(letters, ""), lambda x: F.ascii(x) - 64)
+    return F.nullif(F.aggregate(digits, F.lit(0), lambda n, d: F.when(d > 0, n * 26 + d).otherwise(n)), F.lit(0)) - 1
+
+
 def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
 

@@ -65,6 +65,18 @@ def multi_hot(labels: Column, n_classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.array_contains(labels, k).cast("int"))
 
 
+def thin_classes(rows: DataFrame, classes: DataFrame, n_folds: int, least: int = 3) -> DataFrame:
+    """(cls, least, thin): positives in the fold with fewest, and whether that is below ``least``; folds without any count."""
+    few = F.min("positives")
+    return per_fold_counts(rows, classes, n_folds).groupBy("cls").agg(few.alias("least"), (few < least).alias("thin"))
+
+
+def split_distribution(rows: DataFrame, labels: str = "labels", test_fold: int = 0, val_fold: int = 1) -> DataFrame:
+    """(split, label, files): files of each label in train, val and test. rows: fold and an array of labels."""
+    split = F.when(F.col("fold") == test_fold, "test").when(F.col("fold") == val_fold, "val").otherwise("train")
+    return rows.select(split.alias("split"), F.explode(labels).alias("label")).groupBy("split", "label").agg(F.count("*").alias("files"))
+
+
 def per_fold_counts(rows: DataFrame, classes: DataFrame, n_folds: int) -> DataFrame:
     """(cls, fold, positives) on the whole grid, zeros included."""
     grid = classes.where("cls is not null").select("cls").crossJoin(rows.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("fold")))

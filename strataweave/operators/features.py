@@ -2,33 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataweave.functions.text import bound, code_tokens, runs
+from strataweave.functions.text import code_tokens
+from strataweave.session import materialize, ship
 
 C_GRID = (0.1, 1.0, 10.0)
 
 
-def grams(tokens: Column, most: int = 2) -> Column:
-    """All runs of 1 to ``most`` tokens, joined by a space."""
-    return F.concat(*[tokens if k == 1 else runs(tokens, k) for k in range(1, most + 1)])
+def _counted(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != "tokens"]
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                terms, counts, sizes = [], [], []
+                for tokens in part.column("tokens").to_pylist():
+                    found = Counter(tokens)
+                    for k in range(2, most + 1):
+                        found.update(map(" ".join, zip(*(tokens[j:] for j in range(k)), strict=False)))
+                    terms += found.keys()
+                    counts += found.values()
+                    sizes.append(len(found))
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([*(part.column(n).take(at) for n in names), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[*names, "term", "tf"])
+
+    return run
+
+
+def term_counts(rows: DataFrame, text: str = "text", most: int = 2) -> DataFrame:
+    """The other columns of rows, term, tf: all runs of 1 to ``most`` code tokens, counted within each row without a shuffle. Case is kept; null texts have none."""
+    ship(rows.sparkSession)
+    keep = [c for c in rows.columns if c != text]
+    tokens = rows.select(*keep, code_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return tokens.mapInArrow(_counted(most), schema)
+
+
+def known_terms(counts: DataFrame, min_df: int = 3, max_features: int = 200_000) -> DataFrame:
+    """(term, df): terms of at least min_df rows, of these the max_features most frequent, ties by term."""
+    per_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    return per_term.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
 
 
 def tfidf(files: DataFrame, train: DataFrame, text: str = "text", min_df: int = 3, max_features: int = 200_000) -> DataFrame:
     """(row_id, term, weight) in long form: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1.
 
-    Document frequencies and the choice of terms (df >= min_df, then the most frequent in
-    the corpus, ties by term) come from ``train``; case is kept. The terms are
-    at most max_features rows.
+    Document frequencies and the choice of terms come from the rows of files that are in ``train`` too, by row_id. Texts are
+    tokenised once, into a written table; the terms, at most max_features rows, are written too, so that the planner
+    knows their size when it chooses the join; rows meet by row_id in one shuffle.
     """
-    term = lambda df: bound(df, "_t", code_tokens(F.col(text))).select("row_id", F.explode(grams(F.col("_t"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
-    n = train.agg(F.count("*").alias("n"))
-    known = term(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    raw = term(files).join(idf, "term").select("row_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "row_id").select("row_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    marked = files.select("row_id", text).join(train.select("row_id", F.lit(True).alias("_train")), "row_id", "left")
+    counts = materialize(term_counts(marked, text), "terms")
+    n = marked.agg(F.count("_train").alias("n"))
+    known = known_terms(counts.where("_train"), min_df, max_features)
+    idf = materialize(known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")  # n is one row
+    raw = counts.join(idf, "term").select("row_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
+    return raw.select("row_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def term_ids(weights: DataFrame) -> DataFrame:
@@ -37,7 +75,7 @@ def term_ids(weights: DataFrame) -> DataFrame:
 
 
 def vectors(weights: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(row_id, features): sparse vectors of Spark ML, made by its SQL type without a UDF."""
+    """(row_id, features): vectors of Spark ML; dense by SQL up to 4,096 terms, else sparse ones that a Python function makes of each row."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.functions import udf

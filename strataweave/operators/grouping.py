@@ -1,7 +1,7 @@
 """Codebase groups under a cap, and grouped stratified folds.
 
-Both are greedy and order-dependent, so they run on the driver, over reduced inputs:
-one row for each pair of linked codebases, and one for each group and class.
+Both are greedy and order-dependent. Merges run apart in each connected component of linked codebases;
+the folds on the driver, over one row for each group and class.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.operators.graph import connected_components
+from strataweave.operators.numbering import numbered
+from strataweave.session import materialize
+
 #: rows that the greedy steps take on the driver at most
 DRIVER_ROWS = 2_000_000
 
@@ -43,28 +47,52 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
+def _merge(cap: int):
+    """Greedy merges within one component: rows p, q, n_p, n_q, j, row_a, row_b to (codebase, root)."""
+
+    def run(pairs):
+        import pandas as pd
+
+        size = {**dict(zip(pairs["q"], pairs["n_q"], strict=True)), **dict(zip(pairs["p"], pairs["n_p"], strict=True))}
+        forest = Forest()
+        names = sorted(size)
+        for p, q in pairs.sort_values(["j", "row_a", "row_b"])[["p", "q"]].itertuples(index=False):
+            a, b = forest.root(p), forest.root(q)
+            if a != b and size[a] + size[b] <= cap:
+                total = size[a] + size[b]
+                forest.join(a, b)
+                size[forest.root(a)] = total
+        return pd.DataFrame({"codebase": names, "root": [forest.root(c) for c in names]})
+
+    return run
+
+
 def capped_groups(rows: DataFrame, pairs: DataFrame, cap: int = 300) -> DataFrame:
     """(codebase, group_id): codebases merged along near-duplicate pairs, strongest first, while the merged rows stay within ``cap``.
 
     rows: row_id, codebase. Of the pairs between two codebases, the merge depends
     only on the strongest: a later one meets the same groups or larger ones. So
-    each codebase pair is reduced to its maximum in Spark. cap 0: no merges.
+    each codebase pair is reduced to its maximum, and as no merge leaves a connected component of these
+    pairs, the greedy order runs in each by itself. Groups are numbered by their least codebase. cap 0: no merges.
     """
-    sizes = {r["codebase"]: r["n"] for r in _collect(rows.groupBy("codebase").agg(F.count("*").alias("n")), "codebases")}
-    forest = Forest()
-    size = dict(sizes)
+    sizes = rows.groupBy("codebase").agg(F.count("*").alias("n"))
+    rooted = sizes.select("codebase", F.col("codebase").alias("root"))
     if cap > 0:
         name = lambda end: rows.select(F.col("row_id").alias(f"row_{end}"), F.col("codebase").alias(f"code_{end}"))
         linked = pairs.join(name("a"), "row_a").join(name("b"), "row_b").where("code_a != code_b")
         strongest = linked.groupBy(F.least("code_a", "code_b").alias("p"), F.greatest("code_a", "code_b").alias("q")).agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "row_a", "row_b")).alias("o"))
-        for r in sorted(_collect(strongest, "codebase pairs"), key=lambda r: tuple(r["o"])):
-            a, b = forest.root(r["p"]), forest.root(r["q"])
-            if a != b and size[a] + size[b] <= cap:
-                total = size[a] + size[b]
-                forest.join(a, b)
-                size[forest.root(a)] = total
-    number = {root: i for i, root in enumerate(sorted({forest.root(c) for c in sizes}))}
-    return rows.sparkSession.createDataFrame([(c, number[forest.root(c)]) for c in sorted(sizes)], "codebase string, group_id long")
+        flat = materialize(strongest.select("p", "q", "o.*"), "codebase-pairs")
+        of = lambda end: sizes.select(F.col("codebase").alias(end), F.col("n").alias(f"n_{end}"))
+        placed = flat.join(connected_components(flat, "p", "q").withColumnRenamed("node", "p"), "p").join(of("p"), "p").join(of("q"), "q")
+        merged = placed.groupBy("component").applyInPandas(_merge(cap), "codebase string, root string")
+        rooted = sizes.select("codebase").join(merged, "codebase", "left").select("codebase", F.coalesce("root", "codebase").alias("root"))
+    rooted = materialize(rooted, "roots")
+    return rooted.join(numbered(rooted.select("root").distinct(), "group_id", F.col("root")), "root").select("codebase", "group_id")
+
+
+def group_sizes(rows: DataFrame, group: str = "codebase") -> DataFrame:
+    """One row: how many groups, rows of the largest, mean rows."""
+    return rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("largest_rows"), F.avg("n").alias("mean_rows"))
 
 
 def stratified_folds(rows: DataFrame, n_folds: int = 5, seed: int = 42) -> DataFrame:

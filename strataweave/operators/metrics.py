@@ -98,6 +98,14 @@ def max_pool(windows: DataFrame, files: DataFrame | None = None, value: str = "l
     return pooled
 
 
+def validation_bundle(windows: DataFrame) -> DataFrame:
+    """One row: macro_ap, f1_macro and f1_micro at 0.5 of files, whose logits and labels are the largest of their windows, and window_f1_micro. windows: row_id, cls, logit, y."""
+    files = max_pool(windows).join(max_pool(windows, value="y"), ["row_id", "cls"]).withColumn("prob", sigmoid(F.col("logit")))
+    at_half = averages(decide(files, 0.5)).select("f1_macro", "f1_micro")
+    each = averages(decide(windows.withColumn("prob", sigmoid(F.col("logit"))), 0.5)).select(F.col("f1_micro").alias("window_f1_micro"))
+    return macro_average_precision(files).crossJoin(at_half).crossJoin(each)  # one row each
+
+
 def summarize(test: DataFrame, val: DataFrame, scored: DataFrame | None = None, exposed: DataFrame | None = None, temperature: float = 1.0, strategy: str = "f1") -> dict:
     """Evaluation of logits (row_id, cls, logit, y): thresholds from val for all classes, then reports over the scored ones.
 

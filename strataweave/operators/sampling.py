@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.operators.numbering import numbered
+
 
 def draw(seed: int | Column, *keys: str | Column) -> Column:
     parts = [F.lit(seed).cast("string") if not isinstance(seed, Column) else seed.cast("string"), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]]
@@ -106,6 +108,16 @@ def epoch_files(files: DataFrame, epoch: int, neg_ratio: float = 1.0, threshold:
     return base.unionByName(repeats).withColumn("position", draw(seed, F.lit(epoch), "why", "row_id", "copy"))
 
 
+def length_sorted(rows: DataFrame, length: str, key: str, parts: int) -> DataFrame:
+    """Adds part: 1 to ``parts``, equal in rows up to one, of the rows in the order of length and key; rows of a part are alike in length. Numbered by one range shuffle."""
+    placed = numbered(rows, "_at", F.col(length), F.col(key))
+    n = rows.agg(F.count("*").alias("_n"))
+    base, extra = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    after = extra + F.floor((F.col("_at") - extra * (base + 1)) / F.greatest(base, F.lit(1)))
+    part = F.when(F.col("_at") < extra * (base + 1), F.floor(F.col("_at") / (base + 1))).otherwise(after) + 1
+    return placed.crossJoin(F.broadcast(n)).withColumn("part", part.cast("int")).drop("_at", "_n")  # n is one row
+
+
 def pack_files(files: DataFrame, window_batch: int, max_windows: int, seed: int = 42, by: str | None = None) -> DataFrame:
     """Whole files into forward passes of at most ``window_batch`` windows, in row order; a longer file goes alone.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,17 @@ def window_starts(n: Column, body: int, stride: int) -> Column:
     return F.when(n <= body, F.array(F.lit(0))).otherwise(many)
 
 
-def build_windows(files: DataFrame, body: int = 1024, overlap: float = 0.25, mode: str = "window") -> DataFrame:
+def build_windows(files: DataFrame, body: int = 1024, overlap: float = 0.25, mode: str = "window", tokenize: Callable[[Column], Column] = token_lines) -> DataFrame:
     """(row_id, win, s, e, l0, l1, tokens, labels, file_annotated).
 
     files: row_id, text, spans (array of struct cls, start, end), labels. A window has a class if one
     of its spans overlaps the window's lines; the spans lie in the row, so this is a filter over an
-    array and no join. truncate: the first window only, with the file's labels.
+    array and no join. truncate: the first window only, with the file's labels. ``tokenize`` gives a text's tokens, each with the
+    line on which it starts; the first and last lines belong to the first and last windows even if no token starts on them.
     """
     if mode not in ("window", "truncate"):
         raise ValueError(f"unknown mode {mode!r}")
-    based = files.select("row_id", "spans", "labels", F.size(lines(F.col("text"))).alias("n_lines"), token_lines(F.col("text")).alias("t"))
+    based = files.select("row_id", "spans", "labels", F.size(lines(F.col("text"))).alias("n_lines"), tokenize(F.col("text")).alias("t"))
     flat = based.select("*", F.size("t").alias("n"), F.posexplode(window_starts(F.size("t"), body, stride_of(body, overlap))).alias("win", "s"))
     e = F.least(F.col("s") + body, F.col("n"))
     line = lambda i: F.coalesce(F.try_element_at("t", i)["line"], F.lit(1))
@@ -76,8 +79,8 @@ def vocabulary(files: DataFrame, size: int = 30_000, least: int = 2, text: str =
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Adds id to rows with ``token``; words out of the vocabulary have ``UNKNOWN``. A vocabulary has at most its size in rows."""
-    return tokens.join(F.broadcast(vocab.select("token", "id")), "token", "left").withColumn("id", F.coalesce("id", F.lit(UNKNOWN)))
+    """Adds id to rows with ``token``; words out of the vocabulary have ``UNKNOWN``. Whether the vocabulary is broadcast is the planner's choice, by its size."""
+    return tokens.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(UNKNOWN)))
 
 
 def frame(body: Column, prefix: list[int], suffix: list[int]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import numeric as num
 from strataweave.functions import text as tx
-from strataweave.operators import features, metrics, windows
+from strataweave.operators import features, gating, metrics, windows
 from strataweave.plans.registry import LABELLED, PROB, cells, cells_sql, labelled, query
 from strataweave.session import table
 
@@ -154,12 +154,11 @@ def e9_max_pool(spark, sf_dir):
 with {cells_sql().strip()}, p as (select row_id // 3 as row_id, cls, max(logit) as logit, max(y) as y from cells where fold = 1 group by 1, 2),
 scored as (select *, {PROB} as prob from p), {_AP.format(by='', source='scored')},
 c as (select cls, count(*) filter (y = 1 and prob >= 0.5) as tp, count(*) filter (y = 0 and prob >= 0.5) as fp, count(*) filter (y = 1 and prob < 0.5) as fn from scored group by cls)
-select (select round(coalesce(avg(ap) filter (positives > 0), 0), 6) from ap) as macro_ap, round(avg(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn)::double end), 6) as f1_macro, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::double, 6) as f1_micro from c""")
+select (select round(coalesce(avg(ap) filter (positives > 0), 0), 6) from ap) as macro_ap, round(avg(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn)::double end), 6) as f1_macro, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::double, 6) as f1_micro,
+  (select round(2 * count(*) filter (y = 1 and p >= 0.5) / (2 * count(*) filter (y = 1 and p >= 0.5) + count(*) filter (y <> (p >= 0.5)::int))::double, 6) from (select y, {PROB} as p from cells where fold = 1)) as window_f1_micro from c""")
 def e21_validation_bundle(spark, sf_dir):
     w = cells(spark, sf_dir).where("fold = 1").withColumn("row_id", F.floor(F.col("row_id") / 3))
-    files = metrics.max_pool(w).join(metrics.max_pool(w, value="y"), ["row_id", "cls"]).withColumn("prob", num.sigmoid(F.col("logit")))
-    a = metrics.averages(metrics.decide(files, 0.5)).select(R("f1_macro").alias("f1_macro"), R("f1_micro").alias("f1_micro"))
-    return metrics.macro_average_precision(files).select(R("macro_ap").alias("macro_ap")).crossJoin(a)  # one row each
+    return metrics.validation_bundle(w).select(*[R(c).alias(c) for c in ("macro_ap", "f1_macro", "f1_micro", "window_f1_micro")])
 
 
 @query("f11_aligned_runs", f"with {cells_sql('a').strip()}, {cells_sql('b', 10).strip()} select count(*) as aligned, count(*) filter (a.y <> b.y) as conflicts from a join b on a.row_id = b.row_id and a.cls = b.cls")
@@ -211,7 +210,7 @@ def _gate(spark, sf_dir):
 
 @query("e20_gate_usage", f"with {_GATE} select expert, round(avg(weight), 6) as usage from gate group by expert")
 def e20_gate_usage(spark, sf_dir):
-    return _gate(spark, sf_dir).groupBy("expert").agg(R(F.avg("weight")).alias("usage"))
+    return gating.usage(_gate(spark, sf_dir)).select("expert", R("usage").alias("usage"))
 
 
 @query("j13_gated_logits", f"""
@@ -323,14 +322,12 @@ terms as (select row_id, unnest(w || case when len(w) >= 2 then list_transform(r
 tf as (select row_id, term, count(*) as tf from terms group by 1, 2),
 n as (select count(*) as n from documents where doc_id % 5 > 1),
 df as (select term, count(*) as df, sum(tf) as total from tf where row_id % 5 > 1 group by term having count(*) >= 3),
-known as (select term, df from df order by total desc, term limit 2000)"""
+known as (select term, df from df order by total desc, term limit 200000)"""
 
 
 @query("h2_top_terms", f"with {_TERMS} select term, df from known")
 def h2_top_terms(spark, sf_dir):
-    terms = tx.bound(table(spark, sf_dir, "documents").where("doc_id % 5 > 1").select("doc_id", "text"), "t", tx.code_tokens(F.col("text"))).select("doc_id", F.explode(features.grams(F.col("t"))).alias("term"))
-    per = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return per.where("df >= 3").orderBy(F.desc("total"), "term").limit(2000).select("term", "df")
+    return features.known_terms(features.term_counts(table(spark, sf_dir, "documents").where("doc_id % 5 > 1").select("doc_id", "text")))
 
 
 @query("j8_tfidf", f"""
@@ -339,7 +336,7 @@ nrm as (select row_id, sqrt(sum(w * w)) as z from raw group by row_id)
 select raw.row_id, count(*) as terms, round(max(w / z), 5) as largest, round(sum(w / z), 4) as total from raw join nrm on raw.row_id = nrm.row_id group by 1""")
 def j8_tfidf(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    w = features.tfidf(files, files.where("row_id % 5 > 1"), max_features=2000)
+    w = features.tfidf(files, files.where("row_id % 5 > 1"))
     return w.groupBy("row_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("largest"), F.round(F.sum("weight"), 4).alias("total"))
 
 

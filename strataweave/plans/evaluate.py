@@ -92,15 +92,21 @@ def dry_run(spark: SparkSession, config: RunConfig) -> dict:
             ids = w.select(F.xxhash64("row_id", "win").alias("win_id"), "labels", "file_annotated")
             sample = sampling.resample_windows(ids, config.neg_ratio, config.oversample_threshold, config.oversample_target, config.oversample_factor, config.seed, config.oversample)
             report["sample"] = {r["why"]: r["n"] for r in sample.groupBy("why").agg(F.count("*").alias("n")).collect()}
+    write_run_documents(config, tax, meta, report)
+    return report
+
+
+def write_run_documents(config: RunConfig, tax: DataFrame, meta: dict, report: dict) -> None:
+    """What a run leaves beside its results: windows_report, config and taxonomy as JSON."""
     sinks.write_json(f"{config.out}/windows_report.json", report)
     sinks.write_json(f"{config.out}/config.json", asdict(config))
     sinks.write_json(f"{config.out}/taxonomy.json", {"classes": [r.asDict() for r in tax.orderBy("cls").collect()], "version": meta.get("version")})
-    return report
 
 
 def grid(rows: DataFrame, tax: DataFrame) -> DataFrame:
-    """(row_id, cls, y) on the whole grid; the taxonomy is one row for each class."""
-    return rows.select("row_id", "labels").crossJoin(F.broadcast(tax.select("cls"))).select("row_id", "cls", F.array_contains("labels", F.col("cls")).cast("int").alias("y"))
+    """(row_id, cls, y) on the whole grid, exploded from class numbers in the taxonomy, one row for each class."""
+    classes = sorted(r["cls"] for r in tax.select("cls").collect())
+    return rows.select("row_id", "labels", F.explode(F.array(*map(F.lit, classes))).alias("cls")).select("row_id", "cls", F.array_contains("labels", F.col("cls")).cast("int").alias("y"))
 
 
 def report_run(spark: SparkSession, config: RunConfig, out: str, run: str, val: DataFrame, test: DataFrame, tax: DataFrame, meta: dict, splits: dict[str, DataFrame], extra: dict | None = None, train: DataFrame | None = None) -> dict:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as tx
 from strataweave.operators import near_dup
-from strataweave.plans.registry import cells, cells_sql, labelled, query
+from strataweave.plans.registry import NORMAL, cells, cells_sql, labelled, query
 from strataweave.plans.table_queries import _PAIRS, _pairs
-from strataweave.session import shared_dir, table
+from strataweave.session import drop_path, shared_dir, table, write_bytes, write_text
 from strataweave.sources import files as src
 from strataweave.sources import sinks
 
@@ -44,10 +47,6 @@ def a5_audit_index(spark, sf_dir):
     return named.select(order)
 
 
-def _number(path: str):
-    return F.regexp_extract(path, r"/(\d+)(\.sol)?$", 1).cast("long")
-
-
 def annotations(spark, sf_dir):
     """The annotations of all documents, written as one JSON file each, in bucket folders, and scanned."""
     docs = table(spark, sf_dir, "documents")
@@ -59,10 +58,100 @@ def annotations(spark, sf_dir):
 
 
 @query("a6_annotation_scan", """
-select source || '/' || doc_id::varchar || '.sol' as rel_path, 'SWC-' || (100 + doc_id % 37)::varchar as category, 'L' || (doc_id % 9)::varchar as line_field from documents where doc_id % 25 = 0""")
+select source || '/' || doc_id::varchar || '.sol' as rel_path, 'SWC-' || (100 + doc_id % 37)::varchar as category, 'L' || (doc_id % 9)::varchar as line_field from documents""")
 def a6_annotation_scan(spark, sf_dir):
-    # all are written and scanned; the twin lists these
-    return annotations(spark, sf_dir).where(_number("rel_path") % 25 == 0)
+    return annotations(spark, sf_dir)
+
+
+@query("a1_file_scan", """
+select doc_id, source, md5(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10), 'g') || chr(10)) as text_md5 from documents""")
+def a1_file_scan(spark, sf_dir):
+    # a file for each document, its id on the first line, found again below the root
+    at = _fresh(spark, "sources")
+    docs = table(spark, sf_dir, "documents").select("source", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value"))
+    docs.repartition("source").write.option("maxRecordsPerFile", 1).partitionBy("source").text(at)
+    found = src.read_sources(spark, at, "*.txt")
+    head = F.substring_index("text", "\n", 1)
+    return found.select(head.cast("long").alias("doc_id"), F.regexp_extract("rel_path", "^source=([^/]*)/", 1).alias("source"), F.md5(F.substring(F.col("text"), F.length(head) + 2, F.length("text"))).alias("text_md5"))
+
+
+def _workbook(rows: list[list[str]]) -> bytes:
+    """A workbook of one sheet with inline strings; empty cells are left out."""
+    cell = lambda c, r, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' if v else ""
+    lines = "".join(f'<row r="{r}">{"".join(cell(c, r, v) for c, v in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+@query("a3_workbook_rows", "select n_nationkey::bigint as row_no, n_name || '|' || case when n_regionkey = 0 then '' else n_regionkey::varchar end || '|' || n_nationkey::varchar as cells from nation")
+def a3_workbook_rows(spark, sf_dir):
+    # a workbook is small by its nature, here a row for each nation
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    at = f"{_fresh(spark, 'workbook')}.xlsx"
+    write_bytes(spark, at, _workbook([[r["n_name"], str(r["n_regionkey"] or ""), str(r["n_nationkey"])] for r in nations]))
+    spark.dataSource.register(src.WorkbookSource)
+    return spark.read.format("workbook").load(at).select("row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("a4_column_reference", """
+with n as (select distinct l_partkey % 703 as i from lineitem)
+select i::int as i, case when i >= 702 then 'AAA' when i >= 26 then chr(64 + (i // 26)::int) || chr(65 + (i % 26)::int) else chr(65 + i::int) end || (i + 1)::varchar as reference, i::int as found from n""")
+def a4_column_reference(spark, sf_dir):
+    i = F.col("i")
+    letter = lambda n: F.char((n + 65).cast("int"))
+    name = F.when(i >= 702, "AAA").when(i >= 26, F.concat(letter(F.floor(i / 26) - 1), letter(i % 26))).otherwise(letter(i))
+    parts = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 703).cast("int").alias("i")).distinct()
+    return parts.select("i", F.concat(name, (i + 1).cast("string")).alias("reference")).withColumn("found", tx.column_index(F.col("reference")))
+
+
+def _classes_meta(spark, sf_dir) -> dict:
+    """A taxonomy of the documents' languages, as a build writes it."""
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
+    return {"version": "v", "classes": [{"index": i, "swc": r["lang"], "title": f"title {r['lang']}", "n_files": r["n"]} for i, r in enumerate(counts)], "eval_classes": [0, 1]}
+
+
+_TAXONOMY = """
+with c as (select lang as swc, 'title ' || lang as title, (row_number() over (order by count(*) desc, lang) - 1)::int as cls, count(*) as n_files from documents group by lang)"""
+
+
+@query("a8_footer_metadata", f"{_TAXONOMY} select cls, swc, title, cls < 2 as scored from c")
+def a8_footer_metadata(spark, sf_dir):
+    at = f"{_fresh(spark, 'table')}.parquet"
+    sinks.write_table(table(spark, sf_dir, "documents").select("doc_id", "lang"), at, _classes_meta(spark, sf_dir))
+    drop_path(spark, at.replace(".parquet", ".meta.json"))  # only the footers are left
+    return src.taxonomy(spark, src.read_meta(at, spark))
+
+
+@query("b2_sidecar", f"{_TAXONOMY} select cls as index, swc, n_files from c")
+def b2_sidecar(spark, sf_dir):
+    at = f"{_fresh(spark, 'table')}.parquet"
+    sinks.write_table(table(spark, sf_dir, "documents").select("doc_id", "lang"), at, _classes_meta(spark, sf_dir))
+    side = spark.read.schema("classes array<struct<index:int,swc:string,n_files:long>>").option("multiLine", "true").json(at.replace(".parquet", ".meta.json"))
+    return side.select(F.explode("classes").alias("c")).select("c.*")
+
+
+@query("b8_run_documents", f"{_TAXONOMY} select cls as class, swc, title, 'window' as input_mode, 512 as max_length from c")
+def b8_run_documents(spark, sf_dir):
+    from strataweave.plans.evaluate import RunConfig, write_run_documents
+
+    out = _fresh(spark, "run")
+    config = RunConfig.load(table="t", out=out, max_length=512)
+    meta = _classes_meta(spark, sf_dir)
+    write_run_documents(config, src.taxonomy(spark, meta), meta, {"train": {"windows": 1}})
+    read = lambda name, schema: spark.read.schema(schema).option("multiLine", "true").json(f"{out}/{name}.json")
+    classes = read("taxonomy", "classes array<struct<cls:int,swc:string,title:string>>").select(F.explode("classes").alias("c")).select(F.col("c.cls").alias("class"), "c.swc", "c.title")
+    return classes.crossJoin(F.broadcast(read("config", "input_mode string, max_length int")))  # one row
+
+
+@query("b7_markdown", """
+with f as (select lang, count(*) as files, avg(n_chars) as mean from documents group by lang)
+select '| language | files | mean |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || lang || ' | ' || files::varchar || ' | ' || printf('%.2f', mean) || ' |' || chr(10), '' order by files desc, lang) as text from f""")
+def b7_markdown(spark, sf_dir):
+    report = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.avg("n_chars").alias("mean")).orderBy(F.desc("files"), "lang")
+    text = sinks.markdown(report, {"lang": "language", "files": "files", "mean": "mean"}, {"mean": ".2f"})
+    return spark.createDataFrame([(text,)], "text string")
 
 
 @query("a7_b1_table_round_trip", "select lang, count(*) as files, sum(n_chars)::bigint as n_chars from documents where source = 'src1' group by lang")
@@ -96,9 +185,8 @@ def a11_results_scan(spark, sf_dir):
     documents = made.select(F.concat(F.lit("model_f"), F.col("f").cast("string")).alias("run"), F.to_json(F.struct("f1", "macro_ap", smoke.alias("dataset"))).alias("value"))
     # one small document for each run, as a run writes it
     for r in documents.collect():
-        spark.createDataFrame([(r["value"],)], "value string").coalesce(1).write.text(f"{at}/{r['run']}")
-    raw = spark.read.schema("f1 double, macro_ap double, dataset struct<fingerprint:string,max_samples:long>").json(f"{at}/*").withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"/(model_f\d+)/", 1))
-    return raw.where("dataset.max_samples is null").select("run", "f1", "macro_ap")
+        write_text(spark, f"{at}/{r['run']}/test_results.json", r["value"])
+    return src.read_results(spark, at).select("run", "f1", "macro_ap")
 
 
 def excluded_rows(spark, sf_dir):
@@ -107,10 +195,30 @@ def excluded_rows(spark, sf_dir):
     return spark.read.schema("rel_path string, reason string, swc string").option("header", "true").csv(at)
 
 
-@query("b3_excluded_csv", "select source || '/' || doc_id::varchar as rel_path, 'only_rare_classes' as reason, lang as swc from documents where doc_id % 97 = 0")
+@query("b3_excluded_csv", "select source || '/' || doc_id::varchar as rel_path, 'only_rare_classes' as reason, lang as swc from documents")
 def b3_excluded_csv(spark, sf_dir):
-    # all rows go out and come back; the twin lists these
-    return excluded_rows(spark, sf_dir).where(_number("rel_path") % 97 == 0)
+    return excluded_rows(spark, sf_dir)
+
+
+#: CRC-32 by its table: entry i is i divided eight times
+_CRC = """
+bits(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc_table as (select list(v order by i) as t from bits where k = 8)"""
+
+
+@query("j1_crc_shingles", rf"""
+with recursive {_CRC.strip()},
+w as (select item_id, regexp_extract_all({NORMAL}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') as w from benchmark),
+g as (select item_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) else [array_to_string(w, ' ')] end) as g from w),
+h as (select distinct item_id, xor(list_reduce(list_transform(range(strlen(g)), lambda i: ('0x' || hex(encode(g))[2 * i + 1 : 2 * i + 2])::bigint), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as h from g, crc_table)
+select item_id, count(*) as n_shingles, sum(h)::bigint as total, min(h) as least, max(h) as most from h group by item_id""")
+def j1_crc_shingles(spark, sf_dir):
+    # the numpy kernel of the near-duplicate join, over a whole table
+    sets = near_dup.signed_sets(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    # little-endian, four bytes each
+    byte = lambda i, j: F.substring(F.hex("set"), (i * 8 + 2 * j + 1).cast("int"), F.lit(2))
+    hashes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.conv(F.concat(*[byte(i, j) for j in (3, 2, 1, 0)]), 16, 10).cast("long"))
+    return sets.select(F.col("id").alias("item_id"), F.explode(hashes).alias("h")).groupBy("item_id").agg(F.count("*").alias("n_shingles"), F.sum("h").alias("total"), F.min("h").alias("least"), F.max("h").alias("most"))
 
 
 _COEFFICIENTS = near_dup.coefficients(8, 1)

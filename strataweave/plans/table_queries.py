@@ -104,15 +104,13 @@ def e5_fold_rollup(spark, sf_dir):
 
 @query("e6_group_sizes", f"with {LABELLED.strip()}, g as (select codebase, count(*) as n from files group by codebase) select count(*) as codebases, max(n) as largest_rows, round(avg(n), 6) as mean_rows from g")
 def e6_group_sizes(spark, sf_dir):
-    g = labelled(spark, sf_dir).groupBy("codebase").agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("codebases"), F.max("n").alias("largest_rows"), F.round(F.avg("n"), 6).alias("mean_rows"))
+    return grouping.group_sizes(labelled(spark, sf_dir)).select(F.col("groups").alias("codebases"), "largest_rows", F.round("mean_rows", 6).alias("mean_rows"))
 
 
-@query("e7_thin_classes", f"with {ROWS}, g as (select c.cls, f::bigint as fold from classes c, range(5) r(f) where c.cls is not null), s as (select fold, unnest(labels) as cls from labelled_rows where not excluded), n as (select g.cls, g.fold, count(s.cls) as k from g left join s on g.cls = s.cls and g.fold = s.fold group by 1, 2) select cls, min(k) as least, min(k) < 30 as thin from n group by cls")
+@query("e7_thin_classes", f"with {ROWS}, g as (select c.cls, f::bigint as fold from classes c, range(5) r(f) where c.cls is not null), s as (select fold, unnest(labels) as cls from labelled_rows where not excluded), n as (select g.cls, g.fold, count(s.cls) as k from g left join s on g.cls = s.cls and g.fold = s.fold group by 1, 2) select cls, min(k) as least, min(k) < 3 as thin from n group by cls")
 def e7_thin_classes(spark, sf_dir):
     rows, classes = _rows(spark, sf_dir)
-    least = F.min("positives")
-    return dedup.per_fold_counts(rows.where("not excluded"), classes, 5).groupBy("cls").agg(least.alias("least"), (least < 30).alias("thin"))
+    return dedup.thin_classes(rows.where("not excluded"), classes, 5)
 
 
 @query("e19_fingerprints", f"with {LABELLED.strip()} select count(distinct sha1(codebase || '|' || fold::varchar)) as fingerprints from files")
@@ -122,8 +120,7 @@ def e19_fingerprints(spark, sf_dir):
 
 @query("e22_split_distribution", f"with {LABELLED.strip()} select case fold when 0 then 'test' when 1 then 'val' else 'train' end as split, s as swc, count(*) as files from (select fold, unnest(swc) as s from files) group by 1, 2")
 def e22_split_distribution(spark, sf_dir):
-    split = F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train")
-    return labelled(spark, sf_dir).select(split.alias("split"), F.explode("swc").alias("swc")).groupBy("split", "swc").agg(F.count("*").alias("files"))
+    return dedup.split_distribution(labelled(spark, sf_dir), "swc").withColumnRenamed("label", "swc")
 
 
 @query("d3_split_files", f"with {LABELLED.strip()} select case fold when 0 then 'test' when 1 then 'val' else 'train' end as split, count(*) as files, sum(row_id)::bigint as id_sum from files group by 1")
@@ -249,14 +246,7 @@ def h7_epoch_files(spark, sf_dir):
 @query("h8_length_sort", "select doc_id, n_chars, ntile(4) over (order by n_chars, doc_id)::int as part from documents")
 def h8_length_sort(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    # counts of lengths first, so that only distinct lengths meet in the global window
-    sizes = docs.groupBy("n_chars").agg(F.count("*").alias("k"))
-    before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("n_chars")) - F.col("k")).drop("k")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id")) - 1
-    n = docs.agg(F.count("*").alias("n"))
-    base, extra = F.floor(F.col("n") / 4), F.col("n") % 4
-    part = F.when(F.col("r") < extra * (base + 1), F.floor(F.col("r") / (base + 1))).otherwise(extra + F.floor((F.col("r") - extra * (base + 1)) / F.greatest(base, F.lit(1)))) + 1
-    return docs.join(before, "n_chars").withColumn("r", rank).crossJoin(F.broadcast(n)).select("doc_id", "n_chars", part.cast("int").alias("part")).sort("part", "n_chars", "doc_id")
+    return sampling.length_sorted(docs, "n_chars", "doc_id", 4).sort("part", "n_chars", "doc_id")
 
 
 @query("i1_i4_set_operations", """

@@ -139,11 +139,15 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file; folders on the way are made."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file; folders on the way are made."""
     p, system = _located(spark, path)
     stream = system.create(p, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
