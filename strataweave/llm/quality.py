@@ -196,11 +196,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABE
 
     The ids are chosen among the labels first, so only chosen rows of docs are
     joined. Rows with a null id or label are left out; of contradicting labels of one
-    document the lowest counts.
+    document the lowest counts, of several texts of one id the least, so reruns agree.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     # chosen has at most max_rows rows of 12 bytes: a proven bound for the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, **how) -> Trees:

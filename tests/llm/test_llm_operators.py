@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -164,6 +165,29 @@ def test_quality(spark, docs, rows, empty, odd):
     assert quality.quality_rules(odd, trees).count() == odd.count()
 
 
+def test_quality_verdicts_by_walking_the_trees(spark):
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    trees = quality.train_quality(docs, spark.read.parquet(f"{at}/labels.parquet"))
+    assert len(trees.roots) > 10
+
+    def walk(node, x):
+        while trees.left[node] != node:
+            node = trees.left[node] if x[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = quality.quality_rules(docs, trees).collect()
+    assert {r["kept"] for r in got} == {True, False}
+    for r in got:
+        n, _, _, _, rep = brute.quality(texts[r["doc_id"]])
+        margin = trees.bias + sum(walk(root, [r[f] for f in quality.FEATURES]) for root in trees.roots)
+        assert abs(margin - math.log(r["score"] / (1 - r["score"]))) < 1e-9
+        assert r["kept"] == (margin >= 0 and n >= 50 and 100 * rep <= 50 * n)
+    again = quality.train_quality(docs.repartition(7), spark.read.parquet(f"{at}/labels.parquet").repartition(3))
+    assert (again.value == trees.value).all() and (again.threshold == trees.threshold).all()
+
+
 def test_mixing(docs, rows, empty, odd):
     got = mixing.mix_sources(docs, keep=["doc_id", "source"]).collect()
     sizes = {}
@@ -386,12 +410,15 @@ def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     given = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sources = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
     for name, stage in cp.STAGES[:-1]:
+        before = given
         docs = stage(spark, docs, sf)
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.columns == cp.COLUMNS
-        now = {r["doc_id"]: r["text"] for r in docs.collect()}
+        rows = docs.collect()
+        now = {r["doc_id"]: r["text"] for r in rows}
         assert now and set(now) <= set(given)
         if name == "near_copies":
             k = {d: c for d, _, c in brute_components(given)}
@@ -401,7 +428,24 @@ def test_pipeline(spark, tmp_path):
             assert set(now) == {d for d, (n, gone) in want.items() if not n or gone < n}
             assert all(now[d] == given[d] for d in now if not want[d][1])
         given = now
-    assert cp.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+        if name == "quality":
+            counts = {d: brute.quality(t) for d, t in before.items()}
+            failed = {d for d, (n, _, _, _, rep) in counts.items() if n < 50 or 100 * rep > 50 * n}
+            assert not failed & set(now) and len(now) > 0.5 * (len(before) - len(failed))
+        if name == "mixture":
+            source = {r["doc_id"]: r["source"] for r in rows}
+            sizes = {}
+            for d, t in before.items():
+                sizes[sources[d]] = sizes.get(sources[d], 0) + len(brute.words(t))
+            assert source.items() <= sources.items()
+            for s, (target, _) in brute.source_targets(sizes).items():
+                assert sum(len(brute.words(r["text"])) for r in rows if r["source"] == s) == int(target)
+            for r in rows:
+                whole = brute.words(before[r["doc_id"]])
+                assert brute.words(r["text"]) == whole[: len(brute.words(r["text"]))]
+    encoder = bpe.codec(queries.ranks_path(), queries.pretoken_pattern()).encoding
+    want = sorted((r["doc_id"], tuple(encoder.encode_ordinary(r["text"] or ""))) for r in rows)
+    assert sorted((r["doc_id"], tuple(r["ids"])) for r in cp.STAGES[-1][1](spark, docs, sf).collect()) == want
 
 
 def brute_components(given):
