@@ -210,10 +210,9 @@ def line_starts(text: Column) -> Column:
 
 
 def runs(tokens: Column, k: int) -> Column:
-    """All runs of k tokens, joined by a space; none for fewer tokens. The array is zipped with its own shifts, so it is computed k times and not once for each run."""
-    count = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
-    shifted = [F.slice(tokens, F.lit(j + 1), count).alias(f"t{j}") for j in range(k)]
-    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"t{j}"] for j in range(k)]))
+    """All runs of k tokens without spaces, joined by a space; none for fewer tokens. One pass of a pattern whose matches overlap, as each is looked at ahead of its first place."""
+    run = r"(?<![^ ])(?=(" + "[^ ]+ " * (k - 1) + "[^ ]+))"
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(run), F.lit(1))
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:

@@ -18,6 +18,8 @@ from strataweave.session import materialize
 
 #: rows that the greedy steps take on the driver at most
 DRIVER_ROWS = 2_000_000
+#: codebase pairs that are merged without looking for components
+ONE_TASK = 100_000
 
 
 def _collect(df: DataFrame, what: str) -> list:
@@ -83,7 +85,9 @@ def capped_groups(rows: DataFrame, pairs: DataFrame, cap: int = 300) -> DataFram
         strongest = linked.groupBy(F.least("code_a", "code_b").alias("p"), F.greatest("code_a", "code_b").alias("q")).agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "row_a", "row_b")).alias("o"))
         flat = materialize(strongest.select("p", "q", "o.*"), "codebase-pairs")
         of = lambda end: sizes.select(F.col("codebase").alias(end), F.col("n").alias(f"n_{end}"))
-        placed = flat.join(connected_components(flat, "p", "q").withColumnRenamed("node", "p"), "p").join(of("p"), "p").join(of("q"), "q")
+        # few pairs are merged in one task, components or not
+        apart = flat.withColumn("component", F.lit("")) if flat.count() <= ONE_TASK else flat.join(connected_components(flat, "p", "q").withColumnRenamed("node", "p"), "p")
+        placed = apart.join(of("p"), "p").join(of("q"), "q")
         merged = placed.groupBy("component").applyInPandas(_merge(cap), "codebase string, root string")
         rooted = sizes.select("codebase").join(merged, "codebase", "left").select("codebase", F.coalesce("root", "codebase").alias("root"))
     rooted = materialize(rooted, "roots")

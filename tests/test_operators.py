@@ -291,7 +291,9 @@ def test_stacked_refuses_holes(spark):
         gating.stacked({"a": run, "b": run.where("row_id != 1 or cls != 0")}, 2).collect()
 
 
-def test_capped_groups_follow_the_greedy_order(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_capped_groups_follow_the_greedy_order(spark, monkeypatch, one_task):
+    monkeypatch.setattr(grouping, "ONE_TASK", one_task)
     rng = random.Random(9)
     rows = [(i, f"c{i % 40:02d}") for i in range(400)]
     pairs = [(a, b, round(rng.uniform(0.8, 1), 2)) for a, b in {tuple(sorted(rng.sample(range(400), 2))) for _ in range(60)}]
