@@ -131,6 +131,16 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded bytes of op1, which are the text's."""
+    return op1_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 reads back from its files."""
+    return op7_avi_mjpeg(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_join": op2_jaccard_join,
@@ -142,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_store": op9_token_store,
     "op10_substring_dedup": op10_substring_dedup,
+    "bpe_round_trip": bpe_round_trip,
+    "media_payloads": media_payloads,
     "quality_base_counts": quality_base_counts,
 }
 
@@ -152,6 +164,8 @@ SQL: dict[str, str] = {
     "op5_warc": twins.WARC,
     "op6_mixing": twins.mixture(),
     "op10_substring_dedup": twins.repeated_passages(),
+    "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+    "media_payloads": twins.PAYLOADS,
     "quality_base_counts": twins.QUALITY_BASE,
     "op4_url_filters": rf"""
 with recursive rules(action, rule_host, rule_path, rule) as (values {_RULE_ROWS}),

@@ -39,6 +39,11 @@ counts as (
   from base b left join dup d on b.doc_id = d.doc_id left join covered c on b.doc_id = c.doc_id)
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts"""
 
+PAYLOADS = """
+with d as (select doc_id, coalesce(text, '') as t, strlen(coalesce(text, ''))::bigint as n_bytes from documents),
+p as (select *, greatest(64, (n_bytes + 63) // 64 * 64)::bigint as payload_bytes from d)
+select doc_id, n_bytes, payload_bytes, sha256(t || repeat(chr(0), payload_bytes - n_bytes)) as payload_sha256 from p"""
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: Base32 of 160 bits: 20 bits, as five hex digits, are four letters
