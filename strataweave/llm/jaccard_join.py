@@ -353,12 +353,16 @@ def _screen(percent: int):
             n_a, n_b = (np.asarray(batch.column(c), np.int64) for c in ("n_a", "n_b"))
             (buf_a, off_a), (buf_b, off_b) = (raw(strings_or_bytes(batch.column(c))) for c in ("wide_a", "wide_b"))
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.ascontiguousarray(buf[off[i] : off[i + 1]]).view("<u8")[None] for buf, off in ((buf_a, off_a), (buf_b, off_b)))
-                lanes = min(x.shape[1], y.shape[1])
-                x, y = fold(x, lanes), fold(y, lanes)
-                p, q, both = (int(np.bitwise_count(v).sum()) for v in (x, y, x & y))
-                ok[i] = _possible(n_a[i], p, n_b[i], q, both, percent, n_a[i], n_b[i])
+            wide_a, wide_b = np.diff(off_a) // 8, np.diff(off_b) // 8
+            # pairs of equal widths at once, some at a time
+            for u, v in {*zip(wide_a.tolist(), wide_b.tolist(), strict=True)}:
+                same = np.flatnonzero((wide_a == u) & (wide_b == v))
+                step = max(1, (4 << 20) // (8 * (u + v)))
+                for at in (same[i : i + step] for i in range(0, len(same), step)):
+                    x = fold(buf_a[off_a[at][:, None] + np.arange(8 * u)].view("<u8"), min(u, v))
+                    y = fold(buf_b[off_b[at][:, None] + np.arange(8 * v)].view("<u8"), min(u, v))
+                    p, q, both = (np.bitwise_count(z).sum(1, dtype=np.int64) for z in (x, y, x & y))
+                    ok[at] = _possible(n_a[at], p, n_b[at], q, both, percent, n_a[at], n_b[at])
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -377,9 +381,13 @@ def screened(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text_a", 1 << 20):
-            (ta, oa), (tb, ob) = (shingle_sets(Words(strings(batch.column(c)), lower=True), k) for c in ("text_a", "text_b"))
-            both = np.array([len(np.intersect1d(ta[oa[i] : oa[i + 1]], tb[ob[i] : ob[i + 1]], assume_unique=True)) for i in range(batch.num_rows)], np.int64)
-            union = np.diff(oa) + np.diff(ob) - both
+            sides = []
+            for end in ("a", "b"):  # a text that is in several pairs of the batch is cut once
+                _, first, at = np.unique(np.asarray(batch.column(end)), return_index=True, return_inverse=True)
+                sides.append((*shingle_sets(Words(strings(batch.column(f"text_{end}")).take(pa.array(first)), lower=True), k), at))
+            (ta, oa, ia), (tb, ob, ib) = sides
+            both = np.array([len(np.intersect1d(ta[oa[i] : oa[i + 1]], tb[ob[j] : ob[j + 1]], assume_unique=True)) for i, j in zip(ia, ib, strict=True)], np.int64)
+            union = np.diff(oa)[ia] + np.diff(ob)[ib] - both
             ok = (100 * both >= percent * union) & (union > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(both[ok]), pa.array(union[ok])], names=["a", "b", "both", "either"])
 
