@@ -332,3 +332,35 @@ def test_regression_and_temperature_against_plain_fits(spark):
     grid = np.exp(np.linspace(-3, 3, 6001))
     loss = [np.mean(np.logaddexp(0, logits / t) - y * logits / t) for t in grid]
     assert abs(metrics.fit_temperature(val) - grid[int(np.argmin(loss))]) < 0.01
+
+
+def test_shared_folder_widths_and_text_files(spark, monkeypatch, tmp_path):
+    from strataweave import session
+
+    df = spark.range(1000).select("id", F.repeat(F.lit("é"), 10).alias("text"))
+    assert session.shuffle_width(df, bytes_per_task=3000) == 7
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    assert session.dealt(df, 50, "id").rdd.getNumPartitions() == 50
+    kept = session.materialize(df.groupBy("id").count(), "kept", width=50)
+    assert kept.count() == 1000 and spark.conf.get("spark.sql.shuffle.partitions") == least
+    session.forget(kept)
+    assert not session.path_exists(spark, kept._stored_at)
+    session.write_text(spark, f"{tmp_path}/a/b.txt", "é\n")
+    assert session.read_text(spark, f"file://{tmp_path}/a/b.txt") == "é\n"
+
+    class Remote:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Remote()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
