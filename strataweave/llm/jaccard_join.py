@@ -14,7 +14,7 @@ the range of set sizes and the least number of bits. The tree is traversed again
 itself, level by level; node pairs go when their sizes or the largest overlap that
 bitmaps and sizes allow rule out a link. What is left is verified on the texts.
 
-Large groups take two rounds: first each set's likeliest pairs, verified, give
+Large groups take two rounds: first each set's likeliest pairs in its first few hot groups, verified, give
 components (groups of more than ``GROUP`` sets are parted by minhashes for that); then,
 in groups of several components, all other pairs of different components are sought, in trees of
 wide bitmaps (4 bits for each token; groups of more than ``GROUP`` sets in pairs of blocks),
@@ -45,6 +45,8 @@ from strataweave.session import dealt, forget, materialize, shuffle_width
 GRAM, PERCENT = 4, 85
 #: sets with a token in their prefix from which it is hot
 HOT = 64
+#: hot tokens of a set, the smallest, that take part in the first round
+HOT_FIRST = 3
 #: sets in a hot group from which it is parted in the first round and dealt into blocks in the second
 GROUP = 2048
 #: sets in a group that is one leaf; children of a node of larger ones
@@ -509,14 +511,15 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     entry = lambda token, own, hot: F.struct(token.alias("token"), F.lit(own).alias("own"), F.lit(hot).alias("hot"))
     plain = lambda tokens: F.transform(tokens, lambda t: entry(t, 1, False))
     banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(entry(F.xxhash64(t, band), 1, True), entry(F.xxhash64(t, band + 1), 0, True))))
-    many = F.when(enough, F.concat(plain("many"), banded("hot"))).otherwise(plain("many"))
-    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), many.alias("many")).where("size(few) + size(many) > 0"), "members", width)
+    with_hot = lambda tokens: F.when(enough, F.concat(plain("many"), banded(tokens))).otherwise(plain("many"))
+    likely = with_hot(F.slice(F.sort_array("hot"), 1, HOT_FIRST))
+    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), likely.alias("likely"), with_hot(F.col("hot")).alias("many")).where("size(few) + size(many) > 0"), "members", width)
     forget(counts)
 
     pairs = "a long, b long"
     # large groups are parted by minhashes, which put alike sets together, twice
     large = materialize(members.select(F.explode("many").alias("t")).where("t.hot").groupBy("t.token").agg(F.count("*").alias("size")).where(F.col("size") > group), "large", width)
-    signed = members.join(profile.select(RID, "n", "bitmap", "m1", "m2"), RID).select(F.explode(F.concat("few", "many")).alias("t"), RID, "n", "bitmap", "m1", "m2").select("t.token", "t.own", RID, "n", "bitmap", "m1", "m2")
+    signed = members.join(profile.select(RID, "n", "bitmap", "m1", "m2"), RID).select(F.explode(F.concat("few", "likely")).alias("t"), RID, "n", "bitmap", "m1", "m2").select("t.token", "t.own", RID, "n", "bitmap", "m1", "m2")
     parted = signed.join(large, "token", "left").withColumn("token", F.explode(F.when(F.col("size").isNull(), F.array("token")).otherwise(F.array(F.xxhash64("token", "m1"), F.xxhash64("token", F.lit(2), "m2")))))
     first = dealt(parted.select("token", "own", RID, "n", "bitmap"), width, "token").mapInArrow(trimmed(_first_round(percent)), pairs)
     links = _links(first, profile, marked, k, percent, width)
