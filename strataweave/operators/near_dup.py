@@ -114,11 +114,12 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     Null texts count as empty; ids must be unique.
     """
     signed = materialize(signed_sets(rows, row_id, text, k, n, bands, seed), "signatures")
-    groups = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    # written, so that AQE can split a text of many copies in the join
+    groups = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "groups")
     copies = signed.select("id", "k1", "k2").join(groups.where("c > 1").drop("c"), ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
     reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     members = reps.select("id", "n", F.posexplode("sigs").alias("band", "sig"))
-    counted = materialize(members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(f"c > 1 and c <= {bucket_cap or 2**31 - 1}"), "counted")
+    counted = materialize(kept_buckets(members, bucket_cap), "counted")
     shared = materialize(members.join(counted, ["band", "sig"]), "buckets")
     small = shared.where(F.col("c") <= LARGE)
     side = lambda end: small.select("band", "sig", F.col("id").alias(f"row_{end}"), F.col("n").alias(f"n_{end}"))
@@ -189,6 +190,12 @@ def lsh_members(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed
     return signed.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("h", i * per + 1, per)) for i in range(bands)])).alias("band", "sig")).select("band", "sig", "id")
 
 
+def kept_buckets(members: DataFrame, bucket_cap: int = 0) -> DataFrame:
+    """(band, sig, c): buckets with candidates, and with a cap those within it."""
+    counts = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where("c > 1")
+    return counts.where(F.col("c") <= bucket_cap) if bucket_cap else counts
+
+
 def skipped_buckets(members: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """How many buckets the cap passes over, and their rows."""
     return members.groupBy("band", "sig").agg(F.count("*").alias("c")).where(F.col("c") > bucket_cap).agg(F.count("*").alias("buckets"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))

@@ -240,5 +240,5 @@ select count(*) filter (c > 1 and c <= 5) as kept, count(*) filter (c > 5) as sk
 def d7_d8_bucket_filter(spark, sf_dir):
     members = table(spark, sf_dir, "documents").select(F.lit(0).alias("band"), F.concat_ws("|", "lang", F.floor(F.col("n_chars") / 50).cast("string")).alias("sig"), F.col("doc_id").alias("id"))
     skipped = near_dup.skipped_buckets(members, 5)
-    kept = members.groupBy("band", "sig").agg(F.count("*").alias("c")).agg(F.count_if((F.col("c") > 1) & (F.col("c") <= 5)).alias("kept"))
+    kept = near_dup.kept_buckets(members, 5).agg(F.count("*").alias("kept"))
     return kept.crossJoin(skipped.select(F.col("buckets").alias("skipped"), F.col("rows").alias("skipped_rows")))  # one row each

@@ -23,8 +23,9 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
-    got = dict(map(tuple, graph.connected_components(df).collect()))
-    assert got == {x: root(x) for x in nodes}
+    for hub in (graph.HUB, 3):  # both ways of joining
+        got = dict(map(tuple, graph.connected_components(df, hub=hub).collect()))
+        assert got == {x: root(x) for x in nodes}
     assert graph.connected_components(df.limit(0)).count() == 0
 
 
