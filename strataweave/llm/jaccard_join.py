@@ -251,18 +251,15 @@ def likely_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndar
     return tuple(order[np.concatenate([f[k] for f in found])] for k in range(2))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray] | None:
-    """Numbers, bitmaps, starts and sizes of the token groups of a partition, sorted by token, n and _rid."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
+def _groups(got: list[pa.RecordBatch], names: list[str]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, bitmaps, starts and sizes of the token groups of a partition, sorted by token, n and _rid; and that order."""
     t = pa.Table.from_batches(got)
     token, rid, n = (t[c].to_numpy().astype(np.int64) for c in ("token", RID, "n"))
     order = np.lexsort((rid, n, token))
     bits = t["bitmap"].combine_chunks()
     bits = (bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits).take(pa.array(order))
     start = np.flatnonzero(np.append(True, np.diff(token[order]) != 0))
-    return [t[c].to_numpy().astype(np.int64)[order] for c in names], bits, start, np.diff(np.append(start, len(order)))
+    return [t[c].to_numpy().astype(np.int64)[order] for c in names], bits, start, np.diff(np.append(start, len(order))), order
 
 
 def _pairs_out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -305,25 +302,34 @@ def _first_round(percent: int):
                 yield rid[s + a[some]], rid[s + b[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := _groups(batches, [RID, "n", "own"]):
-            (rid, n, own), maps, start, size = got
+        if got := [b for b in batches if b.num_rows]:
+            (rid, n, own), maps, start, size, _ = _groups(got, [RID, "n", "own"])
             yield from _batched(find(rid, n, own, raw(maps)[0].view("<u8").reshape(-1, _LANES), start, size))
 
     return run
 
 
 def _second_round(percent: int):
-    """Candidates of different components. Rows: token, own, _rid, n, wide bitmap, component, side.
+    """Candidates of different components. Rows: token, own, _rid, n, wide bitmap, component, side, below.
 
-    own is false for sets of the band below: pairs of two of these are found in their own band. side is null but in pairs of blocks
-    of a large group, where only pairs of both sides are sought.
+    own is false for sets of the band below: pairs of two of these are found in their own band. side is -1 but in pairs of blocks
+    of a large group, where only pairs of both sides are sought. below holds the set's tokens before that of the group: a pair that shares one
+    of these is found there, so each pair is put out in one group only.
     """
 
-    def find(rid, n, label, home, side, buf, off, start, size):
+    def find(rid, n, label, home, side, buf, off, below, start, size):
         lanes = np.diff(off) // 8
+        flat, ends = below
         for s, c in zip(start.tolist(), size.tolist(), strict=True):
             if (label[s : s + c] == label[s]).all() or not home[s : s + c].any():
                 continue
+            before: dict[int, set] = {}
+
+            def tokens(row: int, before: dict[int, set] = before) -> set:
+                if row not in before:
+                    before[row] = set(flat[ends[row] : ends[row + 1]].tolist())
+                return before[row]
+
             # a tree for each width: its own sets, and those of twice the width that are not too large, folded
             for width in np.unique(lanes[s : s + c]):
                 own = s + np.flatnonzero(lanes[s : s + c] == width)
@@ -336,13 +342,19 @@ def _second_round(percent: int):
                 across = side[s] >= 0
                 for a, b in SignatureTree(n[at], bits, label[at], side[at] if across else None).pairs(percent):
                     some = (mine[a] | mine[b]) & ((home[at[a]] | home[at[b]]) > 0)
-                    yield rid[at[a[some]]], rid[at[b[some]]]
+                    x, y = at[a[some]], at[b[some]]
+                    new = np.fromiter((tokens(i).isdisjoint(tokens(j)) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                    yield rid[x[new]], rid[y[new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := _groups(batches, [RID, "n", "component", "own", "side"]):
-            (rid, n, label, home, side), maps, start, size = got
-            buf, off = raw(maps)
-            yield from _batched(find(rid, n, label, home, side, np.ascontiguousarray(buf), off, start, size))
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        (rid, n, label, home, side), maps, start, size, order = _groups(got, [RID, "n", "component", "own", "side"])
+        below = pa.concat_arrays([b.column("below") for b in got]).take(pa.array(order))
+        buf, off = raw(maps)
+        ends = np.asarray(below.offsets, np.int64)
+        yield from _batched(find(rid, n, label, home, side, np.ascontiguousarray(buf), off, (np.asarray(below.values, np.int64), ends), start, size))
 
     return run
 
@@ -508,12 +520,13 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     enough = F.col("n_hot") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
     # a set takes part in its own size band and in the next: sizes of a link are at most one band apart
     band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
-    entry = lambda token, own, hot: F.struct(token.alias("token"), F.lit(own).alias("own"), F.lit(hot).alias("hot"))
-    plain = lambda tokens: F.transform(tokens, lambda t: entry(t, 1, False))
-    banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(entry(F.xxhash64(t, band), 1, True), entry(F.xxhash64(t, band + 1), 0, True))))
+    entry = lambda token, own, hot, raw: F.struct(token.alias("token"), F.lit(own).alias("own"), F.lit(hot).alias("hot"), raw.alias("raw"))
+    plain = lambda tokens: F.transform(tokens, lambda t: entry(t, 1, False, t))
+    banded = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.array(entry(F.xxhash64(t, band), 1, True, t), entry(F.xxhash64(t, band + 1), 0, True, t))))
+    kept = F.when(enough, F.concat("many", "hot")).otherwise(F.col("many"))
     with_hot = lambda tokens: F.when(enough, F.concat(plain("many"), banded(tokens))).otherwise(plain("many"))
     likely = with_hot(F.slice(F.sort_array("hot"), 1, HOT_FIRST))
-    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), likely.alias("likely"), with_hot(F.col("hot")).alias("many")).where("size(few) + size(many) > 0"), "members", width)
+    members = materialize(lists.join(profile.select(RID, "n"), RID).select(RID, plain("few").alias("few"), likely.alias("likely"), with_hot(F.col("hot")).alias("many"), kept.alias("kept")).where("size(few) + size(many) > 0"), "members", width)
     forget(counts)
 
     pairs = "a long, b long"
@@ -525,15 +538,16 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     links = _links(first, profile, marked, k, percent, width)
     classes = materialize(connected_components(links), "classes", width)
 
-    labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, F.coalesce("component", RID).alias("component")).select("t.token", "t.own", RID, "component")
+    labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, "kept", F.coalesce("component", RID).alias("component")).select("t.token", "t.own", "t.raw", RID, "component", "kept")
     # groups of one component are done; large ones are dealt into blocks, and each block meets each
     ends = materialize(labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / group).alias("blocks")), "ends", width)
-    open_ = materialize(labelled.join(ends, "token"), "open", width)
+    below = F.filter("kept", lambda t: t < F.col("raw"))
+    open_ = materialize(labelled.join(ends, "token").select("token", "own", RID, "component", "blocks", below.alias("below")), "open", width)
     block = F.pmod(F.xxhash64(RID, F.lit(5)), F.col("blocks"))
     met = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     pair = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")))
-    sought = met.select(pair.alias("token"), "own", RID, "component", side.alias("side")).join(profile.select(RID, "n", F.col("wide").alias("bitmap")), RID).select("token", "own", RID, "n", "bitmap", "component", "side")
+    sought = met.select(pair.alias("token"), "own", RID, "component", side.alias("side"), "below").join(profile.select(RID, "n", F.col("wide").alias("bitmap")), RID).select("token", "own", RID, "n", "bitmap", "component", "side", "below")
     second = dealt(sought, width, "token").mapInArrow(trimmed(_second_round(percent)), pairs)
     more = _links(second, profile, marked, k, percent, width)
     for done in (members, large, ends, open_):
