@@ -122,20 +122,20 @@ def e16_cross_validation(spark, sf_dir):
 @query("e17_vocabulary", r"""
 with c as (select t as token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) as t from documents) group by t having count(*) >= 2),
 k as (select token, n, row_number() over (order by n desc, token) as k from c)
-select token, (k + 1)::int as id, n from k where k <= 998""")
+select token, (k + 1)::int as id, n from k where k <= 29998""")
 def e17_vocabulary(spark, sf_dir):
-    return windows.vocabulary(table(spark, sf_dir, "documents"), size=1000)
+    return windows.vocabulary(table(spark, sf_dir, "documents"))
 
 
 @query("c26_token_ids", r"""
 with c as (select t as token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) as t from documents) group by t having count(*) >= 2),
-v as (select token, (row_number() over (order by n desc, token) + 1)::int as id from c qualify row_number() over (order by n desc, token) <= 998),
+v as (select token, (row_number() over (order by n desc, token) + 1)::int as id from c qualify row_number() over (order by n desc, token) <= 29998),
 w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) as t from documents)
 select doc_id, count(*) filter (id is null) as unknown, sum(coalesce(id, 1))::bigint as id_sum from w left join v on w.t = v.token group by doc_id""")
 def c26_token_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", F.explode(tx.words(F.col("text"), lower=True)).alias("token"))
-    ids = windows.encode_tokens(tokens, windows.vocabulary(docs, size=1000))
+    ids = windows.encode_tokens(tokens, windows.vocabulary(docs))
     return ids.groupBy("doc_id").agg(F.count_if(F.col("id") == 1).alias("unknown"), F.sum("id").alias("id_sum"))
 
 
@@ -234,12 +234,12 @@ def j14_attention_pool(spark, sf_dir):
 
 
 @query("j15_masked_pooling", """
-with v as (select vec_id, list_transform(embedding[1:8], lambda x: x::double) as v, list_transform(range(8), lambda i: ((i + vec_id) % 3 <> 0)::int) as m from embeddings),
-k as (select vec_id, list_filter(list_transform(range(1, 9), lambda i: case when m[i] = 1 then v[i] end), lambda x: x is not null) as k from v)
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v, list_transform(range(len(embedding)), lambda i: ((i + vec_id) % 3 <> 0)::int) as m from embeddings),
+k as (select vec_id, list_filter(list_transform(range(1, len(v) + 1), lambda i: case when m[i] = 1 then v[i] end), lambda x: x is not null) as k from v)
 select vec_id, round(list_sum(k) / len(k), 6) as mean, round(k[-1], 6) as last from k""")
 def j15_masked_pooling(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    m = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((i + F.col("vec_id")) % 3 != 0).cast("int"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    m = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: ((i + F.col("vec_id")) % 3 != 0).cast("int"))
     e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"), m.alias("m"))
     return e.select("vec_id", R(metrics.masked_mean(F.col("v"), F.col("m"))).alias("mean"), R(metrics.last_token(F.col("v"), F.col("m"))).alias("last"))
 
