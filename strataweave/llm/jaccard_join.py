@@ -538,11 +538,12 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     links = _links(first, profile, marked, k, percent, width)
     classes = materialize(connected_components(links), "classes", width)
 
-    labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, "kept", F.coalesce("component", RID).alias("component")).select("t.token", "t.own", "t.raw", RID, "component", "kept")
+    labelled = members.where("size(many) > 0").join(classes.withColumnRenamed("node", RID), RID, "left").select(F.explode("many").alias("t"), RID, F.coalesce("component", RID).alias("component")).select("t.token", "t.own", "t.raw", RID, "component")
     # groups of one component are done; large ones are dealt into blocks, and each block meets each
     ends = materialize(labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / group).alias("blocks")), "ends", width)
     below = F.filter("kept", lambda t: t < F.col("raw"))
-    open_ = materialize(labelled.join(ends, "token").select("token", "own", RID, "component", "blocks", below.alias("below")), "open", width)
+    few_left = labelled.join(ends, "token").join(members.select(RID, "kept"), RID)
+    open_ = materialize(few_left.select("token", "own", RID, "component", "blocks", below.alias("below")), "open", width)
     block = F.pmod(F.xxhash64(RID, F.lit(5)), F.col("blocks"))
     met = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
