@@ -126,6 +126,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    from pyspark.sql import functions as F
+
+    from strataweave.llm.language_id import identify_languages, learn_languages
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = identify_languages(docs, learn_languages(docs.where(~held_out)), keep=["doc_id"], spans=False)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all 120 orders of five filters remove from all documents, by language."""
+    from strataweave.llm.filter_audit import filter_audit
+
+    ship(spark)
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each with the first turns of the first of its five."""
+    from strataweave.llm.prefix_trie import placed_turns, prefix_trie, spliced
+
+    ship(spark)
+    return prefix_trie(*spliced(*placed_turns(table(spark, sf_dir, "conversations"))))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts and base rule of op3, which SQL can express."""
     return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -152,6 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_store": op9_token_store,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
     "bpe_round_trip": bpe_round_trip,
     "media_payloads": media_payloads,
     "quality_base_counts": quality_base_counts,
@@ -164,6 +196,8 @@ SQL: dict[str, str] = {
     "op5_warc": twins.WARC,
     "op6_mixing": twins.mixture(),
     "op10_substring_dedup": twins.repeated_passages(),
+    "op12_filter_audit": twins.FILTER_AUDIT,
+    "op13_prefix_trie": twins.PREFIX_TRIE,
     "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
     "media_payloads": twins.PAYLOADS,
     "quality_base_counts": twins.QUALITY_BASE,

@@ -117,6 +117,15 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(self.n), self.count)
 
+    def range_codes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """(codes, values): byte ranges numbered by what they hold, so that equal codes are equal bytes, and the bytes of each code."""
+        held = string_array(*gather_ranges(self.buf, start, end - start), binary=True, cast=False).dictionary_encode()
+        return held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
+
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """(codes, values) of the words."""
+        return self.range_codes(self.start, self.end)
+
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges. Ranges of at most eight bytes never share one."""
         if self._eights is None:  # the eight bytes from each place on
@@ -148,6 +157,25 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def code_pairs(a: np.ndarray, b: np.ndarray, n_b: int) -> np.ndarray:
+    """One number for each pair of numbers, b below ``n_b``: different pairs have different ones. The larger a is numbered anew where it would not fit."""
+    if len(a) and int(a.max()) >= (1 << 62) // max(n_b, 1):
+        a = pa.array(a).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return a * n_b + b
+
+
+def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of all runs of k codes, text borders ignored: equal numbers are equal runs."""
+    n = max(0, len(codes) - k + 1)
+    if not n:
+        return np.zeros(0, np.int64)
+    size = int(codes.max()) + 1
+    out = codes[:n]
+    for j in range(1, k):
+        out = code_pairs(out, codes[j : j + n], size)
+    return out
+
+
 def inside(count: np.ndarray, ptr: np.ndarray, k: int) -> np.ndarray:
     """The words that begin a run of k words within their own text."""
     full = np.maximum(count - k + 1, 0)
@@ -170,8 +198,8 @@ def gather_ranges(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> tup
     return buf[np.cumsum(at)], off
 
 
-def string_array(data: np.ndarray, off: np.ndarray, binary: bool = False) -> pa.Array:
-    """An Arrow column from bytes and offsets."""
+def string_array(data: np.ndarray, off: np.ndarray, binary: bool = False, cast: bool = True) -> pa.Array:
+    """An Arrow column from bytes and offsets; without ``cast`` one of 64-bit offsets."""
     kind = pa.large_binary() if binary else pa.large_string()
     big = pa.Array.from_buffers(kind, len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    return big.cast(pa.binary() if binary else pa.string())
+    return big.cast(pa.binary() if binary else pa.string()) if cast else big

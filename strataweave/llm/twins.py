@@ -101,3 +101,54 @@ free as (select min(r) as r, arg_min(unit, r) as unit from filled where unit * w
 plan as (select source, source_size, place, case when free.r is null or filled.r < free.r then cap else free.unit * w end as target from filled cross join free),
 placed as (select s.doc_id, s.size, p.source_size, p.target, p.place, (sum(s.size) over (partition by s.source order by h, s.size rows unbounded preceding) - s.size)::bigint as place_at from sized s join plan p on s.source is not distinct from p.source)
 select doc_id, size, source_size, target, ({words(0)} + {words(1)})::bigint as taken, {shown} from placed"""
+
+
+#: orders of the filters from a product of letters; each step counts the cells of its part
+FILTER_AUDIT = rf"""
+with given as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+said as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+cut as (select *, regexp_extract_all(t, '{WORD}') as w, min(doc_id) over (partition by t) as first_id from given),
+masks as (
+  select doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first_id, false)::int as mask
+  from cut),
+cells as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from masks left join said using (doc_id) group by part, mask),
+letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from letters a, letters b, letters c, letters d, letters e where a.b + b.b + c.b + d.b + e.b = 31 and len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (select filter_order, step, bits[step] as bit, list_sum(list_prepend(0, bits[1:step - 1]))::int as before from orders, range(1, 6) r(step)),
+counted as (
+  select part, filter_order, step, bit, sum(case when mask & (before | bit) = 0 then n else 0 end) as kept, sum(case when mask & (before | bit) = bit then n else 0 end) as removed,
+    sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & (before | bit) = bit then good else 0 end) as good_lost, sum(case when mask & (before | bit) = bit then toxic else 0 end) as toxic_lost
+  from cells, steps group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+from counted"""
+
+
+#: prefixes as lists of digests; CRC-32 by its polynomial, as DuckDB has no function for it
+PREFIX_TRIE = """
+with byte_table as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as crc from range(256) r(i)),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), d) as pos, d, bytes
+  from (select *, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as d, strlen(coalesce(text, '')) as bytes from conversations where conv_id is not null)),
+given as (select conv_id, list({'d': d, 'bytes': bytes} order by pos) as turns from turns group by conv_id),
+hashed as (
+  select conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 9 as h
+  from given, byte_table),
+rebuilt as (
+  select g.conv_id, list_concat(coalesce(b.turns, [])[1:g.h], g.turns[g.h + 1:]) as turns
+  from hashed g left join given b on b.conv_id = g.conv_id - g.conv_id % 5),
+prefixes as (select conv_id, len(turns) as n, depth, list_transform(turns[1:depth], lambda t: t.d) as path, coalesce(turns[depth].bytes, 0) as bytes from (select *, unnest(range(0, len(turns) + 1)) as depth from rebuilt)),
+nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+  from prefixes group by path, depth),
+above as (select a.path, a.n_convs, a.bytes, unnest(range(0, a.depth + 1)) as d, not exists (select 1 from nodes c where c.depth = a.depth + 1 and c.path[1:a.depth] = a.path) as leaf from nodes a),
+subtree as (select path[1:d] as path, sum((n_convs - 1) * bytes) as saved, count_if(leaf) as leaves from above group by 1),
+kids as (select path[1:depth - 1] as path, count(*) as n from nodes where depth > 0 group by 1)
+select x.conv_id, x.depth, p.conv_id as parent_conv_id, x.n_convs, coalesce(k.n, 0) as n_children, s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, x.ends_sha256
+from nodes x join subtree s on s.path = x.path left join kids k on k.path = x.path left join nodes p on p.depth = x.depth - 1 and p.path = x.path[1:x.depth - 1]"""
