@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import U, Words, code_pairs, pieces, strings, trimmed
+from strataweave.llm.textblocks import Words, code_pairs, pieces, strings, trimmed
 from strataweave.session import dealt, materialize
 
 FILTERS = "ABCDE"

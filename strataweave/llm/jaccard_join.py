@@ -24,11 +24,15 @@ without their texts. Wide bitmaps of twice the width fold onto narrower ones.
 
 These rounds settle the components only. Links lie within components, so each set's number
 of links is counted afterwards among all sets of its component, in pairs of blocks.
+
+Shingles travel as 64-bit hashes under a key that is drawn for the run, so texts made to share hashes don't exist before it;
+links are verified on the words.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.identity import RID, given_rows, identified
-from strataweave.llm.textblocks import U, Words, gram_hashes, inside, mix, pieces, raw, string_array, strings, trimmed
+from strataweave.llm.textblocks import U, Words, code_pairs, gram_hashes, inside, mix, pieces, raw, secret_factor, string_array, strings, trimmed
 from strataweave.operators.graph import connected_components
 from strataweave.operators.overlaps import overlaps
 from strataweave.session import dealt, forget, materialize, shuffle_width
@@ -70,11 +74,11 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the distinct k-word shingles of each text, ascending; with fewer words the whole sequence is one."""
-    h = w.hashes()
+def shingle_sets(w: Words, k: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(keyed hashes, offsets): the distinct k-word shingles of each text, ascending; with fewer words the whole sequence is one."""
+    h, factor = w.keyed_hashes(key), secret_factor(key)
     at = inside(w.count, w.ptr, k)
-    grams = gram_hashes(h, k)[at] if len(at) else np.zeros(0, U)
+    grams = gram_hashes(h, k, factor)[at] if len(at) else np.zeros(0, U)
     size = np.maximum(w.count - k + 1, 0)
     ends = np.cumsum(size)
     out, n = [], np.zeros(w.n, np.int64)
@@ -83,7 +87,7 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             g = np.sort(grams[ends[i] - size[i] : ends[i]])
             g = g[np.append(True, g[1:] != g[:-1])]
         elif w.count[i]:
-            g = gram_hashes(h[w.ptr[i] : w.ptr[i + 1]], int(w.count[i])) ^ U(int(w.count[i]))
+            g = gram_hashes(h[w.ptr[i] : w.ptr[i + 1]], int(w.count[i]), factor) ^ U(int(w.count[i]))
         else:
             continue
         out.append(g)
@@ -130,10 +134,10 @@ def _least(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _profiles(k: int, percent: int):
+def _profiles(k: int, percent: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            tokens, off = shingle_sets(Words(strings(batch.column("text")), lower=True), k)
+            tokens, off = shingle_sets(Words(strings(batch.column("text")), lower=True), k, key)
             n = np.diff(off)
             k1, k2 = _sums(mix(tokens ^ U(1)), off), _sums(mix(tokens ^ U(2)), off)
             rid = np.asarray(batch.column(RID), np.int64)
@@ -309,6 +313,23 @@ def _first_round(percent: int):
     return run
 
 
+def disjoint(x: np.ndarray, y: np.ndarray, codes: np.ndarray, off: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Which pairs of sets have no code in common; set i holds codes[off[i]:off[i + 1]], each once."""
+    size = np.diff(off)
+    total = np.cumsum(size[x] + size[y])
+    out = np.ones(len(x), bool)
+    i = 0
+    while i < len(x):  # about so many codes at a time
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + block, "right")))
+        sets = np.stack([x[i:j], y[i:j]], 1).ravel()
+        n = size[sets]
+        at = np.repeat(off[sets] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        joint = np.sort(code_pairs(codes[at], np.repeat(np.arange(j - i).repeat(2), n), j - i))
+        out[i + joint[1:][joint[1:] == joint[:-1]] % (j - i)] = False
+        i = j
+    return out
+
+
 def _second_round(percent: int):
     """Candidates of different components. Rows: token, own, _rid, n, wide bitmap, component, side, below.
 
@@ -319,17 +340,10 @@ def _second_round(percent: int):
 
     def find(rid, n, label, home, side, buf, off, below, start, size):
         lanes = np.diff(off) // 8
-        flat, ends = below
+        codes, ends = below
         for s, c in zip(start.tolist(), size.tolist(), strict=True):
             if (label[s : s + c] == label[s]).all() or not home[s : s + c].any():
                 continue
-            before: dict[int, set] = {}
-
-            def tokens(row: int, before: dict[int, set] = before) -> set:
-                if row not in before:
-                    before[row] = set(flat[ends[row] : ends[row + 1]].tolist())
-                return before[row]
-
             # a tree for each width: its own sets, and those of twice the width that are not too large, folded
             for width in np.unique(lanes[s : s + c]):
                 own = s + np.flatnonzero(lanes[s : s + c] == width)
@@ -343,7 +357,7 @@ def _second_round(percent: int):
                 for a, b in SignatureTree(n[at], bits, label[at], side[at] if across else None).pairs(percent):
                     some = (mine[a] | mine[b]) & ((home[at[a]] | home[at[b]]) > 0)
                     x, y = at[a[some]], at[b[some]]
-                    new = np.fromiter((tokens(i).isdisjoint(tokens(j)) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                    new = disjoint(x, y, codes, ends)
                     yield rid[x[new]], rid[y[new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +368,8 @@ def _second_round(percent: int):
         below = pa.concat_arrays([b.column("below") for b in got]).take(pa.array(order))
         buf, off = raw(maps)
         ends = np.asarray(below.offsets, np.int64)
-        yield from _batched(find(rid, n, label, home, side, np.ascontiguousarray(buf), off, (np.asarray(below.values, np.int64), ends), start, size))
+        codes = np.unique(np.asarray(below.values, np.int64), return_inverse=True)[1]
+        yield from _batched(find(rid, n, label, home, side, np.ascontiguousarray(buf), off, (codes, ends), start, size))
 
     return run
 
@@ -393,15 +408,18 @@ def screened(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(k: int, percent: int):
+    """The pairs that reach the threshold, by the words themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text_a", 1 << 20):
-            sides = []
-            for end in ("a", "b"):  # a text that is in several pairs of the batch is cut once
-                _, first, at = np.unique(np.asarray(batch.column(end)), return_index=True, return_inverse=True)
-                sides.append((*shingle_sets(Words(strings(batch.column(f"text_{end}")).take(pa.array(first)), lower=True), k), at))
-            (ta, oa, ia), (tb, ob, ib) = sides
-            both = np.array([len(np.intersect1d(ta[oa[i] : oa[i + 1]], tb[ob[j] : ob[j + 1]], assume_unique=True)) for i, j in zip(ia, ib, strict=True)], np.int64)
-            union = np.diff(oa)[ia] + np.diff(ob)[ib] - both
+            # a text that is in several pairs of the batch is cut once
+            rid = np.concatenate([np.asarray(batch.column(c)) for c in ("a", "b")])
+            _, first, at = np.unique(rid, return_index=True, return_inverse=True)
+            texts = pa.concat_arrays([strings(batch.column(c)) for c in ("text_a", "text_b")])
+            codes, off = Words(texts.take(pa.array(first)), lower=True).gram_sets(k)
+            ia, ib = at[: batch.num_rows], at[batch.num_rows :]
+            both = np.array([len(np.intersect1d(codes[off[i] : off[i + 1]], codes[off[j] : off[j + 1]], assume_unique=True)) for i, j in zip(ia, ib, strict=True)], np.int64)
+            union = np.diff(off)[ia] + np.diff(off)[ib] - both
             ok = (100 * both >= percent * union) & (union > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(both[ok]), pa.array(union[ok])], names=["a", "b", "both", "either"])
 
@@ -428,56 +446,88 @@ def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percen
 # -- numbers of links ----------------------------------------------------------------
 
 
-def _count_links(k: int, percent: int):
-    """(_rid, n_links) of sets within pairs of blocks. Rows, sorted by component and pair: component, lower, upper, own (its block), _rid, text."""
-
-    def count(sets: list[tuple[int, bool, np.ndarray]], one: bool) -> tuple[np.ndarray, np.ndarray]:
-        sides = [[s for s in sets if s[1]], [s for s in sets if not s[1]]]
-        rid, n, flat, off = [], [], [], []
-        for side in sides:
-            rid.append(np.array([s[0] for s in side], np.int64))
-            n.append(np.array([len(s[2]) for s in side], np.int64))
-            flat.append(np.concatenate([s[2] for s in side]) if side else np.zeros(0, U))
-            off.append(np.concatenate([[0], np.cumsum(n[-1])]))
-        if one:  # a block with itself: all are on the first side
-            both = overlaps(flat[0], off[0], flat[0], off[0])
-            linked = 100 * both >= percent * (n[0][:, None] + n[0] - both)
-            np.fill_diagonal(linked, False)
-            return rid[0], linked.sum(1)
-        both = overlaps(flat[0], off[0], flat[1], off[1])
-        linked = 100 * both >= percent * (n[0][:, None] + n[1] - both)
-        return np.concatenate(rid), np.concatenate([linked.sum(1), linked.sum(0)])
+def packed(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Sets of a block: their distinct tokens once, each set's size, and which tokens it has as bits or numbers, whichever is shorter."""
+    size = np.array([len(x) for x in sets], np.int64)
+    tokens, codes = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_inverse=True)
+    if len(sets) * len(tokens) < 32 * len(codes):
+        has = np.zeros((len(sets), len(tokens)), bool)
+        has[np.repeat(np.arange(len(sets)), size), codes] = True
+        return tokens.tobytes(), size.tobytes(), b"b" + np.packbits(has).tobytes()
+    return tokens.tobytes(), size.tobytes(), b"n" + codes.astype("<u4").tobytes()
+
+
+def unpacked(tokens: bytes, size: bytes, held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets) of ``packed`` sets."""
+    tokens, size = np.frombuffer(tokens, U), np.frombuffer(size, np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    if held[:1] == b"n":
+        return tokens[np.frombuffer(held, "<u4", offset=1)], off
+    has = np.unpackbits(np.frombuffer(held, np.uint8, offset=1), count=len(size) * len(tokens)).reshape(len(size), len(tokens))
+    return tokens[np.nonzero(has)[1]], off
+
+
+def _linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a and b (tokens, offsets) link."""
+    both = overlaps(*a, *b)
+    return 100 * both >= percent * (np.diff(a[1])[:, None] + np.diff(b[1]) - both)
+
+
+def _pack_blocks(k: int, percent: int, key: bytes):
+    """A row for each block, with each set's links within it, and its sets packed where the component has other blocks. Rows, sorted by component and own: component, own, many, _rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda rid, n: pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n.astype(np.int64))], names=[RID, "n_links"])
-        held, last = [], None
-        done, waiting = [], 0
+        last, held = None, []
+
+        def done() -> pa.RecordBatch:
+            rids, sets = zip(*held, strict=True)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            flat = (np.concatenate(sets), off)
+            linked = _linked(flat, flat, percent)
+            np.fill_diagonal(linked, False)
+            blob = packed(list(sets)) if last[2] else (None, None, None)
+            columns = [[last[0]], [last[1]], [list(rids)], [linked.sum(1).tolist()], *([x] for x in blob)]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["component", "own", "rids", "links", "tokens", "sizes", "held"])
+
         for batch in pieces(batches):
-            tokens, off = shingle_sets(Words(strings(batch.column("text")), lower=True), k)
-            names = ("component", "lower", "upper", "own", RID)
-            for i, (component, lower, upper, own, rid) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
-                if last != (component, lower, upper):
+            tokens, off = shingle_sets(Words(strings(batch.column("text")), lower=True), k, key)
+            for i, (component, own, many, rid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("component", "own", "many", RID)), strict=True)):
+                if last != (component, own, many):
                     if held:
-                        done.append(count(held, last[1] == last[2]))
-                        waiting += len(done[-1][0])
-                    held, last = [], (component, lower, upper)
-                held.append((rid, own == lower, tokens[off[i] : off[i + 1]].copy()))
-            if waiting >= 20_000:
-                yield out(*(np.concatenate(c) for c in zip(*done, strict=True)))
-                done, waiting = [], 0
+                        yield done()
+                    last, held = (component, own, many), []
+                held.append((rid, tokens[off[i] : off[i + 1]].copy()))
         if held:
-            done.append(count(held, last[1] == last[2]))
-        if done:
-            yield out(*(np.concatenate(c) for c in zip(*done, strict=True)))
+            yield done()
+
+    return run
+
+
+def _count_across(percent: int):
+    """(rids, links) of the sets of two blocks with those of the other. Rows, sorted by component and pair: component, lower, upper, rids, tokens, sizes, held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                pair = (row["component"], row["lower"], row["upper"])
+                block = (row["rids"], unpacked(row["tokens"], row["sizes"], row["held"]))
+                if first is None or first[0] != pair:
+                    first = (pair, block)  # a block whose partner is not there meets none
+                    continue
+                linked = _linked(first[1][1], block[1], percent)
+                yield pa.RecordBatch.from_arrays([pa.array([first[1][0], block[0]], pa.list_(pa.int64())), pa.array([linked.sum(1).tolist(), linked.sum(0).tolist()], pa.list_(pa.int64()))], names=["rids", "links"])
+                first = None
 
     return run
 
 
-def link_counts(classes: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def link_counts(classes: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int, key: bytes) -> DataFrame:
     """(_rep, n_links): for each set of a component (node, component) its links among all sets of it.
 
-    Large components are dealt into blocks by size band, and the bands' sets by hash; each
-    block meets those of its own band and of the next ones, as sizes of a link are at most one band apart.
+    Large components are dealt into blocks by size band, and the bands' sets by hash. A block's texts are cut once; it is written with its
+    distinct tokens, which near copies share, and goes to each block of its own band and of the next ones, as sizes of a link are at most one band apart.
     """
     band = F.floor(F.log("n") / math.log(100 / (percent - 1)))
     nodes = classes.withColumnRenamed("node", RID).join(profile.select(RID, "n"), RID).select(RID, "component", "n", band.alias("band"))
@@ -489,21 +539,27 @@ def link_counts(classes: DataFrame, profile: DataFrame, docs: DataFrame, k: int,
 
     number = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0).cast("long"))
     at = lambda b: F.when(number(b) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(number(b) - 1, F.lit(0))), lambda h: b * (1 << 32) + h)).otherwise(F.array().cast("array<long>"))
-    here, small = F.col("band"), (F.col("sets") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
-    own = F.when(small, F.lit(0).cast("long")).otherwise(here * (1 << 32) + F.pmod(F.xxhash64(RID), number(here)))
-    others = F.when(small, F.array(F.lit(0).cast("long"))).otherwise(F.concat(at(here - 1), at(here), at(here + 1)))
-    met = placed.where("sets > 2").select("component", RID, own.alias("own"), F.explode(others).alias("other"))
-    met = met.select("component", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", RID).join(docs.select(RID, "text"), RID)
-    key = ["component", "lower", "upper"]
-    counted = met.select(*key, "own", RID, "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(_count_links(k, percent)), f"{RID} long, n_links long")
-    return counted.groupBy(F.col(RID).alias("_rep")).agg(F.sum("n_links").alias("n_links")).unionByName(two)
-
-
-def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool = True, group: int = GROUP) -> DataFrame:
+    here, many = F.col("band"), (F.col("sets") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS)
+    own = F.when(many, here * (1 << 32) + F.pmod(F.xxhash64(RID), number(here))).otherwise(F.lit(0).cast("long"))
+    key_of = ["component", "own"]
+    dealt_out = placed.where("sets > 2").select("component", own.alias("own"), many.alias("many"), RID).join(docs.select(RID, "text"), RID)
+    packed_blocks = dealt_out.repartition(*key_of).sortWithinPartitions(*key_of).select(*key_of, "many", RID, "text").mapInArrow(trimmed(_pack_blocks(k, percent, key)), "component long, own long, rids array<long>, links array<long>, tokens binary, sizes binary, held binary")
+    packed_blocks = materialize(packed_blocks, "packed")
+    others = F.filter(F.concat(at(here - 1), at(here), at(here + 1)), lambda x: x != F.col("own"))
+    partners = packed_blocks.where("held is not null").withColumn("band", F.floor(F.col("own") / (1 << 32))).join(placed.select("component", "blocks").dropDuplicates(["component"]), "component")
+    met = partners.withColumn("other", F.explode(others)).select("component", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "rids", "tokens", "sizes", "held")
+    pair = ["component", "lower", "upper"]
+    across = met.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(trimmed(_count_across(percent)), "rids array<long>, links array<long>")
+    counted = packed_blocks.select("rids", "links").unionByName(across).select(F.explode(F.arrays_zip("rids", "links")).alias("x"))
+    return counted.groupBy(F.col("x.rids").alias("_rep")).agg(F.sum("x.links").alias("n_links")).unionByName(two)
+
+
+def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool = True, group: int = GROUP, secret: bytes | None = None) -> DataFrame:
     """(_rid, n_shingles, component, and n_links if ``counted``) of documents (_rid, text); component is a _rid."""
     columns = f"{RID} long, n long, k1 long, k2 long, prefix array<long>, bitmap binary, wide binary, m1 long, m2 long"
     width = shuffle_width(marked)
-    profile = materialize(marked.mapInArrow(trimmed(_profiles(k, percent)), columns), "profiles")
+    secret = secret or secrets.token_bytes(16)  # drawn anew for each run: nobody can choose words that share a hash
+    profile = materialize(marked.mapInArrow(trimmed(_profiles(k, percent, secret)), columns), "profiles")
     # of equal sets the smallest id stands for all
     sets = materialize(profile.where("n > 0").groupBy("k1", "k2").agg(F.min(RID).alias("_rep")), "sets", width)
     # the plain prefix, without the extension that lets sets drop hot tokens
@@ -559,26 +615,27 @@ def _components(marked: DataFrame, k: int, percent: int, hot: int, counted: bool
     found = placed.join(top.withColumnRenamed("node", "_rep"), "_rep", "left").select(RID, "n_shingles", "_rep", F.coalesce("component", "_rep").alias("component"))
     if not counted:
         return found.drop("_rep")
-    degree = materialize(link_counts(top, profile, marked, k, percent), "degrees", width)
+    degree = materialize(link_counts(top, profile, marked, k, percent, secret), "degrees", width)
     return found.join(degree, "_rep", "left").select(RID, "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP, counted: bool = True) -> DataFrame:
     """(key, n_shingles, component_id, n_links) for every document.
 
     Sets: distinct k-word shingles of the whole text, A-Z lower-cased; null and empty
     texts have none and link with nothing. component_id is the smallest key reachable
     by links. n_links is the number of other distinct sets that the document's set links
-    with. Keys need not be unique (see
+    with, and is left out if not ``counted``. Keys need not be unique (see
     ``identified``): rows that repeat key and text are one document. An empty table
     gives no rows; other columns are not read.
     """
     marked, back = identified(docs.select(key, F.col(text).alias("text")), key, "text")
-    result = _components(marked.select(RID, "text"), k, percent, hot, group=group).withColumnRenamed("component", "component_id")
+    result = _components(marked.select(RID, "text"), k, percent, hot, counted, group).withColumnRenamed("component", "component_id")
+    links = ["n_links"] if counted else []
     if back is not None:  # ids of components are those of documents
         names = marked.select(F.col(RID).alias("component_id"), F.col(key).alias("_key"))
-        result = result.join(names, "component_id").select(RID, "n_shingles", F.col("_key").alias("component_id"), "n_links")
-    return given_rows(result.select(RID, "n_shingles", "component_id", "n_links"), back, key)
+        result = result.join(names, "component_id").select(RID, "n_shingles", F.col("_key").alias("component_id"), *links)
+    return given_rows(result.select(RID, "n_shingles", "component_id", *links), back, key)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT, hot: int = HOT, group: int = GROUP) -> DataFrame:

@@ -1,6 +1,6 @@
 r"""Quality rules: gradient-boosted trees over document statistics.
 
-The statistics are vectorised over the raw bytes of a batch. The trees are
+The statistics are vectorised over the raw bytes of a batch; words and lines are told apart by their bytes. The trees are
 grown on the driver over a bounded sample of labelled rows (logistic loss,
 histogram splits, monotonic constraints), then flattened into numpy node arrays
 that score a whole batch with one gather per level.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.textblocks import U, _NONSPACE, Words, gram_hashes, inside, mix, pieces, strings, trimmed
+from strataweave.llm.textblocks import _NONSPACE, Words, code_pairs, gram_codes, inside, pieces, strings, trimmed
 
 #: characters counted by n_symbols (fixed values)
 SYMBOLS = b"#*$%&|<>"
@@ -41,8 +41,8 @@ def _counts(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _by_text(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by (text, key), and flags of first places of each run in it."""
-    joint = mix(keys ^ mix(owner.astype(U) + U(1)))
+    """An order that puts equal (text, key) together, stable, and flags of first places of each run in it."""
+    joint = code_pairs(keys, owner, int(owner.max()) + 1 if len(owner) else 1)
     order = np.argsort(joint, kind="stable")
     j = joint[order]
     first = np.ones(len(j), bool)
@@ -58,7 +58,7 @@ def document_stats(column: pa.Array) -> dict[str, np.ndarray]:
     heads = _HEAD[buf]
     chars = _counts(heads & word, off)
     symbols = _counts(_IS_SYMBOL[buf], off)
-    hashes, owner = w.hashes(), w.owner()
+    codes, owner = w.codes()[0], w.owner()
 
     # lines: \n-split; those without a word don't count
     cut = np.flatnonzero(buf == 10)
@@ -68,22 +68,22 @@ def document_stats(column: pa.Array) -> dict[str, np.ndarray]:
     ends = np.minimum(np.append(cut, len(buf))[np.searchsorted(cut, starts)], off[text_of + 1])
     worded = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends, text_of = starts[worded], ends[worded], text_of[worded]
-    order, first = _by_text(text_of, w.span_hash(starts, ends))
+    order, first = _by_text(text_of, w.range_codes(starts, ends)[0])
     dup_lines = np.bincount(text_of[order][~first], minlength=w.n)
     n_lines = np.bincount(text_of, minlength=w.n)
 
     # words in 3-word windows found at least twice in the text
     at = inside(n, w.ptr, 3)
-    repeated = np.zeros(len(hashes) + 3, bool)
+    repeated = np.zeros(len(codes) + 3, bool)
     if len(at):
-        order, first = _by_text(owner[at], gram_hashes(hashes, 3)[at])
+        order, first = _by_text(owner[at], gram_codes(codes, 3)[at])
         run = np.cumsum(first) - 1
         twice = at[order[np.bincount(run)[run] > 1]]
         for j in range(3):
             repeated[twice + j] = True
-    repeat_words = _counts(repeated[: len(hashes)], w.ptr)
+    repeat_words = _counts(repeated[: len(codes)], w.ptr)
 
-    order, first = _by_text(owner, hashes)
+    order, first = _by_text(owner, codes)
     distinct = np.bincount(owner[order][first], minlength=w.n)
     top = np.zeros(w.n, np.int64)
     if len(order):

@@ -1,15 +1,21 @@
 r"""Words of many texts at once: numpy over the raw UTF-8 of an Arrow column.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 is the
-same as ``[^\x20\x09-\x0D]+`` over code points. Hashes are 64 bits: ranges of up to
-``LONG`` bytes are taken eight bytes at a time through a mixing bijection, all ranges
-at once; longer ones go through XXH3. Equal words have equal hashes on every machine.
+same as ``[^\x20\x09-\x0D]+`` over code points.
+
+What is counted or linked goes by *codes*, which number the distinct words of a block by their
+bytes, or by *keyed hashes* (under a key drawn for the run), where words of
+different blocks must meet. Plain hashes (ranges of up to ``LONG`` bytes eight bytes at a time through a mixing bijection, all ranges
+at once; longer ones through XXH3) are equal for equal words on every machine, but anyone can make words that share one: they
+choose places and order only, never a result.
 """
 
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +95,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             i = j
 
 
+@functools.lru_cache(4)
+def _key_numbers(key: bytes) -> np.ndarray:
+    """Two rows of 64-bit numbers from a key: one for each character of a word of ``LONG`` bytes, and two more."""
+    n = LONG // 4 + 4
+    return np.frombuffer(hashlib.shake_256(key).digest(16 * n), "<u8").reshape(2, n)
+
+
 class Words:
     """The words of a column of texts: byte positions, owners and hashes."""
 
@@ -117,6 +130,14 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(self.n), self.count)
 
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes from each place on."""
+        if self._eights is None:
+            padded = np.zeros(len(self.buf) + 8, np.uint8)
+            padded[: len(self.buf)] = self.buf
+            self._eights = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        return self._eights
+
     def range_codes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """(codes, values): byte ranges numbered by what they hold, so that equal codes are equal bytes, and the bytes of each code."""
         held = string_array(*gather_ranges(self.buf, start, end - start), binary=True, cast=False).dictionary_encode()
@@ -127,17 +148,13 @@ class Words:
         return self.range_codes(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges. Ranges of at most eight bytes never share one."""
-        if self._eights is None:  # the eight bytes from each place on
-            padded = np.zeros(len(self.buf) + 8, np.uint8)
-            padded[: len(self.buf)] = self.buf
-            self._eights = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        """Plain hashes of byte ranges."""
         length = end - start
         h = mix(length.astype(U) * _MULT)
         live, step = np.flatnonzero((length > 0) & (length <= LONG)), 0
         while len(live):
             left = length[live] - step
-            h[live] = mix(h[live] ^ (self._eights[start[live] + step] & _LOW[np.minimum(left, 8)]))
+            h[live] = mix(h[live] ^ (self._lanes()[start[live] + step] & _LOW[np.minimum(left, 8)]))
             live, step = live[left > 8], step + 8
         view = memoryview(np.ascontiguousarray(self.buf))
         for i in np.flatnonzero(length > LONG).tolist():
@@ -147,16 +164,58 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
 
+    def keyed_hashes(self, key: bytes) -> np.ndarray:
+        """64 bits of each word under a key drawn for the run: any two words, whoever chose them before, share them by a chance of 2**-64.
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, text borders ignored: one for each of the first len - k + 1 words."""
+        Two multilinear hashes over four-byte characters, length first, of which each gives its upper half (Lemire and Kaser, 2014);
+        words longer than ``LONG`` go through keyed BLAKE2b.
+        """
+        m, half = _key_numbers(key), U(0xFFFFFFFF)
+        length = self.end - self.start
+        sums = [m[i, 0] + m[i, 1] * length.astype(U) for i in range(2)]
+        live, step = np.flatnonzero(length <= LONG), 0
+        while len(live):
+            left = length[live] - step
+            eight = self._lanes()[self.start[live] + step] & _LOW[np.minimum(left, 8)]
+            low, high = eight & half, eight >> U(32)
+            for i in range(2):
+                sums[i][live] += m[i, 2 + step // 4] * low + m[i, 3 + step // 4] * high
+            live, step = live[left > 8], step + 8
+        h = (sums[0] & ~half) | (sums[1] >> U(32))
+        view = memoryview(np.ascontiguousarray(self.buf))
+        for i in np.flatnonzero(length > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(view[self.start[i] : self.end[i]], digest_size=8, key=key).digest(), "little")
+        return mix(h)
+
+    def gram_sets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, offsets): the distinct runs of k words of each text, ascending; with fewer words the whole sequence is one. Equal codes are equal runs, in all texts."""
+        # k - 1 places without a word after each text
+        padded = np.zeros(len(self.start) + self.n * (k - 1), np.int64)
+        padded[np.arange(len(self.start)) + self.owner() * (k - 1)] = self.codes()[0] + 1
+        n = np.maximum(self.count - k + 1, self.count > 0)
+        owner = np.repeat(np.arange(self.n), n)
+        at = np.repeat(self.ptr[:-1] + np.arange(self.n) * (k - 1) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        grams = gram_codes(padded, k)[at] if len(at) else np.zeros(0, np.int64)
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
+        return grams[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=self.n))])
+
+
+def gram_hashes(words: np.ndarray, k: int, factor: np.uint64 = _MULT) -> np.ndarray:
+    """Hashes of all runs of k words, text borders ignored: one for each of the first len - k + 1 words. ``factor``: an odd number, secret for keyed hashes."""
     n = max(0, len(words) - k + 1)
     h = np.zeros(n, U)
     for j in range(k):
-        h = h * _MULT + words[j : j + n]
+        h = h * factor + words[j : j + n]
     return mix(h)
 
 
+def secret_factor(key: bytes) -> np.uint64:
+    """An odd number from a key."""
+    return U(int.from_bytes(hashlib.blake2b(b"factor", digest_size=8, key=key).digest(), "little") | 1)
+
+
 def code_pairs(a: np.ndarray, b: np.ndarray, n_b: int) -> np.ndarray:
     """One number for each pair of numbers, b below ``n_b``: different pairs have different ones. The larger a is numbered anew where it would not fit."""
     if len(a) and int(a.max()) >= (1 << 62) // max(n_b, 1):
