@@ -162,7 +162,7 @@ def baseline(spark: SparkSession, config: RunConfig, run: str = "length") -> dic
 
 
 def _run_logits(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    got = src.read_logits(spark, f"{path}/logits").select("split", "row_id", "cls", "logit", "y")
+    got = src.read_run(spark, path)
     return {k: got.where(F.col("split") == k).drop("split") for k in ("train", "val", "test")}
 
 

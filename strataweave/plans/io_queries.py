@@ -15,7 +15,7 @@ from strataweave.plans.registry import NORMAL, cells, cells_sql, labelled, query
 from strataweave.plans.table_queries import _PAIRS, _pairs
 from strataweave.session import drop_path, shared_dir, table, write_bytes, write_text
 from strataweave.sources import files as src
-from strataweave.sources import sinks
+from strataweave.sources import npz, sinks
 
 
 def _fresh(spark, name: str) -> str:
@@ -176,6 +176,15 @@ def a10_b6_logits_round_trip(spark, sf_dir):
     return src.read_logits(spark, at).groupBy("split").agg(F.count("*").alias("cells"), F.round(F.sum("logit"), 4).alias("logit_sum"))
 
 
+@query("a10_b6_npz_round_trip", f"with {cells_sql().strip()} select case fold when 0 then 'test' else 'val' end as split, row_id, cls::int as cls, 'c' || cls::varchar as class_name, logit::float as logit, y::int as y, row_id % 3 = 0 as exposed from cells where fold < 2")
+def a10_b6_npz_round_trip(spark, sf_dir):
+    at = _fresh(spark, "archives")
+    c = cells(spark, sf_dir).where("fold < 2")
+    logits = c.select("row_id", "cls", "logit", "y", F.when(F.col("fold") == 0, "test").otherwise("val").alias("split"), F.lit("a").alias("run"), (F.col("row_id") % 3 == 0).alias("exposed"))
+    npz.write_npz(logits, at, [f"c{i}" for i in range(10)])
+    return npz.read_npz(spark, at).drop("run")
+
+
 @query("a11_results_scan", """
 select 'model_f' || (doc_id % 5)::varchar as run, max(n_chars)::double as f1, round(avg(n_chars), 6) as macro_ap from documents where doc_id % 5 < 4 group by 1""")
 def a11_results_scan(spark, sf_dir):

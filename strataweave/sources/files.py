@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strataweave.functions.text import decode_bytes
 from strataweave.session import path_exists, read_text
+from strataweave.sources.npz import read_npz
 from strataweave.sources.sinks import META
 
 # Header names of the workbook (fixed values)
@@ -180,6 +181,12 @@ def read_logits(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """(split, row_id, cls, logit, y) of one run: its Parquet logits, or its archives where there are none."""
+    found = read_logits(spark, f"{path}/logits") if path_exists(spark, f"{path}/logits") else read_npz(spark, path)
+    return found.select("split", "row_id", "cls", F.col("logit").cast("double").alias("logit"), "y")
+
+
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """Result documents ``<run>/test_results.json``: (run, f1, macro_ap, precision, recall, fingerprint, smoke); unreadable ones and smoke runs are left out."""
     schema = "f1 double, macro_ap double, diagnostics struct<precision_macro_tuned:double,recall_macro_tuned:double>, dataset struct<fingerprint:string,max_samples:long>"
