@@ -1,12 +1,12 @@
-"""TF-IDF and length features, and class-wise logistic regression on Spark ML."""
+"""TF-IDF and length features."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,25 +14,51 @@ from pyspark.sql import types as T
 from strataweave.functions.text import code_tokens
 from strataweave.session import materialize, ship
 
-C_GRID = (0.1, 1.0, 10.0)
+#: tokens of texts that are counted at a time
+TOKENS = 1 << 17
 
 
 def _counted(most: int):
+    """Terms of some rows at once: tokens are numbered, longer terms are pairs of numbers, and only different terms become text."""
+
+    def count(names: list[str], part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = part.column("tokens")
+        off = np.asarray(lists.offsets, np.int64)
+        held = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        codes, words = held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
+        n = np.diff(off)
+        owner = np.repeat(np.arange(len(n)), n)
+        left = np.repeat(off[1:] - off[0], n) - np.arange(len(codes))  # tokens from here to the row's end
+        rows, terms, counts = [], [], []
+        gram, text = codes, words
+        for k in range(1, most + 1):
+            if k > 1:  # a term of k tokens: the number of its first k - 1 and that of its last
+                live = np.flatnonzero(left >= k)
+                pairs = gram[live] * max(len(words), 1) + codes[live + k - 1]
+                seen = pa.array(pairs).dictionary_encode()
+                first, last = np.divmod(seen.dictionary.to_numpy(), max(len(words), 1))
+                text = pc.binary_join_element_wise(text.take(pa.array(first)), words.take(pa.array(last)), " ")
+                gram = np.zeros(len(codes), np.int64)
+                gram[live] = seen.indices.to_numpy(zero_copy_only=False)
+            else:
+                live = np.arange(len(codes))
+            size = max(len(text), 1)
+            found, tf = np.unique(owner[live] * size + gram[live], return_counts=True)
+            rows.append(found // size)
+            terms.append(text.take(pa.array(found % size)))
+            counts.append(tf)
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.concat_arrays([t.cast(pa.string()) for t in terms]), pa.array(np.concatenate(counts).astype(np.int64))], names=[*names, "term", "tf"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != "tokens"]
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                terms, counts, sizes = [], [], []
-                for tokens in part.column("tokens").to_pylist():
-                    found = Counter(tokens)
-                    for k in range(2, most + 1):
-                        found.update(map(" ".join, zip(*(tokens[j:] for j in range(k)), strict=False)))
-                    terms += found.keys()
-                    counts += found.values()
-                    sizes.append(len(found))
-                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(at) for n in names), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[*names, "term", "tf"])
+            off = np.asarray(batch.column("tokens").offsets, np.int64)
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + TOKENS, "right")) - 1)
+                yield count(names, batch.slice(i, j - i))
+                i = j
 
     return run
 
@@ -74,65 +100,9 @@ def term_ids(weights: DataFrame) -> DataFrame:
     return weights.select("term").distinct().withColumn("id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def vectors(weights: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(row_id, features): vectors of Spark ML; dense by SQL up to 4,096 terms, else sparse ones that a Python function makes of each row."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.sql.functions import udf
-
-    if size <= 4096:
-        dense = weights.join(ids, "term").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "weight"))).alias("m"))
-        filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        return dense.select("row_id", array_to_vector(filled).alias("features"))
-    make = udf(lambda pairs: SparseVector(size, sorted((p[0], p[1]) for p in pairs)), VectorUDT())
-    return weights.join(ids, "term").groupBy("row_id").agg(F.collect_list(F.struct("id", "weight")).alias("p")).select("row_id", make("p").alias("features"))
-
-
 def length_features(rows: DataFrame, train: DataFrame) -> DataFrame:
     """Adds log_chars and log_lines, standardised by train's mean and population deviation (one row, joined by broadcast)."""
     logs = [F.log1p("n_chars").alias("a"), F.log1p("n_lines").alias("b")]
     stats = train.select(*logs).agg(F.avg("a").alias("ma"), F.stddev_pop("a").alias("sa"), F.avg("b").alias("mb"), F.stddev_pop("b").alias("sb"))
     scale = lambda x, m, s: (F.log1p(x) - F.col(m)) / (F.col(s) + F.lit(1e-9))
     return rows.crossJoin(F.broadcast(stats)).withColumn("log_chars", scale("n_chars", "ma", "sa")).withColumn("log_lines", scale("n_lines", "mb", "sb")).drop("ma", "sa", "mb", "sb")
-
-
-def fit_class(train: DataFrame, cls: int, c: float):
-    """A class-balanced model of one class over (features, labels), or None without both outcomes."""
-    from pyspark.ml.classification import LogisticRegression
-
-    marked = train.withColumn("label", F.array_contains("labels", cls).cast("double"))
-    n, pos = marked.agg(F.count("*"), F.sum("label")).first()
-    if not n or not pos or pos == n:
-        return None
-    weighted = marked.withColumn("weight", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
-    return LogisticRegression(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(weighted)
-
-
-def class_logits(model, rows: DataFrame, cls: int) -> DataFrame:
-    """(row_id, cls, logit, y); without model all logits are 0."""
-    from pyspark.ml.functions import vector_to_array
-
-    y = F.array_contains("labels", cls).cast("int").alias("y")
-    if model is None:
-        return rows.select("row_id", F.lit(cls).alias("cls"), F.lit(0.0).alias("logit"), y)
-    return model.transform(rows).select("row_id", F.lit(cls).alias("cls"), vector_to_array("rawPrediction")[1].alias("logit"), y)
-
-
-def run_linear(train: DataFrame, val: DataFrame, test: DataFrame, classes: list[int], scored: DataFrame | None = None, grid: tuple[float, ...] = C_GRID) -> dict:
-    """One model for each class and C; C by macro AP on val over scored classes. (row_id, features, labels) in; logits out."""
-    from functools import reduce
-
-    from strataweave.operators.metrics import macro_average_precision
-
-    best = None
-    for c in grid:
-        models = {k: fit_class(train, k, c) for k in classes}
-        logits = reduce(DataFrame.unionByName, (class_logits(models[k], val, k) for k in classes))
-        judged = logits if scored is None else logits.join(scored.select("cls"), "cls", "left_semi")
-        score = macro_average_precision(judged, score="logit").first()
-        ap = score["macro_ap"] if score else 0.0
-        if best is None or ap > best[0]:
-            best = (ap, c, models, logits)
-    ap, c, models, logits = best
-    every = lambda rows: reduce(DataFrame.unionByName, (class_logits(models[k], rows, k) for k in classes))
-    return {"c": c, "val_macro_ap": ap, "models": models, "train": every(train), "val": logits, "test": every(test)}

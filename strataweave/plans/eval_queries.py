@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import numeric as num
 from strataweave.functions import text as tx
-from strataweave.operators import features, gating, metrics, windows
+from strataweave.operators import features, gating, linear, metrics, windows
 from strataweave.plans.registry import LABELLED, PROB, cells, cells_sql, labelled, query
-from strataweave.session import table
+from strataweave.session import materialize, table
 
 #: test cells are those of fold 0, validation cells those of fold 1
 SCORED = f"{cells_sql().strip()}, scored as (select *, {PROB} as prob from cells)"
@@ -186,10 +186,22 @@ def j11_best_weight(spark, sf_dir):
     return metrics.best_weight(metrics.blend_weights(a, b)).select(R("w").alias("w"), "macro_ap")
 
 
-@query("j12_temperature")
+#: the mean loss is convex in 1 / T: golden section over it by itself, 60 times
+@query("j12_temperature", f"""
+with recursive {cells_sql().strip()}, val as (select logit + 2 * y as logit, y from cells where fold = 1),
+search(i, low, high) as (
+  select 0, exp(-3.0), exp(3.0)
+  union all
+  select i + 1, case when sum(la) <= sum(lb) then low else a end, case when sum(la) <= sum(lb) then b else high end
+  from (
+    select i, low, high, a, b, greatest(-logit * a, 0) + ln(1 + exp(-abs(logit * a))) + (1 - y) * logit * a as la, greatest(-logit * b, 0) + ln(1 + exp(-abs(logit * b))) + (1 - y) * logit * b as lb
+    from (select *, high - (high - low) * 0.6180339887498949 as a, low + (high - low) * 0.6180339887498949 as b from search where i < 60), val)
+  group by i, low, high, a, b)
+select round(2 / (low + high), 3) as temperature from search where i = 60""")
 def j12_temperature(spark, sf_dir):
-    t = metrics.fit_temperature(cells(spark, sf_dir).where("fold = 1"))
-    return spark.range(1).select(F.lit(t).alias("temperature"))
+    # labels are made to show in the logits, so that the best temperature is a finite one
+    t = metrics.fit_temperature(cells(spark, sf_dir).where("fold = 1").withColumn("logit", F.col("logit") + 2 * F.col("y")))
+    return spark.range(1).select(F.round(F.lit(t), 3).alias("temperature"))
 
 
 _GATE = """e as (select vec_id as row_id, c::int as expert, embedding[c + 21]::double as score from embeddings, range(6) r(c)),
@@ -340,23 +352,54 @@ def j8_tfidf(spark, sf_dir):
     return w.groupBy("row_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("largest"), F.round(F.sum("weight"), 4).alias("total"))
 
 
-@query("j10_length_regression")
+#: Newton steps for two length features and an intercept without penalty, C = 1, balanced outcomes; Cramer's rule solves each step
+_LENGTHS = """
+rows as (select d.doc_id as row_id, ln(1 + n_chars) as a, ln(1 + len(string_split(text, chr(10)))) as b, case when quality = 1 then 1.0 else -1.0 end as y from documents d join labels l on d.doc_id = l.doc_id),
+scale as (select avg(a) as ma, stddev_pop(a) + 1e-9 as sa, avg(b) as mb, stddev_pop(b) + 1e-9 as sb from rows where row_id % 5 > 1),
+x as (select row_id, (a - ma) / sa as a, (b - mb) / sb as b, y from rows, scale),
+train as (select a, b, y, count(*) over () / (2.0 * count(*) over (partition by y)) as c from x where row_id % 5 > 1),
+steps(i, w0, w1, w2) as (
+  select 0, 0.0::double, 0.0::double, 0.0::double
+  union all
+  select i + 1, w0 - d0 / d, w1 - d1 / d, w2 - d2 / d from (
+    select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as d,
+      g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2) as d0,
+      h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02) as d1,
+      h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02) as d2
+    from (
+      select i, w0, w1, w2, w1 + sum(q * a) as g1, w2 + sum(q * b) as g2, sum(q) as g0,
+        sum(v) as h00, sum(v * a) as h01, sum(v * b) as h02, 1 + sum(v * a * a) as h11, sum(v * a * b) as h12, 1 + sum(v * b * b) as h22
+      from (select i, w0, w1, w2, a, b, -y * c / (1 + exp(y * (w0 + w1 * a + w2 * b))) as q, c / ((1 + exp(w0 + w1 * a + w2 * b)) * (1 + exp(-(w0 + w1 * a + w2 * b)))) as v from steps, train where i < 30)
+      group by i, w0, w1, w2))),
+fitted as (select w0, w1, w2 from steps where i = 30)"""
+
+
+def _lengths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "n_chars", tx.n_lines(F.col("text")).alias("n_lines"), F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("labels"))
+    scaled = features.length_features(docs, docs.where("row_id % 5 > 1")).select("row_id", "labels", "log_chars", "log_lines")
+    rows = linear.dense_rows(scaled, "log_chars", "log_lines")
+    return rows.where("row_id % 5 > 1"), rows.where("row_id % 5 = 1"), rows.where("row_id % 5 = 0")
+
+
+@query("j10_length_regression", f"with recursive {_LENGTHS.strip()} select row_id, round(w0 + w1 * a + w2 * b, 5) as logit, (y > 0)::int as y from x, fitted where row_id % 5 = 0")
 def j10_length_regression(spark, sf_dir):
-    from pyspark.ml.functions import array_to_vector
+    fit = linear.run_linear(*_lengths(spark, sf_dir), 2, [0], grid=(1.0,), penalize_intercept=False)
+    return fit["test"].select("row_id", F.round("logit", 5).alias("logit"), "y")
 
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "n_chars", tx.n_lines(F.col("text")).alias("n_lines"), F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("labels"))
-    part = lambda where: features.length_features(docs, docs.where("row_id % 5 > 1")).where(where).select("row_id", "labels", array_to_vector(F.array("log_chars", "log_lines")).alias("features"))
-    fit = features.run_linear(part("row_id % 5 > 1"), part("row_id % 5 = 1"), part("row_id % 5 = 0"), [0])
-    return metrics.macro_average_precision(fit["test"], score="logit").select(F.round("macro_ap", 4).alias("macro_ap"), F.lit(fit["c"]).alias("c"))
+
+@query("j10_length_weights", f"with recursive {_LENGTHS.strip()} select round(w0, 6) as intercept, round(w1, 6) as log_chars, round(w2, 6) as log_lines from fitted")
+def j10_length_weights(spark, sf_dir):
+    w = linear.fit_linear(_lengths(spark, sf_dir)[0], 2, [0], (1.0,), penalize_intercept=False).column(0, 1.0).tolist()
+    return spark.range(1).select(*[F.round(F.lit(w[i]), 6).alias(c) for i, c in ((2, "intercept"), (0, "log_chars"), (1, "log_lines"))])
 
 
 @query("j9_tfidf_regression")
 def j9_tfidf_regression(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("labels"))
-    train = docs.where("row_id % 5 > 1")
-    weights = features.tfidf(docs, train, max_features=200_000)
-    vecs = docs.select("row_id", "labels").join(features.vectors(weights, features.term_ids(weights), 200_000), "row_id").cache()
-    fit = features.run_linear(vecs.where("row_id % 5 > 1"), vecs.where("row_id % 5 = 1"), vecs.where("row_id % 5 = 0"), [0])
+    weights = materialize(features.tfidf(docs, docs.where("row_id % 5 > 1"), max_features=200_000), "weights")
+    ids = materialize(features.term_ids(weights), "term-ids")
+    rows = materialize(linear.sparse_rows(docs.select("row_id", "labels"), weights, ids), "rows")
+    fit = linear.run_linear(rows.where("row_id % 5 > 1"), rows.where("row_id % 5 = 1"), rows.where("row_id % 5 = 0"), max(1, ids.count()), [0])
     return metrics.macro_average_precision(fit["test"], score="logit").select(F.round("macro_ap", 4).alias("macro_ap"))
 
 

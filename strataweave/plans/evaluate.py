@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.operators import features, gating, metrics, near_dup, sampling, windows
+from strataweave.operators import features, gating, linear, metrics, near_dup, sampling, windows
 from strataweave.session import materialize, read_text
 from strataweave.sources import files as src
 from strataweave.sources import sinks
@@ -126,9 +126,9 @@ def report_run(spark: SparkSession, config: RunConfig, out: str, run: str, val:
     return results
 
 
-def _linear(spark: SparkSession, config: RunConfig, run: str, featured: dict[str, DataFrame], tax: DataFrame, meta: dict, splits: dict[str, DataFrame]) -> dict:
+def _linear(spark: SparkSession, config: RunConfig, run: str, featured: dict[str, DataFrame], size: int, tax: DataFrame, meta: dict, splits: dict[str, DataFrame], **how) -> dict:
     classes = [r["cls"] for r in tax.orderBy("cls").collect()]
-    fit = features.run_linear(featured["train"], featured["val"], featured["test"], classes, tax.where("scored"))
+    fit = linear.run_linear(featured["train"], featured["val"], featured["test"], size, classes, tax.where("scored"), **how)
     return report_run(spark, config, config.out, run, fit["val"], fit["test"], tax, meta, splits, {"c": fit["c"], "val_macro_ap": fit["val_macro_ap"]}, fit["train"])
 
 
@@ -142,23 +142,17 @@ def tfidf(spark: SparkSession, config: RunConfig, run: str = "tfidf", max_featur
     lengths = features.length_features(rows, splits["train"])
     # the two lengths are terms of their own; a term of the text has no space at its start
     weights = weights.unionByName(lengths.select("row_id", F.explode(F.array(*[F.struct(F.lit(f" {c}").alias("term"), F.col(c).alias("weight")) for c in ("log_chars", "log_lines")])).alias("p")).select("row_id", "p.term", "p.weight"))
-    ids = features.term_ids(weights).cache()
-    vecs = features.vectors(weights, ids, max(1, ids.count()))
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    empty = F.udf(lambda v, n: v if v is not None else SparseVector(n, []), VectorUDT())
-    size = F.lit(max(1, ids.count()))
-    featured = {k: v.select("row_id", "labels").join(vecs, "row_id", "left").withColumn("features", empty("features", size)) for k, v in texts.items()}
-    return _linear(spark, config, run, featured, tax, meta, splits)
+    weights = materialize(weights, "weights")
+    ids = materialize(features.term_ids(weights), "term-ids")
+    featured = {k: materialize(linear.sparse_rows(v.select("row_id", "labels"), weights, ids), f"rows-{k}") for k, v in texts.items()}
+    return _linear(spark, config, run, featured, max(1, ids.count()), tax, meta, splits)
 
 
 def baseline(spark: SparkSession, config: RunConfig, run: str = "length") -> dict:
-    """Logistic regression on two length features."""
-    from pyspark.ml.functions import array_to_vector
-
+    """Logistic regression on two length features, C = 1, without a penalty on the intercept."""
     splits, tax, meta = load_splits(spark, config)
-    featured = {k: features.length_features(v.select("row_id", "labels", "n_chars", "n_lines"), splits["train"]).select("row_id", "labels", array_to_vector(F.array("log_chars", "log_lines")).alias("features")) for k, v in splits.items()}
-    return _linear(spark, config, run, featured, tax, meta, splits)
+    featured = {k: linear.dense_rows(features.length_features(v.select("row_id", "labels", "n_chars", "n_lines"), splits["train"]).select("row_id", "labels", "log_chars", "log_lines"), "log_chars", "log_lines") for k, v in splits.items()}
+    return _linear(spark, config, run, featured, 2, tax, meta, splits, grid=(1.0,), penalize_intercept=False)
 
 
 def _run_logits(spark: SparkSession, path: str) -> dict[str, DataFrame]:

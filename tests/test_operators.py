@@ -103,15 +103,16 @@ def test_all_documents_are_written_and_scanned(spark):
 
 
 def test_regression_takes_all_terms_and_the_grid(spark, monkeypatch):
-    from strataweave.operators import features
+    from strataweave.operators import linear
     from strataweave.plans import eval_queries
 
     seen = {}
-    make, fit = features.vectors, features.run_linear
-    monkeypatch.setattr(features, "vectors", lambda w, ids, size: seen.update(size=size) or make(w, ids, size))
-    monkeypatch.setattr(features, "run_linear", lambda *a, grid=features.C_GRID, **k: seen.update(grid=grid) or fit(*a, grid=grid, **k))
+    fit = linear.fit_linear
+    monkeypatch.setattr(linear, "fit_linear", lambda rows, size, classes, grid, *a, **k: seen.update(size=size, grid=grid) or fit(rows, size, classes, grid, *a, **k))
     assert 0 <= eval_queries.j9_tfidf_regression(spark, "/root/testdata/sf0.001").first()["macro_ap"] <= 1
-    assert seen == {"size": 200_000, "grid": (0.1, 1.0, 10.0)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), "doc_id").where("doc_id % 5 > 1")
+    counts = features.term_counts(docs.select(F.col("doc_id").alias("row_id"), "text"))
+    assert seen == {"size": features.known_terms(counts).count(), "grid": (0.1, 1.0, 10.0)}
 
 
 def test_capped_groups(spark):
@@ -313,13 +314,14 @@ def test_capped_groups_follow_the_greedy_order(spark, monkeypatch, one_task):
 
 def test_regression_and_temperature_against_plain_fits(spark):
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
+
+    from strataweave.operators import linear
 
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (400, 2))
     y = (x @ [1.5, -0.7] + rng.logistic(0, 1, 400) > 0.8).astype(int)
-    df = spark.createDataFrame([(i, [float(v) for v in x[i]], [0] if y[i] else []) for i in range(400)], "row_id long, v array<double>, labels array<int>")
-    model = features.fit_class(df.select("row_id", array_to_vector("v").alias("features"), "labels"), 0, 1.0)
+    df = linear.dense_rows(spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), [0] if y[i] else []) for i in range(400)], "row_id long, u double, v double, labels array<int>"), "u", "v")
+    fitted = linear.fit_linear(df, 2, [0], (1.0,), penalize_intercept=False).column(0, 1.0)
     n, pos = len(y), y.sum()
     w = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
     beta, design = np.zeros(3), np.column_stack([x, np.ones(n)])
@@ -327,7 +329,7 @@ def test_regression_and_temperature_against_plain_fits(spark):
         p = 1 / (1 + np.exp(-design @ beta))
         ridge = np.diag([1.0, 1.0, 0.0])
         beta -= np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (w * (p - y)) + ridge @ beta)
-    assert np.allclose([*model.coefficients, model.intercept], beta, atol=2e-3)
+    assert np.allclose(fitted, beta, atol=1e-4)
     logits = 3 * (design @ beta)
     val = spark.createDataFrame([(i, 0, float(logits[i]), int(y[i])) for i in range(400)], "row_id long, cls int, logit double, y int")
     grid = np.exp(np.linspace(-3, 3, 6001))
