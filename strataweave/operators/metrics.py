@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.numeric import finite, log_sigmoid, sigmoid, weighted_bce
+from strataweave.operators.numbering import running_sums
 
 #: thresholds i / 20
 GRID = [i * 0.05 for i in range(1, 20)]
@@ -53,13 +54,12 @@ def average_precision(scores: DataFrame, by: list[str] | None = None, score: str
     """Per class: positives and average precision, the sum of recall steps times precision over distinct scores downwards; 0 without positives.
 
     Rows are first counted by distinct score, with map-side combine; the running
-    sums go over scores of one class.
+    sums go over ranges of scores, so that no task holds a class.
     """
     by = [*(by or []), "cls"]
     steps = scores.groupBy(*by, F.col(score).alias("s")).agg(F.sum("y").cast("long").alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
-    part = F.col("tp") * (F.col("ctp") / F.col("cn"))
+    run = running_sums(steps, by, [F.desc("s")], ["tp", "n"])
+    part = F.col("tp") * (F.col("tp_sum") / F.col("n_sum"))
     return run.groupBy(*by).agg(F.sum("tp").alias("positives"), F.sum(part).alias("_a")).select(*by, "positives", ratio(F.col("_a"), F.col("positives")).alias("average_precision"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import bound, normalize_code, shingles, strip_comments, words
+from strataweave.functions.text import strip_comments, words
 from strataweave.operators.overlaps import overlaps
 from strataweave.session import materialize, ship
 
@@ -19,25 +19,29 @@ from strataweave.session import materialize, ship
 PERMUTATIONS, BANDS, BUCKET_CAP = 64, 16, 400
 #: different sets in a bucket from which it is compared in blocks; sets in a block, and hashes of all of them (about)
 LARGE, BLOCK, BLOCK_HASHES = 400, 512, 500_000
-#: a prime above 2**32: products with coefficients below 2**30 stay in a long
-PRIME = 4_294_967_311
-
-
-def shingle_hashes(rows: DataFrame, text: str, name: str = "set", k: int = 5) -> DataFrame:
-    """Add the sorted distinct CRC-32 of the k-token shingles of the normalised text."""
-    tokens = bound(rows, "_t", words(normalize_code(F.col(text))))
-    grams = bound(tokens, "_g", shingles(F.col("_t"), k))
-    return bound(grams, name, F.array_sort(F.array_distinct(F.transform("_g", lambda g: F.crc32(g.cast("binary")))))).drop("_t", "_g")
 
 
 def coefficients(n: int, seed: int) -> list[tuple[int, int]]:
-    rng = np.random.default_rng(seed)
-    return [(int(a), int(b)) for a, b in zip(rng.integers(1, 1 << 30, n), rng.integers(0, 1 << 30, n), strict=True)]
+    """(a, b) of each hash: a is odd and has 31 bits in each half, b has 31. The order of the draws fixes the signatures."""
+    draw = np.random.RandomState(seed).randint
+    top, low, b = (draw(least, 2**31 - 1, size=n) for least in (1, 1, 0))
+    return [(int(x) << 32 | int(y) | 1, int(z)) for x, y, z in zip(top, low, b, strict=True)]
 
 
 def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = 1) -> Column:
-    """Array of n minima of (a h + b) mod p."""
-    one = lambda a, b: F.array_min(F.transform(hashes, lambda h: (h * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(PRIME)))
+    """Array of n minima of (a h + b) mod 2**64 over 2**32, for hashes of 32 bits; in limbs, as SQL's longs have a sign."""
+    mask = F.lit((1 << 32) - 1)
+
+    def one(a: int, b: int) -> Column:
+        top, low = a >> 32, a & (1 << 32) - 1
+
+        def upper(h: Column) -> Column:
+            # the upper half of low h + b, from the halves of h; and the lower half of top h
+            carried = F.shiftright(F.shiftright(h, 16) * F.lit(low) + F.shiftright(h.bitwiseAND(F.lit(65535)) * F.lit(low) + F.lit(b), 16), 16)
+            return (carried + (h * F.lit(top)).bitwiseAND(mask)).bitwiseAND(mask)
+
+        return F.array_min(F.transform(hashes, upper))
+
     return F.array(*[one(a, b) for a, b in coefficients(n, seed)])
 
 
@@ -58,16 +62,16 @@ def gram_sets(tokens: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(hashes: np.ndarray, off: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """(sets, n): as ``minhash``, for sets that are not empty."""
+    """(sets, n): as ``minhash``, for sets that are not empty; products wrap at 64 bits."""
     h = hashes.astype(np.uint64)
     out = np.empty((len(off) - 1, n), np.int64)
     for j, (a, b) in enumerate(coefficients(n, seed)):
-        out[:, j] = np.minimum.reduceat((h * np.uint64(a) + np.uint64(b)) % np.uint64(PRIME), off[:-1])
+        out[:, j] = np.minimum.reduceat((h * np.uint64(a) + np.uint64(b)) >> np.uint64(32), off[:-1]) if len(off) > 1 else 0
     return out
 
 
 def _sign(k: int, n: int, bands: int, seed: int):
-    """(id, n, k1, k2, set, sigs) of (id, tokens): the set as bytes of uint32, two hashes of it, and a signature for each band."""
+    """(id, n, k1, k2, set, minima, sigs) of (id, tokens): the set as bytes of uint32, two hashes of it, its minima, and a signature of each band of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -76,19 +80,19 @@ def _sign(k: int, n: int, bands: int, seed: int):
                 hashes, off = gram_sets(batch.column("tokens"), k)
                 raw = [hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
-                rows = np.ascontiguousarray(minima(hashes, off, n, seed)).reshape(len(raw), bands, -1)
-                sigs = [[xxhash.xxh3_64_intdigest(band.tobytes()) - (1 << 63) for band in row] for row in rows]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(raw, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "set", "sigs"])
+                least = np.ascontiguousarray(minima(hashes, off, n, seed))
+                sigs = [[xxhash.xxh3_64_intdigest(band.tobytes()) - (1 << 63) for band in row] for row in least.reshape(len(raw), bands, -1)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(raw, pa.binary()), pa.array(least.tolist(), pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "set", "minima", "sigs"])
 
     return run
 
 
 def signed_sets(rows: DataFrame, row_id: str = "row_id", text: str = "text", k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """(id, n, k1, k2, set, sigs): every text's shingle set with its band signatures; numpy over the tokens that SQL finds."""
+    """(id, n, k1, k2, set, minima, sigs): every text's shingle set with its MinHash values and band signatures; numpy over the tokens that SQL finds."""
     ship(rows.sparkSession)
     # white space parts tokens whether collapsed or not
     joined = F.array_join(words(strip_comments(F.coalesce(F.col(text), F.lit("")))), " ")
-    return rows.select(F.col(row_id).cast("long").alias("id"), joined.alias("tokens")).mapInArrow(_sign(k, n, bands, seed), "id long, n long, k1 long, k2 long, set binary, sigs array<long>")
+    return rows.select(F.col(row_id).cast("long").alias("id"), joined.alias("tokens")).mapInArrow(_sign(k, n, bands, seed), "id long, n long, k1 long, k2 long, set binary, minima array<long>, sigs array<long>")
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     more sets are passed over, as the method reproduced does at ``BUCKET_CAP`` (``skipped_buckets`` counts them).
     Null texts count as empty; ids must be unique.
     """
-    signed = materialize(signed_sets(rows, row_id, text, k, n, bands, seed), "signatures")
+    signed = materialize(signed_sets(rows, row_id, text, k, n, bands, seed).drop("minima"), "signatures")
     # written, so that AQE can split a text of many copies in the join
     groups = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "groups")
     copies = signed.select("id", "k1", "k2").join(groups.where("c > 1").drop("c"), ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("row_a"), F.col("id").alias("row_b"), F.lit(1.0).alias("jaccard"))
@@ -183,13 +187,6 @@ def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> Dat
     return rows.mapInArrow(_block_pairs(threshold), "row_a long, row_b long, jaccard double")
 
 
-def lsh_members(sets: DataFrame, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """(band, sig, id) of sets (id, set) of hashes as arrays, by SQL functions."""
-    per = n // bands
-    signed = sets.select("id", minhash(F.col("set"), n, seed).alias("h"))
-    return signed.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("h", i * per + 1, per)) for i in range(bands)])).alias("band", "sig")).select("band", "sig", "id")
-
-
 def kept_buckets(members: DataFrame, bucket_cap: int = 0) -> DataFrame:
     """(band, sig, c): buckets with candidates, and with a cap those within it."""
     counts = members.groupBy("band", "sig").agg(F.count("*").alias("c")).where("c > 1")

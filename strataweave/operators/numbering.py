@@ -24,3 +24,23 @@ def numbered(rows: DataFrame, name: str, *order: Column, width: int = 0) -> Data
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     placed = written.withColumn("_part", part).join(F.broadcast(before), "_part")
     return placed.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop("_m", "_part", "_before")
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: list[Column], names: list[str]) -> DataFrame:
+    """Add ``<name>_sum``: sums within the keys up to and with each row in the given order, which has no ties.
+
+    One range shuffle spreads a key's rows over as many partitions as they fill: sums within each partition, plus those of the key's earlier
+    partitions, of which there is one row for each partition and key. Keys may be null.
+    """
+    marked = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    written = materialize(marked, "running")
+    totals = written.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_{c}") for c in names])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_part").alias("_at"), *[F.col(k).alias(f"_key_{k}") for k in keys], *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in names])
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = written.withColumns({f"{c}_sum": F.sum(c).over(within) for c in names})
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    met = inner.join(before, same)
+    return met.select(*rows.columns, *[(F.col(f"{c}_sum") + F.col(f"_before_{c}")).alias(f"{c}_sum") for c in names])

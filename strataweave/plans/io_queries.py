@@ -230,17 +230,20 @@ def j1_crc_shingles(spark, sf_dir):
     return sets.select(F.col("id").alias("item_id"), F.explode(hashes).alias("h")).groupBy("item_id").agg(F.count("*").alias("n_shingles"), F.sum("h").alias("total"), F.min("h").alias("least"), F.max("h").alias("most"))
 
 
-_COEFFICIENTS = near_dup.coefficients(8, 1)
-_HASHES = "list_transform(range(20), lambda i: (doc_id * 7919 + i * 104729) % 4294967296)"
+#: shingles of the normalised text of all items, and their CRC-32
+_SHINGLES = rf"""{_CRC.strip()},
+w as (select item_id, regexp_extract_all({NORMAL}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') as w from benchmark),
+g as (select item_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) else [array_to_string(w, ' ')] end) as g from w),
+h as (select distinct item_id, xor(list_reduce(list_transform(range(strlen(g)), lambda i: ('0x' || hex(encode(g))[2 * i + 1 : 2 * i + 2])::bigint), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as h from g, crc_table)"""
 
 
 @query("j2_minhash", f"""
-with h as (select doc_id, {_HASHES} as h from documents)
-select doc_id, {', '.join(f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % {near_dup.PRIME}))::bigint as m{i}" for i, (a, b) in enumerate(_COEFFICIENTS))} from h""")
+with recursive {_SHINGLES}
+select item_id, {', '.join(f"min(((h::hugeint * {a} + {b}) % 18446744073709551616) // 4294967296)::bigint as m{i}" for i, (a, b) in enumerate(near_dup.coefficients(64, 1)))} from h group by item_id""")
 def j2_minhash(spark, sf_dir):
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (F.col("doc_id") * 7919 + i * 104729) % 4294967296)
-    docs = table(spark, sf_dir, "documents").select("doc_id", near_dup.minhash(hashes, 8, 1).alias("m"))
-    return docs.select("doc_id", *[F.col("m")[i].alias(f"m{i}") for i in range(8)])
+    # the signatures that the near-duplicate join makes its bands of
+    signed = near_dup.signed_sets(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return signed.select(F.col("id").alias("item_id"), *[F.col("minima")[i].alias(f"m{i}") for i in range(near_dup.PERMUTATIONS)])
 
 
 @query("d7_d8_bucket_filter", """

@@ -58,9 +58,10 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     template = [f"v{i}" for i in range(300)]
     rows = [(i, " ".join([*template[: i % 290], f"w{i}", *template[i % 290 + 1 :]])) for i in range(500)]
     df = spark.createDataFrame(rows, "row_id long, text string")
-    sets = near_dup.shingle_hashes(df.select(F.col("row_id").alias("id"), "text"), "text")
-    assert near_dup.skipped_buckets(near_dup.lsh_members(sets.select("id", "set"))).first()["buckets"] > 0
-    by_id = {r["id"]: set(r["set"]) for r in sets.collect()}
+    signed = near_dup.signed_sets(df).collect()
+    members = spark.createDataFrame([(band, sig, r["id"]) for r in signed for band, sig in enumerate(r["sigs"])], "band int, sig long, id long")
+    assert near_dup.skipped_buckets(members).first()["buckets"] > 0
+    by_id = {r["id"]: {bytes(r["set"][i : i + 4]) for i in range(0, len(r["set"]), 4)} for r in signed}
     monkeypatch.setattr(near_dup, "BLOCK", 100)
     got = {(r["row_a"], r["row_b"]): r["jaccard"] for r in near_dup.near_duplicate_pairs(df).collect()}
     assert got.keys() == {(a, b) for a in range(500) for b in range(a + 1, 500)}
