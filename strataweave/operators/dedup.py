@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import content_hash, lines
+from strataweave.session import materialize
 
 PROJECT_LEVEL = ("SWC-102", "SWC-103")
 
@@ -23,23 +24,50 @@ def exact_duplicates(files: DataFrame, text: str = "text", path: str = "rel_path
     return grouped.select("rep.*", "norm_hash", F.substring("norm_hash", 1, 16).alias("content_id"), "n_copies", "copy_audit_dirs", "swc_all")
 
 
-def map_spans_by_text(spans: DataFrame) -> DataFrame:
-    """Spans of a copy on the lines of its representative. spans: span_id, src, dst, start, end; adds new_start, new_end.
+def _strip(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def nearest_place(places: Column, guess: Column) -> Column:
+    """The number of an ascending array closest to ``guess`` (ties: the smaller one), by binary search."""
+    # how many are below the guess: between low and high
+    halved = lambda r: F.floor((r["low"] + r["high"]) / 2).cast("int")
+    below = lambda r: F.element_at(places, halved(r) + 1) < guess
+    step = lambda r, _: F.when(r["low"] >= r["high"], r).otherwise(F.struct(F.when(below(r), halved(r) + 1).otherwise(r["low"]).alias("low"), F.when(below(r), r["high"]).otherwise(halved(r)).alias("high")))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(places) + 1)).cast("int"))
+    n = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(places).alias("high")), step, lambda r: r["low"])
+    left, right = F.try_element_at(places, F.when(n > 0, n)), F.try_element_at(places, n + 1)
+    return F.when(right.isNull() | (guess - left <= right - guess), left).otherwise(right)
+
+
+def map_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans of copies on the lines of their representatives. spans: span_id, src, dst, start, end; adds new_start, new_end. texts: text_id (unique), text.
 
     An end is the equal stripped line nearest to the same relative place (ties: the
-    upper one); if one end has none, the span covers the whole file. Only the lines at the ends are
-    joined, on equal text.
+    upper one); if one end has none, the span covers the whole file. Each text in use is cut into lines once, however many spans it has: into a
+    written table (text, line, place) and an index (text, line, ascending places), in which an end finds its place by binary search.
+    A null text counts as empty; spans may be null or lie beyond the text.
     """
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    n_src, n_dst = F.size(lines(F.col("src"))), F.size(lines(F.col("dst")))
-    ends = spans.select("span_id", "dst", n_src.alias("n_src"), n_dst.alias("n_dst"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("start").alias("n"), strip(F.try_element_at(lines(F.col("src")), F.col("start"))).alias("key")), F.struct(F.lit("b").alias("side"), F.col("end").alias("n"), strip(F.try_element_at(lines(F.col("src")), F.col("end"))).alias("key")))).alias("e")).select("span_id", "dst", "n_src", "n_dst", "e.*")
-    targets = spans.select("span_id", F.posexplode(lines(F.col("dst"))).alias("i", "line")).select("span_id", (F.col("i") + 1).alias("hit"), strip(F.col("line")).alias("key")).where("key != ''")
+    used = spans.select(F.explode(F.array("src", "dst")).alias("text_id")).distinct()
+    cut = materialize(texts.join(used, "text_id", "left_semi").select("text_id", F.posexplode(lines(F.coalesce("text", F.lit("")))).alias("i", "line")).select("text_id", (F.col("i") + 1).alias("n"), _strip(F.col("line")).alias("line")), "lines")
+    size = cut.groupBy("text_id").agg(F.count("*").cast("int").alias("size"))
+    sized = materialize(spans.join(size.select(F.col("text_id").alias("src"), F.col("size").alias("n_src")), "src").join(size.select(F.col("text_id").alias("dst"), F.col("size").alias("n_dst")), "dst"), "spans")
+    ends = sized.select("span_id", "src", "dst", "n_src", "n_dst", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("start").cast("int").alias("n")), F.struct(F.lit("b").alias("side"), F.col("end").cast("int").alias("n")))).alias("e")).select("span_id", "src", "dst", "n_src", "n_dst", "e.*")
+    wanted = materialize(ends.join(cut.withColumnRenamed("text_id", "src"), ["src", "n"]).where("line != ''"), "ends")
+    index = cut.where("line != ''").groupBy(F.col("text_id").alias("dst"), "line").agg(F.array_sort(F.collect_list("n")).alias("places"))
     guess = F.col("n") * F.col("n_dst") / F.greatest(F.col("n_src"), F.lit(1))
-    found = ends.drop("dst").join(targets, ["span_id", "key"]).groupBy("span_id", "side").agg(F.min_by("hit", F.struct(F.abs(F.col("hit") - guess), F.col("hit"))).alias("hit"))
+    found = wanted.join(index, ["dst", "line"]).select("span_id", "side", nearest_place(F.col("places"), guess).alias("hit"))
     both = found.groupBy("span_id").agg(F.max(F.when(F.col("side") == "a", F.col("hit"))).alias("_a"), F.max(F.when(F.col("side") == "b", F.col("hit"))).alias("_b"))
-    joined = spans.join(both, "span_id", "left")
+    joined = sized.join(both, "span_id", "left")
     ok = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    return joined.select(*spans.columns, F.when(ok, F.least("_a", "_b")).otherwise(F.lit(1)).alias("new_start"), F.when(ok, F.greatest("_a", "_b")).otherwise(n_dst).alias("new_end"))
+    return joined.select(*spans.columns, F.when(ok, F.least("_a", "_b")).otherwise(F.lit(1)).alias("new_start"), F.when(ok, F.greatest("_a", "_b")).otherwise(F.col("n_dst")).alias("new_end"))
+
+
+def map_spans_by_text(spans: DataFrame) -> DataFrame:
+    """As ``map_spans`` for spans (span_id, src, dst, start, end) that bring their texts; equal texts are cut into lines once."""
+    name = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    texts = spans.select(F.explode(F.array("src", "dst")).alias("text")).select(name("text").alias("text_id"), "text").dropDuplicates(["text_id"])
+    return map_spans(spans.select("span_id", name("src").alias("src"), name("dst").alias("dst"), "start", "end"), texts).drop("src", "dst")
 
 
 def select_classes(files: DataFrame, labels: str = "swc_all", least_files: int = 20, keep_project_level: bool = False, eval_least_files: int = 0) -> DataFrame:

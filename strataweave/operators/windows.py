@@ -50,6 +50,65 @@ def build_windows(files: DataFrame, body: int = 1024, overlap: float = 0.25, mod
     return cut.select("row_id", "win", "s", "e", "l0", "l1", "tokens", hit.alias("labels"), (F.size(F.col("labels")) > 0).alias("file_annotated"))
 
 
+#: words of Java's pattern, where white space is ASCII's
+_WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]"
+
+
+class LineWindower:
+    """What a windower is: ``token_type`` (SQL), ``body`` (tokens that fit a window of a length) and ``tokenize`` (a text's tokens with the line of each)."""
+
+    token_type = "string"
+
+    def body(self, length: int) -> int:
+        return length
+
+    def tokenize(self, text: str) -> list[tuple[object, int]]:
+        import regex
+
+        return [(t, i) for i, x in enumerate(text.split("\n"), 1) for t in regex.findall(_WORD, x.lower())]
+
+
+def register_windows(spark, name: str = "text_windows", windower: object | None = None) -> None:
+    """A table function ``name(text, length, overlap)`` for SQL: (win, s, e, l0, l1, tokens) of a text's windows, as ``build_windows`` makes them.
+
+    ``select f.row_id, w.* from files f, lateral text_windows(f.text, 200, 0.25D) w``. The schema comes from the windower when a query is
+    analysed, as do errors in length and overlap, which must be constants. Rows are independent: the function runs where they lie.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+
+    from strataweave.session import ship
+
+    ship(spark)
+    windower = windower or LineWindower()
+    # the analysis runs where there is no session to parse types
+    schema = T._parse_datatype_string(f"win int, s int, e int, l0 int, l1 int, tokens array<{windower.token_type}>")
+
+    class TextWindows:
+        @staticmethod
+        def analyze(text: AnalyzeArgument, length: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(text.dataType, T.StringType | T.NullType):
+                raise ValueError("the first argument must be a text")
+            if not length.isConstantExpression or not overlap.isConstantExpression:
+                raise ValueError("length and overlap must be constants")
+            if length.value is None or int(length.value) < 1 or overlap.value is None or not 0 <= float(overlap.value) < 1:
+                raise ValueError("length must be positive and overlap in [0, 1)")
+            return AnalyzeResult(schema)
+
+        def eval(self, text, length, overlap):
+            found = windower.tokenize(text or "")
+            body, n, n_lines = windower.body(int(length)), len(found), (text or "").count("\n") + 1
+            step = stride_of(body, float(overlap))
+            starts = [0] if n <= body else [*range(0, n - body, step), n - body]
+            for win, s in enumerate(starts):
+                e = min(s + body, n)
+                first = 1 if s == 0 else found[s][1]
+                last = found[e - 1][1] if e else 1
+                yield win, s, e, first, max(last, n_lines) if e == n else last, [t for t, _ in found[s:e]]
+
+    spark.udtf.register(name, udtf(TextWindows))
+
+
 def window_stats(windows: DataFrame, files: DataFrame) -> DataFrame:
     """One row: files, windows, windows per file (mean, max), median tokens, positive windows, label visibility.
 

@@ -46,10 +46,13 @@ def clean_files(raw: DataFrame, annotations: DataFrame, keep_tests: bool = False
 def merge_copies(files: DataFrame) -> DataFrame:
     """Exact duplicates with the union of their spans, mapped to the representative where texts differ."""
     reps = dedup.exact_duplicates(files.select("rel_path", "audit_dir", "text", "spans", "swc"))
-    keyed = files.select(tx.content_hash(F.col("text")).alias("norm_hash"), "rel_path", F.col("text").alias("src"), F.explode("spans").alias("p")).join(reps.select("norm_hash", F.col("rel_path").alias("rep"), F.col("text").alias("dst")), "norm_hash").where("rel_path != rep")
+    # texts go by their digest: a text reaches the lines' table once, whatever the number of its spans
+    digest = lambda c: F.sha2(c, 256)
+    keyed = files.select(tx.content_hash(F.col("text")).alias("norm_hash"), "rel_path", digest("text").alias("src"), F.explode("spans").alias("p")).join(reps.select("norm_hash", F.col("rel_path").alias("rep"), digest("text").alias("dst")), "norm_hash").where("rel_path != rep")
     same = keyed.where("src = dst").select("norm_hash", F.col("p.swc").alias("swc"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
     other = keyed.where("src != dst").select(F.struct("norm_hash", "rel_path", F.col("p.swc").alias("swc"), F.col("p.start").alias("start"), F.col("p.end").alias("end")).alias("span_id"), "src", "dst", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-    mapped = dedup.map_spans_by_text(other).select("span_id.norm_hash", "span_id.swc", F.col("new_start").alias("start"), F.col("new_end").alias("end"))
+    texts = files.select(digest("text").alias("text_id"), "text").dropDuplicates(["text_id"])
+    mapped = dedup.map_spans(other, texts).select("span_id.norm_hash", "span_id.swc", F.col("new_start").alias("start"), F.col("new_end").alias("end"))
     more = same.unionByName(mapped).groupBy("norm_hash").agg(F.collect_list(F.struct("swc", "start", "end")).alias("more"))
     union = F.array_sort(F.array_distinct(F.concat("spans", F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)))))
     return reps.join(more, "norm_hash", "left").withColumn("spans", union).drop("more", "swc")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import numeric as num
 from strataweave.functions import text as tx
-from strataweave.operators import features, gating, linear, metrics, windows
+from strataweave.operators import features, gating, intervals, linear, metrics, windows
+from strataweave.operators.numbering import running_sums
 from strataweave.plans.registry import LABELLED, PROB, cells, cells_sql, labelled, query
 from strataweave.session import materialize, table
 
@@ -327,6 +328,48 @@ def g2_f9_token_lines(spark, sf_dir):
     return t.groupBy("doc_id", F.col("t.line").alias("line")).agg(F.count("*").alias("tokens"))
 
 
+#: lines of all texts as places of characters, first and last; and each text as a whole
+_SPANS = """
+l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents),
+placed as (select doc_id, line, length(x) as n, (sum(length(x) + 1) over (partition by doc_id order by line))::bigint - length(x) - 1 as b0 from l),
+spans as (select doc_id, line::int as line, b0, b0 + n as b1 from placed union all select doc_id, 0, 0, n_chars from documents)"""
+
+
+def _line_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    each = docs.select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("line"), F.length("x").cast("long").alias("n"))
+    ends = running_sums(each.withColumn("_n", F.col("n") + 1), ["doc_id"], [F.col("line")], ["_n"])
+    return ends.select("doc_id", "line", (F.col("_n_sum") - F.col("n") - 1).alias("b0"), (F.col("_n_sum") - 1).alias("b1")).unionByName(docs.select("doc_id", F.lit(0).alias("line"), F.lit(0).cast("long").alias("b0"), F.col("n_chars").alias("b1")))
+
+
+@query("f8_overlap_join", f"""
+with {_SPANS.strip()},
+w as (select doc_id, unnest(range(0, n_chars + 1, 90)) as a0 from documents)
+select w.doc_id, a0, count(*) as spans, min(line) as first, max(line) as last, sum(line)::bigint as total from w join spans s on s.doc_id = w.doc_id and a0 <= b1 and b0 <= a0 + 119 group by 1, 2""")
+def f8_overlap_join(spark, sf_dir):
+    # windows of 120 characters, 90 apart, against lines and whole texts
+    wins = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars"), F.lit(90).cast("long"))).alias("a0")).withColumn("a1", F.col("a0") + 119)
+    met = intervals.overlap_join(wins, _line_spans(spark, sf_dir), ["doc_id"], 400)
+    return met.groupBy("doc_id", "a0").agg(F.count("*").alias("spans"), F.min("line").alias("first"), F.max("line").alias("last"), F.sum("line").alias("total"))
+
+
+@query("f9_as_of_join", f"""
+with {_SPANS.strip()}, probes as (select doc_id, unnest(range(0, n_chars + 1, 35)) as at from documents)
+select p.doc_id, p.at, s.line, s.b0 from probes p asof left join (select * from spans where line > 0) s on p.doc_id = s.doc_id and p.at >= s.b0""")
+def f9_as_of_join(spark, sf_dir):
+    # the line that holds every 35th character
+    probes = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars"), F.lit(35).cast("long"))).alias("at"))
+    starts = _line_spans(spark, sf_dir).where("line > 0").select("doc_id", F.col("b0").alias("at"), "line")
+    return intervals.as_of_join(probes, starts, ["doc_id"], "at").select("doc_id", "at", F.col("found.line").alias("line"), F.col("found.at").alias("b0"))
+
+
+@query("w2_windows_by_table_function", f"with {_WINDOWS} select row_id, win, s, e, l0, l1 from wins")
+def w2_windows_by_table_function(spark, sf_dir):
+    windows.register_windows(spark)
+    _files(spark, sf_dir).select("row_id", "text").createOrReplaceTempView("windowed_files")
+    return spark.sql(f"select f.row_id, w.win, w.s, w.e, w.l0, w.l1 from windowed_files f, lateral text_windows(f.text, {BODY}, {OVERLAP}D) w")
+
+
 # -- features ------------------------------------------------------------------------
 
 _TERMS = r"""tok as (select doc_id as row_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]{1,2}') as w from documents),

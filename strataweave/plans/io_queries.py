@@ -15,7 +15,7 @@ from strataweave.plans.registry import NORMAL, cells, cells_sql, labelled, query
 from strataweave.plans.table_queries import _PAIRS, _pairs
 from strataweave.session import drop_path, shared_dir, table, write_bytes, write_text
 from strataweave.sources import files as src
-from strataweave.sources import npz, sinks
+from strataweave.sources import batches, npz, sinks
 
 
 def _fresh(spark, name: str) -> str:
@@ -185,6 +185,22 @@ def a10_b6_npz_round_trip(spark, sf_dir):
     return npz.read_npz(spark, at).drop("run")
 
 
+@query("b10_batches_round_trip", rf"""
+with t as (select doc_id, list_transform(regexp_extract_all(text, '{tx.WORD}'), lambda w: length(w)) as ids from documents)
+select doc_id as row_id, len(ids)::int as length, list_sum(list_prepend(0, ids))::bigint as id_sum, len(ids)::bigint as mask_sum, true as padded, true as within, doc_id % 3 as label from t""")
+def b10_batches_round_trip(spark, sf_dir):
+    # words by their lengths as token ids; a batch holds at most 16,384 with its padding, or one row
+    at = _fresh(spark, "batches")
+    ids = F.transform(tx.words(F.col("text")), lambda w: F.length(w))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), ids.alias("ids"), F.array((F.col("doc_id") % 3).cast("int")).alias("labels")).withColumn("length", F.size("ids"))
+    batches.write_batches(batches.token_batches(rows, 16_384, 4), at)
+    back = batches.read_batches(spark, at)
+    size = back.groupBy("part", "batch").agg(F.sum(F.size("ids")).alias("tokens"), F.count("*").alias("rows"), F.max(F.size("ids")).alias("width"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = (F.size("ids") == F.col("width")) & (F.size("mask") == F.col("width")) & (F.col("width") % 8 == 0)
+    return back.join(size, ["part", "batch"]).select("row_id", "length", add("ids").alias("id_sum"), add("mask").alias("mask_sum"), whole.alias("padded"), ((F.col("tokens") <= 16_384) | (F.col("rows") == 1)).alias("within"), F.col("labels")[0].cast("long").alias("label"))
+
+
 @query("a11_results_scan", """
 select 'model_f' || (doc_id % 5)::varchar as run, max(n_chars)::double as f1, round(avg(n_chars), 6) as macro_ap from documents where doc_id % 5 < 4 group by 1""")
 def a11_results_scan(spark, sf_dir):
