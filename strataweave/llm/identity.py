@@ -13,6 +13,7 @@ RID = "_rid"
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(docs with a unique non-null long ``_rid``, map to the given rows).
 
+    Keys are whole numbers: they are cast to long, and a text that is no number is an error in ANSI mode, else a null key.
     Unique non-null keys are their own ids and the map is None. Otherwise the
     distinct pairs of key and text are numbered in the order of key (nulls last) and the text's
     SHA-256; rows that repeat such a pair are one document; the map holds

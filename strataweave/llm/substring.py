@@ -15,6 +15,9 @@ array. The other segments are streamed through it by backward search, all of the
 shortened to its parent interval. Windows whose match reaches 20 words repeat. What is
 still open is indexed in turn (the next four of each key, then sixteen and so on) for those after
 it; repeats within one index show in classes of several rows, by the earliest position of each.
+
+So there are two ways to a repeated window: segments that equal an earlier one word for word are settled by comparing them, before any search, and the others'
+windows are found by the index. ``windows_found`` counts both; where whole texts are copied, most go the first way.
 """
 
 from __future__ import annotations
@@ -432,9 +435,9 @@ def _shard(shard_words: int):
     return run
 
 
-def _ranges(rid: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Words covered by n windows from ``first`` on."""
-    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first), pa.array(first + n + WINDOW - 1)], names=[RID, "a", "b"])
+def _ranges(rid: np.ndarray, first: np.ndarray, n: np.ndarray, searched: np.ndarray | None = None) -> pa.RecordBatch:
+    """Words covered by n windows from ``first`` on, and whether the index found them."""
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first), pa.array(first + n + WINDOW - 1), pa.array(np.zeros(len(rid), bool) if searched is None else searched)], names=[RID, "a", "b", "searched"])
 
 
 def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
@@ -451,7 +454,7 @@ def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray,
     head = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (start[1:] != start[:-1] + 1))[: len(seg)])
     run = np.diff(np.append(head, len(seg)))
     own = own[seg[head]]
-    return _ranges(np.concatenate([rid[repeat], rid[own]]), np.concatenate([first[repeat], first[own] + start[head]]), np.concatenate([n[repeat], run]))
+    return _ranges(np.concatenate([rid[repeat], rid[own]]), np.concatenate([first[repeat], first[own] + start[head]]), np.concatenate([n[repeat], run]), np.arange(repeat.sum() + len(own)) >= repeat.sum())
 
 
 # -- operator ------------------------------------------------------------------------
@@ -460,7 +463,7 @@ _CUT = f"key long, {RID} long, first long, n int, hot boolean, words string"
 
 
 def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
-    """(_rid, a, b): word ranges [a, b) covered by repeated windows; ranges may overlap. docs: _rid, text. And the shuffle partitions that the texts' bytes call for.
+    """(_rid, a, b, searched): word ranges [a, b) covered by repeated windows, found by the index or not; ranges may overlap. docs: _rid, text. And the shuffle partitions that the texts' bytes call for.
 
     Keys are counted with a map-side combine, written, and joined back, which AQE splits where a key is hot. Windows of hot keys are
     settled in two steps, by window and salt and then by window, so a passage of a third of all documents meets in no single task.
@@ -481,12 +484,19 @@ def repeated_ranges(docs: DataFrame, hot_key: int = HOT_KEY, shard_words: int =
     hot = materialize(dealt(cut.where("hot and words is not null"), width, F.xxhash64("key", salt)).mapInArrow(trimmed(_settle), _CUT), "hot", width)
     rest = cut.where("not hot or words is null").unionByName(hot)
     spread = F.when(F.col("words").isNull(), F.xxhash64(RID, "first")).otherwise(F.col("key"))
-    ranges = materialize(dealt(rest, width, spread).mapInArrow(trimmed(_shard(shard_words)), f"{RID} long, a long, b long"), "ranges", width)
+    ranges = materialize(dealt(rest, width, spread).mapInArrow(trimmed(_shard(shard_words)), f"{RID} long, a long, b long, searched boolean"), "ranges", width)
     forget(cut)
     forget(hot)
     return ranges, width
 
 
+def windows_found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(searched, windows): repeated windows that the index found, and those of segments equal to an earlier one."""
+    marked, _ = identified(docs.select(key, F.col(text).alias("text")), key, "text")
+    ranges, _ = repeated_ranges(marked)
+    return ranges.groupBy("searched").agg(F.sum(F.col("b") - F.col("a") - (WINDOW - 1)).alias("windows"))
+
+
 def _apply(rewrite: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

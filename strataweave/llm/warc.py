@@ -93,7 +93,11 @@ class Gap:
 
 
 class _Bad(ValueError):
-    pass
+    """What can't be read; ``end``: where it ends, if that is certain."""
+
+    def __init__(self, reason: str, end: int | None = None):
+        super().__init__(reason)
+        self.end = end
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -106,7 +110,10 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _parse(data: bytes, at: int, places: _Places) -> tuple[Record, int]:
-    """The record whose version line begins at ``at``, and where it ends."""
+    """The record whose version line begins at ``at``, and where it ends.
+
+    Where header, length and terminator agree and a digest alone differs, the whole record is bad: what lies in it is payload, not a record.
+    """
     if not _VERSION.match(data, at):
         raise _Bad("no version line")
     end = places.next("head end", at)
@@ -123,14 +130,14 @@ def _parse(data: bytes, at: int, places: _Places) -> tuple[Record, int]:
         raise _Bad("the block does not end where it should")
     r = Record(at, headers, data[end + 4 : stop])
     if (want := headers.get("warc-block-digest")) and want != f"sha1:{digest32(r.block)}":
-        raise _Bad("block digest differs")
+        raise _Bad("block digest differs", stop + 4)
     if "msgtype=response" in headers.get("content-type", ""):
         http, _, body = r.block.partition(b"\r\n\r\n")
         r.http = _fields(http)
         if headers.get("warc-type") == "response":
             r.payload = body
             if (want := headers.get("warc-payload-digest")) and want != f"sha1:{digest32(body)}":
-                raise _Bad("payload digest differs")
+                raise _Bad("payload digest differs", stop + 4)
     return r, stop + 4
 
 
@@ -196,7 +203,7 @@ def _inside(plain: bytes, at: int, end: int) -> tuple[list[Record | Gap], int]:
         except _Bad as e:
             if lost < 0:
                 lost, why = i, str(e)
-            i = places.next("version", i + 1)
+            i = e.end or places.next("version", i + 1)
             continue
         if lost >= 0:
             found.append(gap(i))
@@ -237,7 +244,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except _Bad as e:
             if lost < 0:
                 lost, why = at, str(e)
-            at = following(at + 1)
+            at = e.end or following(at + 1)
             continue
         if lost >= 0:
             yield Gap(lost, at, why)
