@@ -12,13 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import strip_comments, words
+from strataweave.operators.graph import connected_components
 from strataweave.operators.overlaps import overlaps
-from strataweave.session import materialize, ship
+from strataweave.session import forget, materialize, ship
 
 #: BUCKET_CAP is the cap of the method reproduced, for callers that ask for it
 PERMUTATIONS, BANDS, BUCKET_CAP = 64, 16, 400
 #: different sets in a bucket from which it is compared in blocks; sets in a block, and hashes of all of them (about)
 LARGE, BLOCK, BLOCK_HASHES = 400, 512, 500_000
+#: different sets in a bucket from which links are counted in blocks
+SMALL = 16
 
 
 def coefficients(n: int, seed: int) -> list[tuple[int, int]]:
@@ -136,18 +139,42 @@ def near_duplicate_pairs(rows: DataFrame, row_id: str = "row_id", text: str = "t
     return found.unionByName(large).dropDuplicates(["row_a", "row_b"]).unionByName(copies)
 
 
-def _block_pairs(threshold: float):
-    """(row_a, row_b, jaccard) within pairs of blocks. Rows, sorted by bucket and pair: band, sig, lower, upper, own (its block), id, set, sigs."""
+def _block_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, tuple, tuple]]:
+    """(band, whether both sides are one block, side, side) of pairs of blocks; a side has ids, sets, offsets, signatures and flags.
+
+    Rows, sorted by bucket and pair: band, sig, lower, upper, own (its block), id, set, sigs and, if there, large.
+    """
 
-    def side(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def side(rows: list) -> tuple[np.ndarray, ...]:
         size = np.array([len(r[2]) for r in rows], np.int64)
         flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.uint32)
-        return np.array([r[0] for r in rows], np.int64), flat, np.concatenate([[0], np.cumsum(size)]), np.array([r[3] for r in rows], np.int64)
+        return np.array([r[0] for r in rows], np.int64), flat, np.concatenate([[0], np.cumsum(size)]), np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
 
-    def pairs(held: list, band: int, one: bool) -> Iterator[pa.RecordBatch]:
+    def sides(held: list, last: tuple) -> Iterator[tuple[int, bool, tuple, tuple]]:
+        one = last[2] == last[3]
         a, b = side([r for r in held if r[1]]), side(held if one else [r for r in held if not r[1]])
-        if not len(a[0]) or not len(b[0]):
-            return
+        if len(a[0]) and len(b[0]):
+            yield last[0], one, a, b
+
+    held, last = [], None
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("band", "sig", "lower", "upper", "own", "id")), strict=True)
+        sets, sigs = batch.column("set"), batch.column("sigs")
+        large = batch.column("large").to_pylist() if "large" in batch.schema.names else [-1] * batch.num_rows
+        for i, (band, sig, lower, upper, own, row) in enumerate(keys):
+            if last != (band, sig, lower, upper):
+                if held:
+                    yield from sides(held, last)
+                held, last = [], (band, sig, lower, upper)
+            held.append((row, own == lower, np.frombuffer(sets[i].as_buffer(), np.uint32), np.array(sigs[i].values, np.int64), large[i]))
+    if held:
+        yield from sides(held, last)
+
+
+def _block_pairs(threshold: float):
+    """(row_a, row_b, jaccard) within pairs of blocks."""
+
+    def pairs(band: int, one: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
         both = overlaps(a[1], a[2], b[1], b[2])
         jaccard = both / np.maximum(np.diff(a[2])[:, None] + np.diff(b[2]) - both, 1)
         x, y = np.nonzero((jaccard >= threshold) & ((a[0][:, None] < b[0]) if one else True))
@@ -159,32 +186,124 @@ def _block_pairs(threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[0][p], b[0][q])), pa.array(np.maximum(a[0][p], b[0][q])), pa.array(jaccard[p, q])], names=["row_a", "row_b", "jaccard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        for sides in _block_sides(batches):
+            yield from pairs(*sides)
+
+    return run
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of edges between places those that a spanning forest needs."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (parent := up.get(i, i)) != i:
+            up[i] = up.get(parent, parent)
+            i = parent
+        return i
+
+    kept = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = root(i), root(j)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            kept.append((i, j))
+    return kept
+
+
+def _block_links(threshold: float):
+    """(a, b, links) within pairs of blocks: the links of each set a (b null), and edges (a, b) that join the same sets as all links do.
+
+    A pair counts in the first band of those with large buckets that it shares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, one, a, b in _block_sides(batches):
+            both = overlaps(a[1], a[2], b[1], b[2])
+            linked = both / np.maximum(np.diff(a[2])[:, None] + np.diff(b[2]) - both, 1) >= threshold
+            if one:
+                np.fill_diagonal(linked, False)
+            for j in range(band):  # a pair shares a bucket, so where signatures agree its size is that of both
+                if (a[4] >> j & 1).any():
+                    linked &= ~((a[3][:, j][:, None] == b[3][:, j]) & ((a[4] >> j & 1) > 0)[:, None])
+            x, y = np.nonzero(np.triu(linked) if one else linked)
+            edges = _forest(x, y + (0 if one else len(a[0])))
+            ids = a[0] if one else np.concatenate([a[0], b[0]])
+            counts = linked.sum(1) if one else np.concatenate([linked.sum(1), linked.sum(0)])
+            some = np.flatnonzero(counts)
+            left = np.concatenate([ids[some], ids[[i for i, _ in edges]]]) if len(some) else ids[:0]
+            right = pa.array([None] * len(some) + [int(ids[j]) for _, j in edges], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), right, pa.array(np.concatenate([counts[some], np.zeros(len(edges), np.int64)]).astype(np.int64))], names=["a", "b", "links"])
+
+    return run
+
+
+def _small_links(threshold: float, bands: int):
+    """The pairs (a, b) that link and share no large bucket. Rows: a, b, x and y (sets), p and q (signatures), large (of a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "sig", "lower", "upper", "own", "id")), strict=True)
-            sets, sigs = batch.column("set"), batch.column("sigs")
-            for i, (band, sig, lower, upper, own, row) in enumerate(keys):
-                if last != (band, sig, lower, upper):
-                    if held:
-                        yield from pairs(held, last[0], last[2] == last[3])
-                    held, last = [], (band, sig, lower, upper)
-                held.append((row, own == lower, np.frombuffer(sets[i].as_buffer(), np.uint32), np.array(sigs[i].values, np.int64)))
-        if held:
-            yield from pairs(held, last[0], last[2] == last[3])
+            if not batch.num_rows:
+                continue
+            signs = [np.asarray(batch.column(c).flatten()).reshape(-1, bands) for c in ("p", "q")]
+            flags = (np.asarray(batch.column("large"))[:, None] >> np.arange(bands) & 1) > 0
+            ok = ~((signs[0] == signs[1]) & flags).any(1)
+            for i in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint32) for c in ("x", "y"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = both / (len(x) + len(y) - both) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(row_a, row_b, jaccard) of large buckets (band, sig, id, n) over sets (id, set, sigs): members are dealt into blocks by hash, and each block meets each."""
+def near_duplicate_classes(rows: DataFrame, row_id: str = "row_id", text: str = "text", threshold: float = 0.8, k: int = 5, n: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1, small: int = SMALL) -> DataFrame:
+    """(row_id, class_id, n_links) for every row: the smallest id reachable by links, itself included, and how many other shingle sets its own links with.
+
+    The links are those of ``near_duplicate_pairs``, but they aren't written out: buckets of more than ``small`` different sets are
+    compared in pairs of blocks, which give counts and a spanning forest, so what comes out grows with the rows and not with the pairs. Rows with equal sets share class and count.
+    Null texts count as empty; ids must be unique; no rows give none.
+    """
+    signed = materialize(signed_sets(rows, row_id, text, k, n, bands, seed).drop("minima"), "signatures")
+    groups = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "groups")
+    reps = signed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    members = reps.select("id", "n", F.posexplode("sigs").alias("band", "sig"))
+    counted = materialize(kept_buckets(members), "counted")
+    placed = materialize(members.join(counted, ["band", "sig"]), "buckets")
+    flags = placed.where(F.col("c") > small).groupBy("id").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("large"))
+    known = materialize(reps.join(placed.select("id").distinct(), "id", "left_semi").join(flags, "id", "left").select("id", "set", "sigs", F.coalesce("large", F.lit(0).cast("long")).alias("large")), "sets")
+    few = placed.where(F.col("c") <= small)
+    side = lambda end: few.select("band", "sig", F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
+    candidates = side("a").join(side("b"), ["band", "sig"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    of = lambda end, held, sigs, *more: known.select(F.col("id").alias(end), F.col("set").alias(held), F.col("sigs").alias(sigs), *more)
+    met = candidates.join(of("a", "x", "p", "large"), "a").join(of("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q", "large")
+    pairs = materialize(met.mapInArrow(_small_links(threshold, bands), "a long, b long"), "pairs")
+    blocks = materialize(_dealt_blocks(placed.where(F.col("c") > small).select("band", "sig", "id", "n"), known).mapInArrow(_block_links(threshold), "a long, b long, links long"), "block-links")
+    for done in (counted, placed, known):
+        forget(done)
+    classes = connected_components(pairs.unionByName(blocks.where("b is not null").select("a", "b")))
+    one = F.lit(1).cast("long").alias("links")
+    links = pairs.select("a", one).unionByName(pairs.select(F.col("b").alias("a"), one)).unionByName(blocks.where("b is null").select("a", "links")).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
+    by_rep = groups.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
+    by_rep = materialize(by_rep.select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return signed.select("id", "k1", "k2").join(by_rep, ["k1", "k2"]).select(F.col("id").alias("row_id"), "class_id", "n_links")
+
+
+def _dealt_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of pairs of blocks of buckets (band, sig, id, n) over sets (id, set, sigs, ...): members are dealt into blocks by hash, and each block meets each."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES))
     dealt = members.join(members.groupBy("band", "sig").agg(blocks.alias("blocks")), ["band", "sig"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     met = dealt.select("band", "sig", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     key = ["band", "sig", "lower", "upper"]
     met = met.select("band", "sig", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", "id").join(sets, "id")
-    rows = met.select(*key, "own", "id", "set", "sigs").repartition(*key).sortWithinPartitions(*key)
-    return rows.mapInArrow(_block_pairs(threshold), "row_a long, row_b long, jaccard double")
+    return met.select(*key, "own", "id", *[c for c in sets.columns if c != "id"]).repartition(*key).sortWithinPartitions(*key)
+
+
+def _large_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(row_a, row_b, jaccard) of large buckets."""
+    return _dealt_blocks(members, sets).mapInArrow(_block_pairs(threshold), "row_a long, row_b long, jaccard double")
 
 
 def kept_buckets(members: DataFrame, bucket_cap: int = 0) -> DataFrame:

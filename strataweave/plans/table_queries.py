@@ -278,6 +278,18 @@ def j3_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicate_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
 
 
+@query("j3_near_duplicate_classes", f"""
+with recursive {_NEAR.strip().removeprefix('recursive ')}, two as (select row_a as a, row_b as b, jaccard from near union all select row_b, row_a, jaccard from near),
+reach(a, b) as (select a, a from two union select r.a, t.b from reach r join two t on r.b = t.a),
+class as (select a as doc_id, min(b) as class_id from reach group by a),
+links as (select a as doc_id, count(*) as n from two where jaccard < 1 group by a),
+firsts as (select row_b as doc_id, row_a as rep from near where jaccard = 1)
+select d.doc_id as row_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(l.n, 0) as n_links
+from documents d left join class c on c.doc_id = d.doc_id left join firsts f on f.doc_id = d.doc_id left join links l on l.doc_id = coalesce(f.rep, d.doc_id)""")
+def j3_near_duplicate_classes(spark, sf_dir):
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+
+
 #: pairs that SQL can make too: equal texts, and neighbours of one source of equal language
 _PAIRS = "pairs as (select a.doc_id as row_a, b.doc_id as row_b, round(least(a.n_chars, b.n_chars) / greatest(a.n_chars, b.n_chars)::double, 6) as jaccard from documents a join documents b on b.doc_id = a.doc_id + 7 and a.lang = b.lang where least(a.n_chars, b.n_chars) / greatest(a.n_chars, b.n_chars)::double >= 0.8)"
 
