@@ -53,13 +53,15 @@ FIELDS = ["L21-23", "L5, L9", "L10-12、20-25", "205-253", "all contract", "N/A"
 
 
 @query("c5_line_field", f"""
-with s as (select doc_id, trim([{', '.join(f"'{f}'" for f in FIELDS)}][(doc_id % 10)::int + 1]) as s from documents),
+with s as (select doc_id, trim([{', '.join(f"'{f}'" for f in FIELDS)}][(doc_id % 10)::int + 1] || case when doc_id // 10 % 3 = 1 then '; L' || n_chars::varchar || '-L' || len(string_split(text, chr(10)))::varchar else '' end) as s from documents),
 p as (select doc_id, s, list_filter(list_transform(regexp_split_to_array(s, '[,、，;]'), lambda x: regexp_extract_all(x, '\\d+')), lambda x: len(x) > 0) as n from s),
 k as (select *, case when upper(s) in ('', 'N/A', 'NA', 'NONE', '-') then 'none' when regexp_matches(s, '(?i)swc-') then 'marker' when regexp_matches(s, '(?i)\\ball\\b') then 'whole' when len(n) > 0 then 'ranges' else 'none' end as kind from p)
 select doc_id, kind, case when kind = 'ranges' then array_to_string(list_transform(n, lambda x: least(x[1]::int, x[-1]::int)::varchar || '-' || greatest(x[1]::int, x[-1]::int)::varchar), ';') else '' end as ranges
 from k""")
 def c5_line_field(spark, sf_dir):
-    field = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    # every third ten with a range of the text's own size
+    more = F.when(F.floor(F.col("doc_id") / 10) % 3 == 1, F.concat(F.lit("; L"), F.col("n_chars").cast("string"), F.lit("-L"), tx.n_lines(F.col("text")).cast("string"))).otherwise("")
+    field = F.concat(F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.col("doc_id") % 10 + 1).cast("int")), more)
     return table(spark, sf_dir, "documents").select("doc_id", tx.parse_line_field(field).alias("p")).select("doc_id", "p.kind", _JOINED("p.ranges").alias("ranges"))
 
 
@@ -82,17 +84,17 @@ def c6_annotation_spans(spark, sf_dir):
 
 
 @query("c7_category", r"""
-with c as (select doc_id, case doc_id % 3 when 0 then '  SWC-' || (100 + doc_id % 37)::varchar || '-Name' when 1 then 'swc-101' else 'Other' end as c from documents)
+with c as (select doc_id, case doc_id % 3 when 0 then '  SWC-' || (100 + doc_id % 37)::varchar || '-' || text when 1 then 'swc-101 ' || text else text end as c from documents)
 select doc_id, 'SWC-' || nullif(regexp_extract(c, '^\s*SWC-(\d+)', 1), '') as swc from c""")
 def c7_category(spark, sf_dir):
-    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  SWC-"), (F.col("doc_id") % 37 + 100).cast("string"), F.lit("-Name"))).when(F.col("doc_id") % 3 == 1, "swc-101").otherwise("Other")
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  SWC-"), (F.col("doc_id") % 37 + 100).cast("string"), F.lit("-"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("swc-101 "), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.category(given).alias("swc"))
 
 
 @query("c8_strip_comments", r"""
-select page_id, regexp_replace(url || chr(10) || '/* a' || chr(10) || 'b */ code', '(?s)/\*.*?\*/|//[^\n]*', ' ', 'g') as code from pages""")
+select page_id, regexp_replace(html || chr(10) || url || chr(10) || '/* a' || chr(10) || 'b */ code /*' || html || '*/', '(?s)/\*.*?\*/|//[^\n]*', ' ', 'g') as code from pages""")
 def c8_strip_comments(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_comments(F.concat("url", F.lit("\n/* a\nb */ code"))).alias("code"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_comments(F.concat("html", F.lit("\n"), "url", F.lit("\n/* a\nb */ code /*"), "html", F.lit("*/"))).alias("code"))
 
 
 @query("c10_content_hash", f"select doc_id, sha1({NORMAL}) as norm_hash, left(sha1({NORMAL}), 16) as content_id from documents")
@@ -132,11 +134,12 @@ _CODE = ["abstract contract A {}", "interface I {} interface J {}", "library L {
 
 
 @query("c13_declarations", rf"""
-with c as (select doc_id, [{', '.join(f"'{c}'" for c in _CODE)}][(doc_id % 5)::int + 1] as t from documents),
+with c as (select doc_id, [{', '.join(f"'{c}'" for c in _CODE)}][(doc_id % 5)::int + 1] || chr(10) || text || case when doc_id % 4 = 0 then ' interface ' || text else '' end as t from documents),
 k as (select doc_id, list_transform(regexp_extract_all(t, '\b(abstract\s+contract|contract|library|interface)\s+[A-Za-z_$][\w$]*', 1), lambda x: regexp_replace(x, '^abstract\s+', '')) as kinds from c)
 select doc_id, array_to_string(kinds, ',') as kinds, len(kinds) > 0 and len(list_filter(kinds, lambda x: x <> 'interface')) = 0 as interface_only from k""")
 def c13_declarations(spark, sf_dir):
-    code = F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("doc_id") % 5 + 1).cast("int"))
+    more = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" interface "), "text")).otherwise("")
+    code = F.concat(F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("doc_id") % 5 + 1).cast("int")), F.lit("\n"), "text", more)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.declaration_kinds(code), ",").alias("kinds"), tx.is_interface_only(code).alias("interface_only"))
 
 
@@ -144,12 +147,12 @@ _PATHS = ["a/Test/x.sol", "src/MockToken.sol", "src/Mockery.sol", "b/Token.t.sol
 
 
 @query("c14_test_paths", rf"""
-with p as (select doc_id, [{', '.join(f"'{p}'" for p in _PATHS)}][(doc_id % 8)::int + 1] as p from documents)
-select doc_id, p as path, regexp_matches(p, '(?i)(^|/)(test|tests|testing|mock|mocks|harness|harnesses|echidna|fuzz|fuzzing|certora)/')
+with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') || '/' || [{', '.join(f"'{p}'" for p in _PATHS)}][(page_id % 8)::int + 1] as p from pages)
+select page_id, p as path, regexp_matches(p, '(?i)(^|/)(test|tests|testing|mock|mocks|harness|harnesses|echidna|fuzz|fuzzing|certora)/')
   or regexp_matches(p, '(^|/)(Test|Mock)[A-Z0-9_][^/]*\.sol$|(Test|Mock|Mocks|Tester|Harness)\.sol$') or regexp_matches(p, '(?i)\.t\.sol$|(^|/)[^/]*[_-](test|mock)[^/]*\.sol$') as is_test from p""")
 def c14_test_paths(spark, sf_dir):
-    path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), tx.is_test_or_mock(path).alias("is_test"))
+    path = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("page_id") % 8 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), tx.is_test_or_mock(path).alias("is_test"))
 
 
 @query("c15_text_stats", "select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, length(text)::bigint as n_code_points from documents")
@@ -167,18 +170,18 @@ def c17_titles(spark, sf_dir):
 
 
 @query("c18_span_json", """
-select doc_id, '[{"cls":' || (doc_id % 3)::varchar || ',"swc":"SWC-101","start":1,"end":' || (doc_id % 9 + 1)::varchar || '}]' as spans_json, (doc_id % 9 + 1)::int as last_line from documents""")
+select doc_id, '[{"cls":' || (n_chars % 3)::varchar || ',"swc":"' || source || '","start":1,"end":' || len(string_split(text, chr(10)))::varchar || '}]' as spans_json, len(string_split(text, chr(10)))::int as last_line from documents""")
 def c18_span_json(spark, sf_dir):
-    span = F.struct((F.col("doc_id") % 3).cast("int").alias("cls"), F.lit("SWC-101").alias("swc"), F.lit(1).alias("start"), (F.col("doc_id") % 9 + 1).cast("int").alias("end"))
+    span = F.struct((F.col("n_chars") % 3).cast("int").alias("cls"), F.col("source").alias("swc"), F.lit(1).alias("start"), tx.n_lines(F.col("text")).cast("int").alias("end"))
     json = table(spark, sf_dir, "documents").select("doc_id", tx.span_json(F.array(span)).alias("spans_json"))
     back = F.from_json("spans_json", "array<struct<cls:int,swc:string,start:int,end:int>>")
     return json.select("doc_id", "spans_json", back[0]["end"].alias("last_line"))
 
 
 @query("c19_multi_hot", """
-select doc_id, c::int as cls, (c in (doc_id % 4, doc_id % 6))::int as y from documents, range(6) r(c)""")
+select doc_id, c::int as cls, (c in (n_chars % 4, len(string_split(text, chr(10))) % 6))::int as y from documents, range(6) r(c)""")
 def c19_multi_hot(spark, sf_dir):
-    labels = F.array((F.col("doc_id") % 4).cast("int"), (F.col("doc_id") % 6).cast("int"))
+    labels = F.array((F.col("n_chars") % 4).cast("int"), (tx.n_lines(F.col("text")) % 6).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(dedup.multi_hot(labels, 6)).alias("cls", "y"))
 
 
@@ -202,10 +205,10 @@ def c23_words(spark, sf_dir):
 
 
 @query("c24_code_tokens", r"""
-with w as (select page_id, regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]{1,2}') as w from pages)
+with w as (select page_id, regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]{1,2}') as w from pages)
 select page_id, len(w)::int as n_tokens, array_to_string(w, ' ') as tokens from w""")
 def c24_code_tokens(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", tx.code_tokens(F.col("url")).alias("w"))
+    pages = table(spark, sf_dir, "pages").select("page_id", tx.code_tokens(F.col("html")).alias("w"))
     return pages.select("page_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
@@ -230,14 +233,14 @@ def c27_frame_and_pad(spark, sf_dir):
 
 
 @query("d1_scope_filter", rf"""
-with p as (select doc_id, [{', '.join(f"'{p}'" for p in _PATHS)}][(doc_id % 8)::int + 1] as p, case when doc_id % 11 = 0 then ' ' else [{', '.join(f"'{c}'" for c in _CODE)}][(doc_id % 5)::int + 1] end as t, doc_id % 7 = 0 as labelled from documents),
+with p as (select doc_id, source || '/' || [{', '.join(f"'{p}'" for p in _PATHS)}][(doc_id % 8)::int + 1] as p, case when doc_id % 11 = 0 then ' ' else [{', '.join(f"'{c}'" for c in _CODE)}][(doc_id % 5)::int + 1] || chr(10) || text end as t, doc_id % 7 = 0 as labelled from documents),
 r as (select *, case when labelled then null when regexp_replace(t, '\s+', '', 'g') = '' then 'empty'
   when regexp_matches(p, '(?i)(^|/)(test|tests|testing|mock|mocks|harness|harnesses|echidna|fuzz|fuzzing|certora)/') or regexp_matches(p, '(^|/)(Test|Mock)[A-Z0-9_][^/]*\.sol$|(Test|Mock|Mocks|Tester|Harness)\.sol$') or regexp_matches(p, '(?i)\.t\.sol$|(^|/)[^/]*[_-](test|mock)[^/]*\.sol$') then 'test_mock'
   when regexp_matches(t, '\binterface\s+[A-Za-z_$]') and not regexp_matches(t, '\b(contract|library)\s+[A-Za-z_$]') then 'interface_only' end as reason from p)
 select coalesce(reason, 'in_scope') as reason, count(*) as files from r group by 1""")
 def d1_scope_filter(spark, sf_dir):
-    path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    code = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("doc_id") % 5 + 1).cast("int")))
+    path = F.concat("source", F.lit("/"), F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("doc_id") % 8 + 1).cast("int")))
+    code = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.concat(F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("doc_id") % 5 + 1).cast("int")), F.lit("\n"), "text"))
     reason = tx.scope_reason(code, path, F.col("doc_id") % 7 == 0)
     return table(spark, sf_dir, "documents").groupBy(F.coalesce(reason, F.lit("in_scope")).alias("reason")).agg(F.count("*").alias("files"))
 
