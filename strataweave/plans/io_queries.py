@@ -70,7 +70,8 @@ def a1_file_scan(spark, sf_dir):
     # a file for each document, its id on the first line, found again below the root
     at = _fresh(spark, "sources")
     docs = table(spark, sf_dir, "documents").select("source", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value"))
-    docs.repartition("source").write.option("maxRecordsPerFile", 1).partitionBy("source").text(at)
+    # a source's files are written by several tasks
+    docs.repartition("source", F.pmod(F.hash("value"), F.lit(64))).write.option("maxRecordsPerFile", 1).partitionBy("source").text(at)
     found = src.read_sources(spark, at, "*.txt")
     head = F.substring_index("text", "\n", 1)
     return found.select(head.cast("long").alias("doc_id"), F.regexp_extract("rel_path", "^source=([^/]*)/", 1).alias("source"), F.md5(F.substring(F.col("text"), F.length(head) + 2, F.length("text"))).alias("text_md5"))

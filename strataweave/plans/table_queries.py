@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as tx
 from strataweave.operators import dedup, graph, grouping, near_dup, sampling
+from strataweave.operators.numbering import numbered
 from strataweave.plans.registry import LABELLED, MARKED_LINES, NORMAL, labelled, marked_text, query
 from strataweave.plans.titles import TITLES, title
 from strataweave.session import ship, table
@@ -166,11 +166,9 @@ def f12_class_dimension(spark, sf_dir):
 
 @query("g1_positional_ids", "select doc_id, (row_number() over (partition by source order by doc_id) - 1)::int as pos, (dense_rank() over (order by source) - 1)::int as group_id from documents")
 def g1_positional_ids(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    # sources are few: their rank is a small window, joined back
-    ids = docs.select("source").distinct().withColumn("group_id", F.dense_rank().over(Window.orderBy("source")) - 1)
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs.join(ids, "source").select("doc_id", pos.alias("pos"), "group_id")
+    placed = numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), "at", F.col("source"), F.col("doc_id"))
+    firsts = numbered(placed.groupBy("source").agg(F.min("at").alias("first")), "group_id", F.col("source"))
+    return placed.join(firsts, "source").select("doc_id", (F.col("at") - F.col("first")).cast("int").alias("pos"), F.col("group_id").cast("int").alias("group_id"))
 
 
 @query("g6_shingles", rf"""
