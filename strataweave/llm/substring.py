@@ -16,8 +16,8 @@ shortened to its parent interval. Windows whose match reaches 20 words repeat. W
 still open is indexed in turn (the next four of each key, then sixteen and so on) for those after
 it; repeats within one index show in classes of several rows, by the earliest position of each.
 
-So there are two ways to a repeated window: segments that equal an earlier one word for word are settled by comparing them, before any search, and the others'
-windows are found by the index. ``windows_found`` counts both; where whole texts are copied, most go the first way.
+Only segments that equal an earlier one of their own block of documents (``BLOCK`` bytes), and windows of hot keys, are settled by comparing
+words; all others, copies among them, are found by the index. ``windows_found`` counts both.
 """
 
 from __future__ import annotations
@@ -441,20 +441,13 @@ def _ranges(rid: np.ndarray, first: np.ndarray, n: np.ndarray, searched: np.ndar
 
 
 def _search(key: np.ndarray, rid: np.ndarray, first: np.ndarray, n: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
-    # rows are sorted by key, rid, first; of equal segments the first is indexed, the others repeat it
-    code = np.asarray(texts.dictionary_encode().indices, np.int64)
-    order = np.lexsort((np.arange(len(code)), code, key))
-    repeat = np.zeros(len(code), bool)
-    repeat[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
-    own = np.flatnonzero(~repeat)
-    w = Words(texts.filter(pa.array(~repeat)))
-    data, off = gather_ranges(w.buf, w.start, w.end - w.start)
-    ids = np.asarray(string_array(data, off).dictionary_encode().indices, np.int64) + 1
-    seg, start = repeated_windows(ids, w.count, key[own])
+    # rows are sorted by key, rid, first: the order in which their windows begin
+    w = Words(texts)
+    seg, start = repeated_windows(w.codes()[0] + 1, w.count, key)
     head = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (start[1:] != start[:-1] + 1))[: len(seg)])
     run = np.diff(np.append(head, len(seg)))
-    own = own[seg[head]]
-    return _ranges(np.concatenate([rid[repeat], rid[own]]), np.concatenate([first[repeat], first[own] + start[head]]), np.concatenate([n[repeat], run]), np.arange(repeat.sum() + len(own)) >= repeat.sum())
+    own = seg[head]
+    return _ranges(rid[own], first[own] + start[head], run, np.ones(len(own), bool))
 
 
 # -- operator ------------------------------------------------------------------------

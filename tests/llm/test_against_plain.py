@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,17 @@ def test_both_ways_to_a_repeated_window(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in substring.substring_dedup(df).collect()} == want
 
 
+def test_copies_from_other_blocks_are_found_by_the_index(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(63))
+    args = [np.zeros(4, np.int64), np.arange(4), np.zeros(4, np.int64), np.full(4, 44), pa.array([text] * 3 + [text.replace(" ", " z ", 1)])]
+    got = substring._search(*args)
+    assert sorted(zip(got["_rid"].to_pylist(), got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == [(1, 0, 63), (2, 0, 63), (3, 2, 64)]
+    assert all(got["searched"].to_pylist())
+    monkeypatch.setattr(substring.FMIndex, "back", lambda self, symbol, low, high: (low, low))
+    assert substring._search(*args).num_rows == 0
+
+
 STAGES = ["quality", "near_copies", "repeated_passages", "mixture", "encoding"]
 
 
