@@ -103,13 +103,13 @@ def audit_index(rows: DataFrame) -> DataFrame:
     return named.groupBy("audit_dir").agg(F.max_by(F.struct(*fields), "row_no").alias("r")).select("audit_dir", "r.*")
 
 
-def read_annotations(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+def read_annotations(spark: SparkSession, root: str, prefix: str, pattern: str = "*.json") -> DataFrame:
     """(rel_path, category, line_field): one row for each annotation of the JSON files below root; of equal paths the last file counts.
 
-    A path without the prefix is an error.
+    A file holds an annotated file, or an array of them. A path without the prefix is an error.
     """
     schema = "filePath string, SWCs array<struct<category:string,lineNumber:string>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root).withColumn("file", F.col("_metadata.file_path"))
+    raw = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root).withColumn("file", F.col("_metadata.file_path"))
     checked = F.when(F.col("filePath").startswith(prefix), F.substring(F.col("filePath"), F.lit(len(prefix) + 1), F.length("filePath"))).otherwise(F.raise_error(F.concat(F.lit("unexpected path "), F.coalesce("filePath", F.lit("null")))))
     last = raw.select(checked.alias("rel_path"), "file", "SWCs").groupBy("rel_path").agg(F.max_by("SWCs", "file").alias("SWCs"))
     return last.select("rel_path", F.explode_outer("SWCs").alias("a")).select("rel_path", F.col("a.category").alias("category"), F.col("a.lineNumber").alias("line_field"))
