@@ -42,29 +42,28 @@ class Linear:
 
 
 class _Rows:
-    """Some rows: products with a matrix, and with its transpose."""
+    """Some rows: products with a matrix, and with its transpose, a column at a time (sums without sorting)."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, off: np.ndarray):
         self.ids, self.values, self.off = ids, values, off
-        self.rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        self.order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[self.order]
-        self.heads = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1])[: len(ids)])
-        self.touched = sorted_ids[self.heads]
+        self.n = np.diff(off)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """Rows times w; its last row is the intercept's."""
-        out = np.broadcast_to(w[-1], (len(self.off) - 1, w.shape[1])).copy()
-        some = np.flatnonzero(np.diff(self.off))
+        out = np.broadcast_to(w[-1], (len(self.n), w.shape[1])).copy()
+        some = np.flatnonzero(self.n)
         if len(some):
-            out[some] += np.add.reduceat(self.values[:, None] * w[self.ids], self.off[some], axis=0)
+            for k in range(w.shape[1]):
+                out[some, k] += np.add.reduceat(self.values * np.ascontiguousarray(w[:, k])[self.ids], self.off[some])
         return out
 
     def add_transposed(self, r: np.ndarray, total: np.ndarray) -> None:
         """Add the rows' transpose times r to total."""
         total[-1] += r.sum(0)
-        if len(self.heads):
-            total[self.touched] += np.add.reduceat(self.values[self.order][:, None] * r[self.rows[self.order]], self.heads, axis=0)
+        if len(self.ids):
+            top = int(self.ids.max()) + 1
+            for k in range(r.shape[1]):
+                total[:top, k] += np.bincount(self.ids, self.values * np.repeat(r[:, k], self.n), top)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Rows, pa.RecordBatch]]:
@@ -80,6 +79,30 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Rows, pa.Recor
             i = j
 
 
+#: a block of rows as bytes: what each pass reads needs no list to be taken apart
+PACKED = "n long, pos array<long>, sizes binary, ids binary, vals binary, has binary"
+
+
+def _packed(rows: DataFrame, classes: list[int]) -> DataFrame:
+    """Blocks of rows (labels, ids, values): their number, how many have each class, and the rows themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, batch in _chunks(batches):
+            has = outcomes(batch.column("labels"), classes) > 0
+            blobs = [rows.n.astype(np.int32), rows.ids.astype(np.int32), np.ascontiguousarray(rows.values), has.astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(has)], pa.int64()), pa.array([has.sum(0).tolist()], pa.list_(pa.int64())), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["n", "pos", "sizes", "ids", "vals", "has"])
+
+    return rows.select("labels", "ids", "values").mapInArrow(run, PACKED)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tuple[_Rows, np.ndarray]]:
+    """The blocks of a batch at once, with (rows, classes): 1 or -1."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes, ids, values, has = (np.concatenate([np.frombuffer(b.as_buffer(), t) for b in batch.column(c)]) for c, t in (("sizes", np.int32), ("ids", np.int32), ("vals", float), ("has", np.int8)))
+            yield _Rows(ids.astype(np.int64), values, np.append(0, np.cumsum(sizes, dtype=np.int64))), np.where(has.reshape(-1, n_classes) > 0, 1.0, -1.0)
+
+
 def outcomes(labels: pa.Array, classes: list[int]) -> np.ndarray:
     """(rows, classes): 1 where the row has the class, else -1."""
     off = np.asarray(labels.offsets, np.int64)
@@ -108,8 +131,8 @@ class _Fit:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes, of, c, balance, height, held = sent.value
             total, few = np.zeros((height, width)), np.zeros((STEPS, width))
-            for rows, batch in _chunks(batches):
-                y = outcomes(batch.column("labels"), classes)[:, of]
+            for rows, y in _unpacked(batches, len(classes)):
+                y = y[:, of]
                 task(rows, y, np.where(y > 0, balance[1], balance[0]) * c, held, total, few)
             blocks = [(i, total[i : i + FEATURES]) for i in range(0, height, FEATURES)]
             found = [(-1, few)] + [(i, b) for i, b in blocks if b.any()]
@@ -157,41 +180,43 @@ class _Fit:
 
         return self._summed(task, cols, w, v)[0] + self._ridge(v[:, cols])
 
-    def along(self, w: np.ndarray, s: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """(steps, columns): the objective at w, then at w + s, w + s / 2, w + s / 4 and so on."""
+    def along(self, w: np.ndarray, s: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, columns): the objective at w, then at w + s, w + s / 2, w + s / 4 and so on. And the gradient at w + s, the step that is nearly always taken."""
 
         def task(rows, y, a, held, total, few):
             at, by = y * rows.times(held[0]), y * rows.times(held[1])
             for j in range(STEPS):
                 few[j] += (a * np.logaddexp(0, -(at + by * (0.5 ** (j - 1) if j else 0.0)))).sum(0)
+            rows.add_transposed(-y * a / (1 + np.exp(np.clip(at + by, -500, 500))), total)
 
-        losses = self._summed(task, cols, w, s)[1]
+        ahead, losses = self._summed(task, cols, w, s)
         for j in range(STEPS):
             x = w[:, cols] + s[:, cols] * (0.5 ** (j - 1) if j else 0.0)
             losses[j] += 0.5 * (self.penalty[:, None] * x * x).sum(0)
-        return losses
+        return losses, ahead + self._ridge(w[:, cols] + s[:, cols])
 
     def solve(self, rounds: int, tolerance: float, most: int) -> np.ndarray:
         n = len(self.of)
         w = np.zeros((self.size + 1, n))
-        live, first = np.arange(n), None
+        live = np.arange(n)
+        g = self.gradient(w, live)
+        first = np.sqrt((g * g).sum(0))
         for _ in range(rounds):
-            if not len(live):
-                return w
-            g = np.zeros_like(w)
-            g[:, live] = self.gradient(w, live)
             norm = np.sqrt((g * g).sum(0))
-            first = norm.copy() if first is None else first
             live = live[norm[live] > tolerance * np.maximum(first[live], 1e-300)]
             if not len(live):
                 return w
             s = self._direction(w, g, live, most, tolerance * first)
-            losses = self.along(w, s, live)
+            losses, ahead = self.along(w, s, live)
             slope = (g[:, live] * s[:, live]).sum(0)
             step = np.zeros(len(live))
             for j in range(STEPS - 1, 0, -1):  # the longest step that goes down enough
                 step = np.where(losses[j] <= losses[0] + 1e-4 * 0.5 ** (j - 1) * slope, 0.5 ** (j - 1), step)
             w[:, live] += step * s[:, live]
+            g[:, live] = ahead
+            short = live[(step > 0) & (step < 1)]
+            if len(short):
+                g[:, short] = self.gradient(w, short)
             live = live[step > 0]  # no step goes down: as near as numbers allow
         return w
 
@@ -234,13 +259,14 @@ def dense_rows(rows: DataFrame, *columns: str) -> DataFrame:
 def fit_linear(train: DataFrame, size: int, classes: list[int], grid: tuple[float, ...], penalize_intercept: bool = True, rounds: int = 40, tolerance: float = 1e-6, most: int = 60, cells: int = CELLS) -> Linear:
     """A column for each class and C over rows (labels, ids, values), ids below ``size``.
 
-    A class that no row has, or all have, gets zeros. The rows are written once and read in each pass; a matrix of more
+    A class that no row has, or all have, gets zeros. The rows are written once, in blocks, and read in each pass; a matrix of more
     than ``cells`` numbers is fitted in parts.
     """
     ship(train.sparkSession)
     classes = sorted(classes)
-    held = materialize(train.select("labels", "ids", "values"), "linear")
-    n, *pos = held.agg(F.count("*"), *[F.coalesce(F.count_if(F.array_contains("labels", k)), F.lit(0)) for k in classes]).first()
+    held = materialize(_packed(train, classes), "linear")
+    n, *pos = held.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", *(F.col("pos")[i] for i in range(len(classes))))]).first()
+    held = held.select("sizes", "ids", "vals", "has")
     pos = np.array(pos, float)
     balance = np.stack([n / np.maximum(2 * (n - pos), 1), n / np.maximum(2 * pos, 1)])
     learned = np.flatnonzero((pos > 0) & (pos < n))

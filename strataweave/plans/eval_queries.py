@@ -439,10 +439,9 @@ def j10_length_weights(spark, sf_dir):
 @query("j9_tfidf_regression")
 def j9_tfidf_regression(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("labels"))
-    weights = materialize(features.tfidf(docs, docs.where("row_id % 5 > 1"), max_features=200_000), "weights")
-    ids = materialize(features.term_ids(weights), "term-ids")
-    rows = materialize(linear.sparse_rows(docs.select("row_id", "labels"), weights, ids), "rows")
-    fit = linear.run_linear(rows.where("row_id % 5 > 1"), rows.where("row_id % 5 = 1"), rows.where("row_id % 5 = 0"), max(1, ids.count()), [0])
+    weighted, size = features.tfidf_rows(docs, F.expr("row_id % 5 > 1"), max_features=200_000)
+    rows = materialize(weighted, "rows")
+    fit = linear.run_linear(rows.where("row_id % 5 > 1"), rows.where("row_id % 5 = 1"), rows.where("row_id % 5 = 0"), max(1, size), [0])
     return metrics.macro_average_precision(fit["test"], score="logit").select(F.round("macro_ap", 4).alias("macro_ap"))
 
 

@@ -90,3 +90,28 @@ def test_term_counts(spark, monkeypatch, most):
         want.update((i, " ".join(w[j : j + k])) for k in range(1, most + 1) for j in range(len(w) - k + 1))
     assert got == want
     assert features.term_counts(spark.createDataFrame([], "row_id long, text string"), most=most).agg(F.count("*")).first()[0] == 0
+
+
+def test_tfidf_rows_are_the_weights_by_number_without_shuffled_rows(spark):
+    words = ["a", "b1", "_c", "(", "{", "É", "longer", "0"]
+    rng = np.random.default_rng(5)
+    texts = [(i, None if i == 3 else " ".join(rng.choice(words, int(rng.integers(0, 30))))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "row_id long, text string").repartition(3)
+    weights = features.tfidf(docs, docs.where("row_id % 5 > 1"), max_features=40).cache()
+    ids = features.term_ids(weights)
+    want = {r["row_id"]: (r["ids"], r["values"]) for r in linear.sparse_rows(docs.select("row_id"), weights, ids).collect()}
+    rows, size = features.tfidf_rows(docs, F.expr("row_id % 5 > 1"), max_features=40)
+    got = {r["row_id"]: (r["ids"], r["values"]) for r in rows.collect()}
+    assert size == ids.count() == 40 and got.keys() == want.keys() and got[3] == ([], [])
+    for i, (at, values) in want.items():
+        assert got[i][0] == at and np.allclose(got[i][1], values, rtol=1e-12, atol=0)
+    none, size = features.tfidf_rows(docs.where("false"), F.lit(True))
+    assert size == 0 and none.count() == 0
+
+
+def test_a_full_step_brings_its_gradient(rows, monkeypatch):
+    asked = []
+    gradient = linear._Fit.gradient
+    monkeypatch.setattr(linear._Fit, "gradient", lambda self, w, cols: asked.append(w.any()) or gradient(self, w, cols))
+    linear.fit_linear(rows, SIZE, [2], (1.0,))
+    assert asked == [False]  # only that of the start
